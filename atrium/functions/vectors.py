@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z = F.lit  # shorthand for literals
@@ -176,27 +176,33 @@ def segment_distance2(p: Vec, a: Vec, b: Vec) -> Column:
     return (p - segment_foot(p, a, b)).norm2()
 
 
-def triangle_closest(p: Vec, a: Vec, b: Vec, c: Vec) -> Vec:
-    """Closest point of a triangle, from the dot products that tell vertex, edge and face apart."""
+def with_triangle_closest(df: DataFrame, p: Vec, a: Vec, b: Vec, c: Vec, out: str = "q") -> DataFrame:
+    """Add the closest point of a triangle as ``{out}x..z`` and its barycentric weights ``{out}v, {out}w``.
+
+    The six dot products that tell vertex, edge and face regions apart are columns of their own, so
+    that each is computed once.
+    """
     ab, ac = b - a, c - a
-    d1, d2 = ab.dot(p - a), ac.dot(p - a)
-    d3, d4 = ab.dot(p - b), ac.dot(p - b)
-    d5, d6 = ab.dot(p - c), ac.dot(p - c)
-    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+    dots = {f"_d{i}": e.dot(p - o) for i, (e, o) in enumerate(((ab, a), (ac, a), (ab, b), (ac, b), (ab, c), (ac, c)), 1)}
+    df = df.withColumns(dots)
+    d1, d2, d3, d4, d5, d6 = (F.col(n) for n in dots)
+    df = df.withColumns({"_va": d3 * d6 - d5 * d4, "_vb": d5 * d2 - d1 * d6, "_vc": d1 * d4 - d3 * d2})
+    va, vb, vc = F.col("_va"), F.col("_vb"), F.col("_vc")
     zero, one = F.lit(0.0), F.lit(1.0)
-    bc_share = (d4 - d3) / ((d4 - d3) + (d5 - d6))
+    share = (d4 - d3) / ((d4 - d3) + (d5 - d6))
     regions = [  # condition, weight of ab, weight of ac
         ((d1 <= 0) & (d2 <= 0), zero, zero),
         ((d3 >= 0) & (d4 <= d3), one, zero),
         ((d6 >= 0) & (d5 <= d6), zero, one),
         ((vc <= 0) & (d1 >= 0) & (d3 <= 0), d1 / (d1 - d3), zero),
         ((vb <= 0) & (d2 >= 0) & (d6 <= 0), zero, d2 / (d2 - d6)),
-        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), one - bc_share, bc_share),
+        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), one - share, share),
     ]
     v, w = vb / (va + vb + vc), vc / (va + vb + vc)
     for cond, cv, cw in reversed(regions):
         v, w = F.when(cond, cv).otherwise(v), F.when(cond, cw).otherwise(w)
-    return a + ab.scale(v) + ac.scale(w)
+    df = df.withColumns({f"{out}v": v, f"{out}w": w}).drop(*dots, "_va", "_vb", "_vc")
+    return df.withColumns(named(out, a + ab.scale(F.col(f"{out}v")) + ac.scale(F.col(f"{out}w"))))
 
 
 def triangle_distance2(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:

@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from atrium.plans import projections  # noqa: F401
+from atrium.plans import projections, spatial_joins  # noqa: F401
 from atrium.plans.registry import REGISTRY, spark_callable  # noqa: F401

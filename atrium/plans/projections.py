@@ -313,8 +313,8 @@ f AS (SELECT *, nx*nx + ny*ny + nz*nz AS n2, (px-ax)*nx + (py-ay)*ny + (pz-az)*n
 SELECT vertex_id, {r('sqrt(CASE WHEN v >= 0 AND w >= 0 AND v + w <= n2 THEN h*h/n2 ELSE least(s0, s1, s2) END)')} AS dist FROM f""")
 def _(t):
     p, (a, b, c) = V.vec(), mesh.corner_vectors()
-    closest = V.triangle_closest(p, a, b, c)
-    return vertex_on_triangle(t).select("vertex_id", r6((p - closest).norm()).alias("dist"))
+    placed = V.with_triangle_closest(vertex_on_triangle(t), p, a, b, c)
+    return placed.select("vertex_id", r6((p - V.vec("q")).norm()).alias("dist"))
 
 
 @query("plane_z", f"SELECT v.vertex_id, {r('-(a*x + b*y + d)/c')} AS z FROM fx_vertices v JOIN fx_planes p ON p.polygon_id = v.vertex_id % 10")
