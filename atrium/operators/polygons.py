@@ -38,3 +38,37 @@ def ring_area2(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
     length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
     return edges.groupBy(*keys).agg((F.sum(cross) / 2).alias("area"), F.sum(length).alias("perimeter"))
+
+
+def polygon_length(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Perimeter, sum of root lengths, and perimeter with edges shared by planes weighted down."""
+    length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
+    e = edges.withColumn("_l", length)
+    share = F.pow(F.lit(0.1), F.col("n_planes") - 1)
+    return e.groupBy(*keys).agg(F.sum("_l").alias("perimeter"), F.sum(F.sqrt("_l")).alias("root_length"),
+                                F.sum(F.col("_l") * share).alias("shared_length"))
+
+
+def ring_lead(rows: DataFrame, keys: Sequence[str], order: str, columns: dict[str, str], offset: int = 1) -> DataFrame:
+    """Value of the next (or, with offset -1, previous) row of each closed ring.
+
+    Rings are indexed 0..n-1, so the neighbour is an equi join on the shifted index; no ring is
+    gathered in one task.
+    """
+    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    at = rows.join(size, list(keys)).withColumn("_next", F.pmod(F.col(order) + offset, F.col("_n")).cast("bigint"))
+    other = rows.select(*keys, F.col(order).cast("bigint").alias("_next"), *(F.col(c).alias(n) for c, n in columns.items()))
+    return at.join(other, [*keys, "_next"]).drop("_n", "_next")
+
+
+def contour_angles(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Turning angle in degrees at each vertex of a closed contour, and the length of its next edge."""
+    from atrium.functions.vectors import angle_degrees, vec
+
+    full = ring_lead(rows, keys, order, {c: f"{c}_n" for c in "xyz"})
+    full = ring_lead(full, keys, order, {c: f"{c}_p" for c in "xyz"}, -1)
+    here, ahead, back = vec(), vec(suffix="_n"), vec(suffix="_p")
+    step, came = ahead - here, here - back
+    cosine = F.when((step.norm() > 0) & (came.norm() > 0), came.dot(step) / came.norm() / step.norm()).otherwise(1.0)
+    turn = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return full.withColumns({"turn": turn, "next_length": step.norm(), "prev_length": came.norm()})

@@ -21,15 +21,16 @@ def prefix_counts(counts: DataFrame, key: str, value: str, out: str, keys: Seque
         w = W.partitionBy(*keys).orderBy(key) if keys else W.partitionBy(F.lit(0)).orderBy(key)
         before = F.sum(value).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(value)
         return counts.withColumn(out, before)
-    bucketed = counts.withColumn("_bucket", F.shiftright(F.col(key).cast("bigint"), BUCKET_BITS))
-    totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
-    offsets = prefix_counts(totals, "_bucket", "_total", "_offset", keys, bits - BUCKET_BITS)
-    w = W.partitionBy(*keys, "_bucket").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = bucketed.withColumn("_inside", F.sum(value).over(w) - F.col(value))
+    bucket, total, offset, inside = (f"_{n}{bits}" for n in ("bucket", "total", "offset", "inside"))
+    bucketed = counts.withColumn(bucket, F.shiftright(F.col(key).cast("bigint"), BUCKET_BITS))
+    totals = bucketed.groupBy(*keys, bucket).agg(F.sum(value).alias(total))
+    offsets = prefix_counts(totals, bucket, total, offset, keys, bits - BUCKET_BITS)
+    w = W.partitionBy(*keys, bucket).orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = bucketed.withColumn(inside, F.sum(value).over(w) - F.col(value))
     return (
-        inside.join(offsets.select(*keys, "_bucket", "_offset"), [*keys, "_bucket"])
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_offset", "_inside")
+        running.join(offsets.select(*keys, bucket, offset), [*keys, bucket])
+        .withColumn(out, F.col(offset) + F.col(inside))
+        .drop(bucket, offset, inside)
     )
 
 

@@ -226,26 +226,24 @@ def knn(
     """
     radius2 = None if max_dist is None else F.lit(float(max_dist) ** 2)
     placed, groups = group_queries(queries, tree, q)
-    rows = candidate_rows(descend(groups, tree, k, radius2), tree)
     on = [*tree.keys, *GROUP]
-    many = rows.filter("part > 0").select(*on).distinct().withColumn("_many", F.lit(True))
+    pairs = cut_lineage(descend(groups, tree, k, radius2))
+    longest = pairs.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    rows = candidate_rows(pairs, tree)
     found = scan_leaves(q, F.col("leaves"), metric, k, radius2)
-    # usual case: the whole list sits in one row, so the answer needs no further shuffle
-    single = placed.join(rows.filter("part = 0").drop("part").join(many, on, "left_anti"), on, how)
-    if how == "left":
-        single = single.join(many, on, "left_anti")
-    single = single.withColumn(out, found).drop("leaves", *GROUP)
-    # long lists: scan part by part for each distinct position, merge, then join back
-    at = [f"_{c}" for c in "xyz"]
-    big = placed.join(many.drop("_many"), on).withColumns(dict(zip(at, q)))
-    spots = big.select(*on, *at).distinct().join(rows, on)
-    partial = spots.select(*on, *at, F.explode(scan_leaves(Vec(*map(F.col, at)), F.col("leaves"), metric, k, radius2)).alias("h"))
-    best = top_k(partial.filter("h IS NOT NULL"), [*on, *at], [F.col("h")], k).groupBy(*on, *at).agg(
-        F.array_sort(F.collect_list("h")).alias(out)
-    )
-    merged = big.join(best, [*on, *at], how).drop(*GROUP, *at)
-    clean = single.unionByName(merged.select(*single.columns))
-    return clean.withColumn(out, F.filter(F.col(out), lambda h: h.isNotNull()))
+    if longest <= LEAVES_PER_ROW:  # every list sits in one row, so the answer needs no further shuffle
+        result = placed.join(rows.drop("part"), on, how).withColumn(out, found).drop("leaves", *GROUP)
+    else:  # scan part by part for each distinct position, merge, then join back
+        at = [f"_{c}" for c in "xyz"]
+        placed = placed.withColumns(dict(zip(at, q)))
+        spots = placed.select(*on, *at).distinct().join(rows, on)
+        hits = scan_leaves(Vec(*map(F.col, at)), F.col("leaves"), metric, k, radius2)
+        partial = spots.select(*on, *at, F.explode(hits).alias("h")).filter("h IS NOT NULL")
+        best = top_k(partial, [*on, *at], [F.col("h")], k).groupBy(*on, *at).agg(
+            F.array_sort(F.collect_list("h")).alias(out)
+        )
+        result = placed.join(best, [*on, *at], how).drop(*GROUP, *at)
+    return result.withColumn(out, F.filter(F.col(out), lambda h: h.isNotNull()))
 
 
 def nearest(queries: DataFrame, tree: Tree, q: Vec, metric=point_metric, *, max_dist: float | None = None,

@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from atrium.plans.oracle_views import NEEDS, VIEWS
+from atrium.session import tune
 from atrium.sources.fixtures import Tables
 
 
@@ -61,7 +62,7 @@ def query(name: str, oracle: str | None = None):
 
 def spark_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def call(spark: SparkSession, folder: str) -> DataFrame:
-        return REGISTRY[name].run(Tables(spark, folder))
+        return REGISTRY[name].run(Tables(tune(spark), folder))
 
     call.__name__ = name
     return call

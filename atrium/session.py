@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # distance scans cost far more CPU per byte than the planner assumes
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
 }
 
 
@@ -24,6 +26,13 @@ def build_session(app: str = "atrium", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the registered queries rely on, for sessions built elsewhere."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that a loop survives lost executors and its plan stays short.
 
