@@ -172,8 +172,8 @@ def segment_foot(p: Vec, a: Vec, b: Vec, eps: float = 1e-8) -> Vec:
     return a + d.scale(t)
 
 
-def segment_distance2(p: Vec, a: Vec, b: Vec) -> Column:
-    return (p - segment_foot(p, a, b)).norm2()
+def segment_distance2(p: Vec, a: Vec, b: Vec, eps: float = 1e-8) -> Column:
+    return (p - segment_foot(p, a, b, eps)).norm2()
 
 
 def with_triangle_closest(df: DataFrame, p: Vec, a: Vec, b: Vec, c: Vec, out: str = "q") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atrium.session import cut_lineage
@@ -27,17 +28,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]
     pairs = cut_lineage(pairs)
     state = None
     while True:
-        # large star: larger neighbours move to the node's minimum
-        both = pairs.select(*keys, F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select(*keys, "e.u", "e.v")
-        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        # small star: smaller neighbours, and the node itself, move to the minimum
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [*keys, "u"])
-        small = small.select(*keys, F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(
-            *keys, F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
-        pairs = cut_lineage(small)
+        pairs = cut_lineage(_contract(_contract(pairs, keys), keys))
         digest = pairs.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         if digest == state:
             break
@@ -46,6 +37,17 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]
     return nodes.select(*keys, node).join(roots, [*keys, node], "left").withColumn(out, F.coalesce(out, node))
 
 
+def _contract(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One large-star and one small-star step on edges ``u > v``."""
+    both = pairs.select(*keys, F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select(*keys, "e.u", "e.v")
+    low = both.groupBy(*keys, "u").agg(F.min("v").alias("w")).select(*keys, "u", F.least("u", "w").alias("m"))
+    large = both.filter("v > u").join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # every u is now larger than its neighbours: hand them, and u itself, to the smallest one
+    low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    moved = F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")
+    return large.join(low, [*keys, "u"]).select(*keys, moved).select(*keys, F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
+
+
 def greedy_pairs(pairs: DataFrame, keys: Sequence[str], left: str, right: str, cost: str) -> DataFrame:
     """Maximal matching that equals taking pairs in (cost, left, right) order.
 
@@ -94,44 +96,49 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]):
     return cond
 
 
-def trace_loops(edges: DataFrame, keys: Sequence[str], left: str = "e0", right: str = "e1") -> DataFrame:
-    """Order the vertices of closed loops made of undirected edges.
+def trace_faces(edges: DataFrame, points: DataFrame, keys: Sequence[str], left: str = "e0", right: str = "e1", vertex: str = "vertex_id") -> DataFrame:
+    """Closed loops of an undirected planar edge set, as (keys, loop_id, pos, vertex, x, y, area).
 
-    Covers loops in which each vertex has exactly two edges.  A loop starts at its smallest vertex
-    and goes towards the smaller of its two neighbours.  Positions come from list ranking by
-    pointer doubling over half-edges, so a loop of any length takes a logarithmic number of joins.
-    Returns (keys, loop_id, pos, vertex_id); vertices of branching components are left out, see
-    ``branching_vertices``.
+    Each edge becomes two half-edges.  A half-edge continues with the next edge clockwise from its
+    own reverse, which walks every face with its inside on the left; faces of positive area are the
+    loops, whether or not they share vertices.  Cycles are found and ordered by pointer doubling:
+    the number of joins grows with the logarithm of the longest loop.  A loop starts at its
+    smallest half-edge.
     """
-    both = edges.select(*keys, F.explode(F.array(F.struct(F.col(left).alias("a"), F.col(right).alias("b")), F.struct(F.col(right).alias("a"), F.col(left).alias("b")))).alias("e")).select(*keys, "e.a", "e.b").distinct()
-    both = cut_lineage(both)
-    degree = both.groupBy(*keys, "a").agg(F.count("*").alias("deg"), F.min("b").alias("lo"), F.max("b").alias("hi"))
-    nodes = both.select(*keys, F.col("a")).distinct()
-    comp = connected_components(both, nodes, keys, "a", "a", "b", "loop_id")
-    labelled = degree.join(comp, [*keys, "a"])
-    simple = labelled.groupBy(*keys, "loop_id").agg(F.every(F.col("deg") == 2).alias("ok"), F.count("*").alias("n")).filter("ok")
-    ring = cut_lineage(labelled.join(simple, [*keys, "loop_id"]))
-    # half-edge (a, b) continues as (b, other neighbour of b)
-    half = both.join(ring.select(*keys, F.col("a").alias("b"), "lo", "hi", "loop_id"), [*keys, "b"])
-    half = half.withColumn("c", F.when(F.col("lo") == F.col("a"), F.col("hi")).otherwise(F.col("lo")))
-    start = ring.filter("a = loop_id").select(*keys, F.col("loop_id"), F.col("lo").alias("first"))
-    half = half.join(start, [*keys, "loop_id"])
-    # walk backwards to the first half-edge (start, lo): distance 0 there, otherwise to predecessor
-    back = half.select(*keys, "loop_id", "first", F.col("b").alias("a"), F.col("c").alias("b"), F.col("a").alias("pa"), F.col("b").alias("pb"))
-    head = (F.col("a") == F.col("loop_id")) & (F.col("b") == F.col("first"))
-    walk = back.select(*keys, "loop_id", "a", "b", F.when(head, F.lit(None)).otherwise(F.struct(F.col("pa").alias("a"), F.col("pb").alias("b"))).alias("ptr"),
-                       F.when(head, 0).otherwise(1).cast("bigint").alias("dist"))
-    walk = cut_lineage(walk)
-    size = ring.agg(F.max("n")).first()[0] or 0
+    xy = points.select(*keys, F.col(vertex), "x", "y")
+    both = edges.select(*keys, F.explode(F.array(F.struct(F.col(left).alias("a"), F.col(right).alias("b")), F.struct(F.col(right).alias("a"), F.col(left).alias("b")))).alias("e")).select(*keys, "e.a", "e.b").filter("a <> b").distinct()
+    for end in "ab":
+        both = both.join(xy.select(*keys, F.col(vertex).alias(end), F.col("x").alias(f"x{end}"), F.col("y").alias(f"y{end}")), [*keys, end])
+    angle = F.atan2(F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa"))
+    fan = W.partitionBy(*keys, "a")
+    by_angle = fan.orderBy("angle", "b")
+    everything = by_angle.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    turned = both.withColumn("angle", angle).withColumn("clockwise", F.coalesce(F.lag("b").over(by_angle), F.last("b").over(everything)))
+    # reverse half-edge (b, a) of (a, b) turns clockwise to (b, c)
+    half = turned.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), F.col("clockwise").alias("c"),
+                         F.col("xb").alias("x"), F.col("yb").alias("y"), F.col("xa").alias("x2"), F.col("ya").alias("y2"))
+    h = F.struct("a", "b")
+    half = cut_lineage(half.select(*keys, h.alias("h"), F.struct(F.col("b").alias("a"), F.col("c").alias("b")).alias("next"), "x", "y", "x2", "y2"))
+    walk = half.select(*keys, "h", F.col("next").alias("ptr"), F.least("h", "next").alias("low"))
+    total = half.count()
     reach = 1
-    while reach < size:
-        prev = walk.select(*keys, F.struct("a", "b").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"))
-        walk = walk.join(prev, [*keys, "ptr"], "left").select(
-            *keys, "loop_id", "a", "b", F.col("ptr2").alias("ptr"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"))
-        walk = cut_lineage(walk)
+    while True:  # smallest half-edge of each cycle
+        ahead = walk.select(*keys, F.col("h").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
+        walk = cut_lineage(walk.join(ahead, [*keys, "ptr"]).select(*keys, "h", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
         reach *= 2
-    # half-edges of the other direction never meet the head and keep a pointer
-    return walk.filter("ptr IS NULL").select(*keys, "loop_id", F.col("dist").alias("pos"), F.col("a").alias("vertex_id"))
+        if reach > total or walk.filter("changed").isEmpty():
+            break
+    head = F.col("h") == F.col("low")
+    steps = half.join(walk.select(*keys, "h", "low"), [*keys, "h"])
+    steps = cut_lineage(steps.select(*keys, "h", "low", F.when(~head, F.col("next")).alias("ptr"), F.when(head, 0).otherwise(1).cast("bigint").alias("left_over")))
+    while not steps.filter("ptr IS NOT NULL").isEmpty():  # steps left until the head
+        ahead = steps.select(*keys, F.col("h").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("left_over").alias("more"))
+        steps = cut_lineage(steps.join(ahead, [*keys, "ptr"], "left").select(
+            *keys, "h", "low", F.col("ptr2").alias("ptr"), (F.col("left_over") + F.coalesce("more", F.lit(0))).alias("left_over")))
+    full = half.drop("next").join(steps.drop("ptr"), [*keys, "h"])
+    loops = full.groupBy(*keys, "low").agg(F.count("*").alias("n"), (F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2).alias("area")).filter("area > 0")
+    pos = F.when(F.col("left_over") == 0, 0).otherwise(F.col("n") - F.col("left_over")).alias("pos")
+    return full.join(loops, [*keys, "low"]).select(*keys, F.col("low").alias("loop_id"), pos, F.col("h.a").alias(vertex), "x", "y", "area")
 
 
 def branching_vertices(edges: DataFrame, keys: Sequence[str], left: str = "e0", right: str = "e1") -> DataFrame:

@@ -81,27 +81,17 @@ def _(t):
 WITH b AS (SELECT unnest([e0, e1]) AS v, e0, e1 FROM fx_edges GROUP BY e0, e1 HAVING count(*) = 1), bv AS (SELECT DISTINCT v FROM b),
 n AS (SELECT e0 AS v, e1 AS n FROM fx_edges UNION SELECT e1, e0 FROM fx_edges)
 SELECT DISTINCT bv.v AS vertex_id FROM bv JOIN n ON n.v = bv.v JOIN fx_mesh_vertices m ON m.vertex_id = n.n JOIN fx_planes p ON p.polygon_id = bv.v // 500
-WHERE a*x + b*y + c*z + d + 2.4 < -0.0025::DOUBLE""")
+WHERE a*x + b*y + c*z + d + 1.8 < -0.0025::DOUBLE""")
 def _(t):
     from atrium.operators.maintenance import convex_contour_vertices
     from atrium.plans.projections import planes
 
     ends = mesh.boundary_edges(t.triangles).select("scene_id", F.explode(F.array("e0", "e1")).alias("vertex_id")).distinct()
     contour = ends.withColumn("polygon_id", F.floor(F.col("vertex_id") / 500))
-    pl = planes(t).withColumns({"d": F.col("d") + 2.4, "scene_id": F.lit(0).cast("bigint")})
+    pl = planes(t).withColumns({"d": F.col("d") + 1.8, "scene_id": F.lit(0).cast("bigint")})
     return convex_contour_vertices(contour, mesh.vertex_neighbors(t.triangles), t.mesh_vertices, pl).select("vertex_id")
 
 
-VCC_SQL = """nb AS (SELECT e0 AS v, e1 AS n FROM fx_edges UNION SELECT e1, e0 FROM fx_edges),
-walk AS (SELECT DISTINCT v AS root, v FROM nb UNION SELECT w.root, nb.n FROM walk w JOIN nb ON nb.v = w.v WHERE w.root < nb.n),
-cc AS (SELECT v, min(root) AS component FROM walk GROUP BY v)"""
-
-# reachability over "smaller root only" pairs stays small because every vertex keeps its minimum
-CC_SQL = """nb AS (SELECT e0 AS v, e1 AS n FROM fx_edges UNION SELECT e1, e0 FROM fx_edges),
-cc(v, component) USING KEY (v) AS (SELECT v, min(v) FROM nb GROUP BY v UNION
-  SELECT nb.n, min(c.component) FROM cc c JOIN nb ON nb.v = c.v JOIN recurring.cc o ON o.v = nb.n WHERE c.component < o.component GROUP BY nb.n)"""
-
-
 def triangle_components(t):
     """Triangles linked over shared edges."""
     return graphs.connected_components(mesh.triangle_neighbors(t.triangles), t.triangles, SC, "triangle_id", "triangle_id", "neighbor_id")
@@ -140,20 +130,21 @@ def _(t):
 
 
 @query("greedy_pairs", """
-WITH RECURSIVE p AS (SELECT DISTINCT e0, e1, (e0 * 7919 + e1 * 104729) % 1000003 AS cost FROM fx_edges WHERE e0 < 800),
+WITH RECURSIVE p AS (SELECT DISTINCT e0, e1, (e0 * 7919 + e1 * 104729) % 1000003 AS cost FROM fx_edges),
 k AS (SELECT *, row_number() OVER (ORDER BY cost, e0, e1) AS rn FROM p),
 g(rn, used, e0, e1, cost, took) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false
   UNION ALL SELECT k.rn, CASE WHEN list_contains(g.used, k.e0) OR list_contains(g.used, k.e1) THEN g.used ELSE g.used || [k.e0, k.e1] END, k.e0, k.e1, k.cost,
     NOT (list_contains(g.used, k.e0) OR list_contains(g.used, k.e1)) FROM g JOIN k ON k.rn = g.rn + 1)
 SELECT e0, e1, cost FROM g WHERE took""")
 def _(t):
-    pairs = mesh.edge_rows(t.triangles).filter("e0 < 800").select("scene_id", "e0", "e1").distinct().withColumn("cost", (F.col("e0") * 7919 + F.col("e1") * 104729) % 1000003)
+    pairs = mesh.edge_rows(t.triangles).select("scene_id", "e0", "e1").distinct().withColumn("cost", (F.col("e0") * 7919 + F.col("e1") * 104729) % 1000003)
     return graphs.greedy_pairs(pairs, SC, "e0", "e1", "cost").select("e0", "e1", "cost")
 
 
 @query("trace_loops")
 def _(t):
-    return graphs.trace_loops(mesh.boundary_edges(t.triangles), SC)
+    out = graphs.trace_faces(mesh.boundary_edges(t.triangles), t.mesh_vertices, SC)
+    return out.select("loop_id.a", "loop_id.b", "pos", "vertex_id", r6(F.col("area")).alias("area"))
 
 
 @query("branching_vertices", """
