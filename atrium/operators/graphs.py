@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]
     pairs = cut_lineage(pairs)
     state = None
     while True:
-        pairs = cut_lineage(_contract(_contract(pairs, keys), keys))
+        pairs = cut_lineage(_contract(pairs, keys))
         digest = pairs.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         if digest == state:
             break

@@ -50,3 +50,93 @@ def largest_component(members: DataFrame, keys: Sequence[str], weight: Column |
     sizes = members.groupBy(*keys, "component").agg(size.alias("n"))
     best = sizes.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("component")).alias("neg"))).alias("b")).select(*keys, (-F.col("b.neg")).alias("component"))
     return members.join(best, [*keys, "component"], "left_semi")
+
+
+def merge_candidates(vertices: DataFrame, max_dist: float = MERGE_DISTANCE, k: int = 10, keys: Sequence[str] = SCENE) -> DataFrame:
+    """Unordered vertex pairs closer than ``max_dist`` among each vertex's k nearest."""
+    tree = S.point_tree(vertices, keys, "vertex_id", vec(), k)
+    found = S.knn(vertices.select(*keys, "vertex_id", "x", "y", "z"), tree, vec(), k=k, max_dist=max_dist)
+    pairs = found.select(*keys, "vertex_id", F.explode("hits").alias("h")).filter(F.col("h.tid") != F.col("vertex_id"))
+    return pairs.select(*keys, F.least("vertex_id", "h.tid").alias("i"), F.greatest("vertex_id", "h.tid").alias("j"),
+                        F.sqrt("h.d2").alias("dist")).filter(F.col("dist") < max_dist).distinct()
+
+
+def nearest_edges(points: DataFrame, segments: DataFrame, k: int, keys: Sequence[str], point_id: str, edge_id: str, include_zero: bool = False) -> DataFrame:
+    """The k nearest segments per point; segments through the point itself do not count unless asked.
+
+    Since those take part in the search, points that come out short are searched again with twice
+    as many candidates until none is short or all segments were seen.
+    """
+    corner = [vec(suffix="0"), vec(suffix="1")]
+    todo, done, ask = points, None, k if include_zero else k + 8
+    total = None
+    while True:
+        tree = S.shape_tree(segments, keys, edge_id, corner, k=ask)
+        found = S.knn(todo, tree, vec(), S.segment_metric, k=ask)
+        # a copy of a geometry beyond the ask-th is never among the ask nearest
+        kept = F.slice(F.filter("hits", lambda h: F.lit(include_zero) | (h["d2"] > 1e-16)), 1, k)
+        found = S.cut_lineage(found.select(*points.columns, F.size("hits").alias("_seen"), kept.alias("hits")))
+        short = (F.size("hits") < k) & (F.col("_seen") >= ask)
+        finished = found.filter(~short).drop("_seen")
+        done = finished if done is None else done.unionByName(finished)
+        todo = found.filter(short).select(*points.columns)
+        if include_zero or todo.isEmpty():
+            break
+        total = total or segments.count()
+        if ask >= total:
+            break
+        ask *= 2
+    return done.select(*points.columns, F.posexplode("hits").alias("rank", "h")).select(
+        *points.columns, "rank", F.col("h.tid").alias(edge_id), F.sqrt("h.d2").alias("dist"))
+
+
+def triangle_tree(cornered: DataFrame, keys: Sequence[str] = SCENE, tid: str = "triangle_id", k: int = 1) -> S.Tree:
+    return S.shape_tree(cornered, keys, tid, list(mesh.corner_vectors()), k=k)
+
+
+def closest_face(points: DataFrame, cornered: DataFrame, max_dist: float, min_area: float = 5e-3, keys: Sequence[str] = SCENE) -> DataFrame:
+    """Nearest triangle of at least ``min_area``; -1 where the squared distance exceeds ``max_dist``."""
+    large = mesh.with_area_normal(cornered).filter(F.col("area") >= min_area)
+    out = S.nearest(points, triangle_tree(large, keys), vec(), S.triangle_metric, how="left", tid="triangle_id")
+    near = F.col("dist") * F.col("dist") <= max_dist
+    return out.withColumn("triangle_id", F.when(near, F.col("triangle_id")).otherwise(F.lit(-1)))
+
+
+def closest_triangle_inside(points: DataFrame, cornered: DataFrame, keys: Sequence[str] = SCENE) -> DataFrame:
+    """Nearest triangle, and whether the closest point lies off the two edges at its first corner."""
+    out = S.nearest(points, triangle_tree(cornered, keys), vec(), S.triangle_metric, tid="triangle_id")
+    joined = out.join(cornered.select(*keys, "triangle_id", *(f"{n}{c}" for n in "abc" for c in "xyz")), [*keys, "triangle_id"])
+    placed = V.with_triangle_closest(joined, vec(), *mesh.corner_vectors())
+    return placed.select(*points.columns, "triangle_id", "dist", ((F.col("qv") > 1e-9) & (F.col("qw") > 1e-9)).alias("inside"))
+
+
+def chamfer(left: DataFrame, right: DataFrame, keys: Sequence[str], max_dist: float | None = None) -> DataFrame:
+    """Mean nearest distance in both directions; with ``max_dist`` only over points that close."""
+    def one_way(a, b, name):
+        d = S.nearest(a, S.point_tree(b, keys, F.lit(0), vec()), vec())
+        if max_dist is not None:
+            d = d.filter(F.col("dist") < max_dist)
+        return d.groupBy(*keys).agg(F.avg("dist").alias(name), F.count("*").alias(f"n_{name}"))
+    return one_way(left, right, "left_to_right").join(one_way(right, left, "right_to_left"), list(keys), "full_outer")
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str) -> DataFrame:
+    """Pairs that are each other's nearest point."""
+    lr = S.nearest(left, S.point_tree(right, keys, right_id, vec()), vec(), tid=right_id).select(*keys, left_id, right_id, "dist")
+    rl = S.nearest(right, S.point_tree(left, keys, left_id, vec()), vec(), tid=left_id).select(*keys, left_id, right_id)
+    return lr.join(rl, [*keys, left_id, right_id])
+
+
+def windowed_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], splits: dict[str, float], right_id: str) -> DataFrame:
+    """Nearest point within the same axis-aligned window; windows are not searched across seams."""
+    window = lambda df: df.withColumn("window", sum((F.when(F.col(a) > s, 2**i).otherwise(0) for i, (a, s) in enumerate(splits.items())), F.lit(0)))
+    tree = S.point_tree(window(right), [*keys, "window"], right_id, vec())
+    return S.nearest(window(left), tree, vec(), how="left", tid=right_id)
+
+
+def point_mesh_distance(points: DataFrame, cornered: DataFrame, keys: Sequence[str] = SCENE, max_dist: float | None = None) -> DataFrame:
+    """Mean squared distance of the points to the mesh, over points up to ``max_dist``."""
+    out = S.nearest(points, triangle_tree(cornered, keys), vec(), S.triangle_metric)
+    if max_dist is not None:
+        out = out.filter(F.col("dist") <= max_dist)
+    return out.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("dist") * F.col("dist")).alias("mean_d2"))
