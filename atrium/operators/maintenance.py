@@ -140,3 +140,22 @@ def point_mesh_distance(points: DataFrame, cornered: DataFrame, keys: Sequence[s
     if max_dist is not None:
         out = out.filter(F.col("dist") <= max_dist)
     return out.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("dist") * F.col("dist")).alias("mean_d2"))
+
+
+def append_triangles(new: DataFrame, vertices: DataFrame, keys: Sequence[str] = SCENE) -> tuple[DataFrame, DataFrame]:
+    """Three fresh vertices for each new triangle (corners ``ax..cz``), numbered after the existing ones."""
+    from atrium.operators.ranking import dense_index
+
+    number = dense_index(new, "triangle_id", "_i", keys)
+    top = vertices.groupBy(*keys).agg(F.max("vertex_id").alias("_top"))
+    at = new.join(number, [*keys, "triangle_id"]).join(top, list(keys), "left").withColumn(
+        "_base", F.coalesce("_top", F.lit(-1)) + 1 + F.col("_i") * 3)
+    tri = at.select(*keys, "triangle_id", *((F.col("_base") + i).alias(f"v{i}") for i in range(3)), "polygon_id")
+    corner = lambda i, n: F.struct((F.col("_base") + i).alias("vertex_id"), *(F.col(f"{n}{c}").alias(c) for c in "xyz"))
+    rows = at.select(*keys, "polygon_id", F.inline(F.array(*(corner(i, n) for i, n in enumerate("abc")))))
+    return rows, tri
+
+
+def add_channel(probabilities: Column) -> Column:
+    """Class probabilities with one more class of probability zero."""
+    return F.concat(probabilities, F.array(F.lit(0.0)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from atrium.functions.vectors import Vec, segment_distance2, triangle_distance2, vec_of
+from atrium.functions.vectors import Vec, segment_distance2, vec_of
 from atrium.operators.ranking import top_k
 from atrium.session import cut_lineage
 
@@ -112,7 +112,10 @@ def corners_box(*corners: Vec) -> tuple[Vec, Vec]:
 
 def shape_tree(targets: DataFrame, keys: Sequence[str], tid, corners: Sequence[Vec], k: int = 1, **kw) -> Tree:
     """Pyramid over segments (two corners) or triangles (three)."""
-    geom = F.struct(*(v.struct().alias(n) for n, v in zip("abc", corners)))
+    if len(corners) == 3:
+        geom = triangle_geom(*corners)
+    else:
+        geom = F.struct(*(v.struct().alias(n) for n, v in zip("ab", corners)))
     return build_tree(targets, keys, tid, geom, *corners_box(*corners), k=k, **kw)
 
 
@@ -124,8 +127,38 @@ def segment_metric(q: Vec, g: Column) -> Column:
     return segment_distance2(q, vec_of(g["a"]), vec_of(g["b"]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once inside a lambda, where repeated subexpressions are not shared."""
+    return F.transform(F.array(value), body)[0]
+
+
+def triangle_geom(a: Vec, b: Vec, c: Vec) -> Column:
+    """Triangle as first corner, two edges, their cross product and the squared lengths."""
+    u, v = b - a, c - a
+    w, n = v - u, u.cross(v)
+    names = [f"{p}{x}" for p in "auvn" for x in "xyz"] + ["uu", "vv", "ww", "nn"]
+    values = [*a, *u, *v, *n, u.norm2(), v.norm2(), w.norm2(), n.norm2()]
+    return F.struct(*(c.alias(m) for c, m in zip(values, names)))
+
+
 def triangle_metric(q: Vec, g: Column) -> Column:
-    return triangle_distance2(q, vec_of(g["a"]), vec_of(g["b"]), vec_of(g["c"]))
+    """Squared distance to a triangle from its prepared form: face if the foot is inside, else edges."""
+    at = lambda p: Vec(*(g[f"{p}{x}"] for x in "xyz"))
+    a, u, v, n = at("a"), at("u"), at("v"), at("n")
+
+    def to_edge(p: Vec, d: Vec, l2: Column) -> Column:
+        share = F.when(l2 < 1e-16, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p.dot(d) / l2)))
+        return let(share, lambda t: let((p - d.scale(t)).struct(), lambda o: vec_of(o).norm2()))
+
+    def inner(s: Column) -> Column:
+        p = vec_of(s)
+        inside = let(F.struct(p.cross(v).dot(n).alias("v"), u.cross(p).dot(n).alias("w")),
+                     lambda b: (g["nn"] > 0) & (b["v"] >= 0) & (b["w"] >= 0) & (b["v"] + b["w"] <= g["nn"]))
+        face = let(p.dot(n), lambda h: h * h / g["nn"])
+        rim = F.least(to_edge(p, u, g["uu"]), to_edge(p, v, g["vv"]), to_edge(p - u, v - u, g["ww"]))
+        return F.when(inside, face).otherwise(rim)
+
+    return let((q - a).struct(), inner)
 
 
 def box_of(source) -> tuple[Vec, Vec]:
@@ -302,7 +335,8 @@ def ray_hits(rays: DataFrame, tree: Tree, ray_id: Sequence[str], o: Vec, dest: V
     leaf = tree.leaves().select(*tree.keys, *(F.col(c).alias(f"p{c[1]}") for c in NODE), "members")
     tried = front.join(leaf, [*tree.keys, "px", "py", "pz"]).select(*on, *names, F.explode("members").alias("m"))
     g = F.col("m.geom")
-    t = ray_triangle(o, e, vec_of(g["a"]), vec_of(g["b"]), vec_of(g["c"]))
+    a, u, v = (Vec(*(g[f"{p}{x}"] for x in "xyz")) for p in "auv")
+    t = ray_triangle(o, e, a, a + u, a + v)
     hits = tried.withColumn("t", t).filter("t < 1")
     first = hits.groupBy(*on, *names).agg(F.min(F.struct("t", F.col("m.tid").alias("tid"))).alias("hit"))
     length = (e - o).norm()

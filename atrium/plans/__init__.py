@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from atrium.plans import aggregations, projections, rasters, spatial_joins, topology  # noqa: F401
+from atrium.plans import aggregations, layouts, projections, rasters, spatial_joins, topology  # noqa: F401
 from atrium.plans.registry import REGISTRY, spark_callable  # noqa: F401
