@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
 from atrium.plans import (  # noqa: F401
-    aggregations, layouts, projections, rasters, spatial_joins, topology, upkeep,
+    aggregations, inputs, layouts, projections, rasters, spatial_joins, topology, upkeep,
 )
 from atrium.plans.registry import REGISTRY, spark_callable  # noqa: F401

@@ -78,7 +78,7 @@ def scan_frame_files(spark: SparkSession, path: str, glob: str = "*.png") -> Dat
 
 def read_frame_list(spark: SparkSession, path: str) -> DataFrame:
     """Explicit ordered list of names, one per line; blank lines do not count."""
-    lines = spark.read.option("wholetext", "true").text(path)
+    lines = spark.read.text(path, wholetext=True)
     names = lines.select(F.filter(F.transform(F.split("value", "\n"), lambda s: F.trim(s)), lambda s: s != "").alias("names"))
     return names.select(F.posexplode("names").alias("index", "name"))
 
