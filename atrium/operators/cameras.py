@@ -75,8 +75,14 @@ def metric_depth(canonical: Column, fx: Column, scale: Column) -> Column:
     return clamp(canonical * fx * scale / F.lit(CANONICAL_FOCAL), 0.0, MAX_DEPTH)
 
 
-def to_world(c2w: Column, p: Vec) -> Vec:
-    row = lambda i: c2w[i][0] * p.x + c2w[i][1] * p.y + c2w[i][2] * p.z + c2w[i][3]
+def pose_columns(frames: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Frame keys with the upper three pose rows as twelve flat columns, the form that is joined."""
+    return frames.select(*on, *(F.col("c2w")[i][j].alias(f"_m{i}{j}") for i in range(3) for j in range(4)))
+
+
+def to_world(p: Vec) -> Vec:
+    """Camera point to world by the pose columns."""
+    row = lambda i: F.col(f"_m{i}0") * p.x + F.col(f"_m{i}1") * p.y + F.col(f"_m{i}2") * p.z + F.col(f"_m{i}3")
     return Vec(row(0), row(1), row(2))
 
 
@@ -94,10 +100,10 @@ def unproject_depth(
 ) -> DataFrame:
     """World points of every ``stride``-th pixel in both axes with a usable depth."""
     kept = stride_rows(pixels, stride).filter(depth_in_range(F.col("depth"), min_depth, max_depth))
-    joined = kept.join(frames.select(*on, "c2w"), list(on))
+    joined = kept.join(pose_columns(frames, on), list(on))
     fx, fy, cx, cy = (F.lit(float(v)) if not isinstance(v, Column) else v for v in (fx, fy, cx, cy))
-    world = to_world(F.col("c2w"), camera_point(F.col("pix_col"), F.col("pix_row"), F.col("depth"), fx, fy, cx, cy, False))
-    return joined.withColumns(dict(zip(("x", "y", "z"), world))).drop("c2w")
+    world = to_world(camera_point(F.col("pix_col"), F.col("pix_row"), F.col("depth"), fx, fy, cx, cy, False))
+    return joined.select(*pixels.columns, *(v.alias(n) for n, v in zip("xyz", world)))
 
 
 def backproject_samples(
@@ -105,13 +111,12 @@ def backproject_samples(
     on: Sequence[str] = ("scene_id", "frame_id"),
 ) -> DataFrame:
     """Rays from the camera centre through sampled pixel centres; invalid depths get a fallback length."""
-    joined = samples.join(frames.select(*on, "c2w"), list(on))
+    joined = samples.join(pose_columns(frames, on), list(on))
     fx, fy, cx, cy = (F.lit(float(v)) if not isinstance(v, Column) else v for v in (fx, fy, cx, cy))
     valid = valid_depth(F.col("depth"))
     depth = F.when(valid, F.col("depth")).otherwise(F.lit(FALLBACK_DEPTH))
-    dest = to_world(F.col("c2w"), camera_point(F.col("pix_col"), F.col("pix_row"), depth, fx, fy, cx, cy, True))
-    c2w = F.col("c2w")
-    origin = Vec(c2w[0][3], c2w[1][3], c2w[2][3])
+    dest = to_world(camera_point(F.col("pix_col"), F.col("pix_row"), depth, fx, fy, cx, cy, True))
+    origin = Vec(*(F.col(f"_m{i}3") for i in range(3)))
     return joined.select(
         *samples.columns,
         valid.alias("valid"),

@@ -30,6 +30,8 @@ STEP = 2  # bits per axis and level: 4 x 4 x 4 children
 LOW, HIGH = ("lx", "ly", "lz"), ("hx", "hy", "hz")
 CELL, NODE, GROUP = ("cx", "cy", "cz"), ("sx", "sy", "sz"), ("gx", "gy", "gz")
 LEAVES_PER_ROW = 512
+BROADCAST_CELLS = 100_000  # node rows take about 100 bytes
+BROADCAST_ROWS = 50_000  # target rows take up to 300 bytes
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,15 @@ class Tree:
     origin: tuple[float, float, float]
     edge: float
     levels: int
+    total: int
+    cells: int
+
+    def small_nodes(self, nodes: DataFrame) -> DataFrame:
+        """Broadcast hint for node tables whose row count, known from the build, allows it."""
+        return F.broadcast(nodes) if self.cells <= BROADCAST_CELLS else nodes
+
+    def small_leaves(self, leaves: DataFrame) -> DataFrame:
+        return F.broadcast(leaves) if self.total <= BROADCAST_ROWS else leaves
 
     def cell(self, p: Vec) -> list[Column]:
         return [F.floor((c - F.lit(o)) / F.lit(self.edge)) for c, o in zip(p, self.origin)]
@@ -90,13 +101,13 @@ def build_tree(
         placed = slim.withColumns(
             {c: F.floor((m - F.lit(o)) / F.lit(edge)) for c, m, o in zip(CELL, center, lows)}
         )
-        used = placed.groupBy(*keys, *CELL).count().agg(F.max("count"), F.avg("count")).first()
+        used = placed.groupBy(*keys, *CELL).count().agg(F.max("count"), F.avg("count"), F.count("*")).first()
         crowded = (used[0] or 0) > cap * max(k, 1) or (used[1] or 0) > 2 * leaf_points
         if not crowded or edge < extent * 2.0**-44:
             break
         edge /= 2
     levels = max(1, math.ceil(math.log(extent / edge, 2**STEP) - 1e-9))
-    return Tree(placed, tuple(keys), tuple(lows), edge, levels)
+    return Tree(placed, tuple(keys), tuple(lows), edge, levels, total, used[2])
 
 
 def point_tree(targets: DataFrame, keys: Sequence[str], tid, p: Vec, k: int = 1, **kw) -> Tree:
@@ -196,11 +207,12 @@ def group_queries(queries: DataFrame, tree: Tree, q: Vec) -> tuple[DataFrame, Da
 def descend(groups: DataFrame, tree: Tree, k: int | None, radius2: Column | None) -> DataFrame:
     """Leaf cells each query group has to look at: (keys, group, leaf cell)."""
     keys, boxes = list(tree.keys), [f"q{c}" for c in (*LOW, *HIGH)]
-    front = groups.withColumns({f"p{c[1]}": F.lit(0).cast("bigint") for c in NODE})
+    front = groups.withColumns({f"p{c[1]}": F.lit(0).cast("bigint") for c in NODE}).withColumn("_bound", F.lit(math.inf))
     for level in range(tree.levels - 1, -1, -1):
-        step = front.join(tree.nodes(level), [*keys, "px", "py", "pz"])
+        step = front.join(tree.small_nodes(tree.nodes(level)), [*keys, "px", "py", "pz"])
         mine, node = box_of("q"), box_of("")
-        step = step.withColumn("_gap", gap2(mine, node))
+        # the bound of the level above already drops most children before they are compared
+        step = step.withColumn("_gap", gap2(mine, node)).filter(F.col("_gap") <= slack(F.col("_bound")))
         if radius2 is not None:
             step = step.filter(F.col("_gap") <= slack(radius2))
         if k is not None:
@@ -212,11 +224,10 @@ def descend(groups: DataFrame, tree: Tree, k: int | None, radius2: Column | None
                 running = by_group.orderBy("_reach").rowsBetween(W.unboundedPreceding, W.currentRow)
                 step = step.withColumn("_have", F.sum("cnt").over(running))
                 bound = F.min(F.when(F.col("_have") >= k, F.col("_reach"))).over(by_group)
-            step = step.withColumn("_bound", bound).filter(
-                F.col("_bound").isNull() | (F.col("_gap") <= slack(F.col("_bound")))
-            )
+            step = step.withColumn("_bound", F.coalesce(F.least(bound, F.col("_bound")), F.lit(math.inf))).filter(
+                F.col("_gap") <= slack(F.col("_bound")))
         parent = {f"p{c[1]}": F.col(c) for c in NODE}
-        front = step.select(*keys, *GROUP, *boxes, *(v.alias(n) for n, v in parent.items()))
+        front = step.select(*keys, *GROUP, *boxes, "_bound", *(v.alias(n) for n, v in parent.items()))
     return front.select(*keys, *GROUP, *(F.col(f"p{c[1]}").alias(c) for c in NODE))
 
 
@@ -225,7 +236,7 @@ def candidate_rows(pairs: DataFrame, tree: Tree) -> DataFrame:
     keys = list(tree.keys)
     order = W.partitionBy(*keys, *GROUP).orderBy(*NODE)
     numbered = pairs.withColumn("part", F.floor((F.row_number().over(order) - 1) / LEAVES_PER_ROW))
-    full = numbered.join(tree.leaves(), [*keys, *NODE])
+    full = numbered.join(tree.small_leaves(tree.leaves()), [*keys, *NODE])
     return full.groupBy(*keys, *GROUP, "part").agg(
         F.collect_list(F.struct(*LOW, *HIGH, "members")).alias("leaves")
     )
@@ -296,7 +307,7 @@ def within(queries: DataFrame, tree: Tree, q: Vec, radius: float, metric=point_m
     pairs = descend(groups, tree, None, radius2)
     leaves = tree.leaves().select(*tree.keys, *NODE, "members")
     on = [*tree.keys, *GROUP]
-    full = pairs.join(leaves, [*tree.keys, *NODE]).drop(*NODE)
+    full = pairs.join(tree.small_leaves(leaves), [*tree.keys, *NODE]).drop(*NODE)
     joined = placed.join(full, on).select(*queries.columns, F.explode("members").alias("_m"))
     d2 = metric(q, F.col("_m.geom"))
     return joined.withColumn("d2", d2).filter(F.col("d2") <= radius2).select(
@@ -325,15 +336,16 @@ def ray_hits(rays: DataFrame, tree: Tree, ray_id: Sequence[str], o: Vec, dest: V
 
     names = ["ox", "oy", "oz", "ex", "ey", "ez"]
     on = [*dict.fromkeys([*tree.keys, *ray_id])]
-    front = rays.select(*on, *(c.alias(n) for n, c in zip(names, (*o, *dest))))
+    # spread by ray once: the joins keep this layout and the final minimum needs no other shuffle
+    front = rays.select(*on, *(c.alias(n) for n, c in zip(names, (*o, *dest)))).repartition(*on)
     o, e = Vec(*map(F.col, names[:3])), Vec(*map(F.col, names[3:]))
     front = front.withColumns({f"p{c[1]}": F.lit(0).cast("bigint") for c in NODE})
     for level in range(tree.levels - 1, -1, -1):
-        step = front.join(tree.nodes(level), [*tree.keys, "px", "py", "pz"]).filter(
+        step = front.join(tree.small_nodes(tree.nodes(level)), [*tree.keys, "px", "py", "pz"]).filter(
             slab_overlap(o, e - o, *box_of("")))
         front = step.select(*on, *names, *(F.col(c).alias(f"p{c[1]}") for c in NODE))
     leaf = tree.leaves().select(*tree.keys, *(F.col(c).alias(f"p{c[1]}") for c in NODE), "members")
-    tried = front.join(leaf, [*tree.keys, "px", "py", "pz"]).select(*on, *names, F.explode("members").alias("m"))
+    tried = front.join(tree.small_leaves(leaf), [*tree.keys, "px", "py", "pz"]).select(*on, *names, F.explode("members").alias("m"))
     g = F.col("m.geom")
     a, u, v = (Vec(*(g[f"{p}{x}"] for x in "xyz")) for p in "auv")
     t = ray_triangle(o, e, a, a + u, a + v)

@@ -158,8 +158,8 @@ def _(t):
 SEGMENT_SQL = f"""{NEAREST_SQL},
 kd AS (SELECT v.scene_id, v.vertex_id, r.label, ((v.x-r.x)*(v.x-r.x) + (v.y-r.y)*(v.y-r.y) + (v.z-r.z)*(v.z-r.z)) AS d2 FROM fx_vertices v JOIN fx_rays r ON r.scene_id = v.scene_id),
 kn AS (SELECT *, row_number() OVER (PARTITION BY scene_id, vertex_id ORDER BY d2, label) AS rn FROM kd),
-both_ AS (SELECT scene_id, vertex_id, label, count(*) AS vote, 0 AS p FROM hit GROUP BY ALL UNION ALL
-  SELECT scene_id, vertex_id, label, 0, count(*) / CAST(5 AS DOUBLE) FROM kn WHERE rn <= 5 GROUP BY ALL),
+both_ AS (SELECT scene_id, vertex_id, label, CAST(count(*) AS DOUBLE) AS vote, CAST(0 AS DOUBLE) AS p FROM hit GROUP BY ALL UNION ALL
+  SELECT scene_id, vertex_id, label, CAST(0 AS DOUBLE), count(*) / CAST(5 AS DOUBLE) FROM kn WHERE rn <= 5 GROUP BY ALL),
 per AS (SELECT b.scene_id, v.segment_id, b.label, sum(vote) AS vote, round(sum(p), 9) AS p FROM both_ b JOIN fx_vertices v ON v.vertex_id = b.vertex_id AND v.scene_id = b.scene_id GROUP BY ALL),
 rk AS (SELECT *, sum(vote) OVER w AS tv, sum(p) OVER w AS tp FROM per WINDOW w AS (PARTITION BY scene_id, segment_id)),
 win AS (SELECT *, CASE WHEN tv > 0 THEN vote ELSE p END AS score, CASE WHEN tv > 0 THEN vote / tv ELSE p / tp END AS share,
