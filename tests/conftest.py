@@ -11,7 +11,9 @@ from atrium.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"})
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+        # small data: planning and compiling cost more than running
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 
