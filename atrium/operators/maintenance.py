@@ -490,7 +490,7 @@ def extend_walls(lower: DataFrame, vertices: DataFrame, planes: DataFrame, targe
     q = S.cut_lineage(q.withColumn("area", area).filter("area > 1e-9").select(*keys, "polygon_id", "target_id", "e0", "e1", "area", *(f"{c}{i}" for i in (0, 1) for c in "xyz"), *(f"f{i}{c}" for i in (0, 1) for c in "xyz")))
     tri = lambda *ps: F.struct(*(c.alias(f"{n}{m}") for p, n in zip(ps, "abc") for c, m in zip(p, "xyz")))
     quads = q.select(*keys, F.struct("polygon_id", "e0", "e1").alias("quad"), F.posexplode(F.array(tri(p0, p1, f0), tri(p1, f1, f0))).alias("half", "t")).select(*keys, F.struct("quad", "half").alias("_tid"), "t.*")
-    tree = S.shape_tree(quads, keys, "_tid", list(mesh.corner_vectors()), k=1 << 20)
+    tree = S.shape_tree(quads, keys, "_tid", list(mesh.corner_vectors()), k=None)
     hits = S.ray_hits(rays, tree, ["ray_id"], vec("o"), vec("e"), margin)
     counts = hits.groupBy(*keys, F.col("tid.quad").alias("quad")).agg(F.count("*").alias("hits")).select(*keys, "quad.*", "hits")
     out = q.join(counts, [*keys, "polygon_id", "e0", "e1"], "left").join(hit_limit, [*keys, "polygon_id"], "left")

@@ -66,7 +66,7 @@ def box_metric(q: Vec, g: Column) -> Column:
     return S.gap2((q, q), (Vec(g["x0"], g["y0"], F.lit(0.0)), Vec(g["x1"], g["y1"], F.lit(0.0))))
 
 
-def box_tree(boxes: DataFrame, keys: Sequence[str], tid: str, k: int = 1) -> S.Tree:
+def box_tree(boxes: DataFrame, keys: Sequence[str], tid: str, k: int | None = 1) -> S.Tree:
     zero = F.lit(0.0)
     low, high = Vec(F.col("x0"), F.col("y0"), zero), Vec(F.col("x1"), F.col("y1"), zero)
     return S.build_tree(boxes, keys, tid, F.struct("x0", "y0", "x1", "y1"), low, high, k=k)
@@ -81,7 +81,7 @@ def rooms_near(points: DataFrame, room_boxes: DataFrame, keys: Sequence[str], po
 
     A room is a set of boxes (runs of its cells, or one rectangle).
     """
-    tree = box_tree(room_boxes, keys, room, k=1 << 20)
+    tree = box_tree(room_boxes, keys, room, k=None)
     near = S.within(points, tree, flat(), max_dist, box_metric).groupBy(*keys, *point_id).agg(F.sort_array(F.collect_set("tid")).alias("near"))
     closest = S.nearest(points, box_tree(room_boxes, keys, room), flat(), box_metric, tid="closest")
     out = closest.join(near, [*keys, *point_id], "left")
@@ -90,7 +90,7 @@ def rooms_near(points: DataFrame, room_boxes: DataFrame, keys: Sequence[str], po
 
 def points_near_segments(points: DataFrame, segments: DataFrame, keys: Sequence[str], tid: str, max_dist: float = WALL_DISTANCE) -> DataFrame:
     """All (point, segment) pairs up to a distance in the plane; segments carry x0, y0, x1, y1."""
-    tree = S.shape_tree(segments, keys, tid, [flat("x0", "y0"), flat("x1", "y1")], k=1 << 20)
+    tree = S.shape_tree(segments, keys, tid, [flat("x0", "y0"), flat("x1", "y1")], k=None)
     return S.within(points, tree, flat(), max_dist, S.segment_metric)
 
 
@@ -112,7 +112,7 @@ def match_opening(walls: DataFrame, openings: DataFrame, keys: Sequence[str], wa
         *keys, F.explode("room_ids").alias("room_id"), F.struct("edge_index", "edge_id", "kind").alias("edge"),
         F.col("xa").alias("x0"), F.col("ya").alias("y0"), F.col("xb").alias("x1"), F.col("yb").alias("y1"))
     room = [*keys, "room_id"]
-    tree = S.shape_tree(one, room, "edge", [flat("x0", "y0"), flat("x1", "y1")], k=1 << 20)
+    tree = S.shape_tree(one, room, "edge", [flat("x0", "y0"), flat("x1", "y1")], k=None)
     # long walls are probed in pieces of at most two metres, each with the same reach
     length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
     parts = F.greatest(F.ceil(length / 2.0), F.lit(1)).cast("int")
@@ -144,7 +144,7 @@ def next_lower_polygon(points: DataFrame, triangles: DataFrame, keys: Sequence[s
     mid = wanted.groupBy(*keys, "polygon_id").agg(F.avg((F.col("az") + F.col("bz") + F.col("cz")) / 3).alias("mid_z"))
     tagged = wanted.join(mid, [*keys, "polygon_id"]).withColumn("_tid", F.struct("polygon_id", "mid_z"))
     corner = [Vec(*(F.col(f"{n}{c}") for c in "xyz")) for n in "abc"]
-    tree = S.shape_tree(tagged, keys, "_tid", corner, k=1 << 20)
+    tree = S.shape_tree(tagged, keys, "_tid", corner, k=None)
     near = S.within(points, tree, Vec(F.col("x"), F.col("y"), F.col("z")), max_dist, S.triangle_metric)
     low = near.filter(F.col("z") - F.col("tid.mid_z") > slack)
     best = low.groupBy(*keys, *point_id).agg(F.min(F.struct("dist", "tid.polygon_id")).alias("b"))

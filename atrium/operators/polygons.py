@@ -93,7 +93,7 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, keys: Sequence[str],
     zero = F.lit(0.0)
     low, high = Vec(F.col("bx0"), F.col("by0"), zero), Vec(F.col("bx1"), F.col("by1"), zero)
     geom = F.struct(low.struct().alias("lo"), high.struct().alias("hi"))
-    tree = S.build_tree(boxes.withColumn("_tid", F.struct(polygon, "by0", "by1", "bands")), keys, "_tid", geom, low, high, k=1 << 20)
+    tree = S.build_tree(boxes.withColumn("_tid", F.struct(polygon, "by0", "by1", "bands")), keys, "_tid", geom, low, high, k=None)
     q = Vec(F.col("x"), F.col("y"), zero)
     gap = lambda p, g: S.gap2((p, p), (Vec(*(g["lo"][c] for c in "xyz")), Vec(*(g["hi"][c] for c in "xyz"))))
     pairs = S.within(points.select(*keys, *point_id, "x", "y"), tree, q, pad, gap).select(

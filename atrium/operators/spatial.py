@@ -68,6 +68,10 @@ class Tree:
             *box_union(), F.collect_list(F.struct("tid", "geom")).alias("members")
         )
 
+    def members(self) -> DataFrame:
+        """Targets one by one under their leaf cell."""
+        return self.rows.select(*self.keys, *(F.col(c).alias(s) for c, s in zip(CELL, NODE)), "tid", "geom")
+
 
 def box_union() -> list[Column]:
     return [F.min(c).alias(c) for c in LOW] + [F.max(c).alias(c) for c in HIGH]
@@ -75,9 +79,13 @@ def box_union() -> list[Column]:
 
 def build_tree(
     targets: DataFrame, keys: Sequence[str], tid: Column | str, geom: Column, low: Vec, high: Vec,
-    *, k: int = 1, leaf_points: int = 8, cap: int = 64,
+    *, k: int | None = 1, leaf_points: int = 8, cap: int = 64,
 ) -> Tree:
-    """Place targets in the grid.  ``tid`` breaks ties and must be orderable; ``k`` copies are kept."""
+    """Place targets in the grid.  ``tid`` breaks ties and must be orderable.
+
+    Of equal geometries the ``k`` lowest ids are kept, as many as a k-nearest search can return;
+    ``None`` keeps all of them, for joins that return every match.
+    """
     tid = F.col(tid) if isinstance(tid, str) else tid
     slim = targets.select(
         *keys, tid.alias("tid"), geom.alias("geom"),
@@ -85,7 +93,7 @@ def build_tree(
     )
     if k == 1:
         slim = slim.groupBy(*keys, "geom", *LOW, *HIGH).agg(F.min("tid").alias("tid"))
-    else:
+    elif k is not None:
         slim = top_k(slim, [*keys, "geom"], [F.col("tid")], k)
     slim = cut_lineage(slim)
     stats = slim.agg(F.count("*"), *(F.min(c) for c in LOW), *(F.max(c) for c in HIGH)).first()
@@ -101,8 +109,10 @@ def build_tree(
         placed = slim.withColumns(
             {c: F.floor((m - F.lit(o)) / F.lit(edge)) for c, m, o in zip(CELL, center, lows)}
         )
-        used = placed.groupBy(*keys, *CELL).count().agg(F.max("count"), F.avg("count"), F.count("*")).first()
-        crowded = (used[0] or 0) > cap * max(k, 1) or (used[1] or 0) > 2 * leaf_points
+        # copies of one geometry cannot be told apart by a finer grid, so they count once or k times
+        counted = placed if k is not None else placed.select(*keys, *CELL, "geom").distinct()
+        used = counted.groupBy(*keys, *CELL).count().agg(F.max("count"), F.avg("count"), F.count("*")).first()
+        crowded = (used[0] or 0) > cap * (k or 1) or (used[1] or 0) > 2 * leaf_points
         if not crowded or edge < extent * 2.0**-44:
             break
         edge /= 2
@@ -110,7 +120,7 @@ def build_tree(
     return Tree(placed, tuple(keys), tuple(lows), edge, levels, total, used[2])
 
 
-def point_tree(targets: DataFrame, keys: Sequence[str], tid, p: Vec, k: int = 1, **kw) -> Tree:
+def point_tree(targets: DataFrame, keys: Sequence[str], tid, p: Vec, k: int | None = 1, **kw) -> Tree:
     return build_tree(targets, keys, tid, p.struct(), p, p, k=k, **kw)
 
 
@@ -121,7 +131,7 @@ def corners_box(*corners: Vec) -> tuple[Vec, Vec]:
     )
 
 
-def shape_tree(targets: DataFrame, keys: Sequence[str], tid, corners: Sequence[Vec], k: int = 1, **kw) -> Tree:
+def shape_tree(targets: DataFrame, keys: Sequence[str], tid, corners: Sequence[Vec], k: int | None = 1, **kw) -> Tree:
     """Pyramid over segments (two corners) or triangles (three)."""
     if len(corners) == 3:
         geom = triangle_geom(*corners)
@@ -305,13 +315,12 @@ def within(queries: DataFrame, tree: Tree, q: Vec, radius: float, metric=point_m
     radius2 = F.lit(float(radius) ** 2)
     placed, groups = group_queries(queries, tree, q)
     pairs = descend(groups, tree, None, radius2)
-    leaves = tree.leaves().select(*tree.keys, *NODE, "members")
     on = [*tree.keys, *GROUP]
-    full = pairs.join(tree.small_leaves(leaves), [*tree.keys, *NODE]).drop(*NODE)
-    joined = placed.join(full, on).select(*queries.columns, F.explode("members").alias("_m"))
-    d2 = metric(q, F.col("_m.geom"))
+    full = pairs.join(tree.small_leaves(tree.members()), [*tree.keys, *NODE]).select(*on, F.col("tid").alias("_tid"), F.col("geom").alias("_geom"))
+    joined = placed.join(full, on)
+    d2 = metric(q, F.col("_geom"))
     return joined.withColumn("d2", d2).filter(F.col("d2") <= radius2).select(
-        *queries.columns, F.col("_m.tid").alias("tid"), F.sqrt("d2").alias("dist"))
+        *queries.columns, F.col("_tid").alias("tid"), F.sqrt("d2").alias("dist"))
 
 
 def slab_overlap(o: Vec, d: Vec, low: Vec, high: Vec, pad: float = 1e-9) -> Column:
@@ -344,13 +353,13 @@ def ray_hits(rays: DataFrame, tree: Tree, ray_id: Sequence[str], o: Vec, dest: V
         step = front.join(tree.small_nodes(tree.nodes(level)), [*tree.keys, "px", "py", "pz"]).filter(
             slab_overlap(o, e - o, *box_of("")))
         front = step.select(*on, *names, *(F.col(c).alias(f"p{c[1]}") for c in NODE))
-    leaf = tree.leaves().select(*tree.keys, *(F.col(c).alias(f"p{c[1]}") for c in NODE), "members")
-    tried = front.join(tree.small_leaves(leaf), [*tree.keys, "px", "py", "pz"]).select(*on, *names, F.explode("members").alias("m"))
-    g = F.col("m.geom")
+    leaf = tree.members().select(*tree.keys, *(F.col(c).alias(f"p{c[1]}") for c in NODE), F.col("tid").alias("_tid"), F.col("geom").alias("_geom"))
+    tried = front.join(tree.small_leaves(leaf), [*tree.keys, "px", "py", "pz"]).select(*on, *names, "_tid", "_geom")
+    g = F.col("_geom")
     a, u, v = (Vec(*(g[f"{p}{x}"] for x in "xyz")) for p in "auv")
     t = ray_triangle(o, e, a, a + u, a + v)
     hits = tried.withColumn("t", t).filter("t < 1")
-    first = hits.groupBy(*on, *names).agg(F.min(F.struct("t", F.col("m.tid").alias("tid"))).alias("hit"))
+    first = hits.groupBy(*on, *names).agg(F.min(F.struct("t", F.col("_tid").alias("tid"))).alias("hit"))
     length = (e - o).norm()
     return first.select(*on, F.col("hit.tid").alias("tid"), F.col("hit.t").alias("t"),
                         ((1 - F.col("hit.t")) * length).alias("overshoot")).filter(F.col("overshoot") >= margin)

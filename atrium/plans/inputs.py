@@ -63,11 +63,12 @@ def _(t):
     return readers.scan_frame_files(t.spark, written_rasters(t), "*.npy").select("index", "name", "length")
 
 
-@query("read_frame_list", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INT) AS index, 'frame_' || s_suppkey || '.png' AS name FROM supplier")
+@query("read_frame_list", "SELECT s_nationkey AS scene_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS index, 'frame_' || s_suppkey || '.png' AS name FROM supplier")
 def _(t):
     path = scratch_path(t.spark, "list")
-    lines = t.raw("supplier").select(F.struct("s_suppkey", F.concat(F.lit("frame_"), "s_suppkey", F.lit(".png\n")).alias("s")).alias("e")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["s"]), "").alias("value"))
-    lines.coalesce(1).write.text(path)  # the list file of one small scene
+    line = F.struct("s_suppkey", F.concat(F.lit("frame_"), "s_suppkey", F.lit(".png\n")).alias("s"))
+    lists = t.raw("supplier").groupBy(F.col("s_nationkey").alias("scene_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda e: e["s"]), "").alias("value"))
+    lists.write.partitionBy("scene_id").text(path)  # one list file per scene
     return readers.read_frame_list(t.spark, path)
 
 

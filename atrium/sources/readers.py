@@ -77,10 +77,14 @@ def scan_frame_files(spark: SparkSession, path: str, glob: str = "*.png") -> Dat
 
 
 def read_frame_list(spark: SparkSession, path: str) -> DataFrame:
-    """Explicit ordered list of names, one per line; blank lines do not count."""
+    """Explicit ordered lists of names, one file per scene and one name per line; blank lines do not count.
+
+    Columns that come from the folder names are kept.
+    """
     lines = spark.read.text(path, wholetext=True)
-    names = lines.select(F.filter(F.transform(F.split("value", "\n"), lambda s: F.trim(s)), lambda s: s != "").alias("names"))
-    return names.select(F.posexplode("names").alias("index", "name"))
+    folder = [c for c in lines.columns if c != "value"]
+    names = lines.select(*folder, F.filter(F.transform(F.split("value", "\n"), lambda s: F.trim(s)), lambda s: s != "").alias("names"))
+    return names.select(*folder, F.posexplode("names").alias("index", "name"))
 
 
 def read_frame_records(spark: SparkSession, path: str) -> DataFrame:

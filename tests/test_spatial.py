@@ -38,7 +38,7 @@ def test_knn_equals_brute_force(spark, monkeypatch, k, leaves):
 def test_within_and_max_dist(spark):
     a, targets = cloud(spark, 200, 3, "tid_")
     b, queries = cloud(spark, 100, 4, "qid")
-    tree = S.point_tree(targets, ["scene_id"], "tid_", vec(), 1 << 20)
+    tree = S.point_tree(targets, ["scene_id"], "tid_", vec(), None)
     got = {(r.qid, r.tid) for r in S.within(queries, tree, vec(), 1.5).collect()}
     want = {(i, j) for i in range(100) for j in range(200) if i % 2 == j % 2 and ((b[i] - a[j]) ** 2).sum() <= 1.5**2}
     assert got == want
