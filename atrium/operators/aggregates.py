@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atrium.functions.eigen import merge_moments, moment_sums, planes_from_moments
 from atrium.functions.labels import LAYOUT_LABELS
 from atrium.functions.vectors import vec
+from atrium.session import cut_lineage
 
 
 def frame_histogram(samples: DataFrame, keys: Sequence[str], label: str, valid: Column, n_labels: int = len(LAYOUT_LABELS)) -> DataFrame:
@@ -62,24 +64,69 @@ def vote_coverage(vertices: DataFrame, votes: DataFrame, keys: Sequence[str] = (
         F.sum(F.coalesce("votes", F.lit(0))).alias("votes"))
 
 
-def distance_summary(df: DataFrame, keys: Sequence[str], dist: str = "dist", exact: bool = True) -> DataFrame:
-    """Minimum, median, 95th percentile and maximum; ``exact=False`` uses the sketch for large groups."""
-    q = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, 100000))
-    return df.groupBy(*keys).agg(F.min(dist).alias("min"), q(dist, 0.5).alias("median"),
-                                 q(dist, 0.95).alias("p95"), F.max(dist).alias("max"))
+SELECT_LIMIT = 1_000_000
+SELECT_BUCKETS = 1024
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float], limit: int = SELECT_LIMIT) -> DataFrame:
+    """Exact interpolated percentiles per group, whatever the group's size.
+
+    Groups up to ``limit`` rows use the built-in aggregate, which holds a group's values in one
+    task.  Larger ones are selected by counting: the range that holds a rank is cut into buckets
+    again and again until few rows are left in it.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    large = cut_lineage(sizes.filter(F.col("n") > limit))
+    plain = lambda d: d.groupBy(*keys).agg(*(F.percentile("v", p).alias(n) for n, p in wanted.items()))
+    if large.isEmpty():
+        return plain(rows)
+    asks = F.array(*(F.struct(F.lit(n).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for n, p in wanted.items()))
+    state = large.select(*keys, "lo", "hi", F.explode(asks).alias("a")).select(
+        *keys, "lo", "hi", "a.name", "a.at", F.explode(F.array(F.floor("a.at"), F.ceil("a.at"))).alias("rank")).distinct()
+    state = cut_lineage(state.withColumns({"skip": F.lit(0).cast("bigint"), "left": F.lit(limit + 1).cast("bigint")}))
+    spot = [*keys, "name", "rank"]
+    big = rows.join(large.select(*keys), list(keys), "left_semi")
+    while True:
+        open_ = state.filter((F.col("left") > limit) & (F.col("lo") < F.col("hi")))
+        if open_.isEmpty():
+            break
+        width = (F.col("hi") - F.col("lo")) / SELECT_BUCKETS
+        bucket = F.least(F.lit(SELECT_BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / width))
+        met = big.join(open_.select(*spot, "lo", "hi"), list(keys)).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        counts = met.groupBy(*spot, bucket.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("b_lo"), F.max("v").alias("b_hi"))
+        w = W.partitionBy(*spot).orderBy("b")  # one row per bucket
+        counts = counts.withColumn("before", F.sum("c").over(w) - F.col("c"))
+        hit = counts.join(open_.select(*spot, "skip", "at"), spot).filter(
+            (F.col("rank") - F.col("skip") >= F.col("before")) & (F.col("rank") - F.col("skip") < F.col("before") + F.col("c")))
+        moved = hit.select(*keys, F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), "name", "at", "rank", (F.col("skip") + F.col("before")).alias("skip"), F.col("c").alias("left"))
+        state = cut_lineage(state.join(open_.select(*spot), spot, "left_anti").unionByName(moved))
+    flat = state.filter("lo = hi").select(*spot, "at", F.col("lo").alias("v"))
+    rest = big.join(state.filter("lo < hi"), list(keys)).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    order = W.partitionBy(*spot).orderBy("v")  # at most ``limit`` rows
+    found = rest.withColumn("i", F.row_number().over(order) - 1 + F.col("skip")).filter("i = rank").select(*spot, "at", "v").unionByName(flat)
+    share = F.col("at") - F.floor("at")
+    value_of = lambda n: F.sum(F.when(F.col("name") == n, F.when(F.ceil("at") == F.floor("at"), F.col("v")).when(
+        F.col("rank") == F.floor("at"), F.col("v") * (1 - share)).otherwise(F.col("v") * share)))
+    selected = found.groupBy(*keys).agg(*(value_of(n).alias(n) for n in wanted))
+    return plain(rows.join(large.select(*keys), list(keys), "left_anti")).unionByName(selected)
 
 
-def percentile_by_count(df: DataFrame, keys: Sequence[str], value: str, q: Mapping[str, float]) -> DataFrame:
-    """Exact interpolated percentiles of few distinct values: counts first, so copies cost nothing."""
-    weighted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    return weighted.groupBy(*keys).agg(*(F.percentile(value, p, F.col("_n")).alias(n) for n, p in q.items()))
+def distance_summary(df: DataFrame, keys: Sequence[str], dist: str = "dist", exact: bool = True) -> DataFrame:
+    """Minimum, median, 95th percentile and maximum; ``exact=False`` uses the sketch instead."""
+    df = cut_lineage(df.select(*keys, dist)) if exact else df  # read three times below
+    ends = df.groupBy(*keys).agg(F.min(dist).alias("min"), F.max(dist).alias("max"),
+                                 *([] if exact else [F.percentile_approx(dist, p, 100000).alias(n) for n, p in (("median", 0.5), ("p95", 0.95))]))
+    return ends.join(percentiles(df, keys, dist, {"median": 0.5, "p95": 0.95}), list(keys)) if exact else ends
 
 
 def depth_stats(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Range, mean, median and share of positive depths per frame."""
     d = F.col("depth")
-    return samples.groupBy(*keys).agg(
+    plain = samples.groupBy(*keys).agg(
         F.min(d).alias("depth_min"), F.max(d).alias("depth_max"), F.avg(d).alias("depth_mean"),
-        F.percentile(d, 0.5).alias("depth_median"), F.avg((d > 0).cast("double")).alias("positive_fraction"))
+        F.avg((d > 0).cast("double")).alias("positive_fraction"))
+    return plain.join(percentiles(samples, keys, "depth", {"depth_median": 0.5}), list(keys))
 
 
 def mean_of_means(frames: DataFrame, keys: Sequence[str]) -> DataFrame:

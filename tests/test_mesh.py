@@ -197,3 +197,12 @@ def test_zero_vote_segment(spark):
     probs = spark.createDataFrame([(0, 3, 4, 0.6), (0, 3, 5, 0.4), (0, 1, 7, 1.0)], "scene_id int, vertex_id int, label int, p double")
     got = {r.vertex_id: (r.label, round(r.share, 6), r.fallback) for r in aggregates.segment_labels(votes, probs, seg).collect()}
     assert got == {1: (1, 0.5, False), 2: (1, 0.5, False), 3: (4, 0.6, True)}
+
+
+def test_percentiles_by_selection(spark):
+    rng = np.random.default_rng(9)
+    values = {0: np.concatenate([rng.normal(0, 1, 700), np.full(400, 0.25), [1e9]]), 1: rng.uniform(0, 1, 30), 2: np.full(500, 3.0)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "scene_id int, v double")
+    got = {r.scene_id: r for r in aggregates.percentiles(rows, SC, "v", {"median": 0.5, "p95": 0.95}, limit=40).collect()}
+    for k, vs in values.items():
+        assert (got[k].median, got[k].p95) == pytest.approx((np.quantile(vs, 0.5), np.quantile(vs, 0.95)))
