@@ -24,7 +24,9 @@ class Vec(NamedTuple):
     def scale(self, k) -> "Vec":
         return Vec(self.x * k, self.y * k, self.z * k)
 
-    def over(self, k) -> "Vec":
+    def over(self, k: Column) -> "Vec":
+        """Divide by a number; null where it is zero, which ANSI mode would reject."""
+        k = F.nullif(k, F.lit(0.0))
         return Vec(self.x / k, self.y / k, self.z / k)
 
     def dot(self, o: "Vec") -> Column:
@@ -189,16 +191,17 @@ def with_triangle_closest(df: DataFrame, p: Vec, a: Vec, b: Vec, c: Vec, out: st
     df = df.withColumns({"_va": d3 * d6 - d5 * d4, "_vb": d5 * d2 - d1 * d6, "_vc": d1 * d4 - d3 * d2})
     va, vb, vc = F.col("_va"), F.col("_vb"), F.col("_vc")
     zero, one = F.lit(0.0), F.lit(1.0)
-    share = (d4 - d3) / ((d4 - d3) + (d5 - d6))
+    zeroless = lambda c: F.nullif(c, F.lit(0.0))
+    share = (d4 - d3) / zeroless((d4 - d3) + (d5 - d6))
     regions = [  # condition, weight of ab, weight of ac
         ((d1 <= 0) & (d2 <= 0), zero, zero),
         ((d3 >= 0) & (d4 <= d3), one, zero),
         ((d6 >= 0) & (d5 <= d6), zero, one),
-        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), d1 / (d1 - d3), zero),
-        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), zero, d2 / (d2 - d6)),
+        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), d1 / zeroless(d1 - d3), zero),
+        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), zero, d2 / zeroless(d2 - d6)),
         ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), one - share, share),
     ]
-    v, w = vb / (va + vb + vc), vc / (va + vb + vc)
+    v, w = vb / zeroless(va + vb + vc), vc / zeroless(va + vb + vc)
     for cond, cv, cw in reversed(regions):
         v, w = F.when(cond, cv).otherwise(v), F.when(cond, cw).otherwise(w)
     df = df.withColumns({f"{out}v": v, f"{out}w": w}).drop(*dots, "_va", "_vb", "_vc")

@@ -33,7 +33,7 @@ def ransac_hypotheses(points: DataFrame, group: Sequence[str], point_id: str, it
     n = (p1 - p0).cross(p2 - p0)
     length = n.norm()
     at = at.withColumns({"_l": length, "_nx": n.x, "_ny": n.y, "_nz": n.z}).filter("_l > 1e-12")
-    unit = Vec(*(F.col(f"_n{c}") / F.col("_l") for c in "xyz"))
+    unit = Vec(*(F.col(f"_n{c}") / F.nullif("_l", F.lit(0.0)) for c in "xyz"))
     return at.select(*group, "iter", unit.x.alias("a"), unit.y.alias("b"), unit.z.alias("c"), (-unit.dot(p0)).alias("d"))
 
 

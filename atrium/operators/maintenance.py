@@ -334,7 +334,7 @@ def vertex_merge_plan(vertices: DataFrame, vertex_planes: DataFrame, planes: Dat
 
     def shift(end: str) -> Column:
         v = vec(suffix=end)
-        foot = line + along.scale((v - line).dot(along) / along.norm2())
+        foot = line + along.scale((v - line).dot(along) / F.nullif(along.norm2(), F.lit(0.0)))
         return F.when(n == 1, 0.0).when((n == 2) & F.col("_ok2"), (v - foot).norm()).when((n == 3) & F.col("_ok3"), (v - vec("k")).norm())
 
     pairs = pairs.withColumn("shift", F.greatest(shift("i"), shift("j")))
@@ -483,7 +483,7 @@ def extend_walls(lower: DataFrame, vertices: DataFrame, planes: DataFrame, targe
     point, direction, ok = V.plane_plane_line(plane(suffix="1"), plane(suffix="2"))
     q = q.withColumns({**V.named("l", point), **V.named("u", direction), "_ok": ok}).filter("_ok")
     line, along = vec("l"), vec("u")
-    foot = lambda p: line + along.scale((p - line).dot(along) / along.norm2())
+    foot = lambda p: line + along.scale((p - line).dot(along) / F.nullif(along.norm2(), F.lit(0.0)))
     q = q.withColumns({**V.named("f0", foot(p0)), **V.named("f1", foot(p1))})
     f0, f1 = vec("f0"), vec("f1")
     area = ((p1 - p0).cross(f0 - p0).norm() + (p1 - f1).cross(f0 - f1).norm()) / 2

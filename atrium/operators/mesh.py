@@ -221,7 +221,7 @@ def constrain_vertices(vertices: DataFrame, vertex_planes: DataFrame, planes: Da
     point, direction, ok2 = plane_plane_line(p, q)
     joined = joined.withColumns({**named("l", point), **named("u", direction), "ok2": ok2})
     line, along = vec("l"), vec("u")
-    on_line = line + along.scale((v - line).dot(along) / along.norm2())
+    on_line = line + along.scale((v - line).dot(along) / F.nullif(along.norm2(), F.lit(0.0)))
     corner, ok3 = three_plane_point(p, q, r)
     joined = joined.withColumns({**named("m", on_line.when(F.col("ok2"), vec("f"))), **named("k", corner), "ok3": ok3})
     fixed = vec("k").when(F.col("ok3"), vec("m"))

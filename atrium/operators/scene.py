@@ -20,7 +20,7 @@ def ceiling_candidate_table(triangles: DataFrame, vertices: DataFrame, planes: D
     area = mesh.with_area_normal(mesh.corners(triangles, vertices, keys)).groupBy(*poly).agg(F.sum("area").alias("area_square_meters"))
     height = rooms.polygon_elevation(triangles, vertices, keys)
     length = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
-    unit = planes.withColumn("_l", length).filter("_l > 1e-12").select(*poly, *((F.col(k) / F.col("_l")).alias(k) for k in "abcd"))
+    unit = planes.withColumn("_l", length).filter("_l > 1e-12").select(*poly, *((F.col(k) / F.nullif("_l", F.lit(0.0))).alias(k) for k in "abcd"))
     out = unit.join(height, poly).join(area, poly).filter(F.col("area_square_meters") > MIN_AREA)
     return out.select(*poly, "a", "b", "c", "d", F.col("elevation").alias("mean_elevation_meters"), "area_square_meters")
 

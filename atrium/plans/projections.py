@@ -333,7 +333,7 @@ def _(t):
 def unit_planes(df: DataFrame) -> DataFrame:
     """Normalise plane columns a..d and drop planes without a direction."""
     return df.withColumn("_l", V.plane().n.norm()).filter("_l > 1e-12").withColumns(
-        {k: F.col(k) / F.col("_l") for k in "abcd"}).drop("_l")
+        {k: F.col(k) / F.nullif("_l", F.lit(0.0)) for k in "abcd"}).drop("_l")
 
 
 @query("rigid_transform", f"SELECT vertex_id, {rxyz('', '(y/2 - 20)', '-(x/2 - 10)', '(z/2 - 3)')} FROM fx_mesh_vertices")
