@@ -18,14 +18,18 @@ from __future__ import annotations
 import math
 import re
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from atrium.session import cut_lineage
+
 SAMPLE = 30_000
 TERMS = 20_000
 PREFIXES = (4, 5, 6)
@@ -157,6 +161,12 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": terms, "toxic": [toxic[t] for t in terms], "clean": [clean[t] for t in terms]})
 
 
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        found = [WORDS.findall(t or "") for t in rows["text"]]
+        yield rows.assign(sketch=[min((zlib.crc32(" ".join(w[i:i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0) for w in found])
+
+
 def _lexicon(counts: DataFrame, toxic: int, clean: int, least: int, weight: float, limit: int) -> dict[str, float]:
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     kept = counts.withColumn("odds", odds).filter((F.col("toxic") >= least) & (F.col("odds") >= weight))
@@ -168,18 +178,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     """Lexicon and prior from labelled rows that are not held out."""
     usable = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id")))
     chosen = usable.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most `sample` rows
-    sizes = {bool(r["toxic"]): r["count"] for r in chosen.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    # copies of one text would make its rare words look like evidence: one row for each least shingle
+    first = W.partitionBy("sketch").orderBy("doc_id", "text", "toxic")
+    rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text") \
+        .mapInPandas(_sketches, "doc_id long, toxic int, text string, sketch long")
+    rows = cut_lineage(rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("text", "toxic"))
+    sizes = {bool(r["toxic"]): r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
         return Model({}, {}, -2.0)
     counts = rows.mapInPandas(_terms, "term string, toxic long, clean long").groupBy("term") \
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("length(term) > 1")
-    words = _lexicon(counts, toxic, clean, 6, 3.0, terms)
+    words = _lexicon(counts, toxic, clean, max(6, toxic // 200), 4.0, terms)
     starts = counts.select(F.explode(F.filter(F.transform(F.array(*map(F.lit, PREFIXES)), lambda n: F.when(
         F.length("term") > n, F.substring(F.col("term"), F.lit(1), n))), lambda p: p.isNotNull())).alias("term"), "toxic", "clean") \
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    prefixes = _lexicon(starts, toxic, clean, 20, 4.0, terms)
+    prefixes = _lexicon(starts, toxic, clean, max(12, toxic // 100), 5.0, terms)
     return Model(words, prefixes, math.log((toxic + 1) / (clean + 1)))
 
 
