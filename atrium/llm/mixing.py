@@ -134,6 +134,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n") / SPLIT))
     rows = sized.join(counts, ["key", "size"]).withColumn(
         "part", F.floor((F.col("draw") / F.lit(2.0**64) + 0.5) * ranges).cast("long"))
+    rows = rows.repartition("key", "size", "part")  # the join may split a crowded length, the ranks go by range
     parts = rows.groupBy("key", "size", "part").agg(F.count("*").alias("rows"))
     running = W.partitionBy("key", "size").orderBy("part")
     parts = parts.withColumn("earlier", F.sum("rows").over(running) - F.col("rows")).drop("rows")
