@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import mixing, sharding, toxicity
+from atrium.llm import jaccard, mixing, sharding, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,11 +22,15 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, folder, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_components(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_digest(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op5_mixing, op8_sharding, op10_toxicity)
+    q.__name__: q for q in (op5_mixing, op8_sharding, op9_jaccard, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
