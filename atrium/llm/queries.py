@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import jaccard, mixing, sharding, toxicity
+from atrium.llm import decontamination, jaccard, mixing, sharding, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +35,6 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op5_mixing, op8_sharding, op9_jaccard, op10_toxicity)
+    q.__name__: q for q in (op4_decontamination, op5_mixing, op8_sharding, op9_jaccard, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
