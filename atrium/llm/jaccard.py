@@ -319,7 +319,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """Rows of ``docs`` without those whose component has a lesser doc_id."""
+    """Rows of ``docs`` without those whose component has a lesser doc_id; rows without an id stay."""
     found = link_components(docs, width, percent)
     gone = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import mixing, sharding, toxicity
+from atrium.llm import decontamination, jaccard, mixing, sharding, toxicity
 from atrium.session import scratch_path
 
 
@@ -17,6 +17,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents the one with the least doc_id stays."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents stand as often as the source targets take them."""
     return mixing.mixed_documents(docs)
@@ -27,7 +37,10 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shuffle_to_shards(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("mixing", mix_to_weights), ("sharding", shard)]
+STAGES = [
+    ("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix_to_weights),
+    ("sharding", shard),
+]
 
 #: The toxicity model is trained and the mix is drawn, which SQL cannot express.
 ORACLE_SQL = None
