@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import decontamination, jaccard, mixing, sharding, toxicity
+from atrium.llm import decontamination, jaccard, mixing, rules, sharding, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = rules.judge_quality(_table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, folder, "documents"))
 
@@ -35,6 +40,6 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op4_decontamination, op5_mixing, op8_sharding, op9_jaccard, op10_toxicity)
+    q.__name__: q for q in (op4_decontamination, op5_mixing, op7_quality_rules, op8_sharding, op9_jaccard, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
