@@ -40,12 +40,18 @@ from atrium.session import cut_lineage, scratch_path
 
 HOT = 64  # sets that hold a shingle, above which it is hot
 GROUP = 4096  # sets that are joined or traversed together
+BROADCAST_ROWS = 200_000  # of three numbers at most
 PAIRS = 1 << 20  # node pairs expanded at once
 
 
 def _slack(n):
     """Additional shingles in the prefix of a set of n; grows with n."""
-    return 8 + n // 32
+    return 8 + n // 16
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a (cut) table of proven size; larger ones are shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _need(n, percent):
@@ -105,7 +111,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), long_lists(shingles(w, word_hashes(w), width))], names=["node", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64("text").alias("rep_key"), "text").alias("d")
-    chosen = wanted.select("node", "rep_id", "rep_key").alias("w")
+    chosen = wanted.alias("w")
     same = (F.col("d.rep_key") == F.col("w.rep_key")) & F.col("d.rep_id").eqNullSafe(F.col("w.rep_id"))
     return rows.join(chosen, same).select("w.node", "d.text").mapInArrow(make, "node long, tokens array<long>")
 
@@ -271,15 +277,25 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     reps = cut_lineage(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), least.alias("rep"))
                        .select("node", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")))
-    # shingles that two classes or more have in their prefixes
-    one = rows.filter("n > 0").alias("r").join(reps.alias("p"), (F.col("r.node") == F.col("p.node")) & (F.col("r.text_key") == F.col("p.rep_key"))
-                                               & F.col("r.doc_id").eqNullSafe(F.col("p.rep_id")))
-    entries = one.select(F.explode("r.prefix").alias("token"), "r.node", "r.n")
+    # copies of a class's first text go
+    same = (F.col("r.node") == F.col("p.node")) & (F.col("r.text_key") == F.col("p.rep_key")) & F.col("r.doc_id").eqNullSafe(F.col("p.rep_id"))
+    ids = rows.filter("n > 0").select("node", "doc_id", "text_key")
+    copies = cut_lineage(ids.alias("r").join(reps.alias("p"), same, "left_anti").distinct())
+    again = (F.col("r.text_key") == F.col("c.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("c.doc_id"))
+    one = rows.filter("n > 0").alias("r").join(small(copies).alias("c"), again, "left_anti")
+    # shingles that two classes or more have in their prefixes; classes with too few of them cannot link
+    entries = one.select(F.explode("prefix").alias("token"), "node", "n")
     shared = entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
-    kept = cut_lineage(entries.join(shared, "token").withColumn("hot", F.col("held") > HOT).drop("held"))
+    kept = cut_lineage(entries.join(shared, "token"))
+    need = F.floor((F.col("n") * percent + 99) / 100).cast("long")  # also the least size of a set it may link with
+    slack = 8 + F.shiftright(need, 4)
+    for _ in range(2):
+        able = kept.groupBy("node", "n").agg(F.count("*").alias("own")).filter(F.col("own") >= F.least(slack + 1, need)).select("node")
+        kept = kept.drop("held").join(able, "node", "left_semi")
+        kept = cut_lineage(kept.join(kept.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"), "token"))
+    kept = kept.withColumn("hot", F.col("held") > HOT)
     hot = kept.filter("hot")
-    least_slack = 8 + F.shiftright(F.floor((F.col("n") * percent + 99) / 100).cast("long"), 5)  # of any set it may link with
-    full = hot.groupBy("node", "n").agg(F.count("*").alias("hots")).filter(F.col("hots") > least_slack).select("node")
+    full = hot.groupBy("node", "n").agg(F.count("*").alias("hots")).filter(F.col("hots") > slack).select("node")
     kept = cut_lineage(kept.filter("NOT hot").unionByName(hot.join(full, "node", "left_semi")).select("token", "node", "n"))
     # classes that share their least token are joined in place
     key = kept.groupBy("node").agg(F.min("token").alias("key"))
@@ -288,7 +304,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     homes = key.join(sizes, "key").withColumn("chunk", F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), chunks - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))).select("node", "key", F.explode("chunk").alias("chunk"))
     homes = cut_lineage(homes.join(reps, "node"))
-    sets = full_sets(docs, homes.select("node", "rep_id", "rep_key").distinct(), width)
+    sets = full_sets(docs, small(cut_lineage(homes.select("node", "rep_id", "rep_key").distinct())), width)
     placed = sets.join(homes.select("node", "key", "chunk"), "node")
     comps = placed.groupBy("key", "chunk").applyInArrow(_join_groups(percent), "node long, comp long")
     comps = cut_lineage(comps.groupBy("node").agg(F.min("comp").alias("comp")).filter("node <> comp"))
@@ -296,15 +312,15 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     known = kept.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = known.groupBy("token").agg(F.count("*").alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
     blocks = F.ceil(F.col("held") / GROUP).cast("int")
-    bitmaps = one.select("r.node", "r.bitmap")
+    bitmaps = one.select("node", "bitmap")
     spread = known.join(mixed.select("token", "held"), "token").join(bitmaps, "node").withColumn("blocks", blocks) \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("token", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "n", "comp", "bitmap")
     found = spread.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(_search_groups(percent), "u long, v long")
     pairs = cut_lineage(found.distinct())
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(reps, "node")
-    sets = full_sets(docs, ends, width)
+    ends = cut_lineage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(reps, "node"))
+    sets = full_sets(docs, small(ends), width)
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("left")), "u") \
         .join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("right")), "v")
     common = F.size(F.array_intersect("left", "right"))
