@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import decontamination, jaccard, mixing, rules, sharding, toxicity
+from atrium.llm import decontamination, jaccard, mixing, rules, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_digest(_table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -40,6 +44,6 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op4_decontamination, op5_mixing, op7_quality_rules, op8_sharding, op9_jaccard, op10_toxicity)
+    q.__name__: q for q in (op2_substring_dedup, op4_decontamination, op5_mixing, op7_quality_rules, op8_sharding, op9_jaccard, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
