@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import decontamination, jaccard, mixing, rules, sharding, substrings, toxicity
+from atrium.llm import classifier, decontamination, jaccard, mixing, rules, sharding, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup_digest(_table(spark, folder, "documents"))
 
 
+def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.revisit_digest(_table(spark, folder, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -26,6 +30,10 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.classify_quality(_table(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.judge_quality(_table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -43,7 +51,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_digest(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op2_substring_dedup, op4_decontamination, op5_mixing, op7_quality_rules, op8_sharding, op9_jaccard, op10_toxicity)
-}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
+    op2_substring_dedup, op3_warc_revisits, op4_decontamination, op5_mixing, op6_quality_classifier, op7_quality_rules, op8_sharding,
+    op9_jaccard, op10_toxicity,
+)}
+ORACLES: dict[str, str] = {"op3_warc_revisits": warc.ORACLE}

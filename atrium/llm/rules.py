@@ -80,7 +80,7 @@ def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def features(batches: Iterator[pa.RecordBatch], keep_text: bool = False) -> Iterator[pa.RecordBatch]:
     stops = word_hashes(words(pa.array(STOP_WORDS)))
     for batch in slices(batches):
         w = words(batch.column("text"))
@@ -99,20 +99,24 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = (n_words, _per_text(chars[w.end] - chars[w.start], w.first), symbols[w.at[1:]] - symbols[w.at[:-1]], again,
                   _repeated(hashes, w.first, 3), lines, _per_text(shout, w.first), full, _per_text(np.isin(hashes, stops), w.first),
                   _per_text(distinct, w.first))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v.astype(np.int64)) for v in values)], names=["doc_id", *COUNTS])
+        held = [batch.column("text")] if keep_text else []
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v.astype(np.int64)) for v in values), *held],
+                                         names=["doc_id", *COUNTS, *(["text"] if keep_text else [])])
 
 
-def count_features(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(features, FEATURES)
+def count_features(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """doc_id and the counts of each text, on request with the text itself."""
+    made = FEATURES + (", text string" if keep_text else "")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: features(batches, keep_text), made)
 
 
 def votes() -> list[F.Column]:
     """The rules: 1 good, 0 bad, -1 abstain.  Bounds are shares of words, characters or lines."""
     words_, lines = F.col("n_words"), F.col("n_lines")
 
-    def rule(value, good, bad, low: bool = False):
+    def rule(value, good, bad, low: bool = False, least: int = 1):
         passes, fails = (value >= good, value <= bad) if low else (value <= good, value >= bad)
-        return F.when(words_ == 0, -1).when(passes, 1).when(fails, 0).otherwise(-1).cast("int")
+        return F.when(words_ < least, -1).when(passes, 1).when(fails, 0).otherwise(-1).cast("int")
 
     mean_length = F.col("word_chars") / words_
     return [
@@ -121,7 +125,7 @@ def votes() -> list[F.Column]:
         rule(F.col("n_dup_lines") / lines, 0.2, 0.4),
         rule(F.col("n_upper_words") / words_, 0.1, 0.3),
         F.when(words_ == 0, -1).when(mean_length.between(3.0, 9.0), 1).when((mean_length < 2) | (mean_length > 12), 0).otherwise(-1).cast("int"),
-        rule(F.col("n_stop_words") / words_, 0.06, 0.02, low=True),
+        rule(F.col("n_stop_words") / words_, 0.06, 0.02, low=True, least=20),
         F.when(words_ < 30, -1).when(F.col("n_distinct_words") < 0.1 * words_, 0).when(F.col("n_distinct_words") > 0.25 * words_, 1).otherwise(-1).cast("int"),
         F.when(words_ == 0, -1).when(F.col("n_ending_lines") >= 0.7 * lines, 1).when(F.col("n_ending_lines") < 0.2 * lines, 0).otherwise(-1).cast("int"),
     ]
