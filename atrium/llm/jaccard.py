@@ -13,9 +13,9 @@ Candidates come in two layers, both without loss:
   whose largest possible overlap (by sizes and common bits) cannot reach the threshold, and those
   already known to be connected.
 
-Sets that share their least common shingle are first joined exactly in one place, so a large group
-of near copies costs as many checks as it has members; only pairs of different components are
-searched afterwards.  Surviving pairs are verified on the full sets.
+Sets that share one of their least ``HOMES`` common shingles are first joined exactly in one place,
+so a large group of near copies costs about as many checks as it has members; only pairs of
+different components are searched afterwards.  Surviving pairs are verified on the full sets.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with
 nothing; a text shorter than the shingle has its whole sequence as one; copies share a class and a
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atrium.llm.words import long_lists, mix, shingles, slices, word_hashes, words
@@ -41,6 +42,7 @@ from atrium.session import cut_lineage, scratch_path
 HOT = 64  # sets that hold a shingle, above which it is hot
 GROUP = 4096  # sets that are joined or traversed together
 BROADCAST_ROWS = 200_000  # of three numbers at most
+HOMES = 3  # groups in which a set is joined in place
 PAIRS = 1 << 20  # node pairs expanded at once
 
 
@@ -63,8 +65,8 @@ def _prefix(n, percent):
 
 
 def _bits(n: int) -> int:
-    """Signature length for a set of n shingles: a power of two, one bit a shingle or more."""
-    return max(64, 1 << max(0, int(n) - 1).bit_length())
+    """Signature length for a set of n shingles: a power of two, two bits a shingle or more."""
+    return max(64, 2 << max(0, int(n) - 1).bit_length())
 
 
 def signature(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -284,35 +286,39 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     again = (F.col("r.text_key") == F.col("c.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("c.doc_id"))
     one = rows.filter("n > 0").alias("r").join(small(copies).alias("c"), again, "left_anti")
     # shingles that two classes or more have in their prefixes; classes with too few of them cannot link
-    entries = one.select(F.explode("prefix").alias("token"), "node", "n")
+    entries = one.select(F.explode("prefix").alias("token"), "node")
     shared = entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
     kept = cut_lineage(entries.join(shared, "token"))
     need = F.floor((F.col("n") * percent + 99) / 100).cast("long")  # also the least size of a set it may link with
     slack = 8 + F.shiftright(need, 4)
+    sizes = reps.select("node", "n")
     for _ in range(2):
-        able = kept.groupBy("node", "n").agg(F.count("*").alias("own")).filter(F.col("own") >= F.least(slack + 1, need)).select("node")
+        own = kept.groupBy("node").agg(F.count("*").alias("own")).join(sizes, "node")
+        able = own.filter(F.col("own") >= F.least(slack + 1, need)).select("node")
         kept = kept.drop("held").join(able, "node", "left_semi")
         kept = cut_lineage(kept.join(kept.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"), "token"))
     kept = kept.withColumn("hot", F.col("held") > HOT)
     hot = kept.filter("hot")
-    full = hot.groupBy("node", "n").agg(F.count("*").alias("hots")).filter(F.col("hots") > slack).select("node")
-    kept = cut_lineage(kept.filter("NOT hot").unionByName(hot.join(full, "node", "left_semi")).select("token", "node", "n"))
-    # classes that share their least token are joined in place
-    key = kept.groupBy("node").agg(F.min("token").alias("key"))
-    sizes = key.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("lead")).filter("held > 1")
+    full = hot.groupBy("node").agg(F.count("*").alias("hots")).join(sizes, "node").filter(F.col("hots") > slack).select("node")
+    kept = cut_lineage(kept.filter("NOT hot").unionByName(hot.join(full, "node", "left_semi")).select("token", "node"))
+    # classes that share one of their least tokens are joined in place
+    least_tokens = F.row_number().over(W.partitionBy("node").orderBy("token"))
+    key = kept.withColumn("nth", least_tokens).filter(F.col("nth") <= HOMES).select("node", F.col("token").alias("key"))
+    groups = key.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("lead")).filter("held > 1")
     chunks = F.ceil(F.col("held") / GROUP).cast("int")
-    homes = key.join(sizes, "key").withColumn("chunk", F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), chunks - 1)).otherwise(
+    homes = key.join(groups, "key").withColumn("chunk", F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), chunks - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))).select("node", "key", F.explode("chunk").alias("chunk"))
-    homes = cut_lineage(homes.join(reps, "node"))
-    sets = full_sets(docs, small(cut_lineage(homes.select("node", "rep_id", "rep_key").distinct())), width)
-    placed = sets.join(homes.select("node", "key", "chunk"), "node")
-    comps = placed.groupBy("key", "chunk").applyInArrow(_join_groups(percent), "node long, comp long")
-    comps = cut_lineage(comps.groupBy("node").agg(F.min("comp").alias("comp")).filter("node <> comp"))
+    homes = cut_lineage(homes)
+    sets = full_sets(docs, small(cut_lineage(homes.select("node").distinct().join(reps, "node"))), width)
+    joined = sets.join(homes, "node").groupBy("key", "chunk").applyInArrow(_join_groups(percent), "node long, comp long")
+    ties = cut_lineage(joined.filter("node <> comp").distinct())
+    met = ties.select("node").union(ties.select("comp")).distinct()
+    comps = cut_lineage(connected_components(ties, met, [], "node", "node", "comp", "root").select("node", F.col("root").alias("comp")))
     # what different components share a shingle is searched with signature trees
     known = kept.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = known.groupBy("token").agg(F.count("*").alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
     blocks = F.ceil(F.col("held") / GROUP).cast("int")
-    bitmaps = one.select("node", "bitmap")
+    bitmaps = one.select("node", "n", "bitmap")
     spread = known.join(mixed.select("token", "held"), "token").join(bitmaps, "node").withColumn("blocks", blocks) \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -325,7 +331,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         .join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("right")), "v")
     common = F.size(F.array_intersect("left", "right"))
     links = both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("left") + F.size("right") - F.col("common")))
-    edges = links.select("u", "v").union(comps.select("node", "comp"))
+    edges = links.select("u", "v").union(ties.select("node", "comp"))
     linked = connected_components(edges, reps.select("node"), [], "node", "u", "v", "root")
     named = cut_lineage(linked.join(reps, "node").select("node", "root", "rep_id"))
     names = named.groupBy("root").agg(F.min("rep_id").alias("component_id"))
