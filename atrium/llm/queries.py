@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import classifier, decontamination, jaccard, mixing, rules, sharding, substrings, toxicity, warc
+from atrium.llm import classifier, decontamination, jaccard, lines, mixing, rules, sharding, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.lines_digest(_table(spark, folder, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup_digest(_table(spark, folder, "documents"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
-    op2_substring_dedup, op3_warc_revisits, op4_decontamination, op5_mixing, op6_quality_classifier, op7_quality_rules, op8_sharding,
+    op1_line_dedup, op2_substring_dedup, op3_warc_revisits, op4_decontamination, op5_mixing, op6_quality_classifier, op7_quality_rules, op8_sharding,
     op9_jaccard, op10_toxicity,
 )}
 ORACLES: dict[str, str] = {"op3_warc_revisits": warc.ORACLE}
