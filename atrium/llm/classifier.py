@@ -98,7 +98,7 @@ def classify_quality(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5,
     rules = labellers()
     accuracy = estimate(*pattern_counts(counted, rules))
     total = counted.count()
-    below = int(min(1.0, sample / max(total, 1)) * (2**64 - 1)) - 2**63
+    below = min(2**64 * sample // max(total, 1), 2**64 - 1) - 2**63
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.xxhash64(F.lit(seed), "doc_id", "text") <= below)
     labelled = count_features(chosen, keep_text=True).withColumn("label", posterior(rules, accuracy))
     held = labelled.select("text", "label", *COUNTS).repartition(1).mapInArrow(_train, "weights binary").collect()

@@ -145,9 +145,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it is taken (whole rows of ``docs``, repeated)."""
-    counts = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"))
-    same = F.col("a.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("a.source").eqNullSafe(F.col("m.source")) \
-        & (word_count(F.col("a.text")) == F.col("m.size"))
-    taken = docs.alias("a").join(counts.alias("m"), same).filter("m.copies > 0")
-    return taken.select("a.*", F.explode(F.sequence(F.lit(1), F.col("m.copies").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    """The mix itself: every document as often as it is taken (whole rows of ``docs``, repeated).
+
+    Rows with the same id, source and size share their copies, the first ones getting one more.
+    """
+    key = F.xxhash64("doc_id", "source", "_size")
+    counts = mix_sources(docs, **options).withColumnRenamed("size", "_size").withColumn("_row", key)
+    counts = counts.groupBy("_row").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)), "doc_id", "source", word_count(F.col("text")).alias("_size"))
+    rows = rows.withColumn("_row", key).withColumn("_nth", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
+    times = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
+    taken = rows.join(counts.filter("_sum > 0"), "_row").withColumn("_times", times.cast("int")).filter("_times > 0")
+    return taken.select(*own, F.explode(F.sequence(F.lit(1), "_times"))).select(own).toDF(*docs.columns)

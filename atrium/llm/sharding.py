@@ -10,7 +10,8 @@ into hash ranges of bounded size, so no task holds a whole shard.
 
 Defined results: null texts have no bytes (size 1, crc32 of nothing), null ids are rows like any
 other, equal rows are independent rows and may go to different shards; an empty table gives an
-empty result; other columns are carried along unread.
+empty result; other columns are carried along unread, but for columns ``shard`` and ``slot``, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 5) -> DataFr
     The input is checkpointed first: both passes over it, and any task that runs again, must see the same partitions in
     the same order.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("shard", "slot")
     own = [f"c{i}" for i in range(len(docs.columns))]  # clashing names do no harm
     rows = cut_lineage(docs.toDF(*own)).withColumn("_part", F.spark_partition_id())
     counts = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # one number per partition
