@@ -43,7 +43,8 @@ HOT = 64  # sets that hold a shingle, above which it is hot
 GROUP = 4096  # sets that are joined or traversed together
 BROADCAST_ROWS = 200_000  # of three numbers at most
 HOMES = 3  # groups in which a set is joined in place
-PAIRS = 1 << 20  # node pairs expanded at once
+SHINGLES = 4 << 20  # shingles of the sets that are joined together
+PAIRS = 1 << 20  # bitmap words of the node pairs expanded at once
 
 
 def _slack(n):
@@ -148,13 +149,15 @@ def candidate_pairs(group: np.ndarray, n: np.ndarray, sig: np.ndarray, comp: np.
         most = np.minimum(np.minimum(level["hi"][a], level["hi"][b]), common + np.minimum(level["spare"][a], level["spare"][b]))
         return at[(100 + percent) * most >= percent * (level["lo"][a] + level["lo"][b])]
 
+    piece = max(256, PAIRS // sig.shape[1])
+
     def walk(depth: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if depth == 0:
             other = a != b
             yield a[other], b[other]
             return
-        for at in range(0, len(a), PAIRS):
-            x, y, level = a[at:at + PAIRS], b[at:at + PAIRS], levels[depth]
+        for at in range(0, len(a), piece):
+            x, y, level = a[at:at + piece], b[at:at + piece], levels[depth]
             left, right = [], []
             for i in (0, 1):
                 for j in (0, 1):
@@ -200,16 +203,28 @@ def join_in_place(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> np
             if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                 parent[max(a, b)] = min(a, b)
 
-    for i in range(1, len(sets)):
-        check(i - 1, i)
-        check(0, i)
-        check(len(sets) // 2, i)
+    # near copies mostly link with the set whose shingles are the most common; go on with what it leaves
+    flat = np.concatenate(sets)
+    _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+    first = np.r_[0, np.cumsum([len(s) for s in sets])]
+    common = np.add.reduceat(count[back], first[:-1]) / np.diff(first)
+    rest = list(np.argsort(-common, kind="stable"))
+    while len(rest) > 1:
+        center = rest[0]
+        for i in rest[1:]:
+            check(center, i)
+        left = [i for i in rest[1:] if root(i) != root(center)]
+        if len(left) == len(rest) - 1:
+            break
+        rest = left
     n = np.array([len(s) for s in sets], np.int64)
     comp = np.array([root(i) for i in range(len(sets))], np.int64)
     width = max(64, _bits(int(np.median(n))))
     sig = np.stack([signature(s, width) for s in sets])
     for a, b in candidate_pairs(np.zeros(len(sets), np.int64), n, sig, comp, percent):
-        for i, j in zip(a.tolist(), b.tolist()):
+        now = np.array([root(i) for i in range(len(sets))], np.int64)
+        apart = now[a] != now[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist()):
             check(i, j)
     label = np.empty(len(sets), np.int64)
     label[order] = [nodes[order[root(i)]] for i in range(len(sets))]
@@ -253,6 +268,7 @@ def _group_keys(rows: pa.Table) -> np.ndarray:
 def _search(rows: pa.Table, key: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     node, n, comp, block = (rows.column(c).to_numpy() for c in ("node", "n", "comp", "block"))
     apart = rows.column("one").to_numpy() != rows.column("two").to_numpy()
+    homes = [rows.column(f"home{i}").to_numpy() for i in range(HOMES)]
     maps = rows.column("bitmap").combine_chunks()
     size = np.array([_bits(x) for x in n.tolist()], np.int64)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -263,6 +279,9 @@ def _search(rows: pa.Table, key: np.ndarray, percent: int) -> Iterator[pa.Record
         for a, b in candidate_pairs(key[own], n[own], sig, comp[own], percent):
             a, b = own[a], own[b]
             keep = ((size[a] == bits) | (size[b] == bits)) & (~apart[a] | (block[a] != block[b])) & (node[a] != node[b])
+            for h in homes:
+                for g in homes:  # joined in one place already
+                    keep &= (h[a] != g[b]) | (h[a] == 0)
             left.append(np.minimum(node[a], node[b])[keep])
             right.append(np.maximum(node[a], node[b])[keep])
     pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
@@ -304,11 +323,13 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     # classes that share one of their least tokens are joined in place
     least_tokens = F.row_number().over(W.partitionBy("node").orderBy("token"))
     key = kept.withColumn("nth", least_tokens).filter(F.col("nth") <= HOMES).select("node", F.col("token").alias("key"))
-    groups = key.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("lead")).filter("held > 1")
-    chunks = F.ceil(F.col("held") / GROUP).cast("int")
+    groups = key.join(sizes, "node").groupBy("key").agg(
+        F.count("*").alias("held"), F.min("node").alias("lead"), F.sum("n").alias("shingles")).filter("held > 1")
+    chunks = F.ceil(F.greatest(F.col("held") / GROUP, F.col("shingles") / SHINGLES)).cast("int")
     homes = key.join(groups, "key").withColumn("chunk", F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), chunks - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))).select("node", "key", F.explode("chunk").alias("chunk"))
+        F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))).select("node", "key", (chunks == 1).alias("whole"), F.explode("chunk").alias("chunk"))
     homes = cut_lineage(homes)
+    done = homes.filter("whole").groupBy("node").agg(F.collect_list("key").alias("keys"))
     sets = full_sets(docs, small(cut_lineage(homes.select("node").distinct().join(reps, "node"))), width)
     joined = sets.join(homes, "node").groupBy("key", "chunk").applyInArrow(_join_groups(percent), "node long, comp long")
     ties = cut_lineage(joined.filter("node <> comp").distinct())
@@ -316,13 +337,15 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     comps = cut_lineage(connected_components(ties, met, [], "node", "node", "comp", "root").select("node", F.col("root").alias("comp")))
     # what different components share a shingle is searched with signature trees
     known = kept.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    bitmaps = one.select("node", "n", "bitmap").join(done, "node", "left").select(
+        "node", "n", "bitmap", *(F.coalesce(F.get("keys", F.lit(i)), F.lit(0)).alias(f"home{i}") for i in range(HOMES)))
     mixed = known.groupBy("token").agg(F.count("*").alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
     blocks = F.ceil(F.col("held") / GROUP).cast("int")
-    bitmaps = one.select("node", "n", "bitmap")
     spread = known.join(mixed.select("token", "held"), "token").join(bitmaps, "node").withColumn("blocks", blocks) \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("token", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "n", "comp", "bitmap")
+    spread = spread.select("token", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "n", "comp", "bitmap",
+                           *(f"home{i}" for i in range(HOMES)))
     found = spread.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(_search_groups(percent), "u long, v long")
     pairs = cut_lineage(found.distinct())
     ends = cut_lineage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(reps, "node"))
