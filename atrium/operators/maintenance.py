@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -343,12 +344,13 @@ def vertex_merge_plan(vertices: DataFrame, vertex_planes: DataFrame, planes: Dat
         *keys, "i", "j", "dist", "shift", "joint", F.when(keeps_j, F.col("j")).otherwise(F.col("i")).alias("kept"), F.when(keeps_j, F.col("i")).otherwise(F.col("j")).alias("gone"))
 
 
-def simplify_vertices(vertices: DataFrame, triangles: DataFrame, vertex_planes: DataFrame, planes: DataFrame, max_dist: float = 0.005, rounds: int = 4, keys: Sequence[str] = SCENE):
-    """Merge close vertices that agree on their planes, nearest pairs first, up to four passes.
+def simplify_vertices(vertices: DataFrame, triangles: DataFrame, vertex_planes: DataFrame, planes: DataFrame, max_dist: float = 0.005, rounds: int | None = None, keys: Sequence[str] = SCENE):
+    """Merge close vertices that agree on their planes, nearest pairs first, until none is left.
 
+    ``rounds`` stops earlier; what is left is then not merged.
     Triangles that collapse are dropped.  Returns vertices, triangles and vertex planes.
     """
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         plan = S.cut_lineage(vertex_merge_plan(vertices, vertex_planes, planes, max_dist, keys=keys))
         if plan.isEmpty():
             break
@@ -414,10 +416,13 @@ def attach_to_lines(vertices: DataFrame, vertex_planes: DataFrame, planes: DataF
     return best.join(ok, [*keys, "vertex_id"], "left_semi").select(*keys, "vertex_id", "i", "j", "dist", "joint")
 
 
-def drop_unsatisfiable(vertices: DataFrame, vertex_planes: DataFrame, planes: DataFrame, max_distance: float, rounds: int = 10, keys: Sequence[str] = SCENE) -> DataFrame:
-    """Drop the last plane of every vertex its planes displace by ``max_distance`` or more, repeatedly."""
+def drop_unsatisfiable(vertices: DataFrame, vertex_planes: DataFrame, planes: DataFrame, max_distance: float, keys: Sequence[str] = SCENE) -> DataFrame:
+    """Drop the last plane of every vertex its planes displace by ``max_distance`` or more, until none is displaced so far.
+
+    Each round takes a plane from a vertex, so there are at most as many rounds as planes at a vertex.
+    """
     links = S.cut_lineage(vertex_planes)
-    for _ in range(rounds):
+    while True:
         moved = mesh.constrain_vertices(vertices, links, planes, keys)
         bad = S.cut_lineage(moved.filter((F.col("displacement") >= max_distance) & (F.col("n_planes") > 0)).select(*keys, "vertex_id", (F.col("n_planes") - 1).alias("last")))
         if bad.isEmpty():

@@ -119,10 +119,9 @@ def triangle_neighbors(triangles: DataFrame, keys: Sequence[str] = SCENE) -> Dat
     ).distinct()
 
 
-def edge_wedges(neighbors: DataFrame, keys: Sequence[str] = SCENE, max_neighbors: int = 5) -> DataFrame:
-    """Pairs of edges meeting in a vertex, among its ``max_neighbors`` lowest neighbours."""
-    kept = lowest_per_group(neighbors, [*keys, "vertex_id"], "neighbor_id", max_neighbors)
-    fans = kept.groupBy(*keys, "vertex_id").agg(F.sort_array(F.collect_list("neighbor_id")).alias("fan"))
+def edge_wedges(neighbors: DataFrame, keys: Sequence[str] = SCENE) -> DataFrame:
+    """All pairs of edges meeting in a vertex."""
+    fans = neighbors.groupBy(*keys, "vertex_id").agg(F.sort_array(F.collect_list("neighbor_id")).alias("fan"))
     left = F.posexplode("fan").alias("i", "n1")
     return (
         fans.select(*keys, "vertex_id", "fan", left)
@@ -130,14 +129,6 @@ def edge_wedges(neighbors: DataFrame, keys: Sequence[str] = SCENE, max_neighbors
     )
 
 
-def lowest_per_group(df: DataFrame, group: Sequence[str], order: str, n: int) -> DataFrame:
-    """The n lowest rows per group; the rank filter is applied before the shuffle as well."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*group).orderBy(order)
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
-
-
 def compact_vertices(vertices: DataFrame, triangles: DataFrame, keys: Sequence[str] = SCENE) -> tuple[DataFrame, DataFrame]:
     """Drop vertices no triangle uses and renumber the rest densely in id order."""
     used = corner_rows(triangles, keys).select(*keys, "vertex_id").distinct()
@@ -205,9 +196,9 @@ def constrain_vertices(vertices: DataFrame, vertex_planes: DataFrame, planes: Da
     coefficients = vertex_planes.join(
         planes.select(*keys, "plane_id", F.struct("a", "b", "c", "d").alias("eq")), [*keys, "plane_id"]
     )
-    lists = coefficients.groupBy(*keys, "vertex_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("rank", "eq"))), 1, 3).alias("eqs")
-    )
+    lists = coefficients.groupBy(*keys, "vertex_id").agg(F.array_sort(F.collect_list(F.struct("rank", "eq"))).alias("eqs"))
+    too_many = F.raise_error(F.concat(F.lit("more than three planes at vertex "), F.col("vertex_id").cast("string")))
+    lists = lists.withColumn("eqs", F.when(F.size("eqs") > 3, too_many).otherwise(F.col("eqs")))
     joined = vertices.join(lists, [*keys, "vertex_id"], "left").withColumn(
         "n_planes", F.coalesce(F.size("eqs"), F.lit(0))
     )

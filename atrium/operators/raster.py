@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ WALL_WIDTH = 0.12
 BLUR_SIGMA, BLUR_RADIUS, WALL_SHARE = 1.0, 2, 0.25
 BOTTLENECKS = (2.5, 1.5)
 MIN_SEED_AREA, MIN_ROOM_AREA = 0.5, 1.0
+
+ROWS_AT_ONCE = 32
 DOOR_MAX_WIDTH = 1.5
 
 
@@ -180,24 +184,51 @@ def opening_edges(cells: DataFrame, keys: Sequence[str] = LEVEL, label: str = "l
 
 
 def distance_transform(cells: DataFrame, keys: Sequence[str] = LEVEL, free: str = "free", resolution: float = RESOLUTION) -> DataFrame:
-    """Exact Euclidean distance in metres of each free cell to the nearest other cell of the table.
+    """Exact Euclidean distance in metres of each free cell to the nearest cell that is not free.
 
-    First the gap within the column, then, per row, only columns closer than that gap can improve
-    it; each cell asks for exactly those.
+    What lies outside the table is not free: a ring of cells around the support stands for it.  First
+    the gap within the column, then the lower envelope of the row's parabolas, one pass over a row.
     """
+    around = F.explode(F.array(*(F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
+    ring = cells.select(*keys, around.alias("o")).select(*keys, "o.r", "o.c").distinct().join(cells, [*keys, "r", "c"], "left_anti")
+    cells = cells.select(*keys, "r", "c", F.coalesce(F.col(free), F.lit(False)).alias(free)).unionByName(ring.withColumn(free, F.lit(False)))
     wall_row = F.when(~F.col(free), F.col("r"))
     up = W.partitionBy(*keys, "c").orderBy("r").rowsBetween(W.unboundedPreceding, W.currentRow)
     down = W.partitionBy(*keys, "c").orderBy("r").rowsBetween(W.currentRow, W.unboundedFollowing)
     gap = F.least(F.col("r") - F.last(wall_row, ignorenulls=True).over(up), F.first(wall_row, ignorenulls=True).over(down) - F.col("r"))
-    col = cells.select(*keys, "r", "c", free, gap.cast("bigint").alias("g"))
-    col = cut_lineage(col)
-    width = col.groupBy(*keys).agg(F.min("c").alias("_c0"), F.max("c").alias("_c1"))
-    reach = F.coalesce(F.col("g"), F.col("_c1") - F.col("_c0"))
-    asks = col.filter(F.col(free)).join(width, list(keys)).select(
-        *keys, "r", "c", F.explode(F.sequence(F.greatest(F.col("c") - reach, F.col("_c0")), F.least(F.col("c") + reach, F.col("_c1")))).alias("c2"))
-    other = col.filter("g IS NOT NULL").select(*keys, "r", F.col("c").alias("c2"), F.col("g").alias("g2"))
-    d2 = (F.col("c2") - F.col("c")) * (F.col("c2") - F.col("c")) + F.col("g2") * F.col("g2")
-    return asks.join(other, [*keys, "r", "c2"]).groupBy(*keys, "r", "c").agg((F.sqrt(F.min(d2)) * resolution).alias("distance"))
+    kinds = dict(cells.dtypes)
+    col = cells.select(*keys, "r", "c", free, gap.cast("bigint").alias("g"), F.floor(F.col("r") / ROWS_AT_ONCE).alias("_band"))
+    made = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "r", "c")) + ", distance double"
+
+    def envelopes(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["r", "c"])
+        far = [d for _, row in rows.groupby("r", sort=True) for d in row_distances(row["c"].tolist(), row["g"].tolist())]
+        rows["distance"] = np.sqrt(np.array(far, float)) * resolution
+        return rows.loc[rows[free].astype(bool), [*keys, "r", "c", "distance"]]
+
+    # a band of rows is as wide as the grid and ROWS_AT_ONCE high, so a task's share is bounded by the grid's width
+    return col.filter("g IS NOT NULL").groupBy(*keys, "_band").applyInPandas(envelopes, made)
+
+
+def row_distances(columns: list[int], gaps: list[int]) -> list[int]:
+    """Squared distance at each column to the nearest background, from the gaps within the columns."""
+    hull, starts = [], []
+    for c, g in zip(columns, gaps):
+        while hull:
+            c0, g0 = hull[-1]
+            cross = (g * g + c * c - g0 * g0 - c0 * c0) / (2 * (c - c0))
+            if cross > starts[-1]:
+                break
+            hull.pop()
+            starts.pop()
+        starts.append(cross if hull else -math.inf)
+        hull.append((c, g))
+    out, at = [], 0
+    for c in columns:
+        while at + 1 < len(hull) and starts[at + 1] <= c:
+            at += 1
+        out.append((c - hull[at][0]) ** 2 + hull[at][1] ** 2)
+    return out
 
 
 def cell_runs(cells: DataFrame, keys: Sequence[str] = LEVEL, label: str = "label") -> DataFrame:

@@ -258,7 +258,7 @@ def _(t):
     from atrium.functions.vectors import vec
 
     schema = t.raw("lineitem").schema
-    rays = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder).filter("l_linenumber = 1").selectExpr(
+    rays = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder).selectExpr(
         "l_suppkey % 2 AS scene_id", "l_quantity * 0.4D AS x", "l_extendedprice / 5250 AS y", "l_discount * 30 AS z", "CAST(l_suppkey % 9 AS INT) AS label")
     tree = vertex_tree(t)  # the static side is placed once and reused by every batch
     path = scratch_path(t.spark, "votes")

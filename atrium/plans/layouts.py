@@ -27,7 +27,10 @@ asg AS (SELECT t.level_id, t.label, t.triangle_id, min((-(a*t.x + b*t.y + d)/c,
 
 
 def candidates(t):
-    return t.ceilings.filter("polygon_id % 3 <> 1").select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("level_id"), "*")
+    """Every candidate stands on every level there is."""
+    top = t.cells.agg(F.max("level_id").alias("top"))  # one row
+    on_levels = t.ceilings.filter("polygon_id % 3 <> 1").join(F.broadcast(top))
+    return on_levels.select(F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level_id"), "*").drop("top")
 
 
 def candidate_edges(t):

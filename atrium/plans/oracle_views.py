@@ -23,7 +23,7 @@ FROM part""",
     "fx_rays": """
 SELECT l_suppkey % 2 AS scene_id, l_partkey AS hint_vertex, l_quantity * CAST(0.4 AS DOUBLE) AS x,
   l_extendedprice / 5250 AS y, l_discount * 30 AS z, CAST(l_suppkey % 9 AS INT) AS label
-FROM lineitem WHERE l_linenumber = 1""",
+FROM lineitem""",
     "fx_quads": """
 SELECT p_partkey AS v FROM part
 WHERE p_partkey % 50 < 49 AND p_partkey + 50 < (SELECT count(*) FROM part) AND p_size > 5""",

@@ -112,7 +112,9 @@ def _(t):
 
 
 @query("distance_transform", f"""
-SELECT a.level_id, a.r, a.c, {r('sqrt(min((a.r-b.r)*(a.r-b.r) + (a.c-b.c)*(a.c-b.c))) * 0.05::DOUBLE')} AS distance FROM fx_cells a JOIN fx_cells b ON a.level_id = b.level_id AND a.free AND NOT b.free GROUP BY ALL""")
+WITH nbc AS (SELECT DISTINCT level_id, r + i AS r, c + j AS c FROM fx_cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+bg AS (SELECT level_id, r, c FROM fx_cells WHERE NOT free UNION ALL SELECT n.level_id, n.r, n.c FROM nbc n ANTI JOIN fx_cells f ON f.level_id = n.level_id AND f.r = n.r AND f.c = n.c)
+SELECT a.level_id, a.r, a.c, {r('sqrt(min((a.r-b.r)*(a.r-b.r) + (a.c-b.c)*(a.c-b.c))) * 0.05::DOUBLE')} AS distance FROM fx_cells a JOIN bg b ON a.level_id = b.level_id AND a.free GROUP BY ALL""")
 def _(t):
     return raster.distance_transform(t.cells).select("level_id", "r", "c", r6(F.col("distance")).alias("distance"))
 

@@ -66,8 +66,8 @@ def _(t):
 
 @query("edge_wedges", """
 WITH n AS (SELECT e0 AS v, e1 AS n FROM fx_edges UNION SELECT e1, e0 FROM fx_edges),
-k AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY n) AS rn FROM n)
-SELECT a.v AS vertex_id, a.n AS n1, b.n AS n2 FROM k a JOIN k b ON a.v = b.v AND a.n < b.n WHERE a.rn <= 5 AND b.rn <= 5""")
+k AS (SELECT * FROM n)
+SELECT a.v AS vertex_id, a.n AS n1, b.n AS n2 FROM k a JOIN k b ON a.v = b.v AND a.n < b.n""")
 def _(t):
     return mesh.edge_wedges(mesh.vertex_neighbors(t.triangles)).select("vertex_id", "n1", "n2")
 

@@ -171,7 +171,7 @@ def _(t):
 
 def mesh_planes(t):
     """A plane per mesh polygon and per constraint id, scene-keyed."""
-    return planes(t).filter("polygon_id < 40").withColumn("scene_id", F.lit(0).cast("bigint"))
+    return planes(t).withColumn("scene_id", F.lit(0).cast("bigint"))
 
 
 def vertex_polygons(t):
@@ -189,12 +189,12 @@ def _(t):
 
 def noisy_points(t):
     i = F.col("vertex_id")
-    return t.vertices.select(F.lit(0).cast("bigint").alias("scene_id"), (i % 10).cast("int").alias("polygon_id"), "x", "y",
+    return t.vertices.select(F.lit(0).cast("bigint").alias("scene_id"), F.floor(i / 200).cast("bigint").alias("polygon_id"), "x", "y",
                              (F.col("z") * 0.1 + (i % 10) * 0.01 * F.col("x")).alias("z"), F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
 
 
 def neighbor_pairs(t):
-    return t.rooms.filter("room_key < 9").selectExpr("0L AS scene_id", "room_key AS p", "room_key + 1 AS q")
+    return t.rooms.selectExpr("0L AS scene_id", "room_key AS p", "room_key + 1 AS q")
 
 
 @query("plane_merge_cost")
@@ -225,7 +225,7 @@ def _(t):
 def _(t):
     links = vertex_polygons(t)
     pl = mesh_planes(t).withColumnRenamed("polygon_id", "plane_id")
-    v, tri, _ = M.simplify_vertices(t.mesh_vertices, t.triangles, links, pl, max_dist=0.12, rounds=2)
+    v, tri, _ = M.simplify_vertices(t.mesh_vertices, t.triangles, links, pl, max_dist=0.12)
     return tri.groupBy("polygon_id").agg(F.count("*").alias("n_triangles"))
 
 
@@ -280,10 +280,10 @@ def _(t):
 @query("extend_walls")
 def _(t):
     lower = facing(t).select("scene_id", "polygon_id", "e0", "e1").distinct()
-    # walls are polygons 0..3 seen as upright planes, floors the horizontal plane 100
-    upright = t.ceilings.filter("polygon_id < 4").selectExpr("0L AS scene_id", "polygon_id", "0D AS a", "1D AS b", "0.2D AS c", "-polygon_id * 1D AS d")
-    floor = t.ceilings.filter("polygon_id = 4").selectExpr("0L AS scene_id", "100L AS polygon_id", "0D AS a", "0D AS b", "1D AS c", "1D AS d")
-    targets = lower.select("scene_id", "e0", "e1").distinct().withColumn("target_id", F.lit(100).cast("bigint"))
+    # walls are four polygons of five seen as upright planes, the floor is the horizontal plane -100
+    upright = t.ceilings.filter("polygon_id % 5 < 4").selectExpr("0L AS scene_id", "polygon_id", "0D AS a", "1D AS b", "0.2D AS c", "-polygon_id * 1D AS d")
+    floor = t.ceilings.filter("polygon_id = 4").selectExpr("0L AS scene_id", "-100L AS polygon_id", "0D AS a", "0D AS b", "1D AS c", "1D AS d")
+    targets = lower.select("scene_id", "e0", "e1").distinct().withColumn("target_id", F.lit(-100).cast("bigint"))
     limit = upright.select("scene_id", "polygon_id", F.lit(40.0).alias("max_hits_per_area"))
     rays = room_rays(t).withColumnRenamed("vertex_id", "ray_id")
     out = M.extend_walls(lower, t.mesh_vertices, upright.unionByName(floor), targets, rays, limit, min_length=0.05)
@@ -322,7 +322,7 @@ def _(t):
 @query("layout_regularity", f"""
 WITH us AS (SELECT e0, e1, count(*) AS uses FROM fx_edges GROUP BY ALL),
 ln AS (SELECT sum(CASE WHEN uses = 1 THEN l ELSE 0 END) AS open_length, sum(l) AS contour_length FROM (SELECT uses, sqrt(pow(a.x-b.x,2) + pow(a.y-b.y,2) + pow(a.z-b.z,2)) AS l FROM us JOIN fx_mesh_vertices a ON a.vertex_id = e0 JOIN fx_mesh_vertices b ON b.vertex_id = e1)),
-pl AS (SELECT avg(least(90 - abs(90 - degrees(acos(a))), 90 - abs(90 - degrees(acos(b))), 90 - abs(90 - degrees(acos(least(1, c)))))) AS manhattan FROM fx_planes WHERE polygon_id < 40)
+pl AS (SELECT avg(least(90 - abs(90 - degrees(acos(a))), 90 - abs(90 - degrees(acos(b))), 90 - abs(90 - degrees(acos(least(1, c)))))) AS manhattan FROM fx_planes)
 SELECT {r('open_length')} AS open_length, {r('contour_length')} AS contour_length, {r('manhattan', 4)} AS manhattan FROM ln, pl""")
 def _(t):
     contour = mesh.edge_uses(t.triangles)

@@ -18,6 +18,9 @@ DEFAULTS = {
 }
 
 
+DECIDING = {"spark.sql.session.timeZone", "spark.sql.execution.arrow.pyspark.enabled"}
+
+
 def build_session(app: str = "atrium", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -28,9 +31,14 @@ def build_session(app: str = "atrium", master: str | None = None, **conf: str) -
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings the registered queries rely on, for sessions built elsewhere."""
+    """Runtime settings the registered queries rely on, where a session built elsewhere has none of its own.
+
+    Arrow transfer and the time zone decide results and are always set; partition sizes are the caller's.
+    """
+    own = spark.sparkContext.getConf()
     for key, value in DEFAULTS.items():
-        spark.conf.set(key, value)
+        if key in DECIDING or not own.contains(key) and not key.endswith("minPartitionSize"):
+            spark.conf.set(key, value)
     return spark
 
 

@@ -80,10 +80,15 @@ def _widest(h, src, dst):
                 heapq.heappush(heap, (max(key, -h[q]), q))
 
 
-def test_distance_transform_without_wall_in_column(spark):
-    cells = spark.createDataFrame([(0, r, c, (r, c) != (0, 0)) for r in range(4) for c in range(6)], f"{CELL}, free boolean")
-    got = {(r.r, r.c): r.distance for r in raster.distance_transform(cells, resolution=1.0).collect()}
-    assert all(d == pytest.approx((r * r + c * c) ** 0.5) for (r, c), d in got.items()) and len(got) == 23
+def test_distance_transform_counts_the_outside_as_background(spark):
+    support = {(level, r, c) for level in (0, 1) for r in range(9) for c in range(12) if not (r > 5 and c > 7)}
+    walls = {(0, 0, 0), (0, 4, 5)}  # level 1 has none
+    cells = spark.createDataFrame([(*p, p not in walls) for p in support], f"{CELL}, free boolean")
+    got = {(r.level_id, r.r, r.c): r.distance for r in raster.distance_transform(cells, resolution=1.0).collect()}
+    outside = {(level, r, c) for level in (0, 1) for r in range(-1, 10) for c in range(-1, 13)} - support
+    assert set(got) == support - walls
+    for (level, r, c), d in got.items():
+        assert d == pytest.approx(min(((r - y) ** 2 + (c - x) ** 2) ** 0.5 for at, y, x in outside | walls if at == level))
 
 
 def test_room_triangles_conserve_area_and_meet_on_edges(spark):
