@@ -9,7 +9,7 @@ matrix computes matching statistics and reports the intervals that occur twice o
 
 Runs of words that make up more than one in ``SHARE`` minimizers rank last, so that a short line
 which many texts hold does not gather their surroundings in one shard; there are at most ``SHARE`` of
-them.  Words are compared by 64-bit hashes.
+them.  Words and whole texts are known by 64-bit hashes, so copies share their segments.
 
 Defined results: null and empty texts have no words and keep the empty text; texts shorter than a
 window stay whole; repeated rows remove each other's windows and keep the rest; windows are judged on
@@ -32,8 +32,8 @@ from atrium.session import cut_lineage, scratch_path
 WINDOW = 35
 GRAM = 8
 SHARE = 50_000
-SHARD_ROWS = 30_000  # segments per shard or so
-SEGMENT = "doc_id long, text_key long, pos int, windows int, minimizer long, content long"
+SHARD_ROWS = 16_000  # segments per shard or so
+SEGMENT = "text_key long, place long, minimizer long, content long"  # place: first window * 64 + windows
 
 
 def _hash_keys(docs: DataFrame) -> DataFrame:
@@ -74,14 +74,15 @@ def segments(w: Words, hashes: np.ndarray, hot: np.ndarray, window: int, gram: i
 
 def _minimizers(hot: np.ndarray, window: int, gram: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=16 << 20):
+        seen = [np.zeros(0, np.uint64)]
+        for batch in slices(batches):
             w = words(batch.column("text"))
-            _, _, value = segments(w, word_hashes(w), hot, window, gram)
-            value, n = np.unique(value, return_counts=True)
-            often = n > 1  # what is frequent in the table is seen twice in some slice; the choice of hot runs is free
-            yield pa.RecordBatch.from_arrays([
-                pa.array(value[often].view(np.int64)), pa.array(n[often]), pa.array(np.full(int(often.sum()), 0))], names=["minimizer", "n", "all"])
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([int(n.sum())])], names=["minimizer", "n", "all"])
+            seen.append(segments(w, word_hashes(w), hot, window, gram)[2])
+        value, n = np.unique(np.concatenate(seen), return_counts=True)  # one number per 15 words of the task's input
+        often = n > 1  # what is frequent in the table is seen twice by some task; the choice of hot runs is free
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.r_[value[often].view(np.int64), np.int64(0)]), pa.array(np.r_[n[often], 0]),
+            pa.array(np.r_[np.zeros(int(often.sum()), np.int64), n.sum()])], names=["minimizer", "n", "all"])
     return count
 
 
@@ -93,10 +94,9 @@ def _cut(hot: np.ndarray, window: int, gram: int):
             first, count, value = segments(w, hashes, hot, window, gram)
             text = np.searchsorted(w.first, first, "right") - 1
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(text)), batch.column("text_key").take(pa.array(text)),
-                pa.array((first - w.first[text]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(value.view(np.int64)),
+                batch.column("text_key").take(pa.array(text)), pa.array((first - w.first[text]) * 64 + count), pa.array(value.view(np.int64)),
                 pa.array(runs(hashes, first, first + count + window - 1).view(np.int64)) if len(first) else pa.array([], pa.int64()),
-            ], names=["doc_id", "text_key", "pos", "windows", "minimizer", "content"])
+            ], names=["text_key", "place", "minimizer", "content"])
     return cut
 
 
@@ -109,7 +109,7 @@ def _contents(window: int):
             at = cuts.offsets.to_numpy()
             text = np.repeat(np.arange(batch.num_rows), np.diff(at))
             flat = cuts.flatten()
-            pos, count = flat.field("pos").to_numpy(), flat.field("windows").to_numpy()
+            pos, count = np.divmod(flat.field("place").to_numpy(), 64)
             begin = w.first[text] + pos
             yield pa.RecordBatch.from_arrays([
                 flat.field("minimizer"), flat.field("content"), flat.field("n"),
@@ -159,7 +159,7 @@ def _remove(window: int):
             if len(flat):
                 bits = np.unpackbits(flat.field("mask").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 row, offset = np.nonzero(bits)
-                first = w.first[text[row]] + flat.field("pos").to_numpy()[row] + offset
+                first = w.first[text[row]] + flat.field("place").to_numpy()[row] // 64 + offset
                 np.add.at(change, first, 1)
                 np.add.at(change, first + window, -1)
             stays = np.cumsum(change)[:-1] == 0
@@ -201,17 +201,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     shared = cut.groupBy("minimizer").agg(F.count("*").alias("held")).filter("held > 1").select("minimizer")
     hits = cut_lineage(cut.join(shared, "minimizer"))
     distinct = hits.groupBy("minimizer", "content").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "pos", "windows")).alias("at"))
-    distinct = cut_lineage(distinct.select("minimizer", "content", "n", "at.doc_id", "at.text_key", "at.pos", "at.windows"))
-    wanted = distinct.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("minimizer", "content", "n", "pos", "windows")).alias("cuts"))
+        F.count("*").alias("n"), F.min(F.struct("text_key", "place")).alias("at"))
+    distinct = cut_lineage(distinct.select("minimizer", "content", "n", "at.text_key", "at.place"))
+    wanted = distinct.groupBy("text_key").agg(F.collect_list(F.struct("minimizer", "content", "n", "place")).alias("cuts"))
+    one = keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))  # of many copies one is read
     same = (F.col("d.text_key") == F.col("x.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
-    contents = keyed.alias("d").join(wanted.alias("x"), same).select("d.text", "x.cuts") \
-        .mapInArrow(_contents(window), "minimizer long, content long, n long, words array<long>")
+    contents = keyed.alias("d").join(wanted.join(one, "text_key").alias("x"), same).select("d.text", "x.cuts").mapInArrow(
+        _contents(window), "minimizer long, content long, n long, words array<long>")
     shards = max(8, -(-distinct.count() // SHARD_ROWS))
     masks = contents.repartition(shards, "minimizer").mapInArrow(_search(window), "minimizer long, content long, mask long")
-    marks = hits.join(cut_lineage(masks), ["minimizer", "content"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "mask")).alias("found"))
-    none = F.array().cast("array<struct<pos:int,mask:bigint>>")
-    return keyed.alias("d").join(marks.alias("x"), same, "left").select("d.doc_id", "d.text", F.coalesce("x.found", none).alias("found")) \
+    marks = hits.join(cut_lineage(masks), ["minimizer", "content"]).groupBy("text_key").agg(F.collect_set(F.struct("place", "mask")).alias("found"))
+    none = F.array().cast("array<struct<place:bigint,mask:bigint>>")
+    return keyed.join(marks, "text_key", "left").select("doc_id", "text", F.coalesce("found", none).alias("found")) \
         .mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 

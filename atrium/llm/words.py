@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SEPARATOR = np.zeros(256, bool)
@@ -94,10 +94,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_KEPT_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """1, base, base^2, ...; what a usual slice needs is kept."""
+    known = _KEPT_POWERS.get(int(base))
+    if known is not None and len(known) >= n:
+        return known[:n]
+    out = np.full(max(n, SLICE_BYTES + SLICE_BYTES // 8), base, np.uint64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if len(out) <= 4 * SLICE_BYTES:
+        _KEPT_POWERS[int(base)] = out
+    return out[:n]
 
 
 def runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
