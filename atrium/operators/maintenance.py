@@ -130,7 +130,7 @@ def mutual_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
 
 def windowed_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], splits: dict[str, float], right_id: str) -> DataFrame:
     """Nearest point within the same axis-aligned window; windows are not searched across seams."""
-    window = lambda df: df.withColumn("window", sum((F.when(F.col(a) > s, 2**i).otherwise(0) for i, (a, s) in enumerate(splits.items())), F.lit(0)))
+    window = lambda df: df.withColumn("window", sum((F.when(F.col(a) >= s, 2**i).otherwise(0) for i, (a, s) in enumerate(splits.items())), F.lit(0)))
     tree = S.point_tree(window(right), [*keys, "window"], right_id, vec())
     return S.nearest(window(left), tree, vec(), how="left", tid=right_id)
 
@@ -247,8 +247,11 @@ def plane_merge_cost(points: DataFrame, pairs: DataFrame, keys: Sequence[str] =
     """Relative loss of fitting both sides of each pair with one plane.
 
     ``points``: polygon_id, x..z, nx..nz.  Joint planes come from the sum of both sides' moments.
-    Each side's points are measured against the joint plane and the other side's plane; a cost is
-    the worse side's growth over its own error (or a base error), and the best plane counts.
+    Each side's points are measured against the joint plane and the other side's plane, and the
+    smaller error counts, for distance and angle alike; a cost is the worse side's growth over its
+    own error (or a base error).  Angles are signed: opposite normals are 180 degrees apart.
+    Returns both costs, ``cost`` (their maximum), the winner (more points, then the lower id), the joint
+    plane, turned to the winner's side, and whether the pair is accepted.
     """
     from atrium.functions.eigen import MOMENTS, merge_moments, moment_sums, planes_from_moments
 
@@ -260,26 +263,34 @@ def plane_merge_cost(points: DataFrame, pairs: DataFrame, keys: Sequence[str] =
     joint = planes_from_moments(merge_moments(side("p").unionByName(side("q")), pair), pair).select(*pair, F.lit("joint").alias("kind"), "a", "b", "c", "d")
     other = lambda c: pairs.join(own.withColumnRenamed("polygon_id", c), [*keys, c]).select(*pair, F.lit(f"of_{c}").alias("kind"), "a", "b", "c", "d")
     tried = S.cut_lineage(joint.unionByName(other("p")).unionByName(other("q")))
-    errors = lambda df, by: df.groupBy(*by).agg(F.avg(F.abs(plane().at(vec()))).alias("e_dist"), F.avg(90 - F.abs(90 - V.angle_degrees(vec("n"), plane().n))).alias("e_angle"), F.count("*").alias("n"))
+    errors = lambda df, by: df.groupBy(*by).agg(F.avg(F.abs(plane().at(vec()))).alias("e_dist"), F.avg(V.angle_degrees(vec("n"), plane().n)).alias("e_angle"), F.count("*").alias("n"))
     base = errors(points.join(own, poly), poly).select(*poly, F.col("e_dist").alias("o_dist"), F.col("e_angle").alias("o_angle"), F.col("n").alias("n_own"))
     both = tried.select("*", F.explode(F.array("p", "q")).alias("polygon_id"))
-    new = errors(points.join(both, poly), [*pair, "kind", "polygon_id"]).join(base, poly)
+    # a side's own plane is no candidate for it
+    against = both.filter((F.col("kind") == "joint") | ((F.col("kind") == "of_p") & (F.col("polygon_id") == F.col("q"))) | ((F.col("kind") == "of_q") & (F.col("polygon_id") == F.col("p"))))
+    new = errors(points.join(against, poly), [*pair, "kind", "polygon_id"]).groupBy(*pair, "polygon_id").agg(F.min("e_dist").alias("e_dist"), F.min("e_angle").alias("e_angle")).join(base, poly)
     growth = lambda e, o, b: (F.col(e) - F.col(o)) / F.greatest(F.col(o), F.lit(b))
-    costs = new.groupBy(*pair, "kind").agg(
+    costs = new.groupBy(*pair).agg(
         F.max(growth("e_dist", "o_dist", distance_base)).alias("distance_cost"), F.max(growth("e_angle", "o_angle", angle_base)).alias("angle_cost"),
-        F.max(F.struct("n_own", (-F.col("polygon_id")).alias("neg"))).alias("w"))
-    best = costs.groupBy(*pair).agg(F.min(F.struct("distance_cost", "angle_cost", "kind", "w")).alias("b"))
-    return best.select(*pair, "b.distance_cost", "b.angle_cost", "b.kind", (-F.col("b.w.neg")).alias("winner"),
-                       ((F.col("b.distance_cost") < max_distance_cost) & (F.col("b.angle_cost") < max_angle_cost)).alias("accepted"))
+        (-F.max(F.struct("n_own", (-F.col("polygon_id")).alias("neg")))["neg"]).alias("winner"))
+    turned = own.select(*keys, F.col("polygon_id").alias("winner"), *(F.col(c).alias(f"w_{c}") for c in "abc"))
+    out = costs.join(joint.drop("kind"), pair).join(turned, [*keys, "winner"])
+    side_of = F.when(F.col("a") * F.col("w_a") + F.col("b") * F.col("w_b") + F.col("c") * F.col("w_c") < 0, -1.0).otherwise(1.0)
+    return out.select(*pair, "distance_cost", "angle_cost", F.greatest("distance_cost", "angle_cost").alias("cost"), "winner",
+                      *((side_of * F.col(c)).alias(c) for c in "abcd"),
+                      ((F.col("distance_cost") < max_distance_cost) & (F.col("angle_cost") < max_angle_cost)).alias("accepted"))
 
 
 def merge_planes(costs: DataFrame, triangles: DataFrame, vertex_planes: DataFrame, keys: Sequence[str] = SCENE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply accepted merges greedily by cost: triangles and constraints of the loser go to the winner."""
+    """Apply accepted merges greedily by the larger cost: triangles and constraints of the loser go to the winner.
+
+    Returns triangles, constraints and the moves with the joint plane that the winner takes over.
+    """
     good = costs.filter("accepted")
-    picked = graphs.greedy_pairs(good.select(*keys, "p", "q", F.col("distance_cost").alias("cost")), keys, "p", "q", "cost")
-    won = picked.join(good.select(*keys, "p", "q", "winner"), [*keys, "p", "q"])
-    moves = S.cut_lineage(won.select(*keys, F.when(F.col("winner") == F.col("p"), F.col("q")).otherwise(F.col("p")).alias("loser"), "winner"))
-    remap = lambda df, c: df.join(moves.withColumnRenamed("loser", c), [*keys, c], "left").withColumn(c, F.coalesce("winner", c)).drop("winner")
+    picked = graphs.greedy_pairs(good.select(*keys, "p", "q", "cost"), keys, "p", "q", "cost")
+    won = picked.join(good.select(*keys, "p", "q", "winner", "a", "b", "c", "d"), [*keys, "p", "q"])
+    moves = S.cut_lineage(won.select(*keys, F.when(F.col("winner") == F.col("p"), F.col("q")).otherwise(F.col("p")).alias("loser"), "winner", "a", "b", "c", "d"))
+    remap = lambda df, c: df.join(moves.select(*keys, "loser", "winner").withColumnRenamed("loser", c), [*keys, c], "left").withColumn(c, F.coalesce("winner", c)).drop("winner")
     return remap(triangles, "polygon_id").select(*triangles.columns), remap(vertex_planes, "plane_id").select(*keys, "vertex_id", "plane_id").distinct(), moves
 
 

@@ -124,11 +124,16 @@ def close_cross(cells: DataFrame, keys: Sequence[str] = LEVEL) -> DataFrame:
 
 def rasterize_walls(segments: DataFrame, fills: DataFrame | None, keys: Sequence[str] = LEVEL, width: float = WALL_WIDTH,
                     resolution: float = RESOLUTION, origin=(0.0, 0.0)) -> DataFrame:
-    """Wall cells of the outlines ``segments`` and the filled polygons' edges ``fills``."""
+    """Wall cells of the outlines ``segments`` and the filled polygons' edges ``fills``.
+
+    Each polygon (and triangle) of ``fills`` is filled on its own, so overlapping ones add up.
+    """
     thick = max(1, round(width / resolution)) * resolution / 2
     drawn = draw_segments(segments, keys, thick, resolution, origin)
     if fills is not None:
-        drawn = drawn.unionByName(rasterize_polygons(fills, keys, resolution, origin)).distinct()
+        own = [c for c in ("polygon_id", "triangle_id") if c in fills.columns]
+        filled = rasterize_polygons(fills, [*keys, *own], resolution, origin)
+        drawn = drawn.unionByName(filled.select(*drawn.columns)).distinct()
     return smooth_walls(drawn, keys)
 
 

@@ -113,8 +113,8 @@ def _(t):
 
 
 @query("windowed_nearest", f"""
-WITH pd AS (SELECT v.vertex_id, {D2.format(q='v', p='w')} AS d2 FROM fx_vertices v, fx_mesh_vertices w WHERE (v.x > 2.5) = (w.x > 2.5) AND (v.y > 2) = (w.y > 2))
-SELECT vertex_id, {r('sqrt(min(d2))')} AS dist FROM pd GROUP BY 1""")
+WITH pd AS (SELECT v.vertex_id, {D2.format(q='v', p='w')} AS d2 FROM fx_vertices v, fx_mesh_vertices w WHERE (v.x >= 2.5) = (w.x >= 2.5) AND (v.y >= 2) = (w.y >= 2))
+SELECT v.vertex_id, {r('sqrt(min(d2))')} AS dist FROM fx_vertices v LEFT JOIN pd ON pd.vertex_id = v.vertex_id GROUP BY 1""")
 def _(t):
     out = M.windowed_nearest(plain_vertices(t), plain_mesh_vertices(t), SC, {"x": 2.5, "y": 2.0}, "mesh_vertex_id")
     return out.select("vertex_id", r6(F.col("dist")).alias("dist"))

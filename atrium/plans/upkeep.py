@@ -200,7 +200,7 @@ def neighbor_pairs(t):
 @query("plane_merge_cost")
 def _(t):
     out = M.plane_merge_cost(noisy_points(t), neighbor_pairs(t))
-    return out.select("p", "q", "kind", "winner", "accepted", r6(F.col("distance_cost"), 4).alias("distance_cost"))
+    return out.select("p", "q", "winner", "accepted", *(r6(F.col(c), 4).alias(c) for c in ("distance_cost", "angle_cost", "a", "b", "c", "d")))
 
 
 @query("merge_planes")

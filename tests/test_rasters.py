@@ -184,3 +184,13 @@ def test_surface_samples_follow_area(spark):
     got = {r.triangle_id: r["count"] for r in sampling.sample_mesh_surface(tri, 100.0, 1).groupBy("triangle_id").count().collect()}
     assert got == {0: 50, 1: 450}
     assert vec("a") is not None
+
+
+def test_overlapping_fills_add_up(spark):
+    ring = [(0.0, 0.0), (0.6, 0.0), (0.6, 0.6), (0.0, 0.6)]
+    rows = [(0, p, *ring[i], *ring[(i + 1) % 4]) for p in (1, 2) for i in range(4)]
+    fills = spark.createDataFrame(rows, "level_id int, polygon_id int, x0 double, y0 double, x1 double, y1 double")
+    line = spark.createDataFrame([(0, 0.0, 0.0, 0.6, 0.0)], "level_id int, x0 double, y0 double, x1 double, y1 double")
+    twice = {(r.r, r.c) for r in raster.rasterize_walls(line, fills).collect()}
+    once = {(r.r, r.c) for r in raster.rasterize_walls(line, fills.filter("polygon_id = 1")).collect()}
+    assert twice == once and (6, 6) in twice
