@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from atrium.operators.ranking import hash_order
 from atrium.session import cut_lineage
 
+TIES = 7  # seed of the order among equals
+
 
 def connected_components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], node: str, left: str, right: str, out: str = "component") -> DataFrame:
     """Smallest node id of the component of each node (isolated nodes are their own component).
@@ -49,15 +52,16 @@ def _contract(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def greedy_pairs(pairs: DataFrame, keys: Sequence[str], left: str, right: str, cost: str) -> DataFrame:
-    """Maximal matching that equals taking pairs in (cost, left, right) order.
+    """Maximal matching that equals taking pairs in the order of cost, equal costs by a seeded hash of the pair.
 
     A pair is taken as soon as it is the best one at both of its ends; taken ends drop their other
-    pairs; repeat until no pair is left.
+    pairs; repeat until no pair is left.  The hash order keeps the number of rounds logarithmic on
+    paths and meshes whose ids run along them.
     """
-    open_pairs = cut_lineage(pairs.select(*keys, left, right, cost))
+    open_pairs = cut_lineage(pairs.select(*keys, left, right, cost, hash_order(TIES, left, right).alias("_tie")))
     taken = None
     while True:
-        rank = F.struct(cost, left, right)
+        rank = F.struct(cost, "_tie", left, right)
         ends = open_pairs.select(*keys, rank.alias("r"), F.explode(F.array(left, right)).alias("n"))
         best = ends.groupBy(*keys, "n").agg(F.min("r").alias("r"))
         won = best.groupBy(*keys, "r").agg(F.count("*").alias("c")).filter("c = 2").select(*keys, "r.*")
@@ -68,18 +72,19 @@ def greedy_pairs(pairs: DataFrame, keys: Sequence[str], left: str, right: str, c
         used = won.select(*keys, F.explode(F.array(left, right)).alias("n"))
         for end in (left, right):
             open_pairs = open_pairs.join(used.withColumnRenamed("n", end), [*keys, end], "left_anti")
-        open_pairs = cut_lineage(open_pairs.select(*keys, left, right, cost))
+        open_pairs = cut_lineage(open_pairs)
 
 
 def independent_set(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str, left: str, right: str) -> DataFrame:
-    """Nodes picked in ascending id order, never two adjacent ones."""
+    """Nodes picked in the order of a seeded hash of their ids, never two adjacent ones; rounds are logarithmic in any numbering."""
     rest = cut_lineage(nodes.select(*keys, node).distinct())
+    ranked = lambda c: F.struct(hash_order(TIES, c), F.col(c).alias("id"))
     both = edges.select(*keys, F.explode(F.array(F.struct(F.col(left).alias("a"), F.col(right).alias("b")), F.struct(F.col(right).alias("a"), F.col(left).alias("b")))).alias("e")).select(*keys, "e.a", "e.b").filter("a <> b").distinct()
     both = cut_lineage(both.join(rest.withColumnRenamed(node, "a"), [*keys, "a"], "left_semi").join(rest.withColumnRenamed(node, "b"), [*keys, "b"], "left_semi"))
     picked = None
     while not rest.isEmpty():
-        lowest = both.groupBy(*keys, "a").agg(F.min("b").alias("m"))
-        now = rest.join(lowest, (F.col(node) == F.col("a")) & _same(rest, lowest, keys), "left").filter("m IS NULL OR m > a").select(*(rest[k] for k in keys), node)
+        lowest = both.groupBy(*keys, "a").agg(F.min(ranked("b")).alias("m"))
+        now = rest.join(lowest, (F.col(node) == F.col("a")) & _same(rest, lowest, keys), "left").filter(F.col("m").isNull() | (F.col("m") > ranked("a"))).select(*(rest[k] for k in keys), node)
         now = cut_lineage(now)
         picked = now if picked is None else picked.unionByName(now)
         hit = both.join(now.withColumnRenamed(node, "a"), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias(node))

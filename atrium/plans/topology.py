@@ -131,7 +131,7 @@ def _(t):
 
 @query("greedy_pairs", """
 WITH RECURSIVE p AS (SELECT DISTINCT e0, e1, (e0 * 7919 + e1 * 104729) % 1000003 AS cost FROM fx_edges),
-k AS (SELECT *, row_number() OVER (ORDER BY cost, e0, e1) AS rn FROM p),
+k AS (SELECT *, row_number() OVER (ORDER BY cost, md5('7|' || e0 || '|' || e1), e0, e1) AS rn FROM p),
 g(rn, used, e0, e1, cost, took) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false
   UNION ALL SELECT k.rn, CASE WHEN list_contains(g.used, k.e0) OR list_contains(g.used, k.e1) THEN g.used ELSE g.used || [k.e0, k.e1] END, k.e0, k.e1, k.cost,
     NOT (list_contains(g.used, k.e0) OR list_contains(g.used, k.e1)) FROM g JOIN k ON k.rn = g.rn + 1)

@@ -1,5 +1,7 @@
 """Topology, loops, planes and graphs on small scenes with known answers."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,7 +111,7 @@ def test_greedy_equals_sequential(spark):
     pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 40, (120, 2)) if a != b})
     cost = {p: float(rng.integers(0, 10)) for p in pairs}
     used, want = set(), set()
-    for c, a, b in sorted((cost[p], *p) for p in pairs):
+    for _, _, a, b in sorted((cost[p], md5_order(*p), *p) for p in pairs):
         if a not in used and b not in used:
             want.add((a, b))
             used |= {a, b}
@@ -117,11 +119,30 @@ def test_greedy_equals_sequential(spark):
     assert {(r.a, r.b) for r in graphs.greedy_pairs(df, SC, "a", "b", "cost").collect()} == want
 
 
-def test_independent_set_takes_lower_ids_first(spark):
-    nodes = spark.createDataFrame([(0, i) for i in range(6)], "scene_id int, node int")
-    edges = spark.createDataFrame([(0, i, i + 1) for i in range(5)], "scene_id int, a int, b int")
+def md5_order(*ids):
+    return hashlib.md5("|".join(map(str, (7, *ids))).encode()).hexdigest()
+
+
+def test_independent_set_follows_the_seeded_order(spark):
+    nodes = spark.createDataFrame([(0, i) for i in range(12)], "scene_id int, node int")
+    edges = spark.createDataFrame([(0, i, i + 1) for i in range(11)], "scene_id int, a int, b int")
     got = graphs.independent_set(nodes, edges, SC, "node", "a", "b").collect()
-    assert sorted(r.node for r in got) == [0, 2, 4]
+    want = set()
+    for i in sorted(range(12), key=md5_order):
+        if not {i - 1, i + 1} & want:
+            want.add(i)
+    assert {r.node for r in got} == want
+
+
+def test_paths_of_consecutive_ids_end_in_few_rounds(spark, monkeypatch):
+    calls = []
+    cut = graphs.cut_lineage
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    pairs = spark.range(10_000).selectExpr("0 AS scene_id", "id AS a", "id + 1 AS b", "1 AS cost")
+    taken = graphs.greedy_pairs(pairs, SC, "a", "b", "cost").selectExpr("explode(array(a, b)) AS n").collect()
+    used = {r.n for r in taken}
+    assert len(used) == len(taken) and all(i in used or i + 1 in used for i in range(10_000))
+    assert len(calls) <= 2 * 40
 
 
 def test_noisy_plane(spark):
