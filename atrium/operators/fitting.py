@@ -86,7 +86,8 @@ def plane_extraction(vertices: DataFrame, triangles: DataFrame, keys: Sequence[s
         pick = sizes.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("segment_id")).alias("neg"))).alias("b")).select(*keys, (-F.col("b.neg")).alias("segment_id"))
         pick = cut_lineage(pick)
         if pick.isEmpty():
-            return state, found
+            none = state.limit(0).select(*keys, "polygon_id", *(F.lit(0.0).alias(c) for c in "abcd"))
+            return state, none if found is None else found
         seeds = cut_lineage(open_.join(pick, [*keys, "segment_id"], "left_semi"))
         planes = cut_lineage(ransac_plane(seeds, keys, "vertex_id", threshold, iterations, seed + round_))
         near = open_.join(planes, list(keys)).filter(F.abs(plane().at(vec())) <= threshold).select(*keys, "vertex_id", "segment_id")
@@ -105,7 +106,7 @@ def plane_extraction(vertices: DataFrame, triangles: DataFrame, keys: Sequence[s
         change = gained.unionByName(lost)
         state = cut_lineage(state.join(change, [*keys, "vertex_id"], "left").withColumn("polygon_id", F.coalesce("_new", "polygon_id")).drop("_new"))
         rows = planes.join(best, list(keys)).withColumn("polygon_id", F.lit(round_)).select(*keys, "polygon_id", "a", "b", "c", "d")
-        found = rows if found is None else found.unionByName(rows)
+        found = cut_lineage(rows if found is None else found.unionByName(rows))  # a row per polygon; the plan stays as short as one round's
         round_ += 1
 
 

@@ -227,3 +227,11 @@ def test_percentiles_by_selection(spark):
     got = {r.scene_id: r for r in aggregates.percentiles(rows, SC, "v", {"median": 0.5, "p95": 0.95}, limit=40).collect()}
     for k, vs in values.items():
         assert (got[k].median, got[k].p95) == pytest.approx((np.quantile(vs, 0.5), np.quantile(vs, 0.95)))
+
+
+def test_extraction_without_a_seed_has_no_planes(spark):
+    vertices = spark.createDataFrame([(0, i, 0, float(i), float(i * i), 0.0) for i in range(6)], "scene_id int, vertex_id int, segment_id int, x double, y double, z double")
+    triangles = spark.createDataFrame([(0, 0, 0, 1, 2), (0, 1, 3, 4, 5)], "scene_id int, triangle_id int, v0 int, v1 int, v2 int")
+    state, planes = fitting.plane_extraction(vertices, triangles, SC, min_seed=10)
+    assert planes.count() == 0 and planes.columns == ["scene_id", "polygon_id", "a", "b", "c", "d"]
+    assert {r.polygon_id for r in state.collect()} == {fitting.UNASSIGNED}
