@@ -15,7 +15,8 @@ Candidates come in two layers, both without loss:
 
 Sets that share one of their least ``HOMES`` common shingles are first joined exactly in one place,
 so a large group of near copies costs about as many checks as it has members; only pairs of
-different components are searched afterwards.  Surviving pairs are verified on the full sets.
+different components are searched afterwards.  Groups with the same members, as the many shingles of one family have, are
+treated once.  Surviving pairs are verified on the full sets.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with
 nothing; a text shorter than the shingle has its whole sequence as one; copies share a class and a
@@ -289,6 +290,16 @@ def _search(rows: pa.Table, key: np.ndarray, percent: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
 
+def _members() -> list:
+    return [F.count("*").alias("held"), F.min("node").alias("lead"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("mark")]
+
+
+def distinct_groups(groups: DataFrame, key: str) -> DataFrame:
+    """One of all groups with the same members; ``groups``: key, held, lead (least member), last, mark (of the members' hashes)."""
+    return groups.groupBy("held", "lead", "last", "mark").agg(
+        F.min(key).alias(key), *(F.first(c).alias(c) for c in groups.columns if c not in (key, "held", "lead", "last", "mark")))
+
+
 def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, node (its class), component_id (least doc_id reachable by links)."""
     spark = docs.sparkSession
@@ -323,8 +334,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     # classes that share one of their least tokens are joined in place
     least_tokens = F.row_number().over(W.partitionBy("node").orderBy("token"))
     key = kept.withColumn("nth", least_tokens).filter(F.col("nth") <= HOMES).select("node", F.col("token").alias("key"))
-    groups = key.join(sizes, "node").groupBy("key").agg(
-        F.count("*").alias("held"), F.min("node").alias("lead"), F.sum("n").alias("shingles")).filter("held > 1")
+    groups = distinct_groups(key.join(sizes, "node").groupBy("key").agg(*_members(), F.sum("n").alias("shingles")).filter("held > 1"), "key")
     chunks = F.ceil(F.greatest(F.col("held") / GROUP, F.col("shingles") / SHINGLES)).cast("int")
     homes = key.join(groups, "key").withColumn("chunk", F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), chunks - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))).select("node", "key", (chunks == 1).alias("whole"), F.explode("chunk").alias("chunk"))
@@ -339,7 +349,8 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     known = kept.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     bitmaps = one.select("node", "n", "bitmap").join(done, "node", "left").select(
         "node", "n", "bitmap", *(F.coalesce(F.get("keys", F.lit(i)), F.lit(0)).alias(f"home{i}") for i in range(HOMES)))
-    mixed = known.groupBy("token").agg(F.count("*").alias("held"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
+    mixed = known.groupBy("token").agg(*_members(), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
+    mixed = distinct_groups(mixed, "token")
     blocks = F.ceil(F.col("held") / GROUP).cast("int")
     spread = known.join(mixed.select("token", "held"), "token").join(bitmaps, "node").withColumn("blocks", blocks) \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
