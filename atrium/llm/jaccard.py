@@ -45,7 +45,7 @@ GROUP = 4096  # sets that are joined or traversed together
 BROADCAST_ROWS = 200_000  # of three numbers at most
 HOMES = 3  # groups in which a set is joined in place
 SHINGLES = 4 << 20  # shingles of the sets that are joined together
-PAIRS = 1 << 20  # bitmap words of the node pairs expanded at once
+PAIRS = 1 << 18  # bitmap words of the node pairs expanded at once
 
 
 def _slack(n):

@@ -24,10 +24,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from atrium.llm.words import slices
 from atrium.session import cut_lineage
 
 SAMPLE = 30_000
@@ -201,27 +203,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), clauses (text and weight of every matched clause)."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("clause", pa.string()), ("weight", pa.float64())]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for rows in batches:
-            found = [scorer.clauses(t) for t in rows["text"]]
-            yield pd.DataFrame({
-                "doc_id": rows["doc_id"], "score": [scorer.score(c) for c in found],
-                "clauses": [[{"clause": t, "weight": w} for t, w in c] for c in found]})
+        for rows in slices(batches):
+            found = [scorer.clauses(t) for t in rows.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                rows.column("doc_id"), pa.array([scorer.score(c) for c in found], pa.float64()),
+                pa.array([[{"clause": t, "weight": w} for t, w in c] for c in found], kind)], names=["doc_id", "score", "clauses"])
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double, clauses array<struct<clause string, weight double>>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(score, "doc_id long, score double, clauses array<struct<clause string, weight double>>")
 
 
 def without_toxic(docs: DataFrame, model: Model, limit: float = NO_SCORE) -> DataFrame:
     """Rows of ``docs`` whose text scores below ``limit``."""
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for texts in batches:
-            yield pd.Series([scorer.score(scorer.clauses(t)) for t in texts])
+        for rows in slices(batches):
+            yield rows.filter(pa.array([scorer.score(scorer.clauses(t)) < limit for t in rows.column("text").to_pylist()], pa.bool_()))
 
-    return docs.filter(scores(F.col("text")) < limit)
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
