@@ -33,6 +33,7 @@ WINDOW = 35
 GRAM = 8
 SHARE = 50_000
 SHARD_ROWS = 16_000  # segments per shard or so
+NUMBERS = 2_000_000  # rows of one to four 64-bit numbers that may be broadcast
 SEGMENT = "text_key long, place long, minimizer long, content long"  # place: first window * 64 + windows
 
 
@@ -198,17 +199,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     folder = scratch_path(spark, "segments")
     keyed.mapInArrow(_cut(hot, window, gram), SEGMENT).write.parquet(folder)
     cut = spark.read.parquet(folder)
-    shared = cut.groupBy("minimizer").agg(F.count("*").alias("held")).filter("held > 1").select("minimizer")
-    hits = cut_lineage(cut.join(shared, "minimizer"))
+    shared = cut_lineage(cut.groupBy("minimizer").agg(F.count("*").alias("held")).filter("held > 1").select("minimizer"))
+    hits = cut_lineage(cut.join(F.broadcast(shared) if shared.count() <= NUMBERS else shared, "minimizer"))
     distinct = hits.groupBy("minimizer", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("text_key", "place")).alias("at"))
     distinct = cut_lineage(distinct.select("minimizer", "content", "n", "at.text_key", "at.place"))
     wanted = distinct.groupBy("text_key").agg(F.collect_list(F.struct("minimizer", "content", "n", "place")).alias("cuts"))
     one = keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))  # of many copies one is read
     same = (F.col("d.text_key") == F.col("x.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
-    contents = keyed.alias("d").join(wanted.join(one, "text_key").alias("x"), same).select("d.text", "x.cuts").mapInArrow(
+    wanted = wanted.join(one, "text_key")
+    pieces = distinct.count()
+    wanted = F.broadcast(wanted) if pieces <= NUMBERS else wanted  # four numbers a piece (64 MB at most); else the texts are shuffled
+    contents = keyed.alias("d").join(wanted.alias("x"), same).select("d.text", "x.cuts").mapInArrow(
         _contents(window), "minimizer long, content long, n long, words array<long>")
-    shards = max(8, -(-distinct.count() // SHARD_ROWS))
+    shards = max(8, -(-pieces // SHARD_ROWS))
     masks = contents.repartition(shards, "minimizer").mapInArrow(_search(window), "minimizer long, content long, mask long")
     marks = hits.join(cut_lineage(masks), ["minimizer", "content"]).groupBy("text_key").agg(F.collect_set(F.struct("place", "mask")).alias("found"))
     none = F.array().cast("array<struct<place:bigint,mask:bigint>>")
