@@ -8,9 +8,9 @@ similarity of at least ``SIMILARITY`` link, and of every connected component onl
 occurrence (least doc_id, line number) stays.
 
 At similarity 0.8, 8 bands of 4 find a pair with probability 0.985, at 0.9 with 0.9998.  Of a band with up to ``ALL_PAIRS``
-lines all pairs are candidates.  Larger ones proceed in rounds: every line not yet connected with the
-band's first unconnected line is compared with it, until none is left, so a band of near copies
-costs as many comparisons as it has lines and none is left out.
+lines all pairs are candidates.  Larger ones are joined in one place, in blocks of ``BLOCK`` lines of
+which every two meet: a line is compared with each component until one member is similar, so a band
+of near copies costs about as many comparisons as it has lines, and no link between components is lost.
 
 Defined results: blank lines are never removed and never removed for; null and empty texts have no
 lines and keep the empty text; a line repeated in one text stays once there at most; rows without an
@@ -35,6 +35,7 @@ WIDTH = 8
 BANDS, ROWS = 8, 4
 SIMILARITY = 0.8
 ALL_PAIRS = 16
+BLOCK = 512
 BROADCAST_ROWS = 200_000  # of one number
 LINES = "doc_id long, text_key long, line_no int, line long, bands array<long>"
 
@@ -139,6 +140,31 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _join_block(least: float):
+    """Links that connect what is similar among some lines: each line is compared with a component until one member is similar."""
+    def join(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("line").to_numpy(), kind="stable")
+        name, content = rows.column("line").to_numpy()[order].tolist(), [rows.column("content")[int(i)].as_py() for i in order]
+        components: list[list[tuple[int, set[bytes]]]] = []
+        links = []
+        for line, text in zip(name, content):
+            own = {text[i:i + WIDTH] for i in range(max(1, len(text) - WIDTH + 1))}
+            met = []
+            for component in components:
+                for other, its in component:
+                    small_, large = sorted((len(own), len(its)))
+                    if small_ >= least * large and (common := len(own & its)) >= least * (small_ + large - common):
+                        links.append((other, line))
+                        met.append(component)
+                        break
+            joined = [(line, own)]
+            for component in met:
+                joined = component + joined
+            components = [c for c in components if not any(c is m for m in met)] + [joined]
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+    return join
+
+
 def link_lines(rows: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(line, root) of the lines that link with another one; ``rows``: line, bands; ``docs`` holds their texts."""
     member = rows.select("line", F.explode("bands").alias("band"))
@@ -157,19 +183,13 @@ def link_lines(rows: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> D
 
     few = member.filter(F.col("held") <= ALL_PAIRS)
     links = verified(few.select("band", F.col("line").alias("u")).join(few.select("band", F.col("line").alias("v")), "band").filter("u < v"))
-    left = member.filter(F.col("held") > ALL_PAIRS).select("band", "line")
-    while True:
-        lead = left.groupBy("band").agg(F.min("line").alias("lead"), F.count("*").alias("rest")).filter("rest > 1")
-        open_ = cut_lineage(left.join(lead, "band").select("band", "line", "lead"))
-        if open_.isEmpty():
-            break
-        links = cut_lineage(links.union(verified(open_.select(F.col("line").alias("u"), F.col("lead").alias("v")))).distinct())
-        root = connected_components(links, texts.select("line"), [], "line", "u", "v", "root")
-        root = cut_lineage(root)
-        # lines of the leader's component are done in this band; so is the leader
-        left = open_.join(root, "line").join(root.select(F.col("line").alias("lead"), F.col("root").alias("lead_root")), "lead") \
-            .filter("root <> lead_root").select("band", "line")
-        left = cut_lineage(left)
+    # crowded bands are joined in one place, in blocks; every two blocks meet
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    crowd = member.filter(F.col("held") > ALL_PAIRS).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")) \
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    crowd = crowd.select("band", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "line").join(texts, "line")
+    inner = crowd.groupBy("band", "one", "two").applyInArrow(_join_block(least), "u long, v long")
+    links = cut_lineage(links.union(inner).distinct())
     met = links.select(F.col("u").alias("line")).union(links.select("v")).distinct()
     return cut_lineage(connected_components(links, met, [], "line", "u", "v", "root"))
 
