@@ -6,8 +6,9 @@ and count as one.  Two classes link when 100 * intersection >= percent * union.
 Candidates come in two layers, both without loss:
 
 * Shingles in hash order: linked sets share one among the first n - ceil(percent * n) + 1 of each.
-  With `slack` more, they share slack + 1, so a set with at most `slack` hot shingles (held by more
-  than ``HOT`` sets) can do without those: a passage that many documents quote forms no group.
+  With `slack` more, they share slack + 1, or all they have in common if that is less.  A set with fewer
+  hot shingles (held by more than ``HOT`` sets) can do without those: a passage that many documents
+  quote forms no group.
 * Over the sets that share a shingle stands a signature tree: leaves are sets with a bitmap of their
   shingles, inner nodes hold OR-combined bitmaps and size ranges.  A dual traversal drops node pairs
   whose largest possible overlap (by sizes and common bits) cannot reach the threshold, and those
@@ -329,7 +330,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         kept = cut_lineage(kept.join(kept.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"), "token"))
     kept = kept.withColumn("hot", F.col("held") > HOT)
     hot = kept.filter("hot")
-    full = hot.groupBy("node").agg(F.count("*").alias("hots")).join(sizes, "node").filter(F.col("hots") > slack).select("node")
+    full = hot.groupBy("node").agg(F.count("*").alias("hots")).join(sizes, "node").filter(F.col("hots") >= F.least(slack + 1, need)).select("node")
     kept = cut_lineage(kept.filter("NOT hot").unionByName(hot.join(full, "node", "left_semi")).select("token", "node"))
     # classes that share one of their least tokens are joined in place
     least_tokens = F.row_number().over(W.partitionBy("node").orderBy("token"))

@@ -72,6 +72,22 @@ def test_jaccard_components(docs, nothing):
     assert jaccard.link_components(nothing).count() == 0
 
 
+def test_short_near_copies_link_when_all_they_share_is_hot(spark):
+    texts = [" ".join([f"h{length}x{k}" for k in range(length - 1)] + [f"own{i}"]) for length in range(11, 15) for i in range(70)]
+    seven = " ".join(f"s{k}" for k in range(7))
+    texts += [seven] + [f"{seven} more{i}" for i in range(70)]
+    sets, component = [sets_of(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if component[i] != component[j] and 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                low, high = sorted((component[i], component[j]))
+                component = [low if c == high else c for c in component]
+    assert len(set(component)) == 5
+    found = jaccard.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(component))
+
+
 def test_signature_tree_finds_every_link():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
