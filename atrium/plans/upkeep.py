@@ -194,7 +194,9 @@ def noisy_points(t):
 
 
 def neighbor_pairs(t):
-    return t.rooms.selectExpr("0L AS scene_id", "room_key AS p", "room_key + 1 AS q")
+    """Every polygon of ``noisy_points`` with the one of the next id."""
+    ids = noisy_points(t).select("scene_id", F.col("polygon_id").alias("p")).distinct()
+    return ids.withColumn("q", F.col("p") + 1).join(ids.withColumnRenamed("p", "q"), ["scene_id", "q"], "left_semi").select("scene_id", "p", "q")
 
 
 @query("plane_merge_cost")

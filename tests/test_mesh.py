@@ -212,6 +212,16 @@ def test_merge_cost_prefers_coplanar_neighbours(spark):
     assert got == {(0, 1): True, (1, 2): False}
 
 
+def test_merge_pairs_reach_every_polygon(spark):
+    from atrium.plans.upkeep import neighbor_pairs, noisy_points
+    from atrium.sources.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.1")
+    ids = {r.polygon_id for r in noisy_points(t).select("polygon_id").distinct().collect()}
+    assert len(ids) > 26
+    assert sorted((r.p, r.q) for r in neighbor_pairs(t).collect()) == [(p, p + 1) for p in sorted(ids) if p + 1 in ids]
+
+
 def test_zero_vote_segment(spark):
     seg = spark.createDataFrame([(0, 1, 10), (0, 2, 10), (0, 3, 20)], "scene_id int, vertex_id int, segment_id int")
     votes = spark.createDataFrame([(0, 1, 2, 3), (0, 2, 1, 3)], "scene_id int, vertex_id int, label int, votes bigint")
