@@ -166,6 +166,13 @@ def test_crowded_bands_go_in_rounds(spark):
     assert sorted(r.doc_id for r in kept.filter("n_removed = 0").collect()) == [0, 99]
 
 
+def test_lines_that_repeat_themselves_link_at_any_length(spark):
+    few = ["-" * 10, "-" * 30, "Nd" * 50, "Nd" * 150]
+    many = ["=" * k for k in (10, *range(31, 31 + lines.ALL_PAIRS))]
+    kept = lines.dedup_lines(spark.createDataFrame(list(enumerate(few + many)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.filter("n_removed = 0").collect()) == [0, 2, 4]
+
+
 def test_leaks_against_every_window(spark, docs, nothing):
     rng = random.Random(9)
     item = [f"q{rng.randrange(500)}" for _ in range(40)]
