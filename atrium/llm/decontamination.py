@@ -14,7 +14,8 @@ case and punctuation do not hide a leak.  Items come to the tasks in blocks of `
 many there are.
 
 Defined results: null and empty texts and items match nothing; a text shorter than an item is one
-window; an item shorter than the shingle has its whole sequence as one and is compared likewise;
+window; an item shorter than the shingle has its whole sequence as one, and windows of a text are
+compared with it by shingles of that size;
 items with equal texts each get their rows; repeated documents each get their rows; only ``doc_id``,
 ``text``, ``item_id`` are read from the inputs, under names of their own.
 """
@@ -76,7 +77,8 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str | None]], radius: int = RADIUS):
         w = words(pa.array([t for _, t in items], pa.string()), lower=True, letters=True)
         hashes = word_hashes(w)
-        self.radius, self.by_length, known = radius, {}, [np.zeros(0, np.uint64)]
+        self.radius, self.by_length = radius, {}
+        known: dict[int, list[np.ndarray]] = {}  # by shingle size
         lengths: dict[int, list[int]] = {}
         for i in range(len(items)):
             if w.first[i + 1] > w.first[i]:
@@ -90,19 +92,19 @@ class ItemIndex:
                 for flip in near:
                     tables[b, prints[:, b] ^ flip, np.arange(len(held))] = True
             shingled = [shingle_list(h) for h in own]
-            known += shingled
+            known.setdefault(min(n, WIDTH), []).extend(shingled)
             self.by_length[n] = ([items[i][0] for i in held], prints, tables, [Counter(s.tolist()) for s in shingled])
-        self.known = np.unique(np.concatenate(known))
-        self.marks = np.zeros(1 << 20, bool)  # quick test before the search in `known`
-        self.marks[(self.known >> np.uint64(44)).astype(np.int64)] = True
-
-    def knows(self, shingle: np.ndarray) -> np.ndarray:
-        """Positions of shingles that some item holds."""
-        if not len(self.known):
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(self.marks[(shingle >> np.uint64(44)).astype(np.int64)])
-        found = np.minimum(np.searchsorted(self.known, shingle[at]), len(self.known) - 1)
-        return at[self.known[found] == shingle[at]]
+        self.known = {width: np.unique(np.concatenate(parts)) for width, parts in known.items()}
+        self.marks = {width: np.zeros(1 << 20, bool) for width in known}  # quick test before the search in `known`
+        for width, held in self.known.items():
+            self.marks[width][(held >> np.uint64(44)).astype(np.int64)] = True
+
+    def knows(self, shingle: np.ndarray, width: int) -> np.ndarray:
+        """Positions of shingles of ``width`` words that some item holds."""
+        known = self.known[width]
+        at = np.flatnonzero(self.marks[width][(shingle >> np.uint64(44)).astype(np.int64)])
+        found = np.minimum(np.searchsorted(known, shingle[at]), len(known) - 1)
+        return at[known[found] == shingle[at]]
 
     def near(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs of length n within the radius: all that agree in a block, then the exact distance."""
@@ -117,14 +119,15 @@ class ItemIndex:
 
     def search(self, hashes: np.ndarray) -> Iterator[tuple[int, float, int, int, int]]:
         """Best window of each item that one text holds: item_id, similarity, distance, first word, words."""
-        shingle = shingle_list(hashes)
-        hits = self.knows(shingle)
-        if not len(hits):
-            return
-        grams, best = shingle.tolist(), {}
+        shingle = {width: shingle_list(hashes, width) for width in self.known}
+        known = {width: self.knows(s, width) for width, s in shingle.items()}
+        grams, best = {width: s.tolist() for width, s in shingle.items() if len(known[width])}, {}
         for n, (ids, prints, _, counts) in self.by_length.items():
-            size = min(n, len(hashes))
-            reach = max(size - WIDTH, 0)  # a window from here on still covers the shingle
+            size, width = min(n, len(hashes)), min(n, WIDTH)
+            hits = known[width]
+            if not len(hits):
+                continue
+            reach = max(size - width, 0)  # a window from here on still covers the shingle
             cover = np.zeros(len(hashes) + 2, np.int32)
             np.add.at(cover, np.maximum(hits - reach, 0), 1)
             np.add.at(cover, np.minimum(hits, len(hashes) - size) + 1, -1)
@@ -135,7 +138,7 @@ class ItemIndex:
                 made = simhashes(hashes[low:part[-1] + size], size, part - low)
                 for row, item in zip(*self.near(n, made)):
                     begin = int(part[row])
-                    alike = weighted_jaccard(Counter(grams[begin:begin + max(1, size - WIDTH + 1)]), counts[item])
+                    alike = weighted_jaccard(Counter(grams[width][begin:begin + max(1, size - width + 1)]), counts[item])
                     key = (-alike, begin)
                     if alike >= SIMILARITY and key < best.get((n, item), ((0.0, 0),))[0]:
                         distance = int(np.bitwise_count(made[row] ^ prints[item]).sum())
@@ -158,9 +161,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, bloc
             for batch in slices(batches):
                 w = words(batch.column("text"), lower=True, letters=True)
                 hashes = word_hashes(w)
-                whole = shingle_list(hashes)
                 # texts that hold any item's shingle; those across two texts or in short ones are looked at as well
-                some = np.unique(np.searchsorted(w.first, index.knows(whole), "right") - 1)
+                held = [index.knows(shingle_list(hashes, width), width) for width in index.known]
+                some = np.unique(np.searchsorted(w.first, np.concatenate([np.zeros(0, np.int64), *held]), "right") - 1)
                 short = np.flatnonzero((np.diff(w.first) < WIDTH) & (np.diff(w.first) > 0))
                 doc, out = batch.column("doc_id").to_pylist(), []
                 for i in np.union1d(some, short).tolist():

@@ -192,6 +192,17 @@ def test_leaks_against_every_window(spark, docs, nothing):
     assert clean.columns == docs.columns and clean.count() == docs.count()
 
 
+def test_short_items_are_found_inside_long_texts(spark):
+    filler = " ".join(f"f{k}" for k in range(50))
+    short = {1: "solo", 2: "x y", 3: "p q r", 4: "alpha beta gamma delta", 5: "one two three four five"}
+    texts = [(k, f"{filler} {t.title()}, {filler}") for k, t in short.items()] + [
+        (6, f"{filler} x"), (7, f"y {filler}"), (8, f"p q {filler} r"), (9, f"{filler} x y"), (10, "x y"), (11, "x"), (12, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(short.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.similarity, r.first_word, r.n_words) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert found == {(k, k, 1.0, 50, k) for k in short} | {(9, 2, 1.0, 50, 2), (10, 2, 1.0, 0, 2)}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(5)
     items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 900, 30))) for k in range(20)]
