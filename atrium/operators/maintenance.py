@@ -553,5 +553,13 @@ def layout_regularity(triangles: DataFrame, vertices: DataFrame, contour: DataFr
     n = plane().n
     off = lambda c: 90 - F.abs(90 - F.degrees(F.acos(V.clamp(c, -1, 1))))
     tilt = planes.groupBy(*keys).agg(F.avg(F.least(off(n.x), off(n.y), off(n.z))).alias("manhattan"), F.avg(F.least(off(n.z), 90 - off(n.z))).alias("up_angle"))
-    close = merge_candidates(vertices, threshold, 10, keys).groupBy(*keys).agg(F.sum(F.log(F.col("dist") / threshold + 1e-6)).alias("magnetism"), F.count("*").alias("close_pairs"))
+    # all pairs under the threshold are in the same or in touching cells
+    cell = lambda k: F.floor(F.col(k) / (threshold * 1.001))
+    steps = F.array(*(F.lit(d) for d in (-1, 0, 1)))
+    left = at.select(*keys, F.col("vertex_id").alias("i"), *(F.col(k).alias(f"{k}0") for k in "xyz"), *(cell(k).alias(f"c{k}") for k in "xyz"))
+    right = at.select(*keys, F.col("vertex_id").alias("j"), *(F.col(k).alias(f"{k}1") for k in "xyz"), *(cell(k).alias(f"c{k}") for k in "xyz"))
+    for k in "xyz":
+        right = right.withColumn("_d", F.explode(steps)).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_d")).drop("_d")
+    pairs = left.join(right, [*keys, "cx", "cy", "cz"]).filter("i < j").withColumn("dist", (vec(suffix="1") - vec(suffix="0")).norm()).filter(F.col("dist") < threshold)
+    close = pairs.groupBy(*keys).agg(F.sum(F.log(F.col("dist") / threshold + 1e-6)).alias("magnetism"), F.count("*").alias("close_pairs"))
     return lengths.join(bends, list(keys), "left").join(tilt, list(keys), "left").join(close, list(keys), "left")

@@ -222,6 +222,17 @@ def test_merge_pairs_reach_every_polygon(spark):
     assert sorted((r.p, r.q) for r in neighbor_pairs(t).collect()) == [(p, p + 1) for p in sorted(ids) if p + 1 in ids]
 
 
+def test_regularity_counts_all_close_pairs(spark):
+    at = np.random.default_rng(3).uniform(-0.15, 0.15, (40, 3))
+    rows = [(0, i, *map(float, p)) for i, p in enumerate(at)]
+    vertices = spark.createDataFrame(rows, "scene_id int, vertex_id int, x double, y double, z double")
+    triangles = spark.createDataFrame([(0, 0, 0, 1, 2)], "scene_id int, triangle_id int, v0 int, v1 int, v2 int")
+    flat = spark.createDataFrame([(0, 0, 0.0, 0.0, 1.0, 0.0)], "scene_id int, polygon_id int, a double, b double, c double, d double")
+    out = M.layout_regularity(triangles, vertices, mesh.edge_uses(triangles), flat).first()
+    dist = [d for j in range(40) for i in range(j) if (d := float(np.linalg.norm(at[i] - at[j]))) < 0.2]
+    assert out.close_pairs == len(dist) and abs(out.magnetism - sum(np.log(d / 0.2 + 1e-6) for d in dist)) < 1e-6
+
+
 def test_zero_vote_segment(spark):
     seg = spark.createDataFrame([(0, 1, 10), (0, 2, 10), (0, 3, 20)], "scene_id int, vertex_id int, segment_id int")
     votes = spark.createDataFrame([(0, 1, 2, 3), (0, 2, 1, 3)], "scene_id int, vertex_id int, label int, votes bigint")
