@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import classifier, decontamination, jaccard, lines, mixing, rules, sharding, substrings, toxicity, warc
+from atrium.llm import (
+    classifier, decontamination, jaccard, lines, mixing, periods, rules, sharding, simhash, substrings, toxicity, warc, whitening,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,8 +57,20 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_digest(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.periods_digest(_table(spark, folder, "documents"))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_digest(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_line_dedup, op2_substring_dedup, op3_warc_revisits, op4_decontamination, op5_mixing, op6_quality_classifier, op7_quality_rules, op8_sharding,
-    op9_jaccard, op10_toxicity,
+    op9_jaccard, op10_toxicity, op11_whitening, op12_periods, op13_simhash,
 )}
 ORACLES: dict[str, str] = {"op3_warc_revisits": warc.ORACLE}

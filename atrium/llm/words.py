@@ -85,6 +85,24 @@ def words(column: pa.Array, lower: bool = False, letters: bool = False) -> Words
     return Words(data, start, end, np.searchsorted(start, at), at)
 
 
+def joined(w: Words, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The kept words (a mask; None: all), each followed by one space, as bytes, with the byte range of every kept word."""
+    start, end = (w.start, w.end) if keep is None else (w.start[keep], w.end[keep])
+    size = end - start
+    out_end = np.cumsum(size + 1) - 1
+    out_start = out_end - size
+    total = int(out_end[-1]) + 1 if len(size) else 0
+    taken = np.zeros(len(w.data) + 1, np.int8)  # +1 at a word's first byte, -1 behind its last
+    taken[start] += 1
+    taken[end] -= 1  # both where one text ends with a word and the next begins with one
+    out = np.full(total, 0x20, np.uint8)
+    if total:
+        place = np.ones(total, bool)
+        place[out_end] = False
+        out[place] = w.data[np.cumsum(taken[:-1], dtype=np.int8).view(bool)]
+    return out.tobytes(), out_start, out_end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (a fixed bijection)."""
     h = h ^ (h >> np.uint64(30))
