@@ -35,30 +35,16 @@ def _(t):
 
 
 def written_rasters(t) -> str:
-    """Each embedding's first eight values as a 2 x 4 raster file, written by the executors."""
-    import io
-    import os
-
-    import numpy as np
-    import pandas as pd
-
+    """Each embedding as a raster file of eight columns."""
     folder = scratch_path(t.spark, "rasters")
-
-    def store(batches):
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            for i, v in zip(batch["vec_id"], batch["v"]):
-                buffer = io.BytesIO()
-                np.save(buffer, np.asarray(v, dtype="float64").reshape(2, 4))
-                with open(f"{folder}/frame_{i}.npy", "wb") as f:
-                    f.write(buffer.getvalue())
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    t.raw("embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v")).mapInPandas(store, "n bigint").agg(F.sum("n")).collect()
+    pixels = t.raw("embeddings").select(F.format_string("frame_%d.npy", "vec_id").alias("name"), F.posexplode("embedding").alias("at", "value"))
+    writers.write_pixel_maps(pixels.select("name", F.expr("at div 8").alias("pix_row"), (F.col("at") % 8).alias("pix_col"), "value"), folder)
     return folder
 
 
-@query("scan_frame_files", "SELECT row_number() OVER (ORDER BY name) - 1 AS index, name, CAST(192 AS BIGINT) AS length FROM (SELECT 'frame_' || vec_id || '.npy' AS name FROM embeddings)")
+@query("scan_frame_files", """
+SELECT row_number() OVER (ORDER BY name) - 1 AS index, name, length
+FROM (SELECT 'frame_' || vec_id || '.npy' AS name, CAST(128 + 8 * len(embedding) AS BIGINT) AS length FROM embeddings)""")
 def _(t):
     return readers.scan_frame_files(t.spark, written_rasters(t), "*.npy").select("index", "name", "length")
 
@@ -98,11 +84,14 @@ def _(t):
 
 
 @query("read_pixel_maps", f"""
-SELECT 'wall_' || label AS name, count(*) * 8 AS n, {r('sum(z)', 4)} AS total FROM (SELECT label, unnest(list_transform(range(1, 9), lambda i: CAST(embedding[i] AS DOUBLE))) AS z FROM embeddings) GROUP BY label HAVING false
-UNION ALL SELECT 'all', count(*) * 8, {r('sum(list_sum(list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE))))', 4)} FROM embeddings""")
+WITH v AS (SELECT 'frame_' || vec_id || '.npy' AS name, list_transform(embedding, e -> CAST(e AS DOUBLE)) AS v FROM embeddings)
+SELECT name, len(v) = 64 AS shape_ok, len(list_filter(v, e -> isfinite(e))) = len(v) AS finite, len(list_filter(v, e -> e > 0)) > 0 AS any_positive,
+  {r('list_sum(v)', 4)} AS total, {r('list_sum([v[k] * (7 * ((k - 1) // 8) + (k - 1) % 8) for k in range(1, 65)])', 4)} AS placed FROM v""")
 def _(t):
     pixels = readers.read_pixel_maps(t.spark, written_rasters(t))
-    return pixels.agg(F.lit("all").alias("name"), F.count("*").alias("n"), r6(F.sum("value"), 4).alias("total"))
+    sums = pixels.groupBy("name").agg(
+        r6(F.sum("value"), 4).alias("total"), r6(F.sum(F.col("value") * (7 * F.col("pix_row") + F.col("pix_col"))), 4).alias("placed"))
+    return readers.check_pixel_maps(pixels, 8, 8).join(sums, "name")
 
 
 @query("read_polygon_info", "SELECT room_key % 3 AS scene_id, CAST(room_key AS BIGINT) AS polygon_id, 'room' AS class, [CAST(room_key AS BIGINT), CAST(room_key + 1 AS BIGINT)] AS vertices FROM fx_rooms")
@@ -137,24 +126,40 @@ def _(t):
 # ---- writers --------------------------------------------------------------------------------------------------
 
 
-@query("write_features", """SELECT room_id AS id, 'Feature' AS type, 'Polygon' AS geometry_type, CAST(level_key AS BIGINT) AS level_key FROM fx_rooms""")
+@query("write_features", """
+SELECT polygon_id AS id, 'Feature' AS type, 'Polygon' AS geometry_type, [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]] AS coordinates, a, -d AS height FROM fx_ceilings""")
 def _(t):
     path = scratch_path(t.spark, "features")
     ring = F.expr("array(array(array(x0, y0), array(x1, y0), array(x1, y1), array(x0, y1), array(x0, y0)))")
-    writers.write_features(t.rooms.select(F.col("room_id").alias("id"), F.lit("Polygon").alias("geometry_type"), ring.alias("coordinates"), "level_key"), path)
-    doc = "id string, type string, geometry struct<type: string>, properties struct<level_key: bigint>"
-    return t.spark.read.schema(doc).json(path).select("id", "type", F.col("geometry.type").alias("geometry_type"), "properties.level_key")
+    writers.write_features(t.ceilings.select(F.col("polygon_id").alias("id"), F.lit("Polygon").alias("geometry_type"), ring.alias("coordinates"), "a", (-F.col("d")).alias("height")), path)
+    doc = "id bigint, type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<a: double, height: double>"
+    return readers.read_features(t.spark, path, doc).select("id", "type", F.col("geometry.type").alias("geometry_type"), "geometry.coordinates", "properties.*")
 
 
 @query("write_mesh_rows", """
-SELECT 'vertex' AS kind, count(*) AS n FROM fx_mesh_vertices UNION ALL SELECT 'face', count(*) FROM fx_triangles UNION ALL SELECT 'header', 12""")
+WITH v AS (SELECT vertex_id - min(vertex_id) OVER () AS id, x, y, z FROM fx_mesh_vertices), low AS (SELECT min(vertex_id) AS first FROM fx_mesh_vertices),
+f AS (SELECT row_number() OVER (ORDER BY triangle_id) - 1 AS id, v0 - first AS v0, v1 - first AS v1, v2 - first AS v2 FROM fx_triangles, low),
+form AS (SELECT unnest(['ply', 'obj']) AS form)
+SELECT form, 'vertex' AS kind, id, CAST(printf('%.6f', x) AS DOUBLE) AS p, CAST(printf('%.6f', y) AS DOUBLE) AS q, CAST(printf('%.6f', z) AS DOUBLE) AS s,
+  CASE form WHEN 'ply' THEN '255 ' || CAST(least(255, round_even(z * 100, 0)) AS INT) || ' 0' END AS color FROM v, form
+UNION ALL SELECT form, 'face', id, CAST(v0 AS DOUBLE), CAST(v1 AS DOUBLE), CAST(v2 AS DOUBLE), NULL FROM f, form""")
 def _(t):
-    path = scratch_path(t.spark, "mesh")
-    colored = t.mesh_vertices.withColumns({"r": F.lit(300.0), "g": F.col("z") * 100, "b": F.lit(-5.0)})
-    writers.write_mesh_rows(writers.ply_lines(colored, t.triangles), path)
-    line = F.col("value")
-    kind = F.when(line.rlike(r"^3 [0-9]+ [0-9]+ [0-9]+$"), "face").when(line.rlike(r"^-?[0-9.]+ "), "vertex").otherwise("header")
-    return t.spark.read.text(path).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    first = t.mesh_vertices.agg(F.min("vertex_id").alias("first"))  # one row
+    corners = [(F.col(c) - F.col("first")).alias(c) for c in ("v0", "v1", "v2")]
+    vertices = t.mesh_vertices.join(F.broadcast(first)).select((F.col("vertex_id") - F.col("first")).alias("vertex_id"), "x", "y", "z")
+    vertices = vertices.withColumns({"r": F.lit(300.0), "g": F.col("z") * 100, "b": F.lit(-5.0)})
+    triangles = t.triangles.join(F.broadcast(first)).select("triangle_id", *corners)
+    out = None
+    for form, lines in (("ply", writers.ply_lines), ("obj", writers.obj_lines)):
+        path = scratch_path(t.spark, f"mesh_{form}")
+        writers.write_mesh_rows(lines(vertices, triangles), path, extension=f".{form}")
+        v, f = readers.read_mesh(t.spark, path, form, split=1 << 16)
+        color = F.when(F.col("r").isNotNull(), F.concat_ws(" ", "r", "g", "b"))
+        rows = v.select(F.lit(form).alias("form"), F.lit("vertex").alias("kind"), F.col("vertex_id").alias("id"), F.col("x").alias("p"), F.col("y").alias("q"), F.col("z").alias("s"), color.alias("color"))
+        rows = rows.unionByName(f.select(F.lit(form).alias("form"), F.lit("face").alias("kind"), F.col("triangle_id").alias("id"),
+                                         *(F.col(f"v{k}").cast("double").alias(c) for k, c in enumerate("pqs")), F.lit(None).cast("string").alias("color")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("write_layout_tables", "SELECT 'window' AS class, count(*) AS n FROM customer UNION ALL SELECT 'stairs', count(*) FROM supplier")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atrium.functions.text import base_name
+from atrium.operators.ranking import prefix_counts
+from atrium.sources.formats import register_formats
 
 NUMBERS = ("w", "h", "width", "height", "fl_x", "fl_y", "fx", "fy", "cx", "cy", "camera_angle_x", "camera_angle_y")
 MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
@@ -60,8 +59,6 @@ def duplicate_names(frames: DataFrame, keys: Sequence[str] = ("scene_id",)) -> D
 
 def scan_frame_files(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     """Files of a folder tree in name order with a dense index; contents are not read."""
-    from atrium.operators.ranking import prefix_counts
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     listing = files.select("path", "length", base_name(F.col("path")).alias("name"))
     # names are ordered through their first bytes, then within each such group
@@ -101,19 +98,10 @@ def check_record_count(records: DataFrame, manifest: DataFrame, keys: Sequence[s
 def read_pixel_maps(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
     """Rasters stored as .npy files, one row per pixel: (name, pix_row, pix_col, value).
 
-    A file is one frame, so each decode is bounded by the frame size.
+    Files go together and large ones are cut by rows, so read partitions are of one size.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(base_name(F.col("path")).alias("name"), "content")
-    schema = "name string, pix_row int, pix_col int, value double"
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                raster = np.load(io.BytesIO(content), allow_pickle=False)
-                r, c = np.indices(raster.shape)
-                yield pd.DataFrame({"name": name, "pix_row": r.ravel().astype("int32"), "pix_col": c.ravel().astype("int32"), "value": raster.ravel().astype(float)})
-
-    return files.mapInPandas(decode, schema)
+    register_formats(spark)
+    return spark.read.format("npy_pixels").option("glob", glob).load(path)
 
 
 def check_pixel_maps(pixels: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -123,6 +111,50 @@ def check_pixel_maps(pixels: DataFrame, rows: int, cols: int) -> DataFrame:
         (F.count("*") == rows * cols).alias("shape_ok"), F.every(~F.isnan(v) & (F.abs(v) < float("inf"))).alias("finite"), F.bool_or(v > 0).alias("any_positive"))
 
 
+def read_lines(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
+    """Text lines with their order: part (file in name order), at (byte in it), line."""
+    register_formats(spark)
+    reader = spark.read.format("ordered_lines")
+    return (reader.option("split", split) if split else reader).load(path)
+
+
+def numbered_lines(lines: DataFrame, out: str) -> DataFrame:
+    """Lines with their 0-based number in text order, without a single-task sort."""
+    key = F.shiftleft(F.col("part").cast("bigint"), 40) + F.col("at")  # files below 2^40 bytes
+    return prefix_counts(lines.withColumns({"_key": key, "_one": F.lit(1).cast("bigint")}), "_key", "_one", out, bits=64).drop("_key", "_one")
+
+
+def read_mesh(spark: SparkSession, path: str, form: str = "ply", split: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices (vertex_id, x, y, z, r, g, b) and triangles (triangle_id, v0, v1, v2) of ASCII PLY or OBJ text.
+
+    The text may lie in one file or in ordered parts; ids follow from the order of lines.  OBJ has no
+    colours (null) and counts vertices from one.
+    """
+    lines = read_lines(spark, path, split)
+    if form == "obj":
+        vertices, faces = (numbered_lines(lines.filter(F.col("line").startswith(f"{c} ")), "i") for c in "vf")
+        shift, places = 1, (1, 2, 3)
+    else:
+        mark = F.max(F.when(F.col("line") == "end_header", F.struct("part", "at"))).alias("end")
+        count = F.max(F.when(F.col("line").startswith("element vertex "), F.get(F.split("line", " "), F.lit(2)).cast("bigint"))).alias("nv")
+        head = lines.filter("line = 'end_header' OR line LIKE 'element vertex %'").agg(mark, count)  # one row
+        body = lines.join(F.broadcast(head)).filter(F.struct("part", "at") > F.col("end"))
+        body = numbered_lines(body, "i")
+        vertices, faces = body.filter("i < nv"), body.filter("i >= nv").withColumn("i", F.col("i") - F.col("nv"))
+        shift, places = 0, (0, 1, 2)
+    at = lambda k, kind: F.get(F.split("line", " +"), F.lit(k)).cast(kind)
+    xyz = [at(k, "double").alias(c) for k, c in zip(places, "xyz")]
+    rgb = [at(k + 3, "int").alias(c) if form == "ply" else F.lit(None).cast("int").alias(c) for k, c in enumerate("rgb")]
+    corners = [(F.regexp_extract(F.get(F.split("line", " +"), F.lit(k)), "^[0-9]+", 0).cast("bigint") - shift).alias(f"v{k - 1}") for k in (1, 2, 3)]
+    return vertices.select(F.col("i").alias("vertex_id"), *xyz, *rgb), faces.select(F.col("i").alias("triangle_id"), *corners)
+
+
+def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Features of a GeoJSON collection with one feature per line; ``schema`` has ``type`` and what else is wanted."""
+    parsed = F.from_json(F.regexp_replace("line", "^,", ""), schema)  # head and end are no documents of their own
+    return read_lines(spark, path).select(parsed.alias("f")).filter("f.type = 'Feature'").select("f.*")
+
+
 def read_polygon_info(documents: DataFrame, keys: Sequence[str], column: str = "value") -> DataFrame:
     """Polygon maps keyed by stringified ids (JSON text per scene) as rows with integer ids."""
     parsed = documents.select(*keys, F.from_json(column, T.MapType(T.StringType(), POLYGON)).alias("m"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atrium.operators.ranking import dense_index
+from atrium.sources.formats import register_formats
 
 
 def save_mode(overwrite: bool) -> str:
@@ -21,17 +21,28 @@ def write_frame_records(records: DataFrame, path: str, overwrite: bool = False)
 
 
 def write_features(features: DataFrame, path: str, overwrite: bool = False) -> None:
-    feature_lines(features).write.mode(save_mode(overwrite)).text(path)
+    """One GeoJSON feature collection in ordered parts: head, a feature per line by id, end."""
+    write_mesh_rows(collection_lines(features), path, overwrite, ".geojson")
 
 
-def feature_lines(features: DataFrame) -> DataFrame:
+def collection_lines(features: DataFrame) -> DataFrame:
+    """Lines (section, idx, line) of a feature collection; every feature but the first begins with a comma."""
+    first = F.broadcast(features.agg(F.min("id").alias("_first")))  # one row
+    body = feature_lines(features, "id").join(first)
+    line = F.when(F.col("id") == F.col("_first"), F.col("value")).otherwise(F.concat(F.lit(","), "value"))
+    frame = features.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "section int, line string")
+    return frame.select("section", F.lit(None).cast(features.schema["id"].dataType).alias("idx"), "line").unionByName(
+        body.select(F.lit(1).alias("section"), F.col("id").alias("idx"), line.alias("line")))
+
+
+def feature_lines(features: DataFrame, *keep: str) -> DataFrame:
     """GeoJSON features, one per line: ``id``, ``geometry_type``, ``coordinates`` and other columns as properties."""
     rest = [c for c in features.columns if c not in ("id", "geometry_type", "coordinates")]
     doc = F.struct(
         F.lit("Feature").alias("type"), F.col("id"),
         F.struct(F.col("geometry_type").alias("type"), F.col("coordinates")).alias("geometry"),
         F.struct(*rest).alias("properties"))
-    return features.select(F.to_json(doc).alias("value"))
+    return features.select(*keep, F.to_json(doc).alias("value"))
 
 
 def byte(channel: Column) -> Column:
@@ -65,9 +76,26 @@ def obj_lines(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     return v.unionByName(t)
 
 
-def write_mesh_rows(lines: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Lines in (section, idx) order over range-partitioned part files; concatenated in name order they are the file."""
-    lines.orderBy("section", "idx").select(F.col("line").alias("value")).write.mode(save_mode(overwrite)).text(path)
+def write_mesh_rows(lines: DataFrame, path: str, overwrite: bool = False, extension: str = ".ply") -> None:
+    """Lines in (section, idx) order over range-partitioned part files; in name order they are the text.
+
+    Tasks stage their part, one commit makes all parts visible.
+    """
+    register_formats(lines.sparkSession)
+    _staged(lines.orderBy("section", "idx").select("line").write.format("ordered_lines").option("extension", extension), path, overwrite)
+
+
+def write_pixel_maps(pixels: DataFrame, path: str, overwrite: bool = False, dtype: str = "float64") -> None:
+    """One .npy file per frame from pixel rows (name, pix_row, pix_col, value); a frame is written by one task."""
+    register_formats(pixels.sparkSession)
+    rows = pixels.select("name", F.col("pix_row").cast("int"), F.col("pix_col").cast("int"), F.col("value").cast("double"))
+    rows = rows.repartition("name").sortWithinPartitions("name", "pix_row", "pix_col")
+    _staged(rows.write.format("npy_pixels").option("dtype", dtype), path, overwrite)
+
+
+def _staged(writer, path: str, overwrite: bool) -> None:
+    """Sources of our own know no errorifexists mode; the option says the same."""
+    writer.mode("overwrite" if overwrite else "append").option("ifexists", "replace" if overwrite else "error").save(path)
 
 
 def write_layout_tables(entities: DataFrame, path: str, overwrite: bool = False) -> None:
