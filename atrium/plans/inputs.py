@@ -84,8 +84,8 @@ def _(t):
 
 
 @query("read_pixel_maps", f"""
-WITH v AS (SELECT 'frame_' || vec_id || '.npy' AS name, list_transform(embedding, e -> CAST(e AS DOUBLE)) AS v FROM embeddings)
-SELECT name, len(v) = 64 AS shape_ok, len(list_filter(v, e -> isfinite(e))) = len(v) AS finite, len(list_filter(v, e -> e > 0)) > 0 AS any_positive,
+WITH v AS (SELECT 'frame_' || vec_id || '.npy' AS name, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings)
+SELECT name, len(v) = 64 AS shape_ok, len(list_filter(v, lambda e: isfinite(e))) = len(v) AS finite, len(list_filter(v, lambda e: e > 0)) > 0 AS any_positive,
   {r('list_sum(v)', 4)} AS total, {r('list_sum([v[k] * (7 * ((k - 1) // 8) + (k - 1) % 8) for k in range(1, 65)])', 4)} AS placed FROM v""")
 def _(t):
     pixels = readers.read_pixel_maps(t.spark, written_rasters(t))
@@ -229,44 +229,84 @@ def _(t):
 # ---- streams --------------------------------------------------------------------------------------------------
 
 
-def event_stream(t):
-    schema = t.raw("events").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).selectExpr(
-        "event_id AS record_index", "CAST(ts AS TIMESTAMP) AS ts", "user_id % 20 AS scene_id", "event_type AS layout_name", "format_string('f%06d', event_id) AS name")
+ARRIVES = """
+SELECT *, least(9, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 259200) AS INT)) AS part,
+  record_index % 97 = 0 AND epoch(ts - TIMESTAMP '2024-01-01') < 5 * 259200 AS late,
+  'f' || lpad(CAST(record_index AS VARCHAR), 6, '0') AS name FROM fx_frame_events"""
+DELAY = "108 hours"  # one and a half parts
 
 
-@query("stream_frame_histogram", """
-SELECT date_trunc('hour', ts) AS window_start, scene_id % 20 AS scene_id, layout_name, count(*) AS n FROM fx_frame_events GROUP BY ALL""")
+def arrivals(t, number: int, folder: str) -> None:
+    """Events as files of three days each, part ``number`` of ten; written one after another, as a feed leaves them.
+
+    Every seventh row comes one part later, every eleventh comes (again) one part later, and every 97th
+    of the first half comes five parts later, when the watermark has passed it.
+    """
+    day = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 259_200_000_000)
+    rows = t.raw("events").selectExpr("event_id AS record_index", "CAST(ts AS TIMESTAMP) AS ts", "user_id % 20 AS scene_id", "event_type AS layout_name", "format_string('f%06d', event_id) AS name")
+    rows = rows.withColumn("part", F.least(F.lit(9), day))
+    late = (F.col("record_index") % 97 == 0) & (F.col("part") < 5)
+    shift = F.when(late, 5).when(F.col("record_index") % 7 == 0, 1).otherwise(0)
+    again = F.when(~late & (F.col("record_index") % 11 == 0), F.array(shift, F.lit(1))).otherwise(F.array(shift))
+    came = rows.withColumn("wait", F.explode(again)).withColumn("came", F.least(F.lit(9), F.col("part") + F.col("wait"))).drop("wait")
+    came.filter(F.col("came") == number).drop("part", "came").coalesce(1).write.mode("append").parquet(folder)
+
+
+def fed_stream(t, folder: str):
+    schema = "record_index long, ts timestamp, scene_id long, layout_name string, name string"
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def run_in_two(t, make, mode: str, each=None) -> str:
+    """Ten files, read one by one; the query ends after five and is started again from its state."""
+    folder, out, state = (scratch_path(t.spark, n) for n in ("feed", "result", "state"))
+    for parts in (range(5), range(5, 10)):
+        for k in parts:
+            arrivals(t, k, folder)
+        streams.run_available(make(fed_stream(t, folder)), t.spark, mode, each, out, state)
+    return out
+
+
+@query("stream_frame_histogram", f"""
+WITH a AS ({ARRIVES}) SELECT date_trunc('hour', ts) AS window_start, scene_id % 20 AS scene_id, layout_name, sum(CASE WHEN record_index % 11 = 0 THEN 2 ELSE 1 END)::BIGINT AS n FROM a WHERE NOT late GROUP BY ALL""")
 def _(t):
     path = scratch_path(t.spark, "log")
-    streams.run_available(streams.stream_frame_histogram(event_stream(t), ["scene_id"], "layout_name"), t.spark, "update", streams.changelog_sink(path))
+    run_in_two(t, lambda s: streams.stream_frame_histogram(s, ["scene_id"], "layout_name", delay=DELAY), "update", streams.changelog_sink(path))
     log = t.spark.read.parquet(path)
     return streams.latest_rows(log, ["window_start", "scene_id", "layout_name"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_progress", "SELECT scene_id % 20 AS scene_id, count(*) AS completed, 'f' || lpad(CAST(arg_max(record_index, (ts, record_index)) AS VARCHAR), 6, '0') AS last_frame FROM fx_frame_events GROUP BY 1")
+@query("stream_progress", f"""
+WITH a AS ({ARRIVES}), f AS (SELECT scene_id % 20 AS scene_id, ts, name FROM a WHERE NOT late),
+g AS (SELECT *, lag(ts) OVER (PARTITION BY scene_id ORDER BY ts, name) AS before FROM f),
+h AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY scene_id ORDER BY ts, name ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT scene_id, min(ts) AS started, max(ts) AS last_ts, count(*) AS completed, arg_max(name, (ts, name)) AS last_frame,
+  {r("date_diff('microsecond', min(ts), max(ts)) / CAST(1000000 AS DOUBLE)")} AS elapsed_seconds FROM h GROUP BY scene_id, run""")
 def _(t):
     path = scratch_path(t.spark, "log")
-    streams.run_available(streams.stream_progress(event_stream(t), ["scene_id"]), t.spark, "update", streams.changelog_sink(path))
-    return streams.latest_rows(t.spark.read.parquet(path), ["scene_id"]).select("scene_id", "completed", "last_frame")
+    run_in_two(t, lambda s: streams.stream_progress(s, "6 hours", DELAY), "append", streams.changelog_sink(path))
+    runs = streams.latest_progress(t.spark.read.parquet(path), "6 hours")
+    return runs.select("scene_id", F.col("started").cast("timestamp_ntz"), F.col("last_ts").cast("timestamp_ntz"), "completed", "last_frame", r6(F.col("elapsed_seconds")).alias("elapsed_seconds"))
 
 
-@query("stream_dedup_frames", "SELECT scene_id % 20 AS scene_id, record_index // 2 AS frame, min(1) AS n FROM fx_frame_events GROUP BY ALL")
+@query("stream_dedup_frames", f"WITH a AS ({ARRIVES}) SELECT scene_id % 20 AS scene_id, name, ts FROM a WHERE NOT late")
 def _(t):
-    frames = event_stream(t).withColumn("frame", F.expr("record_index div 2"))
-    out = streams.run_available(streams.stream_dedup_frames(frames, ["scene_id", "frame"], delay="3650 days"), t.spark)
-    return t.spark.read.parquet(out).groupBy("scene_id", "frame").agg(F.count("*").cast("int").alias("n"))
+    out = run_in_two(t, lambda s: streams.stream_dedup_frames(s, ["scene_id", "name"], delay=DELAY), "append")
+    return t.spark.read.parquet(out).select("scene_id", "name", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_vertex_votes", f"WITH {NEAREST_SQL} SELECT scene_id, vertex_id, label, CAST(count(*) AS BIGINT) AS votes FROM hit GROUP BY ALL")
 def _(t):
     from atrium.functions.vectors import vec
 
-    schema = t.raw("lineitem").schema
-    rays = t.spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder).selectExpr(
-        "l_suppkey % 2 AS scene_id", "l_quantity * 0.4D AS x", "l_extendedprice / 5250 AS y", "l_discount * 30 AS z", "CAST(l_suppkey % 9 AS INT) AS label")
+    folder, state = scratch_path(t.spark, "feed"), scratch_path(t.spark, "state")
+    lines = t.raw("lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_orderkey")
     tree = vertex_tree(t)  # the static side is placed once and reused by every batch
-    path = scratch_path(t.spark, "votes")
+    votes = streams.VoteLog(t.spark, scratch_path(t.spark, "votes"), every=2)
     place = lambda batch: S.nearest(batch, tree, vec(), tid="vertex_id")
-    streams.run_available(rays, t.spark, "append", streams.vertex_votes_sink(path, place))
-    return streams.total_votes(t.spark.read.parquet(path))
+    for half in (0, 1):  # started again from its state when the second half is there
+        lines.filter(F.col("l_orderkey") % 2 == half).drop("l_orderkey").coalesce(2).write.mode("append").parquet(folder)
+        rays = t.spark.readStream.schema(lines.drop("l_orderkey").schema).option("maxFilesPerTrigger", 1).parquet(folder).selectExpr(
+            "l_suppkey % 2 AS scene_id", "l_quantity * 0.4D AS x", "l_extendedprice / 5250 AS y", "l_discount * 30 AS z", "CAST(l_suppkey % 9 AS INT) AS label")
+        streams.run_available(rays, t.spark, "append", votes.sink(place), state=state)
+    return votes.votes()
