@@ -25,6 +25,7 @@ BLUR_SIGMA, BLUR_RADIUS, WALL_SHARE = 1.0, 2, 0.25
 BOTTLENECKS = (2.5, 1.5)
 MIN_SEED_AREA, MIN_ROOM_AREA = 0.5, 1.0
 
+LEVEL_CELLS = 1_000_000  # cells of a level that one task labels or floods; larger levels take the way in rounds
 ROWS_AT_ONCE = 32
 DOOR_MAX_WIDTH = 1.5
 
@@ -267,10 +268,69 @@ def run_triangles(runs: DataFrame, keys: Sequence[str] = LEVEL, label: str = "la
 
 
 def grid_components(cells: DataFrame, keys: Sequence[str] = LEVEL, out: str = "component") -> DataFrame:
-    """4-connected components of a cell set; the id is the smallest ``r * 2**32 + c`` of its runs.
+    """4-connected components of a cell set; the id is the smallest ``r * 2**32 + c`` of its cells.
 
-    Cells are first merged into runs, so the graph has one node per run.
+    A level of at most ``LEVEL_CELLS`` cells is labelled by one task.  In larger ones cells are first
+    merged into runs, so the graph has one node per run, and components are found in rounds.
     """
+    kinds = dict(cells.dtypes)
+    made = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "r", "c")) + f", {out} bigint"
+
+    def label(level: pd.DataFrame) -> pd.DataFrame:
+        return level.assign(**{out: label_level(level["r"].to_numpy(), level["c"].to_numpy())})
+
+    return _by_size(cells.select(*keys, "r", "c"), keys, label, made, lambda large: _components_in_rounds(large, keys, out))
+
+
+def _by_size(cells: DataFrame, keys: Sequence[str], local, schema: str, rounds) -> DataFrame:
+    """``local`` on each level that one task can hold, ``rounds`` on the others; both give the same rows."""
+    sizes = cut_lineage(cells.groupBy(*keys).agg(F.count("*").alias("_n")))
+    cells = cut_lineage(cells)
+    small = cells.join(sizes.filter(F.col("_n") <= LEVEL_CELLS).drop("_n"), list(keys), "left_semi").groupBy(*keys).applyInPandas(local, schema)
+    large = sizes.filter(F.col("_n") > LEVEL_CELLS).drop("_n")
+    if large.isEmpty():
+        return small
+    return small.unionByName(rounds(cells.join(large, list(keys), "left_semi")))
+
+
+def _cell_ids(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (r.astype(np.int64) << 32) + c.astype(np.int64)
+
+
+def _cell_pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of 4-neighbours in sorted cell ids; the first of each pair has the smaller id."""
+    pairs = []
+    for step in (1, 1 << 32):  # ids of one row are far apart from those of the next, so no pair wraps around
+        at = np.minimum(np.searchsorted(ids, ids + step), len(ids) - 1)
+        met = np.flatnonzero(ids[at] == ids + step)
+        pairs.append((met, at[met]))
+    return tuple(np.concatenate(side) for side in zip(*pairs))
+
+
+def label_level(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Component of each cell of one level, by repeated minima and pointer jumping."""
+    order = np.argsort(_cell_ids(r, c), kind="stable")
+    ids = _cell_ids(r, c)[order]
+    a, b = _cell_pairs(ids)
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for side in (root[a], root[b]):
+            np.minimum.at(root, side, low)
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+        if np.array_equal(before, root):
+            break
+    out = np.empty(len(ids), np.int64)
+    out[order] = ids[root]
+    return out
+
+
+def _components_in_rounds(cells: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     w = W.partitionBy(*keys, "r").orderBy("c")
     at = cells.select(*keys, "r", "c").withColumn("_i", F.col("c") - F.row_number().over(w))
     first = F.min("c").over(W.partitionBy(*keys, "r", "_i"))
@@ -286,10 +346,52 @@ def watershed_flood(cells: DataFrame, keys: Sequence[str] = LEVEL, height: str =
     """Grow positive markers over the cells in decreasing height.
 
     A cell belongs to the marker it reaches by the path whose lowest cell is highest, which is the
-    cut of a maximum spanning forest rooted at the markers.  Basins without a marker repeatedly join
-    the neighbour across their highest pass (ties: smallest cell pair), so their number at least
-    halves per round.  Cells cut off from all markers keep 0.
+    cut of a maximum spanning forest rooted at the markers; of equal passes the one with the smallest
+    cell pair comes first.  A level of at most ``LEVEL_CELLS`` cells is flooded by one task.  In
+    larger ones basins without a marker repeatedly join the neighbour across their highest pass, so
+    their number at least halves per round.  Cells cut off from all markers keep 0.
     """
+    kinds = dict(cells.dtypes)
+    made = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "r", "c", height)) + ", label bigint"
+    rows = cells.select(*keys, "r", "c", height, F.coalesce(F.col(marker), F.lit(0)).cast("bigint").alias(marker))
+
+    def flood(level: pd.DataFrame) -> pd.DataFrame:
+        label = flood_level(*(level[x].to_numpy() for x in ("r", "c", height, marker)))
+        return level.drop(columns=marker).assign(label=label)
+
+    return _by_size(rows, keys, flood, made, lambda large: _flood_in_rounds(large, keys, height, marker))
+
+
+def flood_level(r: np.ndarray, c: np.ndarray, height: np.ndarray, marker: np.ndarray) -> np.ndarray:
+    """Label of each cell of one level: passes from the highest down, joining what has no marker yet."""
+    order = np.argsort(_cell_ids(r, c), kind="stable")
+    ids = _cell_ids(r, c)[order]
+    a, b = _cell_pairs(ids)
+    by = np.lexsort((b, a, -np.minimum(height[order][a], height[order][b])))  # places are in the order of ids
+    label = marker[order].tolist()
+    parent = list(range(len(ids)))
+    first: dict[int, int] = {}
+    for i in np.flatnonzero(marker[order] > 0).tolist():
+        parent[i] = first.setdefault(label[i], i)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(a[by].tolist(), b[by].tolist()):
+        i, j = root(i), root(j)
+        if i != j and not (label[i] > 0 and label[j] > 0):
+            if label[j] > 0:
+                i, j = j, i
+            parent[j] = i
+    out = np.empty(len(ids), np.int64)
+    out[order] = [max(label[root(i)], 0) for i in range(len(ids))]
+    return out
+
+
+def _flood_in_rounds(cells: DataFrame, keys: Sequence[str], height: str, marker: str) -> DataFrame:
     ident = F.col("r").cast("bigint") * F.lit(1 << 32) + F.col("c").cast("bigint")
     base = cut_lineage(cells.select(*keys, "r", "c", ident.alias("id"), F.col(height).alias("h"), F.coalesce(F.col(marker), F.lit(0)).cast("bigint").alias("m")))
     right = base.select(*keys, F.col("r"), F.col("c"), F.col("id").alias("a"), F.col("h").alias("ha"))

@@ -168,14 +168,54 @@ def _(t):
     return raster.room_boundary(t.cells)
 
 
-@query("watershed_flood")
+def distance_sql(resolution: float) -> str:
+    """CTE ``dt``: free cells with id ``r * 2**32 + c`` and their distance to what is not free."""
+    return f"""nbc AS (SELECT DISTINCT level_id, r + i AS r, c + j AS c FROM fx_cells, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+bg AS (SELECT level_id, r, c FROM fx_cells WHERE NOT free UNION ALL SELECT n.level_id, n.r, n.c FROM nbc n ANTI JOIN fx_cells f ON f.level_id = n.level_id AND f.r = n.r AND f.c = n.c),
+dt AS MATERIALIZED (SELECT a.level_id, a.r, a.c, CAST(a.r AS BIGINT) * 4294967296 + a.c AS id, sqrt(CAST(min((a.r-b.r)*(a.r-b.r) + (a.c-b.c)*(a.c-b.c)) AS DOUBLE)) * {resolution}::DOUBLE AS h
+  FROM fx_cells a JOIN bg b ON a.level_id = b.level_id AND a.free GROUP BY ALL),
+nb AS MATERIALIZED (SELECT a.level_id, a.id AS a, b.id AS b, least(a.h, b.h) AS h FROM dt a JOIN dt b ON a.level_id = b.level_id AND ((a.r = b.r AND abs(a.c - b.c) = 1) OR (a.c = b.c AND abs(a.r - b.r) = 1)))"""
+
+
+# the highest pass between what has a label and what has none gives the next cell its label
+FLOOD = """pass AS MATERIALIZED (SELECT level_id, a, b, row_number() OVER (PARTITION BY level_id ORDER BY h DESC, least(a, b), greatest(a, b)) AS k FROM nb),
+lab(level_id, id, label) USING KEY (level_id, id) AS (SELECT level_id, id, marker FROM marked WHERE marker > 0 UNION
+  SELECT level_id, b, label FROM (SELECT e.level_id, e.b, l.label, row_number() OVER (PARTITION BY e.level_id ORDER BY e.k) AS n
+    FROM pass e JOIN recurring.lab l ON l.level_id = e.level_id AND l.id = e.a ANTI JOIN recurring.lab x ON x.level_id = e.level_id AND x.id = e.b WHERE EXISTS (SELECT 1 FROM lab)) WHERE n = 1)"""
+
+
+@query("watershed_flood", f"""
+WITH {distance_sql(0.05)}, marked AS (SELECT level_id, id, CASE WHEN r % 9 = 4 AND c % 11 = 5 THEN CAST(r // 9 * 10 + c // 11 + 1 AS BIGINT) ELSE 0 END AS marker FROM dt),
+{FLOOD} SELECT dt.level_id, dt.r, dt.c, coalesce(lab.label, 0) AS label FROM dt LEFT JOIN lab ON lab.level_id = dt.level_id AND lab.id = dt.id""")
 def _(t):
     dist = raster.distance_transform(t.cells)
     seeds = t.cells.selectExpr("level_id", "r", "c", "CASE WHEN r % 9 = 4 AND c % 11 = 5 THEN r div 9 * 10 + c div 11 + 1 ELSE 0 END AS marker")
     return raster.watershed_flood(dist.join(seeds, ["level_id", "r", "c"])).select("level_id", "r", "c", "label")
 
 
-@query("room_segmentation")
+def components_sql(name: str, least: float) -> str:
+    """CTE ``name``: component of the cells at least this far from walls."""
+    return f"""{name}_n AS MATERIALIZED (SELECT * FROM nb WHERE h >= {least}),
+{name}(level_id, id, comp) USING KEY (level_id, id) AS (SELECT level_id, id, id FROM dt WHERE h >= {least} UNION
+  SELECT n.level_id, n.b, min(c.comp) FROM {name} c JOIN {name}_n n ON n.level_id = c.level_id AND n.a = c.id
+    JOIN recurring.{name} o ON o.level_id = n.level_id AND o.id = n.b WHERE c.comp < o.comp GROUP BY n.level_id, n.b)"""
+
+
+@query("room_segmentation", f"""
+WITH {distance_sql(0.5)}, {components_sql('wide', 1.25)}, {components_sql('narrow', 0.75)}, {components_sql('every', 0)},
+w AS (SELECT level_id, comp, row_number() OVER (PARTITION BY level_id ORDER BY comp) AS marker FROM wide GROUP BY level_id, comp HAVING count(*) >= 2),
+m1 AS (SELECT wide.level_id, id, marker FROM wide JOIN w ON w.level_id = wide.level_id AND w.comp = wide.comp),
+st AS (SELECT n.level_id, n.comp, min(marker) AS lo, max(marker) AS hi FROM narrow n LEFT JOIN m1 ON m1.level_id = n.level_id AND m1.id = n.id GROUP BY ALL HAVING count(*) >= 2),
+top AS (SELECT level_id, max(marker) AS base FROM m1 GROUP BY 1),
+nw AS (SELECT st.level_id, comp, row_number() OVER (PARTITION BY st.level_id ORDER BY comp) + coalesce(base, 0) AS marker FROM st LEFT JOIN top ON top.level_id = st.level_id WHERE lo IS NULL
+  UNION ALL SELECT level_id, comp, lo FROM st WHERE lo = hi),
+m2 AS (SELECT n.level_id, id, marker FROM narrow n JOIN nw ON nw.level_id = n.level_id AND nw.comp = n.comp),
+marked AS (SELECT * FROM m2 UNION ALL SELECT m1.* FROM m1 ANTI JOIN m2 ON m2.level_id = m1.level_id AND m2.id = m1.id), {FLOOD},
+kept AS (SELECT level_id, label, row_number() OVER (PARTITION BY level_id ORDER BY label) AS room FROM lab GROUP BY level_id, label HAVING count(*) >= 4)
+SELECT dt.level_id, dt.r, dt.c, CAST(CASE WHEN dt.level_id NOT IN (SELECT level_id FROM marked) THEN (SELECT count(DISTINCT o.comp) FROM every o WHERE o.level_id = dt.level_id AND o.comp <= every.comp)
+  WHEN dt.level_id NOT IN (SELECT level_id FROM kept) THEN 1 ELSE coalesce(kept.room, 0) END AS BIGINT) AS label
+FROM dt JOIN every ON every.level_id = dt.level_id AND every.id = dt.id LEFT JOIN lab ON lab.level_id = dt.level_id AND lab.id = dt.id
+  LEFT JOIN kept ON kept.level_id = lab.level_id AND kept.label = lab.label""")
 def _(t):
     out = raster.segment_rooms(t.cells, resolution=0.5, widths=(2.5, 1.5))
-    return out.select("level_id", "r", "c", "label")
+    return out.select("level_id", "r", "c", F.col("label").cast("bigint").alias("label"))

@@ -66,6 +66,27 @@ def test_watershed_equals_flooding_by_best_path(spark):
         assert width(p, label) == max(width(p, m) for m in (1, 2, 3))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_of_any_size_give_the_same_rows(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(level, r, c, float(rng.integers(0, 4)), int(rng.choice([0] * 30 + [1, 2, 3]))) for level in range(3) for r in range(9) for c in range(11) if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, f"{CELL}, distance double, marker int")
+    found = {}
+    for bound in (10**6, 0, 70):  # one task a level, rounds for all, either
+        monkeypatch.setattr(raster, "LEVEL_CELLS", bound)
+        found[bound] = [sorted(map(tuple, df.collect())) for df in (
+            raster.watershed_flood(cells).select("level_id", "r", "c", "label"), raster.grid_components(cells).select("level_id", "r", "c", "component"))]
+    assert found[0] == found[10**6] == found[70] and len(found[0][0]) == len(rows)
+    labels = {r[:3]: r[3] for r in found[0][0]}
+    assert all(labels[r[:3]] == r[4] for r in rows if r[4])
+
+
+def test_empty_floorplans(spark):
+    none = spark.createDataFrame([], f"{CELL}, distance double, marker int, free boolean")
+    assert raster.watershed_flood(none).count() == 0 and raster.grid_components(none).count() == 0
+    assert raster.segment_rooms(none.select("level_id", "r", "c", "free")).count() == 0
+
+
 def _widest(h, src, dst):
     seen, heap = set(), [(-h[src], src)]
     while heap:
