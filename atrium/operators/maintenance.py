@@ -479,15 +479,54 @@ def edges_facing(cornered: DataFrame, inner: DataFrame, planes: DataFrame, direc
     return tri.select(*keys, "polygon_id", "triangle_id", F.explode(F.array_intersect(picks, rim)).alias("e")).select(*keys, "polygon_id", "triangle_id", "e.e0", "e.e1")
 
 
+def _tilt(pl: V.Plane) -> Column:
+    """Degrees between a plane's normal and straight up."""
+    return F.degrees(F.acos(V.clamp(pl.c / pl.n.norm(), -1.0, 1.0)))
+
+
+def edges_on_two_planes(edges: DataFrame, assignments: DataFrame, keys: Sequence[str] = SCENE) -> DataFrame:
+    """Edges (e0, e1) whose two vertices are assigned to two common planes or more."""
+    at = lambda e: assignments.select(*keys, F.col("vertex_id").alias(e), "plane_id").filter("plane_id <> -1").distinct()
+    both = edges.select(*keys, "e0", "e1").distinct().join(at("e0"), [*keys, "e0"]).join(at("e1"), [*keys, "e1", "plane_id"])
+    return both.groupBy(*keys, "e0", "e1").agg(F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
+
+
+def wall_targets(lower: DataFrame, vertices: DataFrame, cornered: DataFrame, planes: DataFrame, classes: DataFrame, floor_class: int,
+                 keys: Sequence[str] = SCENE, must_be_below: bool = False, max_floor_tilt: float = 30.0, max_dist: float = 3.0) -> DataFrame:
+    """Floor polygon (target_id, -1 for none) of each lower edge: that nearest to its lower end, or the nearest below it.
+
+    Polygons of the floor class count as floors up to ``max_floor_tilt`` degrees from level.
+    """
+    from atrium.operators import matching
+
+    level = planes.filter(_tilt(plane()) <= max_floor_tilt).select(*keys, "polygon_id")
+    floors = classes.join(level, [*keys, "polygon_id"], "left_semi")
+    ends = lower.select(*keys, "e0", "e1").distinct()
+    for e in ("e0", "e1"):
+        ends = ends.join(vertices.select(*keys, F.col("vertex_id").alias(e), F.struct("z", "x", "y").alias(f"_{e}")), [*keys, e])
+    low = F.when(F.col("_e0.z") < F.col("_e1.z"), F.col("_e0")).otherwise(F.col("_e1"))
+    points = ends.withColumn("_p", low).select(*keys, "e0", "e1", "_p.x", "_p.y", "_p.z")
+    if must_be_below:
+        found = matching.next_lower_polygon(points, cornered, keys, ["e0", "e1"], floors, floor_class, max_dist=max_dist)
+    else:
+        found = matching.nearest_polygon_of_class(points, cornered, keys, floors, floor_class, max_dist=max_dist)
+    return found.select(*keys, "e0", "e1", F.col("polygon_id").alias("target_id"))
+
+
 def extend_walls(lower: DataFrame, vertices: DataFrame, planes: DataFrame, targets: DataFrame, rays: DataFrame, hit_limit: DataFrame,
-                 keys: Sequence[str] = SCENE, margin: float = 0.1, min_length: float = 0.2, max_tilt: float = 10.0) -> DataFrame:
+                 keys: Sequence[str] = SCENE, margin: float = 0.1, min_length: float = 0.2, max_tilt: float = 10.0, assignments: DataFrame | None = None) -> DataFrame:
     """Quads that carry the lower edges of walls down (or up) to their target plane.
 
-    ``lower``: polygon_id, e0, e1; ``targets``: e0, e1, target_id (-1 for none); ``rays``: ray_id,
-    ox..oz, ex..ez; ``hit_limit``: polygon_id, max_hits_per_area.  A quad is taken if the edge is
-    long and level enough and rays cross it less often per area than its wall allows.
+    ``lower``: polygon_id, e0, e1; ``targets``: e0, e1, target_id (null or -1 for none); ``rays``:
+    ray_id, ox..oz, ex..ez; ``hit_limit``: polygon_id, max_hits_per_area; ``assignments``: vertex_id,
+    plane_id.  Walls further than ``max_tilt`` degrees from upright have no quads, nor have edges
+    whose two vertices share two planes or more.  A quad is taken if the edge is long and level
+    enough and rays cross it less often per area than its wall allows.
     """
-    q = lower.join(targets.filter("target_id >= 0"), [*keys, "e0", "e1"])
+    upright = planes.filter(F.abs(_tilt(plane()) - 90) <= max_tilt).select(*keys, "polygon_id")
+    q = lower.join(upright, [*keys, "polygon_id"], "left_semi").join(targets.filter("target_id IS NOT NULL AND target_id <> -1"), [*keys, "e0", "e1"])
+    if assignments is not None:
+        q = q.join(edges_on_two_planes(q, assignments, keys), [*keys, "e0", "e1"], "left_anti")
     for i, e in enumerate(("e0", "e1")):
         q = q.join(vertices.select(*keys, F.col("vertex_id").alias(e), *(F.col(c).alias(f"{c}{i}") for c in "xyz")), [*keys, e])
     for col, s in (("polygon_id", "1"), ("target_id", "2")):

@@ -152,10 +152,11 @@ def next_lower_polygon(points: DataFrame, triangles: DataFrame, keys: Sequence[s
         *points.columns, F.coalesce("b.polygon_id", F.lit(-1)).alias("polygon_id"), F.col("b.dist").alias("dist"))
 
 
-def nearest_polygon_of_class(points: DataFrame, triangles: DataFrame, keys: Sequence[str], classes: DataFrame, class_id: int) -> DataFrame:
-    """Polygon of the nearest triangle of a class; -1 where the scene has none."""
+def nearest_polygon_of_class(points: DataFrame, triangles: DataFrame, keys: Sequence[str], classes: DataFrame, class_id: int,
+                             max_dist: float | None = None) -> DataFrame:
+    """Polygon of the nearest triangle of a class, within ``max_dist`` if given; -1 where there is none."""
     wanted = triangles.join(classes.filter(F.col("class_id") == class_id), [*keys, "polygon_id"], "left_semi")
     corner = [Vec(*(F.col(f"{n}{c}") for c in "xyz")) for n in "abc"]
     tree = S.shape_tree(wanted, keys, "polygon_id", corner)
-    out = S.nearest(points, tree, Vec(F.col("x"), F.col("y"), F.col("z")), S.triangle_metric, how="left", tid="polygon_id")
+    out = S.nearest(points, tree, Vec(F.col("x"), F.col("y"), F.col("z")), S.triangle_metric, max_dist=max_dist, how="left", tid="polygon_id")
     return out.withColumn("polygon_id", F.coalesce("polygon_id", F.lit(-1)))

@@ -281,15 +281,17 @@ def _(t):
 
 @query("extend_walls")
 def _(t):
-    lower = facing(t).select("scene_id", "polygon_id", "e0", "e1").distinct()
-    # walls are four polygons of five seen as upright planes, the floor is the horizontal plane -100
-    upright = t.ceilings.filter("polygon_id % 5 < 4").selectExpr("0L AS scene_id", "polygon_id", "0D AS a", "1D AS b", "0.2D AS c", "-polygon_id * 1D AS d")
-    floor = t.ceilings.filter("polygon_id = 4").selectExpr("0L AS scene_id", "-100L AS polygon_id", "0D AS a", "0D AS b", "1D AS c", "1D AS d")
-    targets = lower.select("scene_id", "e0", "e1").distinct().withColumn("target_id", F.lit(-100).cast("bigint"))
+    # odd polygons are walls, seen as planes that lean by less than six degrees; even ones are floors, seen as level planes
+    lower = facing(t).filter("polygon_id % 2 = 1").select("scene_id", "polygon_id", "e0", "e1").distinct()
+    ids = t.triangles.select("scene_id", "polygon_id").distinct()
+    upright = ids.filter("polygon_id % 2 = 1").selectExpr("scene_id", "polygon_id", "0D AS a", "1D AS b", "0.1D AS c", "-polygon_id * 1D AS d")
+    level = ids.filter("polygon_id % 2 = 0").selectExpr("scene_id", "polygon_id", "0D AS a", "0D AS b", "1D AS c", "1D - polygon_id * 0.5D AS d")
+    surfaces = upright.unionByName(level)
+    targets = M.wall_targets(lower, t.mesh_vertices, cornered(t), surfaces, polygon_classes(t), 2)
     limit = upright.select("scene_id", "polygon_id", F.lit(40.0).alias("max_hits_per_area"))
     rays = room_rays(t).withColumnRenamed("vertex_id", "ray_id")
-    out = M.extend_walls(lower, t.mesh_vertices, upright.unionByName(floor), targets, rays, limit, min_length=0.05)
-    return out.select("polygon_id", "e0", "e1", r6(F.col("area")).alias("area"), "hits", "accepted")
+    out = M.extend_walls(lower, t.mesh_vertices, surfaces, targets, rays, limit, min_length=0.05, assignments=vertex_polygons(t))
+    return out.select("polygon_id", "e0", "e1", "target_id", r6(F.col("area")).alias("area"), "hits", "accepted")
 
 
 @query("project_objects_to_floor", """

@@ -256,3 +256,34 @@ def test_extraction_without_a_seed_has_no_planes(spark):
     state, planes = fitting.plane_extraction(vertices, triangles, SC, min_seed=10)
     assert planes.count() == 0 and planes.columns == ["scene_id", "polygon_id", "a", "b", "c", "d"]
     assert {r.polygon_id for r in state.collect()} == {fitting.UNASSIGNED}
+
+
+@pytest.mark.parametrize("below", [False, True])
+def test_walls_reach_the_floor_they_find(spark, below):
+    # per scene: lean of the wall, height of its lower edge, edge on two planes, crossed by rays; what is expected
+    cases = [(0.0, 1.0, False, False, True), (0.1, 1.0, False, True, False), (0.5, 1.0, False, False, None), (0.0, 3.5, False, False, None), (0.0, 1.0, True, False, None)]
+    corners = [(-1.0, -1.0), (3.0, -1.0), (3.0, 3.0), (-1.0, 3.0)]
+    tris = [(0, 0, 1, 2, 5), (1, 1, 3, 2, 5), (2, 4, 5, 6, 7), (3, 4, 6, 7, 7), (4, 4, 6, 7, 9)]
+    v, t, pl, links, rays = [], [], [], [], []
+    for k, (lean, gap, shared, crossed, _) in enumerate(cases):
+        v += [(k, i, x, 0.0, gap + h) for i, (x, h) in enumerate(((0.0, 0.0), (2.0, 0.0), (0.0, 2.0), (2.0, 2.0)))] + [(k, 4 + i, *p, 0.0) for i, p in enumerate(corners)]
+        t += [(k, *x) for x in tris]
+        pl += [(k, 5, 0.0, 1.0, lean, -lean * gap), (k, 7, 0.0, 0.0, 2.0, 0.0), (k, 9, 0.0, 1.0, 1.0, 0.0)]
+        links += [(k, i, p) for i in (0, 1) for p in ((5, 8) if shared else (5,))]
+        rays += [(k, i, 0.5 + i / 4, 1.0, 0.4, 0.5 + i / 4, -1.0, 0.4) for i in range(3) if crossed]
+    make = lambda rows, cols: spark.createDataFrame(rows, "scene_id int, " + cols)
+    scenes = range(len(cases))
+    vertices = make(v, "vertex_id int, x double, y double, z double")
+    cornered = mesh.corners(make(t, "triangle_id int, v0 int, v1 int, v2 int, polygon_id int"), vertices)
+    planes = make(pl, "polygon_id int, a double, b double, c double, d double")
+    classes = make([(k, *c) for k in scenes for c in ((5, 1), (7, 2), (9, 2))], "polygon_id int, class_id int")  # 9 is too steep for a floor
+    lower = make([(k, 5, 0, 1) for k in scenes], "polygon_id int, e0 int, e1 int")
+    targets = M.wall_targets(lower, vertices, cornered, planes, classes, 2, must_be_below=below).collect()
+    assert {r.scene_id: r.target_id for r in targets} == {k: 7 if c[1] < 3 else -1 for k, c in enumerate(cases)}
+    if below:
+        return
+    out = M.extend_walls(
+        lower, vertices, planes, spark.createDataFrame(targets), make(rays, "ray_id int, ox double, oy double, oz double, ex double, ey double, ez double"),
+        make([(k, 5, 1.0) for k in scenes], "polygon_id int, max_hits_per_area double"), assignments=make(links, "vertex_id int, plane_id int")).collect()
+    assert {r.scene_id: r.accepted for r in out} == {k: c[4] for k, c in enumerate(cases) if c[4] is not None}
+    assert {r.scene_id: r.area for r in out} == pytest.approx({0: 2.0, 1: 2 * 1.01**0.5})
