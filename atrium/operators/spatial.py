@@ -1,14 +1,16 @@
-"""Exact nearest, range and ray joins on a pyramid of bounding boxes, as equi joins and aggregates.
+"""Exact nearest, range and ray joins on a linear octree of bounding boxes, as equi joins and aggregates.
 
-Targets (points, segments, triangles, boxes) fall into cells of a grid whose edge halves until no
-cell holds more than a set number of distinct targets; groups of 4x4x4 cells form the next level.
-Queries are grouped into cells as well, and each group walks down the pyramid: one join on the
-parent cell per level, then nodes that cannot hold an answer are dropped by comparing box
-distances.  What is left per group is a short list of leaf cells, which every query of the group
-scans.  Nothing depends on a search radius, so results are exact for empty and for crowded regions.
+Targets (points, segments, triangles, boxes) get the Morton code of their centre within their own
+scene's cube; a cell is cut into 4x4x4 while it holds more than a set number of distinct targets,
+so each scene has its own edge lengths and only crowded cells are cut further.  Queries are grouped
+into cells as well, and each group walks down the tree: one join on the parent cell per level, then
+nodes that cannot hold an answer are dropped by comparing box distances.  A leaf above the deepest
+level goes on as its own child.  What is left per group is a short list of leaf cells, which every
+query of the group scans.  Nothing depends on a search radius, so results are exact for empty and
+for crowded regions.
 
 Crowding is handled where it arises: copies of one geometry collapse to the k lowest ids before
-the pyramid is built, a crowded region gets a finer grid, and a crowded query group only widens a
+the tree is built, a crowded region gets deeper leaves, and a crowded query group only widens a
 join on the group key, which adaptive execution splits.
 """
 
@@ -27,8 +29,10 @@ from atrium.operators.ranking import top_k
 from atrium.session import cut_lineage
 
 STEP = 2  # bits per axis and level: 4 x 4 x 4 children
+DEPTH = 10  # levels below the root
 LOW, HIGH = ("lx", "ly", "lz"), ("hx", "hy", "hz")
-CELL, NODE, GROUP = ("cx", "cy", "cz"), ("sx", "sy", "sz"), ("gx", "gy", "gz")
+GROUP = ("gx", "gy", "gz")
+PLACE = ("_ox", "_oy", "_oz", "_edge")  # origin and group edge of a scene
 LEAVES_PER_ROW = 512
 BROADCAST_CELLS = 100_000  # node rows take about 100 bytes
 BROADCAST_ROWS = 50_000  # target rows take up to 300 bytes
@@ -36,15 +40,15 @@ BROADCAST_ROWS = 50_000  # target rows take up to 300 bytes
 
 @dataclass(frozen=True)
 class Tree:
-    """Targets with their leaf cell, and the grid they were put into."""
+    """Targets with Morton code and level of their leaf, and the cube of each scene."""
 
     rows: DataFrame
+    scenes: DataFrame
     keys: tuple[str, ...]
-    origin: tuple[float, float, float]
-    edge: float
-    levels: int
+    levels: int  # of the deepest leaf
     total: int
     cells: int
+    n_scenes: int
 
     def small_nodes(self, nodes: DataFrame) -> DataFrame:
         """Broadcast hint for node tables whose row count, known from the build, allows it."""
@@ -53,38 +57,73 @@ class Tree:
     def small_leaves(self, leaves: DataFrame) -> DataFrame:
         return F.broadcast(leaves) if self.total <= BROADCAST_ROWS else leaves
 
-    def cell(self, p: Vec) -> list[Column]:
-        return [F.floor((c - F.lit(o)) / F.lit(self.edge)) for c, o in zip(p, self.origin)]
+    def placed(self, queries: DataFrame, q: Vec) -> DataFrame:
+        """Queries with their group cell; null where the scene has no targets."""
+        scenes = F.broadcast(self.scenes) if self.n_scenes <= BROADCAST_CELLS else self.scenes
+        at = queries.join(scenes, list(self.keys), "left") if self.keys else queries.join(F.broadcast(self.scenes), how="left")
+        return at.withColumns({g: F.floor((c - F.col(o)) / F.col("_edge")) for g, c, o in zip(GROUP, q, PLACE)}).drop(*PLACE)
 
     def nodes(self, level: int) -> DataFrame:
-        """Boxes and member counts of the cells at a level (0 = leaf), keyed for their parent."""
-        at = [F.shiftright(c, STEP * level).alias(s) for c, s in zip(CELL, NODE)]
-        out = self.rows.groupBy(*self.keys, *at).agg(*box_union(), F.count("*").alias("cnt"))
-        return out.withColumns({f"p{c[1]}": F.shiftright(c, STEP) for c in NODE})
+        """Boxes and member counts of the cells at a level (leaves above it stand for themselves), with their parent."""
+        return self.rows.groupBy(*self.keys, node_id(level).alias("node"), node_id(level - 1).alias("parent")).agg(*box_union(), F.count("*").alias("cnt"))
 
     def leaves(self) -> DataFrame:
-        """Leaf cells with their box and members; members are bounded by the grid choice."""
-        return self.rows.groupBy(*self.keys, *(F.col(c).alias(s) for c, s in zip(CELL, NODE))).agg(
-            *box_union(), F.collect_list(F.struct("tid", "geom")).alias("members")
-        )
+        """Leaf cells with their box and members; the number of distinct members is bounded."""
+        return self.rows.groupBy(*self.keys, node_id(DEPTH).alias("node")).agg(*box_union(), F.collect_list(F.struct("tid", "geom")).alias("members"))
 
     def members(self) -> DataFrame:
         """Targets one by one under their leaf cell."""
-        return self.rows.select(*self.keys, *(F.col(c).alias(s) for c, s in zip(CELL, NODE)), "tid", "geom")
+        return self.rows.select(*self.keys, node_id(DEPTH).alias("node"), "tid", "geom")
 
 
 def box_union() -> list[Column]:
     return [F.min(c).alias(c) for c in LOW] + [F.max(c).alias(c) for c in HIGH]
 
 
+def spread_bits(x: Column) -> Column:
+    """A number of 20 bits with two zero bits between its bits."""
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def morton(cell: Sequence[Column]) -> Column:
+    x, y, z = (spread_bits(c.cast("bigint")) for c in cell)
+    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+
+
+def node_id(level: int, leaf: Column | None = None) -> Column:
+    """Cell of a target at a level, or its leaf if that lies above: a one in front of the code's leading bits."""
+    at = F.greatest(F.least(F.col("leaf") if leaf is None else leaf, F.lit(level)), F.lit(0))
+    bits = 3 * STEP
+    # the code has a one above its 60 bits, so shifting it keeps one mark per level
+    return F.call_function("shiftright", F.col("code"), bits * (DEPTH - at))
+
+
+def with_leaf_levels(rows: DataFrame, keys: Sequence[str], weight: Sequence[str], most: int) -> DataFrame:
+    """Rows with the level of their leaf: a cell is cut while it holds more than ``most`` distinct ``weight``.
+
+    Cells with too many are nested, so a target's leaf lies as deep as it has such cells above it.
+    """
+    every = rows.select(*keys, "code", *weight).distinct() if weight else rows.select(*keys, "code")
+    cells = every.groupBy(*keys, "code").agg(F.count("*").alias("n"))
+    bits = 3 * STEP
+    above = F.explode(F.transform(F.sequence(F.lit(0), F.lit(DEPTH - 1)), lambda level: F.call_function("shiftright", F.col("code"), bits * (DEPTH - level)))).alias("cell")
+    listed = cells.select(*keys, "code", "n", above)
+    crowded = listed.groupBy(*keys, "cell").agg(F.sum("n").alias("held")).filter(F.col("held") > most).select(*keys, "cell")
+    deep = listed.join(crowded, [*keys, "cell"]).groupBy(*keys, "code").agg(F.count("*").cast("int").alias("leaf"))
+    return rows.join(deep, [*keys, "code"], "left").withColumn("leaf", F.coalesce("leaf", F.lit(0)))
+
+
 def build_tree(
     targets: DataFrame, keys: Sequence[str], tid: Column | str, geom: Column, low: Vec, high: Vec,
-    *, k: int | None = 1, leaf_points: int = 8, cap: int = 64,
+    *, k: int | None = 1, leaf_points: int = 8,
 ) -> Tree:
-    """Place targets in the grid.  ``tid`` breaks ties and must be orderable.
+    """Place targets in their scene's octree.  ``tid`` breaks ties and must be orderable.
 
     Of equal geometries the ``k`` lowest ids are kept, as many as a k-nearest search can return;
-    ``None`` keeps all of them, for joins that return every match.
+    ``None`` keeps all of them, for joins that return every match.  A cell with more than
+    ``2 * leaf_points`` distinct targets is cut.
     """
     tid = F.col(tid) if isinstance(tid, str) else tid
     slim = targets.select(
@@ -96,28 +135,24 @@ def build_tree(
     elif k is not None:
         slim = top_k(slim, [*keys, "geom"], [F.col("tid")], k)
     slim = cut_lineage(slim)
-    stats = slim.agg(F.count("*"), *(F.min(c) for c in LOW), *(F.max(c) for c in HIGH)).first()
-    total, lows, highs = stats[0], stats[1:4], stats[4:7]
-    if not total:
-        lows = highs = (0.0, 0.0, 0.0)
-    spans = [h - l for l, h in zip(lows, highs)]
-    extent = max(max(spans), 1e-6) * 1.0001
-    real = [s for s in spans if s > extent * 1e-3] or [extent]
-    edge = min(extent, (math.prod(real) * leaf_points / max(total, 1)) ** (1 / len(real)))
+    span = F.greatest(*(F.max(h) - F.min(l) for l, h in zip(LOW, HIGH)), F.lit(1e-6)) * 1.0001
+    scenes = slim.groupBy(*keys).agg(*(F.min(c).alias(o) for c, o in zip(LOW, PLACE)), span.alias("_size"))
+    scenes = cut_lineage(scenes.filter("_size IS NOT NULL"))
+    n_scenes = scenes.count()
+    near = F.broadcast(scenes) if n_scenes <= BROADCAST_CELLS else scenes
+    joined = slim.join(near, list(keys)) if keys else slim.join(F.broadcast(scenes))
     center = [(F.col(l) + F.col(h)) / 2 for l, h in zip(LOW, HIGH)]
-    while True:
-        placed = slim.withColumns(
-            {c: F.floor((m - F.lit(o)) / F.lit(edge)) for c, m, o in zip(CELL, center, lows)}
-        )
-        # copies of one geometry cannot be told apart by a finer grid, so they count once or k times
-        counted = placed if k is not None else placed.select(*keys, *CELL, "geom").distinct()
-        used = counted.groupBy(*keys, *CELL).count().agg(F.max("count"), F.avg("count"), F.count("*")).first()
-        crowded = (used[0] or 0) > cap * (k or 1) or (used[1] or 0) > 2 * leaf_points
-        if not crowded or edge < extent * 2.0**-44:
-            break
-        edge /= 2
-    levels = max(1, math.ceil(math.log(extent / edge, 2**STEP) - 1e-9))
-    return Tree(placed, tuple(keys), tuple(lows), edge, levels, total, used[2])
+    cell = [F.greatest(F.lit(0), F.least(F.lit((1 << STEP * DEPTH) - 1), F.floor((m - F.col(o)) / F.col("_size") * (1 << STEP * DEPTH)))) for m, o in zip(center, PLACE)]
+    coded = joined.withColumn("code", morton(cell).bitwiseOR(F.lit(1 << 3 * STEP * DEPTH))).drop("_size", *PLACE[:3])
+    # copies of one geometry cannot be told apart by a finer grid, so they count once
+    rows = cut_lineage(with_leaf_levels(coded, keys, () if k == 1 else ("geom",), 2 * leaf_points))
+    leaves = rows.groupBy(*keys, node_id(DEPTH).alias("node")).agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"))
+    per_scene = cut_lineage(leaves.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.max("leaf").alias("deepest"), F.avg("leaf").alias("usual")))
+    total, cells, levels = per_scene.agg(F.sum("n"), F.sum("cells"), F.max("deepest")).first()
+    # query groups are as large as the usual leaf of their scene
+    edge = (F.col("_size") / F.pow(F.lit(2.0**STEP), F.round("usual"))).alias("_edge")
+    scenes = (scenes.join(per_scene, list(keys)) if keys else scenes.join(per_scene)).select(*keys, *PLACE[:3], edge)
+    return Tree(rows, cut_lineage(scenes), tuple(keys), levels or 0, total or 0, cells or 0, n_scenes)
 
 
 def point_tree(targets: DataFrame, keys: Sequence[str], tid, p: Vec, k: int | None = 1, **kw) -> Tree:
@@ -205,9 +240,9 @@ def slack(limit: Column) -> Column:
 
 def group_queries(queries: DataFrame, tree: Tree, q: Vec) -> tuple[DataFrame, DataFrame]:
     """Queries with their group cell, and the groups with the boxes around their queries."""
-    placed = queries.withColumns(dict(zip(GROUP, tree.cell(q))))
+    placed = tree.placed(queries, q)
     box = {f"q{n}": c for n, c in zip((*LOW, *HIGH), (*q, *q))}
-    groups = placed.groupBy(*tree.keys, *GROUP).agg(
+    groups = placed.filter(F.col(GROUP[0]).isNotNull()).groupBy(*tree.keys, *GROUP).agg(
         *(F.min(c).alias(n) for n, c in list(box.items())[:3]),
         *(F.max(c).alias(n) for n, c in list(box.items())[3:]),
     )
@@ -217,9 +252,9 @@ def group_queries(queries: DataFrame, tree: Tree, q: Vec) -> tuple[DataFrame, Da
 def descend(groups: DataFrame, tree: Tree, k: int | None, radius2: Column | None) -> DataFrame:
     """Leaf cells each query group has to look at: (keys, group, leaf cell)."""
     keys, boxes = list(tree.keys), [f"q{c}" for c in (*LOW, *HIGH)]
-    front = groups.withColumns({f"p{c[1]}": F.lit(0).cast("bigint") for c in NODE}).withColumn("_bound", F.lit(math.inf))
-    for level in range(tree.levels - 1, -1, -1):
-        step = front.join(tree.small_nodes(tree.nodes(level)), [*keys, "px", "py", "pz"])
+    front = groups.withColumns({"parent": F.lit(1).cast("bigint"), "_bound": F.lit(math.inf)})
+    for level in range(min(1, tree.levels), tree.levels + 1):  # the root holds everything
+        step = front.join(tree.small_nodes(tree.nodes(level)), [*keys, "parent"])
         mine, node = box_of("q"), box_of("")
         # the bound of the level above already drops most children before they are compared
         step = step.withColumn("_gap", gap2(mine, node)).filter(F.col("_gap") <= slack(F.col("_bound")))
@@ -236,17 +271,16 @@ def descend(groups: DataFrame, tree: Tree, k: int | None, radius2: Column | None
                 bound = F.min(F.when(F.col("_have") >= k, F.col("_reach"))).over(by_group)
             step = step.withColumn("_bound", F.coalesce(F.least(bound, F.col("_bound")), F.lit(math.inf))).filter(
                 F.col("_gap") <= slack(F.col("_bound")))
-        parent = {f"p{c[1]}": F.col(c) for c in NODE}
-        front = step.select(*keys, *GROUP, *boxes, "_bound", *(v.alias(n) for n, v in parent.items()))
-    return front.select(*keys, *GROUP, *(F.col(f"p{c[1]}").alias(c) for c in NODE))
+        front = step.select(*keys, *GROUP, *boxes, "_bound", F.col("node").alias("parent"))
+    return front.select(*keys, *GROUP, F.col("parent").alias("node"))
 
 
 def candidate_rows(pairs: DataFrame, tree: Tree) -> DataFrame:
     """Leaf lists per query group, in rows of a bounded number of leaves."""
     keys = list(tree.keys)
-    order = W.partitionBy(*keys, *GROUP).orderBy(*NODE)
+    order = W.partitionBy(*keys, *GROUP).orderBy("node")
     numbered = pairs.withColumn("part", F.floor((F.row_number().over(order) - 1) / LEAVES_PER_ROW))
-    full = numbered.join(tree.small_leaves(tree.leaves()), [*keys, *NODE])
+    full = numbered.join(tree.small_leaves(tree.leaves()), [*keys, "node"])
     return full.groupBy(*keys, *GROUP, "part").agg(
         F.collect_list(F.struct(*LOW, *HIGH, "members")).alias("leaves")
     )
@@ -316,7 +350,7 @@ def within(queries: DataFrame, tree: Tree, q: Vec, radius: float, metric=point_m
     placed, groups = group_queries(queries, tree, q)
     pairs = descend(groups, tree, None, radius2)
     on = [*tree.keys, *GROUP]
-    full = pairs.join(tree.small_leaves(tree.members()), [*tree.keys, *NODE]).select(*on, F.col("tid").alias("_tid"), F.col("geom").alias("_geom"))
+    full = pairs.join(tree.small_leaves(tree.members()), [*tree.keys, "node"]).select(*on, F.col("tid").alias("_tid"), F.col("geom").alias("_geom"))
     joined = placed.join(full, on)
     d2 = metric(q, F.col("_geom"))
     return joined.withColumn("d2", d2).filter(F.col("d2") <= radius2).select(
@@ -348,13 +382,12 @@ def ray_hits(rays: DataFrame, tree: Tree, ray_id: Sequence[str], o: Vec, dest: V
     # spread by ray once: the joins keep this layout and the final minimum needs no other shuffle
     front = rays.select(*on, *(c.alias(n) for n, c in zip(names, (*o, *dest)))).repartition(*on)
     o, e = Vec(*map(F.col, names[:3])), Vec(*map(F.col, names[3:]))
-    front = front.withColumns({f"p{c[1]}": F.lit(0).cast("bigint") for c in NODE})
-    for level in range(tree.levels - 1, -1, -1):
-        step = front.join(tree.small_nodes(tree.nodes(level)), [*tree.keys, "px", "py", "pz"]).filter(
-            slab_overlap(o, e - o, *box_of("")))
-        front = step.select(*on, *names, *(F.col(c).alias(f"p{c[1]}") for c in NODE))
-    leaf = tree.members().select(*tree.keys, *(F.col(c).alias(f"p{c[1]}") for c in NODE), F.col("tid").alias("_tid"), F.col("geom").alias("_geom"))
-    tried = front.join(tree.small_leaves(leaf), [*tree.keys, "px", "py", "pz"]).select(*on, *names, "_tid", "_geom")
+    front = front.withColumn("parent", F.lit(1).cast("bigint"))
+    for level in range(min(1, tree.levels), tree.levels + 1):
+        step = front.join(tree.small_nodes(tree.nodes(level)), [*tree.keys, "parent"]).filter(slab_overlap(o, e - o, *box_of("")))
+        front = step.select(*on, *names, F.col("node").alias("parent"))
+    leaf = tree.members().select(*tree.keys, F.col("node").alias("parent"), F.col("tid").alias("_tid"), F.col("geom").alias("_geom"))
+    tried = front.join(tree.small_leaves(leaf), [*tree.keys, "parent"]).select(*on, *names, "_tid", "_geom")
     g = F.col("_geom")
     a, u, v = (Vec(*(g[f"{p}{x}"] for x in "xyz")) for p in "auv")
     t = ray_triangle(o, e, a, a + u, a + v)

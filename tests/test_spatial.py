@@ -80,3 +80,52 @@ def test_interval_overlap_counts_each_pair_once(spark):
     right = spark.createDataFrame([(0, 9, 0.1, 6.0), (0, 8, -2.0, -0.6)], "k int, level int, low double, high double")
     got = sorted((r.wall_id, r.level) for r in matching.interval_overlap(left, right, ["k"]).collect())
     assert got == [(1, 9), (2, 9)]
+
+
+def leaf_sizes(tree):
+    rows = tree.rows.groupBy("scene_id", S.node_id(S.DEPTH).alias("node")).agg(F.count("*").alias("n"), F.first("leaf").alias("leaf")).collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r.scene_id, []).append((r.leaf, r.n))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_every_scene_has_its_own_octree(spark):
+    rng = np.random.default_rng(5)
+    points = rng.random((60, 3)) * [1, 1, 0.2]
+    scene = lambda k: [(k, i, *(float(c) for c in p * 1.5**(k % 40) - k)) for i, p in enumerate(points)]
+    schema = "scene_id int, id int, x double, y double, z double"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    alone = leaf_sizes(S.point_tree(frame(scene(0)), ["scene_id"], "id", vec()))
+    many = leaf_sizes(S.point_tree(frame([r for k in range(1000) for r in scene(k)]), ["scene_id"], "id", vec()))
+    mean = lambda sizes: sum(n for _, n in sizes) / len(sizes)
+    assert len(many) == 1000 and all(0.5 <= mean(sizes) / mean(alone[0]) <= 2 for sizes in many.values())
+
+
+def test_a_crowded_scene_leaves_the_others_as_they_were(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, *map(float, rng.random(3))) for k in range(4) for i in range(300)]
+    crowd = [(1, 1000 + i, *(0.5 + 1e-4 * float(c) for c in rng.random(3))) for i in range(3000)] + [(2, 5000 + i, 0.25, 0.25, 0.25) for i in range(500)]
+    frame = lambda rows: spark.createDataFrame(rows, "scene_id int, id int, x double, y double, z double")
+    before, tree = leaf_sizes(S.point_tree(frame(rows), ["scene_id"], "id", vec())), S.point_tree(frame(rows + crowd), ["scene_id"], "id", vec())
+    after = leaf_sizes(tree)
+    assert after[0] == before[0] and after[3] == before[3] and max(n for _, n in after[1]) <= 16
+    assert sum(n for _, n in after[2]) == 301  # copies of one place are one target
+    assert max(leaf for leaf, _ in after[1]) > max(leaf for leaf, _ in before[1])
+    queries = frame([(k, i, *map(float, rng.random(3) * 1.4 - 0.2)) for k in (0, 1, 2, 7) for i in range(40)])
+    got = {(r.scene_id, r.id): [(h.tid, h.d2) for h in r.hits] for r in S.knn(queries, tree, vec(), k=1).collect()}
+    known = {k: [(t[1], np.array(t[2:])) for t in rows + crowd if t[0] == k] for k in (0, 1, 2)}
+    for q in queries.collect():
+        if q.scene_id == 7:  # a scene without targets
+            assert (7, q.id) not in got
+            continue
+        best = min((float(((p - np.array([q.x, q.y, q.z])) ** 2).sum()), i) for i, p in known[q.scene_id])
+        assert got[q.scene_id, q.id][0][1] == pytest.approx(best[0])
+
+
+def test_codes_interleave_their_bits(spark):
+    rng = np.random.default_rng(7)
+    cells = [tuple(int(v) for v in rng.integers(0, 1 << 20, 3)) for _ in range(50)] + [(0, 0, 0), ((1 << 20) - 1,) * 3]
+    df = spark.createDataFrame(cells, "x long, y long, z long").select("x", "y", "z", S.morton([F.col(c) for c in "xyz"]).alias("m"))
+    for r in df.collect():
+        assert r.m == sum(((c >> b) & 1) << (3 * b + a) for a, c in enumerate((r.x, r.y, r.z)) for b in range(20))
