@@ -553,9 +553,23 @@ def extend_walls(lower: DataFrame, vertices: DataFrame, planes: DataFrame, targe
     return out.withColumns({"hits": hits_, "accepted": hits_ / F.col("area") < F.coalesce("max_hits_per_area", F.lit(0.0))})
 
 
-def project_objects_to_floor(object_vertices: DataFrame, object_triangles: DataFrame, vertex_polygons: DataFrame, keys: Sequence[str] = SCENE) -> DataFrame:
-    """Object triangles whose three corners found the same floor polygon; corners without one do not count."""
-    return mesh.same_plane_triangles(object_triangles, vertex_polygons.select(*keys, "vertex_id", F.col("polygon_id").alias("plane_id")), keys).withColumnRenamed("plane_id", "floor_polygon_id")
+def project_objects_to_floor(object_vertices: DataFrame, object_triangles: DataFrame, cornered: DataFrame, classes: DataFrame, floor_class: int,
+                             keys: Sequence[str] = SCENE, must_be_below: bool = False, max_dist: float | None = None) -> DataFrame:
+    """Object triangles whose three corners find the same floor polygon, with that polygon and their corners.
+
+    A corner's floor is the nearest polygon of the class, or with ``must_be_below`` the nearest whose
+    midpoint is not above it.  Corners without a floor do not count.
+    """
+    from atrium.operators import matching
+
+    points = object_vertices.select(*keys, "vertex_id", "x", "y", "z")
+    if must_be_below:
+        found = matching.next_lower_polygon(points, cornered, keys, ["vertex_id"], classes, floor_class, max_dist=max_dist)
+    else:
+        found = matching.nearest_polygon_of_class(points, cornered, keys, classes, floor_class, max_dist=max_dist)
+    floors = found.filter("polygon_id <> -1").select(*keys, "vertex_id", F.col("polygon_id").alias("plane_id"))
+    kept = mesh.same_plane_triangles(object_triangles, floors, keys).withColumnRenamed("plane_id", "floor_polygon_id")
+    return mesh.corners(kept, object_vertices, keys)
 
 
 def ray_obstruction(hits: DataFrame, rays: DataFrame, cornered: DataFrame, inner: DataFrame, areas: DataFrame, ray_id: Sequence[str], margin: float = 0.1, weight: float = 10.0, keys: Sequence[str] = SCENE) -> DataFrame:

@@ -134,22 +134,18 @@ def match_opening(walls: DataFrame, openings: DataFrame, keys: Sequence[str], wa
 
 
 def next_lower_polygon(points: DataFrame, triangles: DataFrame, keys: Sequence[str], point_id: Sequence[str], classes: DataFrame,
-                       class_id: int, slack: float = -0.05, max_dist: float = 3.0) -> DataFrame:
+                       class_id: int, slack: float = -0.05, max_dist: float | None = 3.0) -> DataFrame:
     """Nearest polygon of a class among those whose midpoint is not above the point; -1 without one.
 
-    ``triangles`` carry corners ``ax..cz`` and ``polygon_id``.  Triangles within reach come from the
-    pyramid; the height test and the minimum are exact on those.
+    ``triangles`` carry corners ``ax..cz`` and ``polygon_id``.  Triangles carry the height of their
+    polygon's midpoint and cells its range, so one search prunes by height and distance together.
     """
     wanted = triangles.join(classes.filter(F.col("class_id") == class_id), [*keys, "polygon_id"], "left_semi")
     mid = wanted.groupBy(*keys, "polygon_id").agg(F.avg((F.col("az") + F.col("bz") + F.col("cz")) / 3).alias("mid_z"))
-    tagged = wanted.join(mid, [*keys, "polygon_id"]).withColumn("_tid", F.struct("polygon_id", "mid_z"))
-    corner = [Vec(*(F.col(f"{n}{c}") for c in "xyz")) for n in "abc"]
-    tree = S.shape_tree(tagged, keys, "_tid", corner, k=None)
-    near = S.within(points, tree, Vec(F.col("x"), F.col("y"), F.col("z")), max_dist, S.triangle_metric)
-    low = near.filter(F.col("z") - F.col("tid.mid_z") > slack)
-    best = low.groupBy(*keys, *point_id).agg(F.min(F.struct("dist", "tid.polygon_id")).alias("b"))
-    return points.join(best, [*keys, *point_id], "left").select(
-        *points.columns, F.coalesce("b.polygon_id", F.lit(-1)).alias("polygon_id"), F.col("b.dist").alias("dist"))
+    tree = S.shape_tree(wanted.join(mid, [*keys, "polygon_id"]), keys, "polygon_id", [Vec(*(F.col(f"{n}{c}") for c in "xyz")) for n in "abc"], value=F.col("mid_z"))
+    out = S.nearest(points, tree, Vec(F.col("x"), F.col("y"), F.col("z")), S.triangle_metric, max_dist=max_dist, how="left", tid="polygon_id",
+                    below=F.col("z") - slack)
+    return out.withColumn("polygon_id", F.coalesce("polygon_id", F.lit(-1)))
 
 
 def nearest_polygon_of_class(points: DataFrame, triangles: DataFrame, keys: Sequence[str], classes: DataFrame, class_id: int,

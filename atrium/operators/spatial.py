@@ -49,6 +49,10 @@ class Tree:
     total: int
     cells: int
     n_scenes: int
+    valued: bool = False  # targets carry a value, boxes the range of their members' values
+
+    def box_union(self) -> list[Column]:
+        return box_union() + ([F.min("val").alias("vl"), F.max("val").alias("vh")] if self.valued else [])
 
     def small_nodes(self, nodes: DataFrame) -> DataFrame:
         """Broadcast hint for node tables whose row count, known from the build, allows it."""
@@ -57,19 +61,20 @@ class Tree:
     def small_leaves(self, leaves: DataFrame) -> DataFrame:
         return F.broadcast(leaves) if self.total <= BROADCAST_ROWS else leaves
 
-    def placed(self, queries: DataFrame, q: Vec) -> DataFrame:
-        """Queries with their group cell; null where the scene has no targets."""
+    def placed(self, queries: DataFrame, *at: tuple[Vec, Sequence[str]]) -> DataFrame:
+        """Queries with the cells of some of their points; null where the scene has no targets."""
         scenes = F.broadcast(self.scenes) if self.n_scenes <= BROADCAST_CELLS else self.scenes
-        at = queries.join(scenes, list(self.keys), "left") if self.keys else queries.join(F.broadcast(self.scenes), how="left")
-        return at.withColumns({g: F.floor((c - F.col(o)) / F.col("_edge")) for g, c, o in zip(GROUP, q, PLACE)}).drop(*PLACE)
+        out = queries.join(scenes, list(self.keys), "left") if self.keys else queries.join(F.broadcast(self.scenes), how="left")
+        return out.withColumns({g: F.floor((c - F.col(o)) / F.col("_edge")) for q, cell in at for g, c, o in zip(cell, q, PLACE)}).drop(*PLACE)
 
     def nodes(self, level: int) -> DataFrame:
         """Boxes and member counts of the cells at a level (leaves above it stand for themselves), with their parent."""
-        return self.rows.groupBy(*self.keys, node_id(level).alias("node"), node_id(level - 1).alias("parent")).agg(*box_union(), F.count("*").alias("cnt"))
+        return self.rows.groupBy(*self.keys, node_id(level).alias("node"), node_id(level - 1).alias("parent")).agg(*self.box_union(), F.count("*").alias("cnt"))
 
     def leaves(self) -> DataFrame:
         """Leaf cells with their box and members; the number of distinct members is bounded."""
-        return self.rows.groupBy(*self.keys, node_id(DEPTH).alias("node")).agg(*box_union(), F.collect_list(F.struct("tid", "geom")).alias("members"))
+        member = F.struct("tid", "geom", "val") if self.valued else F.struct("tid", "geom")
+        return self.rows.groupBy(*self.keys, node_id(DEPTH).alias("node")).agg(*self.box_union(), F.collect_list(member).alias("members"))
 
     def members(self) -> DataFrame:
         """Targets one by one under their leaf cell."""
@@ -117,23 +122,26 @@ def with_leaf_levels(rows: DataFrame, keys: Sequence[str], weight: Sequence[str]
 
 def build_tree(
     targets: DataFrame, keys: Sequence[str], tid: Column | str, geom: Column, low: Vec, high: Vec,
-    *, k: int | None = 1, leaf_points: int = 8,
+    *, k: int | None = 1, leaf_points: int = 8, value: Column | None = None,
 ) -> Tree:
     """Place targets in their scene's octree.  ``tid`` breaks ties and must be orderable.
 
     Of equal geometries the ``k`` lowest ids are kept, as many as a k-nearest search can return;
     ``None`` keeps all of them, for joins that return every match.  A cell with more than
-    ``2 * leaf_points`` distinct targets is cut.
+    ``2 * leaf_points`` distinct targets is cut.  With a ``value`` searches may ask for targets below
+    a limit of each query (`knn`, `nearest`).
     """
     tid = F.col(tid) if isinstance(tid, str) else tid
     slim = targets.select(
         *keys, tid.alias("tid"), geom.alias("geom"),
         *(c.cast("double").alias(n) for n, c in zip((*LOW, *HIGH), (*low, *high))),
+        *([value.cast("double").alias("val")] if value is not None else []),
     )
+    same = ["geom", *(["val"] if value is not None else [])]
     if k == 1:
-        slim = slim.groupBy(*keys, "geom", *LOW, *HIGH).agg(F.min("tid").alias("tid"))
+        slim = slim.groupBy(*keys, *same, *LOW, *HIGH).agg(F.min("tid").alias("tid"))
     elif k is not None:
-        slim = top_k(slim, [*keys, "geom"], [F.col("tid")], k)
+        slim = top_k(slim, [*keys, *same], [F.col("tid")], k)
     slim = cut_lineage(slim)
     span = F.greatest(*(F.max(h) - F.min(l) for l, h in zip(LOW, HIGH)), F.lit(1e-6)) * 1.0001
     scenes = slim.groupBy(*keys).agg(*(F.min(c).alias(o) for c, o in zip(LOW, PLACE)), span.alias("_size"))
@@ -152,7 +160,7 @@ def build_tree(
     # query groups are as large as the usual leaf of their scene
     edge = (F.col("_size") / F.pow(F.lit(2.0**STEP), F.round("usual"))).alias("_edge")
     scenes = (scenes.join(per_scene, list(keys)) if keys else scenes.join(per_scene)).select(*keys, *PLACE[:3], edge)
-    return Tree(rows, cut_lineage(scenes), tuple(keys), levels or 0, total or 0, cells or 0, n_scenes)
+    return Tree(rows, cut_lineage(scenes), tuple(keys), levels or 0, total or 0, cells or 0, n_scenes, value is not None)
 
 
 def point_tree(targets: DataFrame, keys: Sequence[str], tid, p: Vec, k: int | None = 1, **kw) -> Tree:
@@ -238,20 +246,25 @@ def slack(limit: Column) -> Column:
     return limit * (1 + 1e-9) + 1e-12
 
 
-def group_queries(queries: DataFrame, tree: Tree, q: Vec) -> tuple[DataFrame, DataFrame]:
-    """Queries with their group cell, and the groups with the boxes around their queries."""
-    placed = tree.placed(queries, q)
+def group_queries(queries: DataFrame, tree: Tree, q: Vec, below: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries with their group cell, and the groups with the boxes around their queries and the range of their limits."""
+    placed = tree.placed(queries, (q, GROUP))
     box = {f"q{n}": c for n, c in zip((*LOW, *HIGH), (*q, *q))}
+    limits = [] if below is None else [F.min(below).alias("ql"), F.max(below).alias("qh")]
     groups = placed.filter(F.col(GROUP[0]).isNotNull()).groupBy(*tree.keys, *GROUP).agg(
         *(F.min(c).alias(n) for n, c in list(box.items())[:3]),
-        *(F.max(c).alias(n) for n, c in list(box.items())[3:]),
+        *(F.max(c).alias(n) for n, c in list(box.items())[3:]), *limits,
     )
     return placed, groups
 
 
-def descend(groups: DataFrame, tree: Tree, k: int | None, radius2: Column | None) -> DataFrame:
-    """Leaf cells each query group has to look at: (keys, group, leaf cell)."""
-    keys, boxes = list(tree.keys), [f"q{c}" for c in (*LOW, *HIGH)]
+def descend(groups: DataFrame, tree: Tree, k: int | None, radius2: Column | None, below: bool = False) -> DataFrame:
+    """Leaf cells each query group has to look at: (keys, group, leaf cell).
+
+    With ``below`` cells whose least value is above every limit of the group go, and only cells
+    whose greatest value is below every limit bound the distance.
+    """
+    keys, boxes = list(tree.keys), [f"q{c}" for c in (*LOW, *HIGH)] + (["ql", "qh"] if below else [])
     front = groups.withColumns({"parent": F.lit(1).cast("bigint"), "_bound": F.lit(math.inf)})
     for level in range(min(1, tree.levels), tree.levels + 1):  # the root holds everything
         step = front.join(tree.small_nodes(tree.nodes(level)), [*keys, "parent"])
@@ -260,9 +273,12 @@ def descend(groups: DataFrame, tree: Tree, k: int | None, radius2: Column | None
         step = step.withColumn("_gap", gap2(mine, node)).filter(F.col("_gap") <= slack(F.col("_bound")))
         if radius2 is not None:
             step = step.filter(F.col("_gap") <= slack(radius2))
+        if below:
+            step = step.filter("vl < qh")
         if k is not None:
             by_group = W.partitionBy(*keys, *GROUP)
-            step = step.withColumn("_reach", reach2(mine, node))
+            far = reach2(mine, node)
+            step = step.withColumn("_reach", F.when(F.col("vh") < F.col("ql"), far).otherwise(math.inf) if below else far)
             if k == 1:
                 bound = F.min("_reach").over(by_group)
             else:
@@ -275,26 +291,31 @@ def descend(groups: DataFrame, tree: Tree, k: int | None, radius2: Column | None
     return front.select(*keys, *GROUP, F.col("parent").alias("node"))
 
 
-def candidate_rows(pairs: DataFrame, tree: Tree) -> DataFrame:
+def candidate_rows(pairs: DataFrame, tree: Tree, group: Sequence[str] = GROUP) -> DataFrame:
     """Leaf lists per query group, in rows of a bounded number of leaves."""
     keys = list(tree.keys)
-    order = W.partitionBy(*keys, *GROUP).orderBy("node")
+    order = W.partitionBy(*keys, *group).orderBy("node")
     numbered = pairs.withColumn("part", F.floor((F.row_number().over(order) - 1) / LEAVES_PER_ROW))
     full = numbered.join(tree.small_leaves(tree.leaves()), [*keys, "node"])
-    return full.groupBy(*keys, *GROUP, "part").agg(
-        F.collect_list(F.struct(*LOW, *HIGH, "members")).alias("leaves")
+    return full.groupBy(*keys, *group, "part").agg(
+        F.collect_list(F.struct(*LOW, *HIGH, *(["vl", "vh"] if tree.valued else []), "members")).alias("leaves")
     )
 
 
-def scan_leaves(q: Vec, leaves: Column, metric: Callable[[Vec, Column], Column], k: int | None, radius2: Column | None) -> Column:
+def scan_leaves(q: Vec, leaves: Column, metric: Callable[[Vec, Column], Column], k: int | None, radius2: Column | None, below: Column | None = None) -> Column:
     """Best members of a leaf list for one query, as ``array<struct<d2, tid>>``."""
     me = (q, q)
     limit = radius2 if radius2 is not None else F.lit(math.inf)
+    if below is not None:
+        leaves = F.filter(leaves, lambda l: l["vl"] < below)
     if k == 1:
-        limit = F.least(limit, F.array_min(F.transform(leaves, lambda l: reach2(me, box_of(l)))))
+        far = lambda l: reach2(me, box_of(l)) if below is None else F.when(l["vh"] < below, reach2(me, box_of(l))).otherwise(math.inf)
+        limit = F.least(limit, F.array_min(F.transform(leaves, far)))
     # the one-element array binds the limit once for all leaves
     near = F.flatten(F.transform(F.array(limit), lambda u: F.filter(leaves, lambda l: gap2(me, box_of(l)) <= slack(u))))
     members = F.flatten(F.transform(near, lambda l: l["members"]))
+    if below is not None:
+        members = F.filter(members, lambda m: m["val"] < below)
     hits = F.transform(members, lambda m: F.struct(metric(q, m["geom"]).alias("d2"), m["tid"].alias("tid")))
     if radius2 is not None:
         hits = F.filter(hits, lambda h: h["d2"] <= radius2)
@@ -305,40 +326,44 @@ def scan_leaves(q: Vec, leaves: Column, metric: Callable[[Vec, Column], Column],
 
 def knn(
     queries: DataFrame, tree: Tree, q: Vec, metric=point_metric, k: int = 1, *,
-    max_dist: float | None = None, how: str = "inner", out: str = "hits",
+    max_dist: float | None = None, how: str = "inner", out: str = "hits", below: Column | None = None,
 ) -> DataFrame:
     """Queries with their k nearest targets as ``out: array<struct<d2, tid>>`` in (distance, id) order.
 
-    ``max_dist`` keeps targets up to that distance.  With ``how="left"`` queries without any target
+    ``max_dist`` keeps targets up to that distance, ``below`` those whose value is under the query's.  With ``how="left"`` queries without any target
     keep a null; otherwise they are dropped.
     """
     radius2 = None if max_dist is None else F.lit(float(max_dist) ** 2)
-    placed, groups = group_queries(queries, tree, q)
+    if below is not None:
+        queries = queries.withColumn("_below", below)
+        below = F.col("_below")
+    placed, groups = group_queries(queries, tree, q, below)
     on = [*tree.keys, *GROUP]
-    pairs = cut_lineage(descend(groups, tree, k, radius2))
+    pairs = cut_lineage(descend(groups, tree, k, radius2, below is not None))
     longest = pairs.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
     rows = candidate_rows(pairs, tree)
-    found = scan_leaves(q, F.col("leaves"), metric, k, radius2)
+    found = scan_leaves(q, F.col("leaves"), metric, k, radius2, below)
     if longest <= LEAVES_PER_ROW:  # every list sits in one row, so the answer needs no further shuffle
         result = placed.join(rows.drop("part"), on, how).withColumn(out, found).drop("leaves", *GROUP)
     else:  # scan part by part for each distinct position, merge, then join back
         at = [f"_{c}" for c in "xyz"]
         placed = placed.withColumns(dict(zip(at, q)))
+        at += [] if below is None else ["_below"]
         spots = placed.select(*on, *at).distinct().join(rows, on)
-        hits = scan_leaves(Vec(*map(F.col, at)), F.col("leaves"), metric, k, radius2)
+        hits = scan_leaves(Vec(*map(F.col, at[:3])), F.col("leaves"), metric, k, radius2, below)
         partial = spots.select(*on, *at, F.explode(hits).alias("h")).filter("h IS NOT NULL")
         best = top_k(partial, [*on, *at], [F.col("h")], k).groupBy(*on, *at).agg(
             F.array_sort(F.collect_list("h")).alias(out)
         )
         result = placed.join(best, [*on, *at], how).drop(*GROUP, *at)
-    return result.withColumn(out, F.filter(F.col(out), lambda h: h.isNotNull()))
+    return result.drop("_below").withColumn(out, F.filter(F.col(out), lambda h: h.isNotNull()))
 
 
 def nearest(queries: DataFrame, tree: Tree, q: Vec, metric=point_metric, *, max_dist: float | None = None,
-            how: str = "inner", tid: str = "tid", dist: str = "dist") -> DataFrame:
+            how: str = "inner", tid: str = "tid", dist: str = "dist", below: Column | None = None) -> DataFrame:
     """Queries with the id of and distance to their nearest target."""
     hit = F.get("_hits", F.lit(0))
-    out = knn(queries, tree, q, metric, 1, max_dist=max_dist, how=how, out="_hits")
+    out = knn(queries, tree, q, metric, 1, max_dist=max_dist, how=how, out="_hits", below=below)
     if how == "inner":
         out = out.filter(F.size("_hits") > 0)
     return out.withColumns({tid: hit["tid"], dist: F.sqrt(hit["d2"])}).drop("_hits")
@@ -357,42 +382,103 @@ def within(queries: DataFrame, tree: Tree, q: Vec, radius: float, metric=point_m
         *queries.columns, F.col("_tid").alias("tid"), F.sqrt("d2").alias("dist"))
 
 
-def slab_overlap(o: Vec, d: Vec, low: Vec, high: Vec, pad: float = 1e-9) -> Column:
-    """Does the segment o..o+d touch the box (interval test per axis)?"""
+ENDS, SIGNS = ("tx", "ty", "tz"), ("sx", "sy", "sz")
+PACKET = (*GROUP, *ENDS, *SIGNS)
+PAD = 1e-9  # boxes are widened by it against rounding
+
+
+def entry_of(o: Vec, d: Vec, low: Vec, high: Vec) -> Column:
+    """Where the segment o..o+d enters the box (0..1), null if it does not touch it."""
     enter, leave = [F.lit(0.0)], [F.lit(1.0)]
     ok = F.lit(True)
     for oc, dc, lc, hc in zip(o, d, low, high):
         still = F.abs(dc) < 1e-15
-        ok = ok & (~still | ((oc >= lc - pad) & (oc <= hc + pad)))
-        t1, t2 = (lc - pad - oc) / F.when(~still, dc), (hc + pad - oc) / F.when(~still, dc)
+        ok = ok & (~still | ((oc >= lc - PAD) & (oc <= hc + PAD)))
+        t1, t2 = (lc - PAD - oc) / F.when(~still, dc), (hc + PAD - oc) / F.when(~still, dc)
         enter.append(F.coalesce(F.least(t1, t2), F.lit(0.0)))
         leave.append(F.coalesce(F.greatest(t1, t2), F.lit(1.0)))
-    return ok & (F.greatest(*enter) <= F.least(*leave))
+    return let(F.struct(F.greatest(*enter).alias("a"), F.least(*leave).alias("b"), ok.alias("ok")), lambda r: F.when(r["ok"] & (r["a"] <= r["b"]), r["a"]))
+
+
+def ray_packets(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rays of one origin cell, end cell and octant, with the ranges of origin and step along the octant's axes."""
+    mirrored = [F.col(s) * F.col(f"o{c}") for s, c in zip(SIGNS, "xyz")]
+    step = [F.abs(F.col(f"e{c}") - F.col(f"o{c}")) for c in "xyz"]
+    ranges = [f(v).alias(f"{n}{e}{c}") for n, values in (("p", mirrored), ("d", step)) for c, v in zip("xyz", values) for f, e in ((F.min, "l"), (F.max, "h"))]
+    return placed.filter(F.col(GROUP[0]).isNotNull()).groupBy(*keys, *PACKET).agg(*ranges)
+
 
+def packet_touches() -> Column:
+    """May some ray of the packet touch the box of the joined node?  Never false for one that does."""
+    first, last, ok = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
+    for s, c, low, high in zip(SIGNS, "xyz", LOW, HIGH):
+        forward = F.col(s) > 0
+        near = F.when(forward, F.col(low)).otherwise(-F.col(high)) - PAD - F.col(f"ph{c}")
+        far = F.when(forward, F.col(high)).otherwise(-F.col(low)) + PAD - F.col(f"pl{c}")
+        first.append(F.when(near <= 0, 0.0).when(F.col(f"dh{c}") < 1e-15, math.inf).otherwise(near / F.col(f"dh{c}")) * (1 - 1e-9))
+        last.append(F.when(F.col(f"dl{c}") < 1e-15, math.inf).otherwise(far / F.nullif(F.col(f"dl{c}"), F.lit(0.0))) * (1 + 1e-9))
+        ok = ok & (far >= 0)
+    return ok & (F.greatest(*first) <= F.least(*last))
 
-def ray_hits(rays: DataFrame, tree: Tree, ray_id: Sequence[str], o: Vec, dest: Vec, margin: float = 0.0) -> DataFrame:
+
+def triangle_hit(o: Vec, d: Vec, g: Column) -> Column:
+    """Parameter of the hit with a prepared triangle, null without one; shared parts are computed once."""
+    a, u, v = (Vec(*(g[f"{p}{x}"] for x in "xyz")) for p in "auv")
+    shared = lambda value, body: let(value.struct(), lambda s: body(vec_of(s)))
+
+    def solve(h: Vec, s: Vec, q: Vec) -> Column:
+        def decide(det: Column) -> Column:
+            safe = F.when(F.abs(det) > 1e-12, det)
+            return let(F.struct((s.dot(h) / safe).alias("u"), (d.dot(q) / safe).alias("v"), (v.dot(q) / safe).alias("t")),
+                       lambda r: F.when((r["u"] >= 0) & (r["v"] >= 0) & (r["u"] + r["v"] <= 1) & (r["t"] >= 0) & (r["t"] < 1), r["t"]))
+        return let(u.dot(h), decide)
+
+    return shared(d.cross(v), lambda h: shared(o - a, lambda s: shared(s.cross(u), lambda q: solve(h, s, q))))
+
+
+def ray_hits(rays: DataFrame, tree: Tree, ray_id: Sequence[str], o: Vec, dest: Vec, margin: float = 0.0, counted: bool = False) -> DataFrame:
     """First triangle each segment meets before its end, if the end lies at least ``margin`` behind it.
 
-    Returns the ray keys with ``tid``, the hit parameter ``t`` and the ``overshoot`` in metres.
+    Rays with one origin cell, end cell and octant walk down the tree together.  Each ray then takes
+    the leaves it touches in the order it enters them and stops looking where the best hit so far
+    lies before the next.  Returns the ray keys with ``tid``, the hit parameter ``t`` and the
+    ``overshoot`` in metres; ``counted`` adds the number of leaves whose triangles were ``tested``.
     """
-    from atrium.functions.vectors import ray_triangle
-
     names = ["ox", "oy", "oz", "ex", "ey", "ez"]
-    on = [*dict.fromkeys([*tree.keys, *ray_id])]
-    # spread by ray once: the joins keep this layout and the final minimum needs no other shuffle
-    front = rays.select(*on, *(c.alias(n) for n, c in zip(names, (*o, *dest)))).repartition(*on)
+    keys = list(tree.keys)
+    on = [*dict.fromkeys([*keys, *ray_id])]
+    front = rays.select(*on, *(c.alias(n) for n, c in zip(names, (*o, *dest))))
     o, e = Vec(*map(F.col, names[:3])), Vec(*map(F.col, names[3:]))
-    front = front.withColumn("parent", F.lit(1).cast("bigint"))
+    placed = tree.placed(front, (o, GROUP), (e, ENDS))
+    placed = placed.withColumns({s: F.when(b >= a, 1).otherwise(-1) for s, a, b in zip(SIGNS, o, e)})
+    walk = ray_packets(placed, keys).withColumn("parent", F.lit(1).cast("bigint"))
+    ranges = [c for c in walk.columns if c not in (*keys, *PACKET, "parent")]
     for level in range(min(1, tree.levels), tree.levels + 1):
-        step = front.join(tree.small_nodes(tree.nodes(level)), [*tree.keys, "parent"]).filter(slab_overlap(o, e - o, *box_of("")))
-        front = step.select(*on, *names, F.col("node").alias("parent"))
-    leaf = tree.members().select(*tree.keys, F.col("node").alias("parent"), F.col("tid").alias("_tid"), F.col("geom").alias("_geom"))
-    tried = front.join(tree.small_leaves(leaf), [*tree.keys, "parent"]).select(*on, *names, "_tid", "_geom")
-    g = F.col("_geom")
-    a, u, v = (Vec(*(g[f"{p}{x}"] for x in "xyz")) for p in "auv")
-    t = ray_triangle(o, e, a, a + u, a + v)
-    hits = tried.withColumn("t", t).filter("t < 1")
-    first = hits.groupBy(*on, *names).agg(F.min(F.struct("t", F.col("_tid").alias("tid"))).alias("hit"))
-    length = (e - o).norm()
-    return first.select(*on, F.col("hit.tid").alias("tid"), F.col("hit.t").alias("t"),
-                        ((1 - F.col("hit.t")) * length).alias("overshoot")).filter(F.col("overshoot") >= margin)
+        step = walk.join(tree.small_nodes(tree.nodes(level)), [*keys, "parent"]).filter(packet_touches())
+        walk = step.select(*keys, *PACKET, *ranges, F.col("node").alias("parent"))
+    pairs = cut_lineage(walk.select(*keys, *PACKET, F.col("parent").alias("node")))
+    longest = pairs.groupBy(*keys, *PACKET).count().agg(F.max("count")).first()[0] or 0
+    rows = candidate_rows(pairs, tree, PACKET)
+    tried = placed.join(rows, [*keys, *PACKET])
+    d = e - o
+    touched = F.filter(F.transform("leaves", lambda l: F.struct(entry_of(o, d, *box_of(l)).alias("at"), l["members"].alias("members"))), lambda l: l["at"].isNotNull())
+    start = F.struct(F.lit(math.inf).alias("t"), F.lit(None).cast(tree.rows.schema["tid"].dataType).alias("tid"), F.lit(0).alias("tested"))
+
+    def look(best: Column, leaf: Column) -> Column:
+        hits = F.filter(F.transform(leaf["members"], lambda m: F.struct(triangle_hit(o, d, m["geom"]).alias("t"), m["tid"].alias("tid"))), lambda h: h["t"].isNotNull())
+        tested = best["tested"] + 1
+        better = let(F.array_min(hits), lambda h: F.when(h.isNotNull() & ((h["t"] < best["t"]) | ((h["t"] == best["t"]) & (h["tid"] < best["tid"]))),
+                                                         F.struct(h["t"].alias("t"), h["tid"].alias("tid"), tested.alias("tested")))
+                     .otherwise(F.struct(best["t"].alias("t"), best["tid"].alias("tid"), tested.alias("tested"))))
+        return F.when(leaf["at"] > best["t"], best).otherwise(better)
+
+    # entries decide the order; places make them distinct, so that members are never compared
+    order = F.array_sort(F.transform(touched, lambda l, i: F.struct(l["at"].alias("at"), i.alias("i"), l["members"].alias("members"))))
+    found = tried.select(*on, *names, F.aggregate(order, start, look).alias("hit"))
+    if longest > LEAVES_PER_ROW:  # a long list comes in parts
+        found = found.groupBy(*on, *names).agg(F.min(F.struct("hit.t", "hit.tid")).alias("_best"), F.sum("hit.tested").alias("_tested")).select(
+            *on, *names, F.struct("_best.t", "_best.tid", F.col("_tested").alias("tested")).alias("hit"))
+    overshoot = ((1 - F.col("hit.t")) * d.norm()).alias("overshoot")
+    more = [F.col("hit.tested").alias("tested")] if counted else []
+    out = found.filter("hit.tid IS NOT NULL").select(*on, F.col("hit.tid").alias("tid"), F.col("hit.t").alias("t"), overshoot, *more)
+    return out.filter(F.col("overshoot") >= margin)

@@ -345,14 +345,16 @@ def polygon_classes(t):
 
 @query("next_lower_polygon", f"""
 WITH {ALL_TRI}, {CLASS_SQL}, mid AS (SELECT polygon_id, avg((az+bz+cz)/3) AS mz FROM fx_corners GROUP BY 1),
-k AS (SELECT vertex_id, min(d2) AS d2 FROM td JOIN mid ON mid.polygon_id = td.polygon_id WHERE td.polygon_id IN (SELECT polygon_id FROM cls) AND pz - mz > -0.05 AND d2 <= 9 GROUP BY 1)
-SELECT v.vertex_id, k.d2 IS NOT NULL AS found, {r('sqrt(k.d2)')} AS dist FROM fx_vertices v LEFT JOIN k ON k.vertex_id = v.vertex_id""")
+k AS (SELECT vertex_id, min(d2) AS d2, CAST(arg_min(td.polygon_id, (d2, td.polygon_id)) AS BIGINT) AS polygon_id
+  FROM td JOIN mid ON mid.polygon_id = td.polygon_id WHERE td.polygon_id IN (SELECT polygon_id FROM cls) AND pz - mz > -0.05 AND d2 <= 9 GROUP BY 1)
+SELECT v.vertex_id, coalesce(k.polygon_id, -1) AS polygon_id, {r('sqrt(k.d2)')} AS dist FROM fx_vertices v LEFT JOIN k ON k.vertex_id = v.vertex_id""")
 def _(t):
     out = matching.next_lower_polygon(plain_vertices(t), cornered(t), SC, ["vertex_id"], polygon_classes(t), 2)
-    return out.select("vertex_id", (F.col("polygon_id") >= 0).alias("found"), r6(F.col("dist")).alias("dist"))
+    return out.select("vertex_id", F.col("polygon_id").cast("bigint").alias("polygon_id"), r6(F.col("dist")).alias("dist"))
 
 
 @query("nearest_polygon_of_class", f"""
-WITH {ALL_TRI}, {CLASS_SQL} SELECT vertex_id, {r('sqrt(min(d2))')} AS dist FROM td WHERE polygon_id IN (SELECT polygon_id FROM cls) GROUP BY 1""")
+WITH {ALL_TRI}, {CLASS_SQL} SELECT vertex_id, CAST(arg_min(polygon_id, (d2, polygon_id)) AS BIGINT) AS polygon_id, {r('sqrt(min(d2))')} AS dist FROM td WHERE polygon_id IN (SELECT polygon_id FROM cls) GROUP BY 1""")
 def _(t):
-    return matching.nearest_polygon_of_class(plain_vertices(t), cornered(t), SC, polygon_classes(t), 2).select("vertex_id", r6(F.col("dist")).alias("dist"))
+    out = matching.nearest_polygon_of_class(plain_vertices(t), cornered(t), SC, polygon_classes(t), 2)
+    return out.select("vertex_id", F.col("polygon_id").cast("bigint").alias("polygon_id"), r6(F.col("dist")).alias("dist"))

@@ -10,7 +10,7 @@ from atrium.operators import fitting, maintenance as M
 from atrium.operators import mesh
 from atrium.plans.projections import planes
 from atrium.plans.registry import query, r
-from atrium.plans.spatial_joins import ALL_TRI, RAY_SQL, SC, SELF_SQL, cornered, plain_vertices, polygon_classes, ray_hits, room_rays
+from atrium.plans.spatial_joins import ALL_TRI, CLASS_SQL, RAY_SQL, SC, SELF_SQL, TRI_SQL, cornered, plain_vertices, polygon_classes, ray_hits, room_rays
 from atrium.plans.topology import contours, plane_links
 
 # ---- plane fitting ------------------------------------------------------------------------------------------
@@ -294,12 +294,19 @@ def _(t):
     return out.select("polygon_id", "e0", "e1", "target_id", r6(F.col("area")).alias("area"), "hits", "accepted")
 
 
-@query("project_objects_to_floor", """
-WITH p AS (SELECT vertex_id, CASE WHEN vertex_id % 13 = 0 THEN -1 ELSE vertex_id // 400 END AS f FROM fx_mesh_vertices)
-SELECT triangle_id, CAST(a.f AS BIGINT) AS floor_polygon_id FROM fx_triangles t JOIN p a ON a.vertex_id = v0 JOIN p b ON b.vertex_id = v1 JOIN p c ON c.vertex_id = v2 WHERE a.f >= 0 AND a.f = b.f AND b.f = c.f""")
+@query("project_objects_to_floor", f"""
+WITH ob AS (SELECT vertex_id, x, y, z + 0.2::DOUBLE AS z FROM fx_mesh_vertices), {TRI_SQL.format(points='ob', tris='fx_normals')}, {CLASS_SQL},
+mid AS (SELECT polygon_id, avg((az+bz+cz)/3) AS mz FROM fx_corners GROUP BY 1),
+p AS (SELECT vertex_id, arg_min(td.polygon_id, (d2, td.polygon_id)) AS f FROM td JOIN mid ON mid.polygon_id = td.polygon_id
+  WHERE td.polygon_id IN (SELECT polygon_id FROM cls) AND pz - mz > -0.05 AND d2 <= 9 GROUP BY 1)
+SELECT triangle_id, CAST(a.f AS BIGINT) AS floor_polygon_id, {r('oa.x + ob2.x + oc.x')} AS x, {r('oa.z + ob2.z + oc.z')} AS z
+FROM fx_triangles t JOIN p a ON a.vertex_id = v0 JOIN p b ON b.vertex_id = v1 JOIN p c ON c.vertex_id = v2 JOIN ob oa ON oa.vertex_id = v0 JOIN ob ob2 ON ob2.vertex_id = v1 JOIN ob oc ON oc.vertex_id = v2
+WHERE a.f = b.f AND b.f = c.f""")
 def _(t):
-    found = t.mesh_vertices.selectExpr("scene_id", "vertex_id", "CASE WHEN vertex_id % 13 = 0 THEN -1L ELSE vertex_id div 400 END AS polygon_id")
-    return M.project_objects_to_floor(t.mesh_vertices, t.triangles, found).select("triangle_id", "floor_polygon_id")
+    objects = t.mesh_vertices.withColumn("z", F.col("z") + 0.2)  # the mesh again, a little higher
+    out = M.project_objects_to_floor(objects, t.triangles.drop("polygon_id"), cornered(t), polygon_classes(t), 2, must_be_below=True, max_dist=3.0)
+    return out.select("triangle_id", F.col("floor_polygon_id").cast("bigint").alias("floor_polygon_id"), r6(F.col("ax") + F.col("bx") + F.col("cx")).alias("x"),
+                      r6(F.col("az") + F.col("bz") + F.col("cz")).alias("z"))
 
 
 OBS_SQL = f"""{RAY_SQL}, us AS (SELECT e0, e1, count(*) AS k FROM fx_edges GROUP BY ALL),

@@ -129,3 +129,64 @@ def test_codes_interleave_their_bits(spark):
     df = spark.createDataFrame(cells, "x long, y long, z long").select("x", "y", "z", S.morton([F.col(c) for c in "xyz"]).alias("m"))
     for r in df.collect():
         assert r.m == sum(((c >> b) & 1) << (3 * b + a) for a, c in enumerate((r.x, r.y, r.z)) for b in range(20))
+
+
+def test_nearest_of_those_below_a_limit(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, *map(float, rng.random(3) * [4, 4, 1]), float(rng.integers(0, 6))) for k in (0, 1) for i in range(250)]
+    targets = spark.createDataFrame(rows, "scene_id int, id int, x double, y double, z double, v double")
+    asked = [(k, i, *map(float, rng.random(3) * [5, 5, 2] - 0.5), float(rng.integers(-1, 7))) for k in (0, 1) for i in range(60)]
+    queries = spark.createDataFrame(asked, "scene_id int, id int, x double, y double, z double, t double")
+    p = vec()
+    tree = S.build_tree(targets, ["scene_id"], "id", p.struct(), p, p, value=F.col("v"))
+    for leaves in (S.LEAVES_PER_ROW, 3):
+        monkeypatch.setattr(S, "LEAVES_PER_ROW", leaves)
+        got = {(r.scene_id, r.id): (r.tid, r.dist) for r in S.nearest(queries, tree, p, how="left", max_dist=2.5, below=F.col("t")).collect()}
+        assert len(got) == len(asked)
+        for k, i, x, y, z, t in asked:
+            best = min(((((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2) ** 0.5, j) for s, j, a, b, c, v in rows if s == k and v < t), default=None)
+            if best is None or best[0] > 2.5:
+                assert got[k, i][0] is None
+            else:
+                assert got[k, i][0] == best[1] and got[k, i][1] == pytest.approx(best[0])
+
+
+def test_ray_packets_equal_every_triangle(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    corners = rng.random((2, 150, 1, 3)) * 6 + rng.normal(0, 0.5, (2, 150, 3, 3))
+    corners[1, :3] = corners[1, 0]  # three equal triangles: the least id counts
+    tris = [(k, i, *map(float, corners[k, i].ravel())) for k in (0, 1) for i in range(150)]
+    tri = spark.createDataFrame(tris, "scene_id int, triangle_id int, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz"))
+    lines = [(k, i, *map(float, rng.random(3) * 6), *map(float, rng.random(3) * 8 - 1)) for k in (0, 1, 2) for i in range(120)]
+    lines += [(0, 200 + i, 3.0, 3.0, 3.0, *map(float, 3 + s * np.eye(3)[a] * 4)) for i, (a, s) in enumerate((a, s) for a in range(3) for s in (-1, 1))]  # along the axes
+    lines += [(1, 300, *map(float, corners[1, 0].mean(axis=0) + [0, 0, 3]), *map(float, corners[1, 0].mean(axis=0) - [0, 0, 3])), (0, 301, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    rays = spark.createDataFrame(lines, "scene_id int, ray_id int, " + ", ".join(f"{n}{c} double" for n in "oe" for c in "xyz"))
+    want = {}
+    for k, i, *p in lines:
+        if k == 2:
+            continue
+        o, d = np.array(p[:3]), np.array(p[3:]) - p[:3]
+        a, u, v = corners[k, :, 0], corners[k, :, 1] - corners[k, :, 0], corners[k, :, 2] - corners[k, :, 0]
+        h = np.cross(d, v)
+        det = (u * h).sum(axis=1)
+        with np.errstate(all="ignore"):
+            s, q = o - a, np.cross(o - a, u)
+            b, c, t = (s * h).sum(axis=1) / det, (d * q).sum(axis=1) / det, (v * q).sum(axis=1) / det
+            hit = (np.abs(det) > 1e-12) & (b >= 0) & (c >= 0) & (b + c <= 1) & (t >= 0) & (t < 1)
+        if hit.any():
+            j = min(np.flatnonzero(hit), key=lambda j: (t[j], j))
+            want[k, i] = (j, t[j])
+    tree = S.shape_tree(tri, ["scene_id"], "triangle_id", [vec(c) for c in "abc"])
+    for leaves in (S.LEAVES_PER_ROW, 3):
+        monkeypatch.setattr(S, "LEAVES_PER_ROW", leaves)
+        got = {(r.scene_id, r.ray_id): r for r in S.ray_hits(rays, tree, ["ray_id"], vec("o"), vec("e"), counted=True).collect()}
+        assert set(got) == set(want) and all(got[k].tid == j and got[k].t == pytest.approx(t) for k, (j, t) in want.items())
+
+
+def test_rays_look_into_few_leaves(tables):
+    from atrium.plans.spatial_joins import cornered, room_rays
+    from atrium.operators import maintenance as M
+
+    out = S.ray_hits(room_rays(tables), M.triangle_tree(cornered(tables)), ["vertex_id"], vec("o"), vec("e"), 0.05, counted=True)
+    tested = [r.tested for r in out.select("tested").collect()]
+    assert tested and max(tested) < 10
