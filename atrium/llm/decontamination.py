@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atrium.llm.words import runs, slices, word_hashes, words
+from atrium.llm.words import Words, runs, slices, word_hashes, words
 
 SIMILARITY = 0.75
 WIDTH = 5
@@ -161,12 +161,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, bloc
             for batch in slices(batches):
                 w = words(batch.column("text"), lower=True, letters=True)
                 hashes = word_hashes(w)
-                # texts that hold any item's shingle; those across two texts or in short ones are looked at as well
-                held = [index.knows(shingle_list(hashes, width), width) for width in index.known]
-                some = np.unique(np.searchsorted(w.first, np.concatenate([np.zeros(0, np.int64), *held]), "right") - 1)
-                short = np.flatnonzero((np.diff(w.first) < WIDTH) & (np.diff(w.first) > 0))
                 doc, out = batch.column("doc_id").to_pylist(), []
-                for i in np.union1d(some, short).tolist():
+                for i in _suspects(index, w, hashes):
                     out += [(doc[i], *found) for found in index.search(hashes[w.first[i]:w.first[i + 1]])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(
                     (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32()))],
@@ -181,7 +177,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, bloc
     return reduce(DataFrame.unionByName, parts)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item; rows without an id stay."""
-    leaky = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaky, "doc_id", "left_anti").select(docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, block: int = ITEMS) -> DataFrame:
+    """Rows of ``docs`` whose text holds no benchmark item, decided row by row where the row is.
+
+    Rows without an id and repeated rows are judged by their own text; null, empty and blank texts
+    hold nothing and stay; without items all rows stay.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
+    blocks = max(1, -(-items.count() // block))
+    for b in range(blocks):  # each block of items filters what the blocks before have left
+        held = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        docs = docs.mapInArrow(_leak_filter(docs.sparkSession.sparkContext.broadcast(held), radius), docs.schema)
+    return docs
+
+
+def _leak_filter(shared, radius: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(shared.value, radius)
+        for batch in slices(batches):
+            w = words(batch.column("text"), lower=True, letters=True)
+            hashes = word_hashes(w)
+            keep = np.ones(batch.num_rows, bool)
+            for i in _suspects(index, w, hashes):
+                keep[i] = next(index.search(hashes[w.first[i]:w.first[i + 1]]), None) is None
+            yield batch.filter(pa.array(keep))
+    return clean
+
+
+def _suspects(index: ItemIndex, w: Words, hashes: np.ndarray) -> list[int]:
+    """Texts of a slice that hold any item's shingle; those across two texts or in short ones are looked at as well."""
+    held = [index.knows(shingle_list(hashes, width), width) for width in index.known]
+    some = np.unique(np.searchsorted(w.first, np.concatenate([np.zeros(0, np.int64), *held]), "right") - 1)
+    short = np.flatnonzero((np.diff(w.first) < WIDTH) & (np.diff(w.first) > 0))
+    return np.union1d(some, short).tolist()

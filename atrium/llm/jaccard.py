@@ -302,7 +302,7 @@ def distinct_groups(groups: DataFrame, key: str) -> DataFrame:
 
 
 def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, node (its class), component_id (least doc_id reachable by links)."""
+    """Per row of ``docs``: doc_id, n_shingles, node (its class), root (its component), component_id (least doc_id reachable by links), text_key."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "profiles")
     profiles(docs, width, percent).write.parquet(folder)
@@ -370,13 +370,29 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     linked = connected_components(edges, reps.select("node"), [], "node", "u", "v", "root")
     named = cut_lineage(linked.join(reps, "node").select("node", "root", "rep_id"))
     names = named.groupBy("root").agg(F.min("rep_id").alias("component_id"))
-    named = named.join(names, "root").select("node", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    named = named.join(names, "root").select("node", "root", "component_id")
+    out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """Rows of ``docs`` without those whose component has a lesser doc_id; rows without an id stay."""
-    found = link_components(docs, width, percent)
-    gone = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Rows of ``docs`` with one row for each component: that of the least doc_id, of the least text hash among rows without an id.
+
+    Rows are told apart by id and text, so a null id is compared like any other; of repeated rows
+    (same id and text) one stays, whatever else they hold.  Texts without words are linked with
+    nothing and all stay; only ``doc_id`` and ``text`` decide; an empty table stays empty.
+    """
+    found = cut_lineage(link_components(docs, width, percent).filter("n_shingles > 0").select("doc_id", "text_key", "root"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    groups = found.groupBy("root").agg(F.count("*").alias("held"), F.min(rank).alias("first")).filter("held > 1")
+    judged = found.join(groups, "root").withColumn("_first", F.col("text_key").eqNullSafe(F.col("first.text_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    judged = cut_lineage(judged.groupBy("doc_id", "text_key", "_first").agg(F.count("*").alias("n")))
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key")).alias("_key")
+    keyed = docs.select(key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    listed = judged.select(F.struct(F.col("doc_id").alias("id"), "text_key").alias("_key"), "_first", "n")
+    stay = keyed.join(small(cut_lineage(listed.filter("NOT _first OR n > 1").select("_key"))), "_key", "left_anti")
+    # the few first rows that are repeated: one of each
+    again = keyed.join(small(cut_lineage(listed.filter("_first AND n > 1").select("_key"))), "_key", "left_semi")
+    plain = [F.col(f"_row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = again.groupBy("_key").agg(F.min_by("_row", F.xxhash64(*plain)).alias("_row"))
+    return stay.select("_row").unionByName(one.select("_row")).select("_row.*")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from atrium.llm.words import WORD
 from atrium.session import cut_lineage
 
+SEED = 11
 SPLIT = 1024  # rows of a group that are ranked together
 
 
@@ -116,7 +117,7 @@ def length_counts(hist: DataFrame) -> DataFrame:
     return hist.join(fitted, ["key", "size"], "left").withColumn("take", F.col("even") + F.coalesce("fitted", F.lit(0)))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = SEED) -> DataFrame:
     """How often the mix takes each document.
 
     Returns a row per document: doc_id, source, size (words), source_size, target (of the source,
@@ -141,20 +142,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     inside = W.partitionBy("key", "size", "part").orderBy("draw", "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(inside)).join(parts, ["key", "size", "part"])
     copies = (F.col("passes") + F.when(F.col("earlier") + F.col("nth") <= F.col("take"), 1).otherwise(0)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "draw")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken (whole rows of ``docs``, repeated).
 
-    Rows with the same id, source and size share their copies, the first ones getting one more.
+    Rows are told apart by id, source and text, also those without an id.  Repeated rows share their
+    copies, the first ones by a hash of the whole row getting one more, so attempts agree.
     """
-    key = F.xxhash64("doc_id", "source", "_size")
-    counts = mix_sources(docs, **options).withColumnRenamed("size", "_size").withColumn("_row", key)
-    counts = counts.groupBy("_row").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+    seed = options.get("seed", SEED)
+    key = F.xxhash64("draw", "source")
+    counts = mix_sources(docs, **options).withColumn("_row", key).groupBy("_row").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
     own = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)), "doc_id", "source", word_count(F.col("text")).alias("_size"))
-    rows = rows.withColumn("_row", key).withColumn("_nth", F.row_number().over(W.partitionBy("_row").orderBy("_row")))
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)), F.xxhash64(*plain).alias("_order"),
+                       "source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")).withColumn("_row", key).drop("draw", "source")
+    taken = rows.join(counts.filter("_sum > 0"), "_row")
+    nth = F.row_number().over(W.partitionBy("_row").orderBy("_order"))  # of one row but where rows are repeated
     times = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
-    taken = rows.join(counts.filter("_sum > 0"), "_row").withColumn("_times", times.cast("int")).filter("_times > 0")
+    taken = taken.withColumn("_nth", nth).withColumn("_times", times.cast("int")).filter("_times > 0")
     return taken.select(*own, F.explode(F.sequence(F.lit(1), "_times"))).select(own).toDF(*docs.columns)

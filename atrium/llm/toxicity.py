@@ -46,8 +46,10 @@ dit disait écrit affirme dijo dice escribió afirma""".split()
 THREATS = """kill hurt destroy beat punch shoot stab burn strangle töten umbringen schlagen verletzen erschießen tuer frapper blesser
 détruire matar golpear herir disparar""".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-SYMBOLS = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DENIED = range(7)  # DENIED is only written, for a negated threat
+SYMBOLS = range(7)
+THREAT_STRENGTH, TARGET_STRENGTH = 4.0, 0.5
+ALONE = 0.15  # share of a threat that has no target
 CLAUSE_END = re.compile(r"[.!?;:,]['\")\]]*$")
 LINE = re.compile(r"\n")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,11 +85,43 @@ def within(opens: int, reach: int, inside: dict[int, float], outside: dict[int,
     return Transducer(arcs)
 
 
+def denied(machine: Transducer) -> Transducer:
+    """The same machine, writing DENIED for threats whose factor it lowers."""
+    return Transducer([[(to, DENIED if s == THREAT and f < 1 else out, f) for s, (to, out, f) in zip(SYMBOLS, row)] for row in machine.arcs])
+
+
+def aimed(reach: int) -> Transducer:
+    """Targets and threats on either side of each other.
+
+    States tell how far a target still reaches and for how many words a threat still waits for one.
+    A threat near an earlier target counts in full.  Any other writes a share at once and delays the
+    rest until a target comes, which then counts as the threat; without one the rest is never
+    written.  Insults after a target weigh more.
+    """
+    delayed = (1 - ALONE) * THREAT_STRENGTH / TARGET_STRENGTH
+    states = [(t, w) for t in range(reach + 1) for w in range(reach + 1)]
+    place = {s: i for i, s in enumerate(states)}
+    arcs = []
+    for t, w in states:
+        row = []
+        for s in SYMBOLS:
+            to, out, factor = (max(t - 1, 0), max(w - 1, 0)), s, 1.0
+            if s == TARGET:
+                to, out, factor = (reach, 0), *((THREAT, delayed) if w else (TARGET, 1.0))
+            elif s == THREAT and not t:
+                to, factor = (0, reach), ALONE
+            elif s == INSULT and t:
+                factor = 1.25
+            row.append((place[to], out, factor))
+        arcs.append(row)
+    return Transducer(arcs)
+
+
 def grammar() -> Transducer:
-    """Negation, reported speech, target before, and insult before a target, composed."""
-    negation = within(NEGATION, 3, {INSULT: 0.35, THREAT: 0.2}, {})
-    report = within(REPORT, 40, {INSULT: 0.5, THREAT: 0.4, TARGET: 0.5}, {})
-    target = within(TARGET, 4, {INSULT: 1.25}, {THREAT: 0.15})
+    """Negation, reported speech, targets around threats, and insult before a target, composed."""
+    negation = denied(within(NEGATION, 3, {INSULT: 0.35, THREAT: 0.2}, {}))
+    report = within(REPORT, 40, {INSULT: 0.5, THREAT: 0.4, DENIED: 0.4, TARGET: 0.5}, {})
+    target = aimed(4)
     insult = within(INSULT, 4, {}, {TARGET: 0.0})
     return negation.then(report).then(target).then(insult)
 
@@ -106,7 +140,7 @@ class Model(NamedTuple):
         if weight:
             return INSULT, weight
         plain = w.replace("'", "").replace("’", "")
-        for words, symbol, strength in ((THREATS, THREAT, 4.0), (TARGETS, TARGET, 0.5), (NEGATIONS, NEGATION, 0.0), (REPORTS, REPORT, 0.0)):
+        for words, symbol, strength in ((THREATS, THREAT, THREAT_STRENGTH), (TARGETS, TARGET, TARGET_STRENGTH), (NEGATIONS, NEGATION, 0.0), (REPORTS, REPORT, 0.0)):
             if plain in words:
                 return symbol, strength
         return OTHER, 0.0

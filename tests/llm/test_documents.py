@@ -105,7 +105,12 @@ def test_grammar_weighs_context():
     assert weight("you fool") > weight("a fool") > weight("they said a fool") > 0
     assert weight("not a fool") < weight("a fool")
     assert weight("not now. a fool") == weight("a fool")
-    assert weight("I will kill you") < weight("you I will kill")
+    assert weight("I will kill you") == weight("you I will kill") == 4.0  # a target on either side
+    for threat, denial, said in (("I will kill you", "I will not kill you", "he said I will kill you"), ("ich werde dich töten", "ich werde dich nicht töten", "er sagt ich werde dich töten"),
+                                 ("je vais te tuer", "je vais jamais te tuer", "il écrit je vais te tuer"), ("voy a matar a ellos", "nunca voy a matar a ellos", "dijo voy a matar a ellos")):
+        assert weight(threat) > weight(said) > 0 and weight(threat) > weight(denial), threat
+        assert scorer.score(scorer.clauses(threat)) > 0.7 > scorer.score(scorer.clauses(said))
+    assert weight("they kill time. you wait") < 1.0 + weight("they kill time") and weight("a kill") < 1.0
     assert [c for c, _ in scorer.clauses("fine here. you stupids! done")] == ["you stupids!"]
     assert scorer.clauses(None) == scorer.clauses("") == []
     assert scorer.score([]) == pytest.approx(1 / (1 + math.exp(2)))
@@ -189,6 +194,28 @@ def test_revisits_find_the_latest_earlier_response(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
 
 
+def test_pipeline_decides_per_row(spark):
+    from atrium.llm import decontamination, jaccard, mixing
+
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, root string, held string, draw string, _row string"
+    make = lambda rows: spark.createDataFrame([(i, t, k, "s", 1, *"abcde") for i, t, k in rows], schema)
+    copies = [(1, text, "x"), (1, text, "y"), (None, text, "z"), (2, text, "x"), (None, None, "x"), (7, "", "x"), (None, leak, "a"), (None, leak, "b"), (9, "a b", "x")]
+    kept = jaccard.one_of_each(make(copies))
+    assert kept.columns == make([]).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, text), (None, None), (7, ""), (None, leak), (9, "a b")], key=str)
+    bench = spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string")
+    clean = decontamination.without_leaks(make([*copies, (1, leak, "x"), (3, "before " + leak.upper() + " after", "x")]), bench)
+    assert sorted(((r.doc_id, r.text, r.lang) for r in clean.collect()), key=str) == sorted([c for c in copies if c[1] != leak], key=str)
+    rows = [(1, "a b c", "x"), (1, "d e f", "y"), (None, "a b c", "x"), (None, "g h i", "x"), (None, "g h i", "y"), (4, "k l m", "x")]
+    first = sorted(map(tuple, mixing.mixed_documents(make(rows)).collect()), key=str)
+    again = sorted(map(tuple, mixing.mixed_documents(make(rows[::-1]).repartition(5)).collect()), key=str)
+    assert first == again and first
+    for stage in (jaccard.one_of_each, lambda d: decontamination.without_leaks(d, bench), mixing.mixed_documents):
+        assert stage(make([])).count() == 0
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
