@@ -10,7 +10,7 @@ from atrium.functions import vectors as V
 from atrium.functions.vectors import r6
 from atrium.operators import aggregates as A
 from atrium.operators import cameras, mesh, ranking, semantics
-from atrium.plans.projections import on_planes, planes
+from atrium.plans.projections import on_planes, planes, pointing
 from atrium.plans.registry import query, r
 from atrium.plans.spatial_joins import NEAREST_SQL, SC, nearest_vertices
 
@@ -57,17 +57,16 @@ def _(t):
 
 
 @query("select_walls", """
-SELECT DISTINCT w.wall_id FROM fx_walls w JOIN fx_rooms r ON w.wx < r.x1 AND w.wx >= r.x0 AND w.wy < r.y1 AND w.wy >= r.y0
-WHERE r.level_key IN (0, 1) AND w.z_min <= 2.5 AND w.z_max >= 0""")
+SELECT DISTINCT CAST(r.level_key AS BIGINT) AS level_id, w.wall_id FROM fx_walls w JOIN fx_rooms r ON w.wx < r.x1 AND w.wx >= r.x0 AND w.wy < r.y1 AND w.wy >= r.y0 AND r.level_key = w.wall_id % 5
+WHERE w.z_min <= 2.5 AND w.z_max >= 0""")
 def _(t):
     from atrium.operators.rooms import select_walls
 
-    # footprint cells of 1 m, walls stand on the cell of their anchor
-    cells = t.rooms.filter("level_key IN (0, 1)").selectExpr(
-        "0 AS level_id", "explode(sequence(CAST(x0 AS INT), CAST(x1 AS INT) - 1)) AS c", "y0", "y1").selectExpr(
+    # footprint cells of 1 m on every level, walls stand on the cell of their anchor on the level of their id
+    cells = t.rooms.selectExpr("level_key AS level_id", "explode(sequence(CAST(x0 AS INT), CAST(x1 AS INT) - 1)) AS c", "y0", "y1").selectExpr(
         "level_id", "explode(sequence(CAST(y0 AS INT), CAST(y1 AS INT) - 1)) AS r", "c")
-    walls = t.walls.selectExpr("wall_id", "0 AS level_id", "CAST(floor(wy) AS INT) AS r", "CAST(floor(wx) AS INT) AS c", "z_min", "z_max")
-    return select_walls(walls, cells, 0.0, 2.5, ["level_id"]).select("wall_id")
+    walls = t.walls.selectExpr("wall_id", "wall_id % 5 AS level_id", "CAST(floor(wy) AS INT) AS r", "CAST(floor(wx) AS INT) AS c", "z_min", "z_max")
+    return select_walls(walls, cells, 0.0, 2.5, ["level_id"])
 
 
 @query("ceiling_clearance", "SELECT polygon_id FROM fx_ceilings WHERE -d - 1.5 >= 1.0::DOUBLE")
@@ -319,18 +318,18 @@ def _(t):
     return d.groupBy("polygon_id").agg(F.count("*").alias("n_triangles"), r6(F.sum("area")).alias("area"))
 
 
-NORMALS_SQL = "n AS (SELECT vertex_id, vertex_id % 10 AS polygon_id, x, y, z, sin(vertex_id) AS nx, cos(vertex_id) AS ny, sin(vertex_id * 2) AS nz FROM fx_vertices)"
+NORMALS_SQL = "n AS (SELECT vertex_id, vertex_id % (SELECT count(*) FROM fx_planes) AS polygon_id, x, y, z, sin(vertex_id) AS nx, cos(vertex_id) AS ny, sin(vertex_id * 2) AS nz FROM fx_vertices)"
 
 
 def points_with_normals(t):
     i = F.col("vertex_id")
-    return t.vertices.select("vertex_id", (i % 10).alias("polygon_id"), "x", "y", "z", F.sin(i).alias("nx"), F.cos(i).alias("ny"), F.sin(i * 2).alias("nz"))
+    return pointing(t, t.vertices).select("vertex_id", "polygon_id", "x", "y", "z", F.sin(i).alias("nx"), F.cos(i).alias("ny"), F.sin(i * 2).alias("nz"))
 
 
 @query("flip_normals_majority", f"""
 WITH {NORMALS_SQL} SELECT p.polygon_id, count(*) FILTER (nx*a + ny*b + nz*c < 0) * 2 > count(*) AS flipped FROM n JOIN fx_planes p ON p.polygon_id = n.polygon_id GROUP BY 1""")
 def _(t):
-    return A.flip_normals_majority(points_with_normals(t), planes(t).filter("polygon_id < 10"), ["polygon_id"]).select("polygon_id", "flipped")
+    return A.flip_normals_majority(points_with_normals(t), planes(t), ["polygon_id"]).select("polygon_id", "flipped")
 
 
 @query("plane_error", f"""
@@ -404,9 +403,9 @@ def _(t):
     return out.select("wall_id", "n", *(r6(F.col(c)).alias(c) for c in ("u_min", "u_max", "width", "height")))
 
 
-@query("dense_remap", "SELECT hint_vertex AS old_id, dense_rank() OVER (ORDER BY hint_vertex) - 1 AS new_id FROM (SELECT DISTINCT hint_vertex FROM fx_rays WHERE hint_vertex % 3 = 1)")
+@query("dense_remap", "SELECT hint_vertex AS old_id, dense_rank() OVER (ORDER BY hint_vertex) - 1 AS new_id FROM (SELECT DISTINCT hint_vertex FROM fx_rays)")
 def _(t):
-    ids = t.rays.filter("hint_vertex % 3 = 1").select(F.col("hint_vertex").alias("old_id"))
+    ids = t.rays.select(F.col("hint_vertex").alias("old_id"))
     return ranking.dense_index(ids, "old_id", "new_id")
 
 

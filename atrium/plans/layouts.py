@@ -168,13 +168,12 @@ def _(t):
 
 
 @query("append_triangles", """
-WITH n AS (SELECT max(vertex_id) AS m FROM fx_mesh_vertices), k AS (SELECT triangle_id, row_number() OVER (ORDER BY triangle_id) - 1 AS i FROM fx_triangles WHERE polygon_id = 1)
+WITH n AS (SELECT max(vertex_id) AS m FROM fx_mesh_vertices), k AS (SELECT triangle_id, row_number() OVER (ORDER BY triangle_id) - 1 AS i FROM fx_triangles)
 SELECT triangle_id, m + 1 + 3 * i AS v0, m + 2 + 3 * i AS v1, m + 3 + 3 * i AS v2 FROM k, n""")
 def _(t):
     from atrium.operators.maintenance import append_triangles
 
-    new = cornered(t).filter("polygon_id = 1")
-    _, tri = append_triangles(new, t.mesh_vertices, SC)
+    _, tri = append_triangles(cornered(t), t.mesh_vertices, SC)
     return tri.select("triangle_id", "v0", "v1", "v2")
 
 

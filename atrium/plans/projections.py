@@ -22,10 +22,15 @@ def planes(t) -> DataFrame:
     return t.ceilings.select("polygon_id", *((F.col(k) / l).alias(k) for k in "abcd"))
 
 
-def on_planes(t, modulus: int = 10) -> DataFrame:
+def pointing(t, rows: DataFrame) -> DataFrame:
+    """Vertices with the id of one of all planes, by their own id modulo the number of planes."""
+    total = t.ceilings.agg(F.count("*").alias("_planes"))  # one row
+    return rows.join(F.broadcast(total)).withColumn("polygon_id", F.col("vertex_id") % F.col("_planes")).drop("_planes")
+
+
+def on_planes(t) -> DataFrame:
     """Vertices with the plane their id points at; the shuffle key is the plane id."""
-    pl = planes(t)
-    return t.vertices.withColumn("polygon_id", F.col("vertex_id") % modulus).join(pl, "polygon_id")
+    return pointing(t, t.vertices).join(planes(t), "polygon_id")
 
 
 def xyz(v: V.Vec, prefix: str = "") -> list:
@@ -145,7 +150,7 @@ def _(t):
 
 # ---- planes and lines ----------------------------------------------------------------------------
 
-ON_PLANES = "v AS (SELECT v.*, p.polygon_id, p.a, p.b, p.c, p.d FROM fx_vertices v JOIN fx_planes p ON p.polygon_id = v.vertex_id % 10)"
+ON_PLANES = "v AS (SELECT v.*, p.polygon_id, p.a, p.b, p.c, p.d FROM fx_vertices v JOIN fx_planes p ON p.polygon_id = v.vertex_id % (SELECT count(*) FROM fx_planes))"
 DIST = "(a*x + b*y + c*z + d)"
 
 
@@ -201,7 +206,7 @@ def _(t):
 
 
 @query("line_projection", f"""
-WITH l AS (SELECT v.vertex_id, v.x, v.y, v.z, p.a AS dx, p.b AS dy, p.c AS dz FROM fx_vertices v JOIN fx_planes p ON p.polygon_id = v.vertex_id % 10),
+WITH l AS (SELECT v.vertex_id, v.x, v.y, v.z, p.a AS dx, p.b AS dy, p.c AS dz FROM fx_vertices v JOIN fx_planes p ON p.polygon_id = v.vertex_id % (SELECT count(*) FROM fx_planes)),
 q AS (SELECT *, ((x-1)*dx + (y-2)*dy + (z-3)*dz) / (dx*dx+dy*dy+dz*dz) AS t FROM l)
 SELECT vertex_id, {rxyz('', '1 + t*dx', '2 + t*dy', '3 + t*dz')},
   {r('sqrt((x-1-t*dx)*(x-1-t*dx) + (y-2-t*dy)*(y-2-t*dy) + (z-3-t*dz)*(z-3-t*dz))')} AS dist FROM q""")
@@ -244,20 +249,19 @@ def _(t):
 
 
 @query("constrain_vertices", f"""
-WITH e AS (SELECT v.vertex_id, v.x, v.y, v.z, v.vertex_id % 4 AS n, p.a, p.b, p.c, p.d FROM fx_vertices v LEFT JOIN fx_planes p ON p.polygon_id = v.vertex_id % 10),
+WITH e AS (SELECT v.vertex_id, v.x, v.y, v.z, v.vertex_id % 4 AS n, p.a, p.b, p.c, p.d FROM fx_vertices v LEFT JOIN fx_planes p ON p.polygon_id = v.vertex_id % (SELECT count(*) FROM fx_planes)),
 g AS (SELECT *, a*x + b*y + c*z + d AS h, CAST(-(v.x * 0 + 1) AS DOUBLE) AS qd FROM e v),
 o AS (SELECT *, CASE n WHEN 0 THEN x WHEN 1 THEN x - h*a ELSE 1 END AS px,
   CASE WHEN n = 0 THEN y WHEN n = 1 THEN y - h*b WHEN n = 2 THEN y - b*(a*(1-x) + h)/(b*b + c*c) ELSE 2 END AS py,
   CASE WHEN n = 0 THEN z WHEN n = 1 THEN z - h*c WHEN n = 2 THEN z - c*(a*(1-x) + h)/(b*b + c*c) ELSE -(a + 2*b + d)/c END AS pz FROM g)
 SELECT vertex_id, CAST(n AS INT) AS n_planes, {rxyz('p', 'px', 'py', 'pz')}, {r('sqrt((px-x)*(px-x)+(py-y)*(py-y)+(pz-z)*(pz-z))')} AS displacement FROM o""")
 def _(t):
-    # planes 1000 and 1001 are x = 1 and y = 2; a vertex has vertex_id % 4 of (own plane, 1000, 1001)
+    # planes -1 and -2 are x = 1 and y = 2; a vertex has vertex_id % 4 of (own plane, -1, -2)
     axis = t.ceilings.limit(1).selectExpr(
-        "inline(array(struct(1000L AS polygon_id, 1D AS a, 0D AS b, 0D AS c, -1D AS d), struct(1001L AS polygon_id, 0D AS a, 1D AS b, 0D AS c, -2D AS d)))")
-    all_planes = planes(t).filter("polygon_id < 10").unionByName(axis).withColumnRenamed("polygon_id", "plane_id").withColumn("scene_id", F.lit(0))
+        "inline(array(struct(-1L AS polygon_id, 1D AS a, 0D AS b, 0D AS c, -1D AS d), struct(-2L AS polygon_id, 0D AS a, 1D AS b, 0D AS c, -2D AS d)))")
+    all_planes = planes(t).unionByName(axis).withColumnRenamed("polygon_id", "plane_id").withColumn("scene_id", F.lit(0))
     v = t.vertices.withColumn("scene_id", F.lit(0)).select("scene_id", "vertex_id", "x", "y", "z")
-    links = v.selectExpr("scene_id", "vertex_id",
-                         "posexplode(slice(array(vertex_id % 10, 1000L, 1001L), 1, CAST(vertex_id % 4 AS INT))) AS (rank, plane_id)")
+    links = pointing(t, v).selectExpr("scene_id", "vertex_id", "posexplode(slice(array(polygon_id, -1L, -2L), 1, CAST(vertex_id % 4 AS INT))) AS (rank, plane_id)")
     return mesh.constrain_vertices(v, links, all_planes).select(
         "vertex_id", "n_planes", *xyz(V.vec("p"), "p"), r6(F.col("displacement")).alias("displacement"))
 
@@ -317,7 +321,7 @@ def _(t):
     return placed.select("vertex_id", r6((p - V.vec("q")).norm()).alias("dist"))
 
 
-@query("plane_z", f"SELECT v.vertex_id, {r('-(a*x + b*y + d)/c')} AS z FROM fx_vertices v JOIN fx_planes p ON p.polygon_id = v.vertex_id % 10")
+@query("plane_z", f"SELECT v.vertex_id, {r('-(a*x + b*y + d)/c')} AS z FROM fx_vertices v JOIN fx_planes p ON p.polygon_id = v.vertex_id % (SELECT count(*) FROM fx_planes)")
 def _(t):
     return on_planes(t).select("vertex_id", r6(V.plane_z(V.plane(), F.col("x"), F.col("y"))).alias("z"))
 
