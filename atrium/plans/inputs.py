@@ -18,9 +18,11 @@ from atrium.streaming import frames as streams
 
 
 def written_transforms(t) -> str:
-    """One document per scene with its frames in id order."""
-    frame = F.struct(F.concat(F.lit("images/"), "name").alias("file_path"), F.col("c2w").alias("transform_matrix"))
-    docs = t.frames.withColumn("scene_id", F.col("frame_id") % 200).groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", frame.alias("f")))).alias("fs"))
+    """One document per 75 frames, with its frames in id order; every fiftieth frame stands again under another folder."""
+    frame = F.struct(F.concat(F.col("folder"), "name").alias("file_path"), F.col("c2w").alias("transform_matrix"))
+    folders = F.when(F.col("frame_id") % 50 == 0, F.array(F.lit("images/"), F.lit("more/"))).otherwise(F.array(F.lit("images/")))
+    rows = t.frames.withColumn("scene_id", F.expr("frame_id div 75")).withColumn("folder", F.explode(folders))
+    docs = rows.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "folder", frame.alias("f")))).alias("fs"))
     docs = docs.select("scene_id", F.lit(800).alias("w"), F.lit(600).alias("h"), F.lit(400.0).alias("fl_x"), F.transform("fs", lambda e: e["f"]).alias("frames"))
     path = scratch_path(t.spark, "transforms")
     docs.write.json(path)
@@ -28,10 +30,15 @@ def written_transforms(t) -> str:
 
 
 @query("read_transforms", """
-SELECT frame_id % 200 AS scene_id, CAST(row_number() OVER (PARTITION BY frame_id % 200 ORDER BY frame_id) - 1 AS INT) AS frame_id, name, tx, ty, true AS valid FROM fx_frames""")
+WITH f AS (SELECT frame_id // 75 AS scene_id, frame_id AS id, name, tx, ty, unnest(CASE WHEN frame_id % 50 = 0 THEN ['images/', 'more/'] ELSE ['images/'] END) AS folder FROM fx_frames)
+SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY id, folder) - 1 AS INT) AS frame_id, name, tx, ty, true AS valid,
+  count(*) OVER (PARTITION BY scene_id, name) > 1 AS duplicate FROM f""")
 def _(t):
     rows = readers.frame_rows(readers.read_transforms(t.spark, written_transforms(t)))
-    return rows.select("scene_id", "frame_id", "name", F.col("c2w")[0][3].alias("tx"), F.col("c2w")[1][3].alias("ty"), readers.valid_pose(F.col("c2w")).alias("valid"))
+    twice = readers.duplicate_names(rows).select("scene_id", "name", F.lit(True).alias("duplicate"))
+    rows = rows.join(twice, ["scene_id", "name"], "left")
+    return rows.select("scene_id", "frame_id", "name", F.col("c2w")[0][3].alias("tx"), F.col("c2w")[1][3].alias("ty"), readers.valid_pose(F.col("c2w")).alias("valid"),
+                       F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
 
 
 def written_rasters(t) -> str:
@@ -49,13 +56,17 @@ def _(t):
     return readers.scan_frame_files(t.spark, written_rasters(t), "*.npy").select("index", "name", "length")
 
 
-@query("read_frame_list", "SELECT s_nationkey AS scene_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS index, 'frame_' || s_suppkey || '.png' AS name FROM supplier")
+@query("read_frame_list", """
+WITH l AS (SELECT s_suppkey // 10 AS scene_id, CAST(row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) - 1 AS INT) AS index, 'frame_' || lpad(CAST(s_suppkey * 997 AS VARCHAR), 6, '0') || '.png' AS name FROM supplier)
+SELECT l.*, f.name IS NULL AS missing FROM l LEFT JOIN fx_frames f ON f.name = l.name""")
 def _(t):
     path = scratch_path(t.spark, "list")
-    line = F.struct("s_suppkey", F.concat(F.lit("frame_"), "s_suppkey", F.lit(".png\n")).alias("s"))
-    lists = t.raw("supplier").groupBy(F.col("s_nationkey").alias("scene_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda e: e["s"]), "").alias("value"))
-    lists.write.partitionBy("scene_id").text(path)  # one list file per scene
-    return readers.read_frame_list(t.spark, path)
+    line = F.struct("s_suppkey", F.format_string("frame_%06d.png\n", F.col("s_suppkey") * 997).alias("s"))
+    lists = t.raw("supplier").groupBy(F.expr("s_suppkey div 10").alias("scene_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda e: e["s"]), "").alias("value"))
+    lists.write.partitionBy("scene_id").text(path)  # one list file of ten names per scene
+    wanted = readers.read_frame_list(t.spark, path)
+    lacking = readers.missing_names(wanted, t.frames).select("scene_id", "index", F.lit(True).alias("missing"))
+    return wanted.join(lacking, ["scene_id", "index"], "left").select(F.col("scene_id").cast("bigint").alias("scene_id"), "index", "name", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
 def records(t):
@@ -94,12 +105,13 @@ def _(t):
     return readers.check_pixel_maps(pixels, 8, 8).join(sums, "name")
 
 
-@query("read_polygon_info", "SELECT room_key % 3 AS scene_id, CAST(room_key AS BIGINT) AS polygon_id, 'room' AS class, [CAST(room_key AS BIGINT), CAST(room_key + 1 AS BIGINT)] AS vertices FROM fx_rooms")
+@query("read_polygon_info", """
+SELECT polygon_id // 10 AS scene_id, polygon_id, 'ceiling' AS class, [polygon_id, polygon_id + 1] AS vertices, [a, b, c, d] AS plane_eq FROM fx_ceilings""")
 def _(t):
-    poly = F.struct(F.array("room_key", F.col("room_key") + 1).alias("vertices"), F.lit("room").alias("class"))
-    docs = t.rooms.groupBy((F.col("room_key") % 3).alias("scene_id")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("room_key").cast("string"), poly)))).alias("value"))
-    return readers.read_polygon_info(docs, ["scene_id"]).select("scene_id", "polygon_id", "class", "vertices")
+    poly = F.struct(F.array("polygon_id", F.col("polygon_id") + 1).alias("vertices"), F.lit("ceiling").alias("class"), F.array("a", "b", "c", "d").alias("plane_eq"))
+    docs = t.ceilings.groupBy(F.expr("polygon_id div 10").alias("scene_id")).agg(  # ten polygons a document
+        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("polygon_id").cast("string"), poly)))).alias("value"))
+    return readers.read_polygon_info(docs, ["scene_id"]).select("scene_id", "polygon_id", "class", "vertices", "plane_eq")
 
 
 @query("read_prototype", f"""

@@ -84,6 +84,11 @@ def read_frame_list(spark: SparkSession, path: str) -> DataFrame:
     return names.select(*folder, F.posexplode("names").alias("index", "name"))
 
 
+def missing_names(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Listed rows whose name no found frame has."""
+    return wanted.join(found.select("name").distinct(), "name", "left_anti").select(wanted.columns)
+
+
 def read_frame_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).json(path)
 
