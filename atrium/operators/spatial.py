@@ -144,23 +144,20 @@ def build_tree(
         slim = top_k(slim, [*keys, *same], [F.col("tid")], k)
     slim = cut_lineage(slim)
     span = F.greatest(*(F.max(h) - F.min(l) for l, h in zip(LOW, HIGH)), F.lit(1e-6)) * 1.0001
-    scenes = slim.groupBy(*keys).agg(*(F.min(c).alias(o) for c, o in zip(LOW, PLACE)), span.alias("_size"))
-    scenes = cut_lineage(scenes.filter("_size IS NOT NULL"))
-    n_scenes = scenes.count()
-    near = F.broadcast(scenes) if n_scenes <= BROADCAST_CELLS else scenes
-    joined = slim.join(near, list(keys)) if keys else slim.join(F.broadcast(scenes))
+    scenes = slim.groupBy(*keys).agg(*(F.min(c).alias(o) for c, o in zip(LOW, PLACE)), span.alias("_size")).filter(F.col(PLACE[0]).isNotNull())
+    joined = slim.join(scenes, list(keys)) if keys else slim.join(F.broadcast(scenes))  # without keys one row
     center = [(F.col(l) + F.col(h)) / 2 for l, h in zip(LOW, HIGH)]
     cell = [F.greatest(F.lit(0), F.least(F.lit((1 << STEP * DEPTH) - 1), F.floor((m - F.col(o)) / F.col("_size") * (1 << STEP * DEPTH)))) for m, o in zip(center, PLACE)]
     coded = joined.withColumn("code", morton(cell).bitwiseOR(F.lit(1 << 3 * STEP * DEPTH))).drop("_size", *PLACE[:3])
     # copies of one geometry cannot be told apart by a finer grid, so they count once
     rows = cut_lineage(with_leaf_levels(coded, keys, () if k == 1 else ("geom",), 2 * leaf_points))
     leaves = rows.groupBy(*keys, node_id(DEPTH).alias("node")).agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"))
-    per_scene = cut_lineage(leaves.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.max("leaf").alias("deepest"), F.avg("leaf").alias("usual")))
-    total, cells, levels = per_scene.agg(F.sum("n"), F.sum("cells"), F.max("deepest")).first()
+    per_scene = leaves.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.max("leaf").alias("deepest"), F.avg("leaf").alias("usual"))
     # query groups are as large as the usual leaf of their scene
     edge = (F.col("_size") / F.pow(F.lit(2.0**STEP), F.round("usual"))).alias("_edge")
-    scenes = (scenes.join(per_scene, list(keys)) if keys else scenes.join(per_scene)).select(*keys, *PLACE[:3], edge)
-    return Tree(rows, cut_lineage(scenes), tuple(keys), levels or 0, total or 0, cells or 0, n_scenes, value is not None)
+    scenes = cut_lineage((scenes.join(per_scene, list(keys)) if keys else scenes.join(per_scene)).select(*keys, *PLACE[:3], edge, "n", "cells", "deepest"))
+    total, cells, levels, n_scenes = scenes.agg(F.sum("n"), F.sum("cells"), F.max("deepest"), F.count("*")).first()
+    return Tree(rows, scenes.drop("n", "cells", "deepest"), tuple(keys), levels or 0, total or 0, cells or 0, n_scenes, value is not None)
 
 
 def point_tree(targets: DataFrame, keys: Sequence[str], tid, p: Vec, k: int | None = 1, **kw) -> Tree:
