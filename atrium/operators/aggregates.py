@@ -120,12 +120,20 @@ def distance_summary(df: DataFrame, keys: Sequence[str], dist: str = "dist", exa
     return ends.join(percentiles(df, keys, dist, {"median": 0.5, "p95": 0.95}), list(keys)) if exact else ends
 
 
-def depth_stats(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Range, mean, median and share of positive depths per frame."""
+def depth_stats(samples: DataFrame, keys: Sequence[str], confidence: Sequence[str] = (), normal: Sequence[str] | None = None) -> DataFrame:
+    """Range, mean, median and share of positive depths per frame.
+
+    Adds the range of each ``confidence`` column, and of the length of the ``normal`` columns the
+    mean and the largest deviation from one.
+    """
     d = F.col("depth")
+    more = [f(c).alias(f"{c}_{n}") for c in confidence for f, n in ((F.min, "min"), (F.max, "max"))]
+    if normal is not None:
+        length = F.sqrt(sum((F.col(c) * F.col(c) for c in normal), F.lit(0.0)))
+        more += [F.avg(length).alias("normal_norm_mean"), F.max(F.abs(length - 1)).alias("normal_norm_max_error")]
     plain = samples.groupBy(*keys).agg(
         F.min(d).alias("depth_min"), F.max(d).alias("depth_max"), F.avg(d).alias("depth_mean"),
-        F.avg((d > 0).cast("double")).alias("positive_fraction"))
+        F.avg((d > 0).cast("double")).alias("positive_fraction"), *more)
     return plain.join(percentiles(samples, keys, "depth", {"depth_median": 0.5}), list(keys))
 
 

@@ -108,9 +108,16 @@ def unproject_depth(
 
 def backproject_samples(
     samples: DataFrame, frames: DataFrame, fx, fy, cx, cy, *,
-    on: Sequence[str] = ("scene_id", "frame_id"),
+    on: Sequence[str] = ("scene_id", "frame_id"), flat: str | None = None, width: int | Column | None = None,
 ) -> DataFrame:
-    """Rays from the camera centre through sampled pixel centres; invalid depths get a fallback length."""
+    """Rays from the camera centre through sampled pixel centres; invalid depths get a fallback length.
+
+    Samples have ``pix_row`` and ``pix_col``, or with ``flat`` the name of a flat index into frames of
+    ``width`` columns, from which these follow.
+    """
+    if flat is not None:
+        row, col = pixel_of_index(F.col(flat), width)
+        samples = samples.withColumns({"pix_row": row, "pix_col": col})
     joined = samples.join(pose_columns(frames, on), list(on))
     fx, fy, cx, cy = (F.lit(float(v)) if not isinstance(v, Column) else v for v in (fx, fy, cx, cy))
     valid = valid_depth(F.col("depth"))

@@ -195,10 +195,15 @@ DEPTH_SQL = "f AS (SELECT scene_id, frame_id, min(depth) AS lo, max(depth) AS hi
 
 
 @query("depth_stats", f"""
-WITH {DEPTH_SQL} SELECT frame_id, {r('lo')} AS depth_min, {r('hi')} AS depth_max, {r('mean')} AS depth_mean, {r('med')} AS depth_median, {r('pos')} AS positive_fraction FROM f""")
-def _(t):
-    out = A.depth_stats(t.samples, FRAME)
-    return out.select("frame_id", *(r6(F.col(c)).alias(c) for c in ("depth_min", "depth_max", "depth_mean", "depth_median", "positive_fraction")))
+WITH {DEPTH_SQL}, c AS (SELECT scene_id, frame_id, min(weight / 50) AS c_lo, max(weight / 50) AS c_hi, avg(sqrt(1 + 0.01::DOUBLE * (pix_row % 3) * (pix_row % 3))) AS n_mean,
+  max(abs(sqrt(1 + 0.01::DOUBLE * (pix_row % 3) * (pix_row % 3)) - 1)) AS n_error FROM fx_samples GROUP BY ALL)
+SELECT frame_id, {r('lo')} AS depth_min, {r('hi')} AS depth_max, {r('mean')} AS depth_mean, {r('med')} AS depth_median, {r('pos')} AS positive_fraction,
+  {r('c_lo')} AS confidence_min, {r('c_hi')} AS confidence_max, {r('n_mean')} AS normal_norm_mean, {r('n_error')} AS normal_norm_max_error FROM f JOIN c USING (scene_id, frame_id)""")
+def _(t):
+    samples = t.samples.withColumns({"confidence": F.col("weight") / 50, "nx": F.lit(0.6), "ny": F.lit(0.8), "nz": 0.1 * (F.col("pix_row") % 3)})
+    out = A.depth_stats(samples, FRAME, ["confidence"], ["nx", "ny", "nz"])
+    return out.select("frame_id", *(r6(F.col(c)).alias(c) for c in (
+        "depth_min", "depth_max", "depth_mean", "depth_median", "positive_fraction", "confidence_min", "confidence_max", "normal_norm_mean", "normal_norm_max_error")))
 
 
 @query("mean_of_means", f"""

@@ -144,7 +144,8 @@ q AS (SELECT *, (pix_col + 0.5::DOUBLE - 400) * dd / 400 AS px, -((pix_row + 0.5
 SELECT frame_id, pix_row, pix_col, depth > 0 AS valid, tx AS ox, ty AS oy, tz AS oz,
   {r('cosy*px - siny*py + tx')} AS x, {r('siny*px + cosy*py + ty')} AS y, {r('pz + tz')} AS z FROM q""")
 def _(t):
-    out = cameras.backproject_samples(t.samples, t.frames, FX, FY, CX, CY)
+    flat = t.samples.withColumn("at", F.col("pix_row") * 800 + F.col("pix_col")).drop("pix_row", "pix_col")
+    out = cameras.backproject_samples(flat, t.frames, FX, FY, CX, CY, flat="at", width=800)
     return out.select("frame_id", "pix_row", "pix_col", "valid", "ox", "oy", "oz", *xyz(V.vec()))
 
 
