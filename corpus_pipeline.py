@@ -47,6 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.
+
+    Rows without an id, with a null or empty text, of any length and with further columns pass through
+    every stage like others; rows are told apart by id and text, and of repeated ones the Jaccard join
+    keeps one.  The mix takes texts without words as often as their size allows (they weigh nothing).
+    An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = scratch_path(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
