@@ -8,9 +8,10 @@ similarity of at least ``SIMILARITY`` link, and of every connected component onl
 occurrence (least doc_id, line number) stays.
 
 At similarity 0.8, 8 bands of 4 find a pair with probability 0.985, at 0.9 with 0.9998.  Of a band with up to ``ALL_PAIRS``
-lines all pairs are candidates.  Larger ones are joined in one place, in blocks of ``BLOCK`` lines of
-which every two meet: a line is compared with each component until one member is similar, so a band
+lines all pairs are candidates.  Larger ones are joined in one place, in blocks of ``BLOCK`` lines
+(fewer where they hold more than ``BLOCK_BYTES``) of which every two meet: a line is compared with each component until one member is similar, so a band
 of near copies costs about as many comparisons as it has lines, and no link between components is lost.
+Bands with the same lines (told by number, least, greatest and two 64-bit marks) are looked at once.
 
 Defined results: blank lines are never removed and never removed for; null and empty texts have no
 lines and keep the empty text; a line repeated in one text stays once there at most; rows without an
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,11 @@ BANDS, ROWS = 8, 4
 SIMILARITY = 0.8
 ALL_PAIRS = 16
 BLOCK = 512
+BLOCK_BYTES = 1 << 20
+PAIR_BYTES = 1 << 20
+CLOSE_CALL = 2
 BROADCAST_ROWS = 200_000  # of one number
-LINES = "doc_id long, text_key long, line_no int, line long, bands array<long>"
+LINES = "doc_id long, text_key long, line_no int, line long, size int, bands array<long>"
 
 
 def line_ranges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,15 +103,16 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = text_bytes(batch.column("text"))
         text, number, begin, end = line_ranges(data, at)
         name = runs(_BYTE[data], begin, end) if len(begin) else np.zeros(0, np.uint64)
-        line, found = shingle_hashes(data, begin, end) if len(begin) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        keys = band_keys(line, found, len(begin))
         once = np.zeros(len(begin), bool)
         once[np.unique(name, return_index=True)[1]] = True  # a line's bands are given once a slice
+        line, found = shingle_hashes(data, begin[once], end[once]) if len(begin) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        keys = band_keys(line, found, int(once.sum()))
         at_key = np.r_[0, np.cumsum(once * BANDS)].astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id").take(pa.array(text)), batch.column("text_key").take(pa.array(text)), pa.array(number.astype(np.int32)),
-            pa.array(name.view(np.int64)), pa.ListArray.from_arrays(pa.array(at_key), pa.array(keys[once].ravel().view(np.int64))),
-        ], names=["doc_id", "text_key", "line_no", "line", "bands"])
+            pa.array(name.view(np.int64)), pa.array((end - begin).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(at_key), pa.array(keys.ravel().view(np.int64))),
+        ], names=["doc_id", "text_key", "line_no", "line", "size", "bands"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +132,49 @@ def jaccard(x: bytes, y: bytes, width: int = WIDTH) -> float:
     return len(a & b) / len(a | b)
 
 
+def overlaps(left: list[bytes], right: list[bytes], least: float) -> np.ndarray:
+    """Whether the Jaccard similarity of each pair of (different) lines is at least ``least``.
+
+    The shingles of all pairs are sorted at once, as pair, hash and side.  A hash clash could shift a count by one or
+    two, so pairs within ``CLOSE_CALL`` shingles of the bound are decided by their sets of bytes.  A line shorter than
+    a shingle is its own only one and meets no other line.
+    """
+    n = len(left)
+    count = np.array([max(len(s) - WIDTH + 1, 0) for s in (*left, *right)], np.int64)
+    data = np.frombuffer(b"".join((*left, *right)), np.uint8)
+    if not count.any():
+        return np.zeros(n, bool)
+    number = np.zeros(len(data) - WIDTH + 1, np.uint64)
+    for k in range(WIDTH):
+        number = number << np.uint64(8) | data[k:len(data) - WIDTH + 1 + k]
+    at = np.r_[0, np.cumsum([len(s) for s in (*left, *right)])[:-1]]
+    line = np.repeat(np.arange(2 * n), count)
+    start = at[line] + np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    bits = np.uint64(62 - n.bit_length())
+    key = (line % n).astype(np.uint64) << bits | mix(number)[start] >> (np.uint64(64) - bits)
+    key = np.sort(key << np.uint64(1) | (line >= n).astype(np.uint64))
+    value = key >> np.uint64(1)
+    pair = (value >> bits).astype(np.int64)
+    same = value[1:] == value[:-1]
+    union = np.bincount(pair[np.r_[True, ~same]], minlength=n)
+    common = np.bincount(pair[1:][same & (key[1:] != key[:-1])], minlength=n)
+    out = common >= least * union
+    for i in np.flatnonzero(np.abs(common - least * union) <= CLOSE_CALL).tolist():
+        out[i] = jaccard(left[i], right[i]) >= least
+    return out
+
+
 def _similar(least: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            keep = [jaccard(x, y) >= least for x, y in zip(left, right)]  # byte lengths bound nothing: lines may repeat themselves
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            size = np.cumsum(pc.add(pc.binary_length(batch.column("left")), pc.binary_length(batch.column("right"))).to_numpy(zero_copy_only=False).astype(np.int64))
+            begin = 0
+            while begin < batch.num_rows:
+                stop = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + PAIR_BYTES, "right")))
+                part = batch.slice(begin, stop - begin)
+                alike = overlaps(part.column("left").to_pylist(), part.column("right").to_pylist(), least)
+                yield part.select(["u", "v"]).filter(pa.array(alike))
+                begin = stop
     return check
 
 
@@ -166,11 +209,14 @@ def _join_block(least: float):
 
 
 def link_lines(rows: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(line, root) of the lines that link with another one; ``rows``: line, bands; ``docs`` holds their texts."""
-    member = rows.select("line", F.explode("bands").alias("band"))
+    """(line, root) of the lines that link with another one; ``rows``: line, size, bands; ``docs`` holds their texts."""
+    member = rows.select("line", "size", F.explode("bands").alias("band"))
     full = member.groupBy("band").agg(F.min("line").alias("least"), F.max("line").alias("most")).filter("least < most").select("band")
     member = cut_lineage(member.join(small(cut_lineage(full)), "band", "left_semi").distinct())
-    member = cut_lineage(member.join(member.groupBy("band").agg(F.count("*").alias("held")), "band"))
+    marks = [F.count("*").alias("held"), F.min("line").alias("least"), F.max("line").alias("most"),
+             F.bit_xor(F.xxhash64("line")).alias("mark"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("other_mark")]
+    alike = member.groupBy("band").agg(*marks, F.sum("size").alias("bytes")).groupBy("held", "least", "most", "mark", "other_mark", "bytes")
+    member = cut_lineage(member.join(alike.agg(F.min("band").alias("band")).select("band", "held", "bytes"), "band"))
     wanted = small(cut_lineage(member.select("line").distinct()))
     texts = docs.select("text").mapInArrow(_contents, "line long, content binary").join(wanted, "line", "left_semi")
     texts = cut_lineage(texts.groupBy("line").agg(F.min("content").alias("content")))
@@ -184,7 +230,7 @@ def link_lines(rows: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> D
     few = member.filter(F.col("held") <= ALL_PAIRS)
     links = verified(few.select("band", F.col("line").alias("u")).join(few.select("band", F.col("line").alias("v")), "band").filter("u < v"))
     # crowded bands are joined in one place, in blocks; every two blocks meet
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("held") / BLOCK, F.least(F.col("bytes") / BLOCK_BYTES, F.col("held")))).cast("int")
     crowd = member.filter(F.col("held") > ALL_PAIRS).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")) \
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     crowd = crowd.select("band", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "line").join(texts, "line")
@@ -216,7 +262,7 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = spark.read.parquet(folder)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line_no")
     firsts = cut_lineage(rows.groupBy("line").agg(F.min(place).alias("at"), F.count("*").alias("times")))
-    roots = link_lines(rows.select("line", "bands"), docs, least)
+    roots = link_lines(rows.select("line", "size", "bands"), docs, least)
     named = firsts.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
     keep = named.groupBy("root").agg(F.min("at").alias("keep"), F.sum("times").alias("times")).filter("times > 1")
     crowded = cut_lineage(named.join(keep.drop("times"), "root").select("line", "keep"))

@@ -212,3 +212,33 @@ def test_hamming_blocks_find_all_within_the_radius():
     row, item = index.near(30, probes)
     far = np.bitwise_count(probes[:, None, :] ^ prints[None, :, :]).sum(axis=2)
     assert set(zip(row.tolist(), item.tolist())) == set(zip(*map(list, np.nonzero(far <= decontamination.RADIUS))))
+
+
+def near_lines(seed: int, groups: int) -> list[str]:
+    """Lines with one altered copy each, some shorter than a shingle, some that repeat themselves."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(groups):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60, 200))).strip()
+        at = rng.randrange(len(line))
+        out += [line, line[:at] + "Z" + line[at + 1:]]
+    return [*out, "abc", "abcd", "x" * 8, "x" * 90, "x" * 91, "abcdefgh"]
+
+
+def test_line_overlaps_against_sets():
+    texts = [s.encode() for s in near_lines(3, 40)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    left, right = zip(*((texts[i], texts[j]) for i, j in pairs))
+    assert lines.overlaps(left, right, 0.8).tolist() == [lines.jaccard(x, y) >= 0.8 for x, y in zip(left, right)]
+    assert lines.overlaps([b"abc"], [b"abcd"], 0.8).tolist() == [False] and not len(lines.overlaps([], [], 0.8))
+
+
+def test_lines_that_stay_against_every_pair(spark):
+    texts = near_lines(11, 150)
+    kept = {r.doc_id: r.kept_text for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    raw = [s.encode() for s in texts]
+    similar = [(j, i) for i in range(len(raw)) for j in range(i) if raw[i] == raw[j] or lines.jaccard(raw[i], raw[j]) >= 0.8]
+    later = {i for _, i in similar}  # groups of two or of equal sets, so the first of each pair stays
+    lost = sum(kept[i] == texts[i] for i in later)
+    assert len(later) > 100 and lost <= 0.02 * len(later)
+    assert all(kept[i] == ("" if i in later and kept[i] == "" else texts[i]) for i in kept)
