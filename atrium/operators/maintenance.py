@@ -592,7 +592,13 @@ def ray_obstruction(hits: DataFrame, rays: DataFrame, cornered: DataFrame, inner
 
 
 def layout_regularity(triangles: DataFrame, vertices: DataFrame, contour: DataFrame, planes: DataFrame, keys: Sequence[str] = SCENE, threshold: float = 0.2) -> DataFrame:
-    """Figures of how regular a scene's polygons are: edge lengths, wedge and plane angles, attraction."""
+    """Figures of how regular a scene's polygons are: edge lengths, wedge and plane angles, attraction.
+
+    Attraction sums log(distance / threshold + 1e-6) below the threshold: over all vertex pairs (``magnetism``), over
+    vertices and their nearest contour edge that does not end in them (``edge_magnetism``), and over vertices and
+    their nearest triangle of a polygon they are not on (``face_magnetism``, where triangles carry a ``polygon_id``).
+    Figures without any wedge, plane or near thing are null.
+    """
     at = vertices.select(*keys, "vertex_id", "x", "y", "z")
     side = lambda c, s: at.select(*keys, F.col("vertex_id").alias(c), *(F.col(k).alias(f"{k}{s}") for k in "xyz"))
     edges = contour.join(side("e0", "0"), [*keys, "e0"]).join(side("e1", "1"), [*keys, "e1"]).withColumn("_l", (vec(suffix="1") - vec(suffix="0")).norm())
@@ -615,4 +621,22 @@ def layout_regularity(triangles: DataFrame, vertices: DataFrame, contour: DataFr
         right = right.withColumn("_d", F.explode(steps)).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_d")).drop("_d")
     pairs = left.join(right, [*keys, "cx", "cy", "cz"]).filter("i < j").withColumn("dist", (vec(suffix="1") - vec(suffix="0")).norm()).filter(F.col("dist") < threshold)
     close = pairs.groupBy(*keys).agg(F.sum(F.log(F.col("dist") / threshold + 1e-6)).alias("magnetism"), F.count("*").alias("close_pairs"))
-    return lengths.join(bends, list(keys), "left").join(tilt, list(keys), "left").join(close, list(keys), "left")
+    out = lengths.join(bends, list(keys), "left").join(tilt, list(keys), "left").join(close, list(keys), "left")
+    segments = edges.select(*keys, F.struct("e0", "e1").alias("edge"), *(f"{k}{i}" for i in (0, 1) for k in "xyz"))
+    by_edge = S.within(at, S.shape_tree(segments, keys, "edge", [vec(suffix="0"), vec(suffix="1")], k=None), vec(), threshold, S.segment_metric)
+    by_edge = by_edge.filter("tid.e0 <> vertex_id AND tid.e1 <> vertex_id")
+    out = out.join(attraction(by_edge, threshold, "edge", keys), list(keys), "left")
+    if "polygon_id" not in triangles.columns:
+        return out
+    faces = mesh.corners(triangles, vertices, keys).withColumn("face", F.struct("triangle_id", "polygon_id"))
+    by_face = S.within(at, S.shape_tree(faces, keys, "face", list(mesh.corner_vectors()), k=None), vec(), threshold, S.triangle_metric)
+    by_face = by_face.groupBy(*keys, "vertex_id", F.col("tid.polygon_id").alias("polygon_id")).agg(F.min("dist").alias("dist"))
+    own = triangles.select(*keys, "polygon_id", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id")).distinct()
+    by_face = by_face.join(own, [*keys, "vertex_id", "polygon_id"], "left_anti")
+    return out.join(attraction(by_face, threshold, "face", keys), list(keys), "left")
+
+
+def attraction(near: DataFrame, threshold: float, name: str, keys: Sequence[str] = SCENE) -> DataFrame:
+    """Log sum and number of the vertices whose nearest thing (of ``near``: vertex_id, dist) lies under the threshold."""
+    least = near.filter(F.col("dist") < threshold).groupBy(*keys, "vertex_id").agg(F.min("dist").alias("dist"))
+    return least.groupBy(*keys).agg(F.sum(F.log(F.col("dist") / threshold + 1e-6)).alias(f"{name}_magnetism"), F.count("*").alias(f"{name}_attracted"))

@@ -330,12 +330,35 @@ def _(t):
     return out.select("polygon_id", "hits", "near_border", r6(F.col("border_sum")).alias("border_sum"), r6(F.col("depth_sum")).alias("depth_sum"))
 
 
+REGULARITY = ("manhattan", "up_angle", "straightness", "rectangularity", "magnetism", "edge_magnetism", "face_magnetism")
+MAGNET_SEG = """CASE WHEN dd < 1e-8 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((m.x-x0)*(x1-x0) + (m.y-y0)*(y1-y0) + (m.z-z0)*(z1-z0)) / dd)) END"""
+
+
 @query("layout_regularity", f"""
 WITH us AS (SELECT e0, e1, count(*) AS uses FROM fx_edges GROUP BY ALL),
-ln AS (SELECT sum(CASE WHEN uses = 1 THEN l ELSE 0 END) AS open_length, sum(l) AS contour_length FROM (SELECT uses, sqrt(pow(a.x-b.x,2) + pow(a.y-b.y,2) + pow(a.z-b.z,2)) AS l FROM us JOIN fx_mesh_vertices a ON a.vertex_id = e0 JOIN fx_mesh_vertices b ON b.vertex_id = e1)),
-pl AS (SELECT avg(least(90 - abs(90 - degrees(acos(a))), 90 - abs(90 - degrees(acos(b))), 90 - abs(90 - degrees(acos(least(1, c)))))) AS manhattan FROM fx_planes)
-SELECT {r('open_length')} AS open_length, {r('contour_length')} AS contour_length, {r('manhattan', 4)} AS manhattan FROM ln, pl""")
+sg AS (SELECT e0, e1, uses, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, pow(a.x-b.x,2) + pow(a.y-b.y,2) + pow(a.z-b.z,2) AS dd
+  FROM us JOIN fx_mesh_vertices a ON a.vertex_id = e0 JOIN fx_mesh_vertices b ON b.vertex_id = e1),
+ln AS (SELECT sum(CASE WHEN uses = 1 THEN sqrt(dd) ELSE 0 END) AS open_length, sum(sqrt(dd)) AS contour_length FROM sg),
+pl AS (SELECT avg(least(90 - abs(90 - degrees(acos(a))), 90 - abs(90 - degrees(acos(b))), 90 - abs(90 - degrees(acos(least(1, c)))))) AS manhattan,
+  avg(least(90 - abs(90 - degrees(acos(least(1, c)))), abs(90 - degrees(acos(least(1, c)))))) AS up_angle FROM fx_planes),
+nb AS (SELECT e0 AS v, e1 AS n FROM us UNION SELECT e1, e0 FROM us),
+st AS (SELECT nb.v, nb.n, w.x-o.x AS x, w.y-o.y AS y, w.z-o.z AS z FROM nb JOIN fx_mesh_vertices o ON o.vertex_id = nb.v JOIN fx_mesh_vertices w ON w.vertex_id = nb.n),
+an AS (SELECT degrees(acos(greatest(-1, least(1, (a.x*b.x + a.y*b.y + a.z*b.z) / sqrt((a.x*a.x + a.y*a.y + a.z*a.z) * (b.x*b.x + b.y*b.y + b.z*b.z)))))) AS angle
+  FROM st a JOIN st b ON a.v = b.v AND a.n < b.n),
+be AS (SELECT count(*) AS wedges, avg(180 - angle) AS straightness, avg(least(abs(90 - angle), 180 - angle)) AS rectangularity FROM an),
+pd AS (SELECT sqrt(pow(a.x-b.x,2) + pow(a.y-b.y,2) + pow(a.z-b.z,2)) AS d FROM fx_mesh_vertices a JOIN fx_mesh_vertices b ON a.vertex_id < b.vertex_id),
+vv AS (SELECT sum(ln(d / 0.25 + 1e-6)) AS magnetism, count(*) AS close_pairs FROM pd WHERE d < 0.25),
+se AS (SELECT m.vertex_id, m.x, m.y, m.z, sg.*, {MAGNET_SEG} AS t FROM fx_mesh_vertices m JOIN sg ON m.vertex_id <> e0 AND m.vertex_id <> e1),
+ne AS (SELECT vertex_id, min(sqrt(pow(x-x0-(x1-x0)*t,2) + pow(y-y0-(y1-y0)*t,2) + pow(z-z0-(z1-z0)*t,2))) AS d FROM se GROUP BY 1),
+ve AS (SELECT sum(ln(d / 0.25 + 1e-6)) AS edge_magnetism, count(*) AS edge_attracted FROM ne WHERE d < 0.25),
+{TRI_SQL.format(points="fx_mesh_vertices", tris="fx_normals")},
+ow AS (SELECT DISTINCT unnest([v0, v1, v2]) AS vertex_id, polygon_id FROM fx_triangles),
+nf AS (SELECT vertex_id, sqrt(min(d2)) AS d FROM td ANTI JOIN ow ON ow.vertex_id = td.vertex_id AND ow.polygon_id = td.polygon_id GROUP BY 1),
+vf AS (SELECT sum(ln(d / 0.25 + 1e-6)) AS face_magnetism, count(*) AS face_attracted FROM nf WHERE d < 0.25)
+SELECT {r('open_length')} AS open_length, {r('contour_length')} AS contour_length, wedges, {", ".join(f"{r(c, 4)} AS {c}" for c in REGULARITY)}, close_pairs, edge_attracted, face_attracted
+FROM ln, pl, be, vv, ve, vf""")
 def _(t):
     contour = mesh.edge_uses(t.triangles)
-    out = M.layout_regularity(t.triangles, t.mesh_vertices, contour, mesh_planes(t))
-    return out.select(r6(F.col("open_length")).alias("open_length"), r6(F.col("contour_length")).alias("contour_length"), r6(F.col("manhattan"), 4).alias("manhattan"))
+    out = M.layout_regularity(t.triangles, t.mesh_vertices, contour, mesh_planes(t), threshold=0.25)
+    return out.select(*(r6(F.col(c)).alias(c) for c in ("open_length", "contour_length")), "wedges", *(r6(F.col(c), 4).alias(c) for c in REGULARITY),
+                      "close_pairs", "edge_attracted", "face_attracted")

@@ -233,6 +233,31 @@ def test_regularity_counts_all_close_pairs(spark):
     assert out.close_pairs == len(dist) and abs(out.magnetism - sum(np.log(d / 0.2 + 1e-6) for d in dist)) < 1e-6
 
 
+def test_regularity_finds_nearest_foreign_edges_and_faces(spark):
+    at = np.array([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0.5, 0.02, 0.05), (0.2, 0.9, 0.1), (0.3, 0.3, 0.4), (5, 5, 5)], float)
+    vertices = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(at)], "scene_id int, vertex_id int, x double, y double, z double")
+    triangles = spark.createDataFrame([(0, 0, 7, 0, 1, 2), (0, 1, 8, 3, 4, 5)], "scene_id int, triangle_id int, polygon_id int, v0 int, v1 int, v2 int")
+    flat = spark.createDataFrame([(0, 7, 0.0, 0.0, 1.0, 0.0)], "scene_id int, polygon_id int, a double, b double, c double, d double")
+    out = M.layout_regularity(triangles, vertices, mesh.edge_uses(triangles), flat).first()
+
+    def to_segment(p, a, b):
+        t = min(1.0, max(0.0, float((p - a) @ (b - a) / ((b - a) @ (b - a)))))
+        return float(np.linalg.norm(p - a - t * (b - a)))
+
+    def log_sum(least):
+        return sum(np.log(d / 0.2 + 1e-6) for d in least if d < 0.2)
+
+    edges = [(a, b) for f in ((0, 1, 2), (3, 4, 5)) for a, b in zip(f, f[1:] + f[:1])]
+    by_edge = [min(to_segment(p, at[a], at[b]) for a, b in edges if i not in (a, b)) for i, p in enumerate(at)]
+    steps = np.linspace(0, 1, 401)
+    u, w = (g.ravel() for g in np.meshgrid(steps, steps))
+    inside = u + w <= 1
+    filled = {f: at[f[0]] + u[inside, None] * (at[f[1]] - at[f[0]]) + w[inside, None] * (at[f[2]] - at[f[0]]) for f in ((0, 1, 2), (3, 4, 5))}
+    by_face = [min(float(np.linalg.norm(p - q, axis=1).min()) for f, q in filled.items() if i not in f) for i, p in enumerate(at)]
+    assert out.edge_attracted == sum(d < 0.2 for d in by_edge) > 0 and abs(out.edge_magnetism - log_sum(by_edge)) < 1e-6
+    assert out.face_attracted == sum(d < 0.2 for d in by_face) > 0 and abs(out.face_magnetism - log_sum(by_face)) < 0.02
+
+
 def test_zero_vote_segment(spark):
     seg = spark.createDataFrame([(0, 1, 10), (0, 2, 10), (0, 3, 20)], "scene_id int, vertex_id int, segment_id int")
     votes = spark.createDataFrame([(0, 1, 2, 3), (0, 2, 1, 3)], "scene_id int, vertex_id int, label int, votes bigint")
