@@ -91,18 +91,32 @@ def window_candidates(wall_points: DataFrame, keys: Sequence[str], point_id: str
                         F.array(at("u0", "z0"), at("u1", "z0"), at("u1", "z1"), at("u0", "z1")).alias("vertices"))
 
 
-def hull(xy: np.ndarray) -> np.ndarray:
-    """Convex hull of planar points, counter-clockwise."""
+def hull(xy: np.ndarray, directions: int = 32) -> np.ndarray:
+    """Convex hull of planar points, counter-clockwise.
+
+    Points inside the polygon of the extremes in some directions are dropped all at once; the chain then sees the rest.
+    """
     pts = np.unique(xy, axis=0)
     if len(pts) < 3:
         return pts
+    turn = np.arange(directions) * (2 * np.pi / directions)
+    rim = pts[np.argmax(pts @ np.stack([np.cos(turn), np.sin(turn)]), axis=0)]
+    side = np.roll(rim, -1, axis=0) - rim
+    side, rim = side[np.any(side != 0, axis=1)], rim[np.any(side != 0, axis=1)]
+    inside = np.ones(len(pts), bool)
+    for (ux, uy), (px, py) in zip(side, rim):
+        inside &= ux * (pts[:, 1] - py) - uy * (pts[:, 0] - px) > 0
+    pts = pts[~inside]
     chains = []
-    for ordered in (pts, pts[::-1]):
-        chain: list[np.ndarray] = []
-        for p in ordered:
-            while len(chain) >= 2 and np.cross(np.append(chain[-1] - chain[-2], 0), np.append(p - chain[-2], 0))[2] <= 0:
+    for ordered in (pts.tolist(), pts[::-1].tolist()):
+        chain: list[list[float]] = []
+        for x, y in ordered:
+            while len(chain) >= 2:
+                (ax, ay), (bx, by) = chain[-2], chain[-1]
+                if (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0:
+                    break
                 chain.pop()
-            chain.append(p)
+            chain.append([x, y])
         chains.append(chain[:-1])
     return np.array(chains[0] + chains[1])
 
@@ -152,9 +166,14 @@ def min_rectangles(points: DataFrame, keys: Sequence[str], chunk: int = 50_000)
     return corners.groupBy(*keys).applyInPandas(final, rect_schema)
 
 
-def stair_regions(triangles: DataFrame, vertices: DataFrame, keys: Sequence[str], min_triangles: int = STAIR_MIN_TRIANGLES) -> DataFrame:
-    """Connected stair components with their rectangle and height range, or the reason they were rejected."""
-    from atrium.operators import mesh
+def stair_regions(triangles: DataFrame, vertices: DataFrame, keys: Sequence[str], min_triangles: int = STAIR_MIN_TRIANGLES,
+                  rooms: DataFrame | None = None, max_dist: float = 0.75) -> DataFrame:
+    """Connected stair components with their rectangle, its area and height range, or the reason they were rejected.
+
+    Accepted ones are numbered by component (``stair_region_id``).  With ``rooms`` (keys, room_id, x0, y0, x1, y1) they
+    carry ``room_ids``: all within ``max_dist`` of the rectangle's centre, else the nearest; null where a scene has none.
+    """
+    from atrium.operators import matching, mesh
     from atrium.operators.maintenance import mesh_components
 
     member = mesh_components(triangles, keys)
@@ -168,7 +187,15 @@ def stair_regions(triangles: DataFrame, vertices: DataFrame, keys: Sequence[str]
     out = sizes.join(heights, [*keys, "component"], "left").join(boxes, [*keys, "component"], "left")
     status = (F.when(F.col("triangle_count") < min_triangles, "rejected_too_few_triangles")
               .when(F.coalesce("area", F.lit(0.0)) <= 1e-8, "rejected_degenerate_rectangle").otherwise("accepted"))
-    return out.withColumn("status", status)
+    out = cut_lineage(out.withColumn("status", status))
+    taken = out.filter("status = 'accepted'")
+    number = dense_index(taken, "component", "_number", keys).select(*keys, "component", F.format_string("stair_region_%03d", "_number").alias("stair_region_id"))
+    out = out.join(number, [*keys, "component"], "left")
+    if rooms is None:
+        return out
+    middle = lambda i: F.aggregate("rectangle", F.lit(0.0), lambda total, p: total + p[i]) / F.size("rectangle")
+    centers = taken.select(*keys, "component", middle(0).alias("x"), middle(1).alias("y"))
+    return out.join(matching.rooms_near(centers, rooms, keys, ["component"], max_dist), [*keys, "component"], "left")
 
 
 def local_geometry_features(vertices: DataFrame, k: int, keys: Sequence[str], radius: float | None = None) -> DataFrame:

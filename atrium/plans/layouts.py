@@ -215,13 +215,22 @@ def _(t):
 WITH pr AS (SELECT min(triangle_id) AS lo, max(triangle_id) AS hi FROM fx_edges GROUP BY e0, e1 HAVING count(*) = 2),
 nb AS (SELECT lo AS v, hi AS n FROM pr UNION SELECT hi, lo FROM pr),
 cc(v, component) USING KEY (v) AS (SELECT triangle_id, triangle_id FROM fx_triangles UNION
-  SELECT nb.n, min(c.component) FROM cc c JOIN nb ON nb.v = c.v JOIN recurring.cc o ON o.v = nb.n WHERE c.component < o.component GROUP BY nb.n)
-SELECT component, count(*) AS triangle_count, CASE WHEN count(*) < 10 THEN 'rejected_too_few_triangles' ELSE 'accepted' END AS status,
-  CASE WHEN count(*) >= 10 THEN round(min(least(az, bz, cz)) + 2.3e-8, 6) END AS minimum_z, CASE WHEN count(*) >= 10 THEN round(max(greatest(az, bz, cz)) + 2.3e-8, 6) END AS maximum_z
-FROM cc JOIN fx_corners t ON t.triangle_id = cc.v GROUP BY 1""")
+  SELECT nb.n, min(c.component) FROM cc c JOIN nb ON nb.v = c.v JOIN recurring.cc o ON o.v = nb.n WHERE c.component < o.component GROUP BY nb.n),
+sz AS (SELECT component, count(*) AS n, min(least(az, bz, cz)) AS z0, max(greatest(az, bz, cz)) AS z1 FROM cc JOIN fx_corners t ON t.triangle_id = cc.v GROUP BY 1),
+pt AS (SELECT DISTINCT component, unnest([ax, bx, cx]) AS x, unnest([ay, by, cy]) AS y FROM cc JOIN fx_corners t ON t.triangle_id = cc.v WHERE component IN (SELECT component FROM sz WHERE n >= 10)),
+ex AS (SELECT component, min(x) AS x, y FROM pt GROUP BY ALL UNION SELECT component, max(x), y FROM pt GROUP BY ALL),
+hl AS (SELECT a.component, a.x AS px, a.y AS py, (b.x-a.x)/sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y)) AS ux, (b.y-a.y)/sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y)) AS uy
+  FROM ex a JOIN ex b ON a.component = b.component AND (a.x <> b.x OR a.y <> b.y)),
+rc AS (SELECT component, min((u1-u0) * (v1-v0)) AS area FROM (SELECT h.component, min(x*ux + y*uy) AS u0, max(x*ux + y*uy) AS u1, min(y*ux - x*uy) AS v0, max(y*ux - x*uy) AS v1
+  FROM hl h JOIN ex ON ex.component = h.component GROUP BY h.component, px, py, ux, uy HAVING min((y-py)*ux - (x-px)*uy) > -1e-9) GROUP BY 1),
+ok AS (SELECT component, 'stair_region_' || lpad(CAST(row_number() OVER (ORDER BY component) - 1 AS VARCHAR), 3, '0') AS stair_region_id FROM rc WHERE area > 1e-8)
+SELECT sz.component, n AS triangle_count, CASE WHEN n < 10 THEN 'rejected_too_few_triangles' WHEN ok.component IS NULL THEN 'rejected_degenerate_rectangle' ELSE 'accepted' END AS status,
+  CASE WHEN n >= 10 THEN round(z0 + 2.3e-8, 6) END AS minimum_z, CASE WHEN n >= 10 THEN round(z1 + 2.3e-8, 6) END AS maximum_z,
+  round(area + 2.3e-8, 6) AS area, stair_region_id
+FROM sz LEFT JOIN rc ON rc.component = sz.component LEFT JOIN ok ON ok.component = sz.component""")
 def _(t):
     out = clusters.stair_regions(t.triangles, t.mesh_vertices, SC)
-    return out.select("component", "triangle_count", "status", r6(F.col("minimum_z")).alias("minimum_z"), r6(F.col("maximum_z")).alias("maximum_z"))
+    return out.select("component", "triangle_count", "status", *(r6(F.col(c)).alias(c) for c in ("minimum_z", "maximum_z", "area")), "stair_region_id")
 
 
 @query("min_rectangles")

@@ -189,6 +189,37 @@ def test_min_rectangle_of_turned_box(spark):
     assert clusters.min_rectangles(rows, ["g"], chunk=50).first().area == pytest.approx(12.0)
 
 
+def test_hull_keeps_every_corner_and_nothing_else():
+    rng = np.random.default_rng(5)
+    for pts in (rng.normal(size=(400, 2)), rng.integers(0, 4, (60, 2)).astype(float), np.array([[0, 0], [1, 1], [2, 2], [3, 3.0]])):
+        corners = {tuple(c) for c in clusters.hull(pts)}
+        kinds = np.unique(pts, axis=0)
+        outer = set()
+        for p in kinds:
+            away = kinds[(kinds != p).any(1)] - p
+            angle = np.sort(np.arctan2(away[:, 1], away[:, 0]))
+            if np.diff(np.r_[angle, angle[0] + 2 * np.pi]).max() > np.pi + 1e-9:  # the others lie within less than half a turn
+                outer.add(tuple(p))
+        assert corners == outer
+
+
+def test_stair_regions_carry_number_area_and_rooms(spark):
+    rows, tris = [], []
+    for s, (x, y) in enumerate([(0.0, 0.0), (10.0, 0.0), (20.0, 0.0)]):
+        base = s * 100
+        rows += [(0, base + 2 * i + j, x + i * 0.5, y + j * 1.0, i * 0.2) for i in range(6) for j in range(2)]
+        steps = range(5 if s != 1 else 2)
+        tris += [(0, base + 2 * i + h, *((base + 2 * i, base + 2 * i + 1, base + 2 * i + 2) if h == 0 else (base + 2 * i + 1, base + 2 * i + 3, base + 2 * i + 2)))
+                 for i in steps for h in range(2)]
+    vertices = spark.createDataFrame(rows, "scene_id int, vertex_id int, x double, y double, z double")
+    triangles = spark.createDataFrame(tris, "scene_id int, triangle_id int, v0 int, v1 int, v2 int")
+    rooms = spark.createDataFrame([(0, "a", 0.0, 0.0, 1.2, 1.0), (0, "b", 1.6, 0.0, 4.0, 1.0), (0, "c", 30.0, 0.0, 31.0, 1.0)], "scene_id int, room_id string, x0 double, y0 double, x1 double, y1 double")
+    got = {r.component: r for r in clusters.stair_regions(triangles, vertices, ["scene_id"], rooms=rooms).collect()}
+    assert {k: (r.status, r.stair_region_id, r.room_ids) for k, r in got.items()} == {
+        0: ("accepted", "stair_region_000", ["a", "b"]), 100: ("rejected_too_few_triangles", None, None), 200: ("accepted", "stair_region_001", ["c"])}
+    assert got[0].area == pytest.approx(2.5) and got[200].maximum_z == pytest.approx(1.0)
+
+
 def test_cap_and_sample_are_exact(spark):
     df = spark.range(5000).withColumn("g", F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 5))
     kept = sampling.cap_rows(df, 777, 3, ["id"])
