@@ -70,8 +70,9 @@ def draw_segments(segments: DataFrame, keys: Sequence[str], half_width: float, r
     """
     ox, oy = map(float, origin)
     low, high = F.least("y0", "y1") - half_width, F.greatest("y0", "y1") + half_width
-    rows = F.sequence(F.ceil((low - oy) / resolution - 0.5), F.floor((high - oy) / resolution - 0.5))
-    per_row = segments.filter((low - oy) / resolution - 0.5 <= F.floor((high - oy) / resolution - 0.5)).select(*keys, "x0", "y0", "x1", "y1", F.explode(rows).alias("r"))
+    first, last = F.ceil((low - oy) / resolution - 0.5 - 1e-9), F.floor((high - oy) / resolution - 0.5 + 1e-9)  # rows at the very edge stay
+    rows = F.sequence(first, last)
+    per_row = segments.filter(first <= last).select(*keys, "x0", "y0", "x1", "y1", F.explode(rows).alias("r"))
     y = (F.col("r") + 0.5) * resolution + oy
     dy = F.col("y1") - F.col("y0")
     at = lambda level: F.when(F.abs(dy) < 1e-12, None).otherwise((level - F.col("y0")) / dy)

@@ -69,14 +69,19 @@ def _(t):
 
 
 @query("rasterize_walls", f"""
-WITH {SEG}, kk AS (SELECT d, exp(-d*d/2.0::DOUBLE) / (1 + 2*exp(-0.5::DOUBLE) + 2*exp(-2.0::DOUBLE)) AS k FROM range(-2, 3) t(d)),
-bl AS (SELECT level_id, r + a.d AS r, c + b.d AS c, sum(a.k * b.k) AS v FROM dr, kk a, kk b GROUP BY ALL),
+WITH {SEG.replace("0.0036", "0.0025")}, fl AS (SELECT level_key AS level_id, r, c FROM fx_rooms, range(0, 205) a(c), range(0, 205) b(r)
+  WHERE (c + 0.5) * 0.1 > x0 + 1.02 AND (c + 0.5) * 0.1 < x0 + 1.52 AND (r + 0.5) * 0.1 > y0 + 2.02 AND (r + 0.5) * 0.1 < y0 + 2.62),
+dw AS (SELECT level_id, r, c FROM dr UNION SELECT level_id, r, c FROM fl),
+kk AS (SELECT d, exp(-d*d/2.0::DOUBLE) / (1 + 2*exp(-0.5::DOUBLE) + 2*exp(-2.0::DOUBLE)) AS k FROM range(-2, 3) t(d)),
+bl AS (SELECT level_id, r + a.d AS r, c + b.d AS c, sum(a.k * b.k) AS v FROM dw, kk a, kk b GROUP BY ALL),
 th AS (SELECT level_id, r, c FROM (SELECT *, max(v) OVER (PARTITION BY level_id) AS peak FROM bl) WHERE v > 0.25 * peak + 1e-12),
 cr(y, x) AS (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)),
 gr AS (SELECT DISTINCT level_id, r + y AS r, c + x AS c FROM th, cr)
 SELECT level_id, r + y AS r, c + x AS c FROM gr, cr GROUP BY ALL HAVING count(*) = 5""")
 def _(t):
-    return raster.smooth_walls(raster.draw_segments(wall_segments(t), LV, 0.06, 0.1), LV).select("level_id", "r", "c")
+    solid = t.rooms.selectExpr("level_key AS level_id", "room_key AS polygon_id", "array(struct(x0 + 1.02D AS x, y0 + 2.02D AS y), struct(x0 + 1.52D AS x, y0 + 2.02D AS y), "
+                               "struct(x0 + 1.52D AS x, y0 + 2.62D AS y), struct(x0 + 1.02D AS x, y0 + 2.62D AS y)) AS ring")
+    return raster.rasterize_walls(wall_segments(t), polygons.ring_edges(solid, ["level_id", "polygon_id"]), LV, resolution=0.1).select("level_id", "r", "c")
 
 
 @query("cell_difference", """
