@@ -1,8 +1,8 @@
-"""Ceilings over points: copies of a candidate cost nothing more."""
+"""Ceilings over points and rooms: copies of a candidate and rooms that cannot change cost nothing more."""
 
 from pyspark.sql import functions as F
 
-from atrium.operators import matching
+from atrium.operators import layout, matching
 from atrium.operators.polygons import ring_edges
 
 BOX = "array(struct(0D AS x, 0D AS y), struct(4D AS x, 0D AS y), struct(4D AS x, 4D AS y), struct(0D AS x, 4D AS y)) AS ring"
@@ -24,3 +24,21 @@ def test_copies_of_a_ceiling_do_not_multiply_points(spark, monkeypatch):
     got = {r.vertex_id: (r.polygon_id, r.is_fallback, r.ceiling_z) for r in out.collect()}
     assert got == {0: (1, False, 2.4), 1: (1, False, 2.4), 2: (None, True, 2.7)}
     assert met == [2]
+
+
+def test_rooms_that_cannot_change_stay_out_of_the_rounds(spark, monkeypatch):
+    # room 1: a plane at triangle 0, the others take it one after another; rooms 2..9 have none
+    rows = spark.range(36).selectExpr("id div 4 + 1 AS label", "id % 4 AS triangle_id", "1D AS x", "1D AS y", "IF(id = 0, 7L, NULL) AS polygon_id",
+                                      "id > 0 AS is_fallback", "0D AS a", "0D AS b", "1D AS c", "IF(id = 0, -2.5D, -2.7D) AS d", "IF(id = 0, 2.5D, 2.7D) AS ceiling_z")
+    links = rows.filter("triangle_id < 3").select("label", F.inline(F.expr("array(struct(triangle_id, triangle_id + 1 AS neighbor_id), struct(triangle_id + 1 AS triangle_id, triangle_id AS neighbor_id))")))
+    sizes = []
+    plain = layout.cut_lineage
+
+    def counting(df):
+        sizes.append(df.count())
+        return plain(df)
+
+    monkeypatch.setattr(layout, "cut_lineage", counting)
+    got = {(r.label, r.triangle_id): (r.polygon_id, r.ceiling_z) for r in layout.propagate_ceilings(rows, links, ["label"], 0.0).collect()}
+    assert got == {(k, i): (7, 2.5) if k == 1 else (None, 2.7) for k in range(1, 10) for i in range(4)}
+    assert sizes[0] == 36 and max(sizes[1:]) <= 6
