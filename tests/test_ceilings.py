@@ -42,3 +42,19 @@ def test_rooms_that_cannot_change_stay_out_of_the_rounds(spark, monkeypatch):
     got = {(r.label, r.triangle_id): (r.polygon_id, r.ceiling_z) for r in layout.propagate_ceilings(rows, links, ["label"], 0.0).collect()}
     assert got == {(k, i): (7, 2.5) if k == 1 else (None, 2.7) for k in range(1, 10) for i in range(4)}
     assert sizes[0] == 36 and max(sizes[1:]) <= 6
+
+
+def test_within_measures_only_targets_whose_box_is_near(spark):
+    from atrium.operators import spatial as S
+
+    # eight long walls in one leaf; one of them is near the point, the metric of the others must not be asked for
+    walls = spark.range(8).selectExpr("0 AS level_id", "id AS wall_id", "0D AS x0", "id * 10D AS y0", "80D AS x1", "id * 10D AS y1")
+    points = spark.createDataFrame([(0, 40.0, 10.2), (0, 40.0, 49.9)], "level_id int, x double, y double")
+    tree = S.shape_tree(walls, ["level_id"], "wall_id", [matching.flat("x0", "y0"), matching.flat("x1", "y1")], k=None)
+
+    def strict(q, g):
+        far = F.abs(q.y - g["a"]["y"]) > 5
+        return F.when(far, F.raise_error(F.lit("asked for a far wall")).cast("double")).otherwise(S.segment_metric(q, g))
+
+    got = sorted((r.tid, round(r.dist, 6)) for r in S.within(points, tree, matching.flat(), 0.35, strict).collect())
+    assert got == [(1, 0.2), (5, 0.1)]
