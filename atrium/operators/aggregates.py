@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from atrium.functions.eigen import merge_moments, moment_sums, planes_from_moments
 from atrium.functions.labels import LAYOUT_LABELS
 from atrium.functions.vectors import vec
-from atrium.session import cut_lineage
+from atrium.session import end_round as cut_lineage
 
 
 def frame_histogram(samples: DataFrame, keys: Sequence[str], label: str, valid: Column, n_labels: int = len(LAYOUT_LABELS)) -> DataFrame:
