@@ -190,3 +190,42 @@ def test_rays_look_into_few_leaves(tables):
     out = S.ray_hits(room_rays(tables), M.triangle_tree(cornered(tables)), ["vertex_id"], vec("o"), vec("e"), 0.05, counted=True)
     tested = [r.tested for r in out.select("tested").collect()]
     assert tested and max(tested) < 10
+
+
+def test_rays_along_a_slope_list_few_leaves(spark, monkeypatch):
+    """A long flight of steps seen along its slope: packets list the leaves they enter first, in rounds until the first hit."""
+    corner = lambda x, y: (0.25 * x, 0.25 * y, 0.5 * (y // 4))
+    quads = [(x, y) for x in range(4) for y in range(240) if (x * 7 + y * 3) % 11]
+    shapes = [(corner(x, y), corner(x + 1, y), corner(x, y + 1)) for x, y in quads] + [(corner(x + 1, y), corner(x + 1, y + 1), corner(x, y + 1)) for x, y in quads]
+    tri = spark.createDataFrame([(i, *(float(v) for p in t for v in p)) for i, t in enumerate(shapes)], "triangle_id int, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz"))
+    ends = [(0.25 * x + 0.03, 0.25 * y + 0.04, 0.5 * (y // 4) - 0.4) for x in range(4) for y in range(8, 240, 3)]
+    origin = np.array([0.5, 0.5, 2.0])
+    rays = spark.createDataFrame([(i, *map(float, origin), *map(float, p)) for i, p in enumerate(ends)], "ray_id int, " + ", ".join(f"{n}{c} double" for n in "oe" for c in "xyz"))
+    p = np.array(shapes)
+    a, u, v = p[:, 0], p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+    want = {}
+    for i, end in enumerate(ends):
+        d = np.array(end) - origin
+        h = np.cross(d, v)
+        det = (u * h).sum(axis=1)
+        with np.errstate(all="ignore"):
+            s, q = origin - a, np.cross(origin - a, u)
+            b, c, t = (s * h).sum(axis=1) / det, (d * q).sum(axis=1) / det, (v * q).sum(axis=1) / det
+            hit = (np.abs(det) > 1e-12) & (b >= 0) & (c >= 0) & (b + c <= 1) & (t >= 0) & (t < 1)
+        if hit.any():
+            want[i] = t[hit].min()
+    walked = []
+    walk = S.walk_packets
+
+    def watched(live, tree, most):
+        out = walk(live, tree, most)
+        listed = out.filter("node >= 0").groupBy(*S.PACKET).count().agg(F.max("count")).first()[0]
+        walked.append((most, listed))
+        return out
+
+    monkeypatch.setattr(S, "walk_packets", watched)
+    monkeypatch.setattr(S, "FIRST_NODES", 1)
+    tree = S.shape_tree(tri, [], "triangle_id", [vec(c) for c in "abc"])
+    got = {r.ray_id: r.t for r in S.ray_hits(rays, tree, ["ray_id"], vec("o"), vec("e")).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(t) for k, t in want.items())
+    assert len(walked) > 1 and all(listed is None or listed <= most for most, listed in walked)
