@@ -229,3 +229,16 @@ def test_rays_along_a_slope_list_few_leaves(spark, monkeypatch):
     got = {r.ray_id: r.t for r in S.ray_hits(rays, tree, ["ray_id"], vec("o"), vec("e")).collect()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(t) for k, t in want.items())
     assert len(walked) > 1 and all(listed is None or listed <= most for most, listed in walked)
+
+
+def test_codes_are_listed_in_bounded_tasks(spark, monkeypatch):
+    """The list of a code's cells on all levels is spread by count, however small the codes are in a shuffle."""
+    monkeypatch.setattr(S, "CODES_PER_TASK", 100)
+    monkeypatch.setattr(S, "GROUPS_PER_TASK", 50)
+    rows = spark.range(1000).selectExpr("id", f"id + {1 << 60} AS code")
+    spread = []
+    method = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda df, n, *on: spread.append(n) or method(df, n, *on))
+    assert S.with_leaf_levels(rows, [], (), 16).filter("leaf > 0").count() == 1000
+    assert S.spread_groups(rows, ["code"]).count() == 1000
+    assert spread == [10, 20]
