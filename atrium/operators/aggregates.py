@@ -86,14 +86,14 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[
         *keys, "lo", "hi", "a.name", "a.at", F.explode(F.array(F.floor("a.at"), F.ceil("a.at"))).alias("rank")).distinct()
     state = cut_lineage(state.withColumns({"skip": F.lit(0).cast("bigint"), "left": F.lit(limit + 1).cast("bigint")}))
     spot = [*keys, "name", "rank"]
-    big = rows.join(large.select(*keys), list(keys), "left_semi")
+    big = rows.join(F.broadcast(large.select(*keys)), list(keys), "left_semi")  # a group has more than `limit` rows
     while True:
         open_ = state.filter((F.col("left") > limit) & (F.col("lo") < F.col("hi")))
         if open_.isEmpty():
             break
         width = (F.col("hi") - F.col("lo")) / SELECT_BUCKETS
         bucket = F.least(F.lit(SELECT_BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / width))
-        met = big.join(open_.select(*spot, "lo", "hi"), list(keys)).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        met = big.join(F.broadcast(open_.select(*spot, "lo", "hi")), list(keys)).filter(F.col("v").between(F.col("lo"), F.col("hi")))
         counts = met.groupBy(*spot, bucket.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("b_lo"), F.max("v").alias("b_hi"))
         w = W.partitionBy(*spot).orderBy("b")  # one row per bucket
         counts = counts.withColumn("before", F.sum("c").over(w) - F.col("c"))
@@ -102,7 +102,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[
         moved = hit.select(*keys, F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), "name", "at", "rank", (F.col("skip") + F.col("before")).alias("skip"), F.col("c").alias("left"))
         state = cut_lineage(state.join(open_.select(*spot), spot, "left_anti").unionByName(moved))
     flat = state.filter("lo = hi").select(*spot, "at", F.col("lo").alias("v"))
-    rest = big.join(state.filter("lo < hi"), list(keys)).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    rest = big.join(F.broadcast(state.filter("lo < hi")), list(keys)).filter(F.col("v").between(F.col("lo"), F.col("hi")))
     order = W.partitionBy(*spot).orderBy("v")  # at most ``limit`` rows
     found = rest.withColumn("i", F.row_number().over(order) - 1 + F.col("skip")).filter("i = rank").select(*spot, "at", "v").unionByName(flat)
     share = F.col("at") - F.floor("at")
