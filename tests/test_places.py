@@ -24,3 +24,17 @@ def test_copies_of_a_query_are_searched_once(spark, monkeypatch, k, how):
     rows = lambda df: sorted(map(str, df.select("scene_id", "x", "y", "z", "hits").collect()))
     assert copied.columns == [*queries.columns, "hits"]
     assert rows(copied.groupBy("scene_id", "x", "y", "z", F.col("hits").alias("hits")).count().filter("count = 50")) == rows(single)
+
+
+def test_far_leaves_of_a_list_are_not_measured(spark):
+    leaf = lambda x: f"named_struct('lx', {x}D, 'ly', 0D, 'lz', 0D, 'hx', {x + 1}D, 'hy', 1D, 'hz', 0D, 'members', transform(sequence(0, 2), i -> struct(i + {x} AS tid, struct(i * 0.5D + {x} AS x, 0D AS y, 0D AS z) AS geom)))"
+    rows = spark.range(1).selectExpr("0.1D AS x", "0D AS y", "0D AS z", f"array({leaf(50)}, {leaf(0)}) AS leaves")
+    near_only = lambda q, g: F.when(g["x"] >= 50, F.raise_error(F.lit("measured a far target")).cast("double")).otherwise(S.point_metric(q, g))
+    found = rows.select(S.scan_leaves(vec(), F.col("leaves"), near_only, 3, None).alias("hits")).first().hits
+    assert [h.tid for h in found] == [0, 1, 2]
+
+
+def test_listed_segments_measure_alike(spark):
+    rows = spark.range(200).selectExpr("sin(id) AS x", "cos(id * 3) AS y", "sin(id * 7) AS z", "named_struct('a', named_struct('x', cos(id), 'y', sin(id * 2), 'z', 0.2D), 'b', named_struct('x', IF(id % 5 = 0, cos(id), cos(id * 4)), 'y', sin(id * 2), 'z', 0.2D)) AS g")
+    out = rows.select(S.segment_metric(vec(), F.col("g")).alias("p"), S.listed_segment_metric(vec(), F.col("g")).alias("q")).collect()
+    assert all(r.p == r.q for r in out)
