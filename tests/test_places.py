@@ -38,3 +38,16 @@ def test_listed_segments_measure_alike(spark):
     rows = spark.range(200).selectExpr("sin(id) AS x", "cos(id * 3) AS y", "sin(id * 7) AS z", "named_struct('a', named_struct('x', cos(id), 'y', sin(id * 2), 'z', 0.2D), 'b', named_struct('x', IF(id % 5 = 0, cos(id), cos(id * 4)), 'y', sin(id * 2), 'z', 0.2D)) AS g")
     out = rows.select(S.segment_metric(vec(), F.col("g")).alias("p"), S.listed_segment_metric(vec(), F.col("g")).alias("q")).collect()
     assert all(r.p == r.q for r in out)
+
+
+def test_upper_levels_of_a_large_tree_are_broadcast(spark, monkeypatch):
+    points = spark.range(2000).selectExpr("0 AS scene_id", "id AS tid_", "rand(1) AS x", "rand(2) AS y", "rand(3) AS z")
+    tree = S.point_tree(points, SC, "tid_", vec())
+    assert tree.levels >= 2 and tree.cells > 64
+    monkeypatch.setattr(S, "BROADCAST_CELLS", 64)
+    assert tree.is_small(1) and not tree.is_small(2)
+    placed, groups = S.group_queries(points, tree, vec())
+    walk = S.descend(S.spread_groups(groups, [*SC, *S.GROUP], 7), tree, 1, None, False, 7)
+    assert "REPARTITION_BY_NUM" in walk._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0]
+    near = S.nearest(points, tree, vec(), tid="found")
+    assert near.filter("found = tid_ AND dist = 0").count() == 2000
