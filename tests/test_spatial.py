@@ -231,6 +231,27 @@ def test_rays_along_a_slope_list_few_leaves(spark, monkeypatch):
     assert len(walked) > 1 and all(listed is None or listed <= most for most, listed in walked)
 
 
+def test_leaves_listed_do_not_grow_with_the_length_of_rays(spark, monkeypatch):
+    """Rays down onto long stairs list few leaves each, however many steps they pass before the first hit."""
+    corner = lambda x, y: (0.25 * x, 0.25 * y, 0.5 * (y // 4))
+    shapes = [t for x in range(4) for y in range(1600) if (x * 7 + y * 3) % 11
+              for t in ((corner(x, y), corner(x + 1, y), corner(x, y + 1)), (corner(x + 1, y), corner(x + 1, y + 1), corner(x, y + 1)))]
+    tri = spark.createDataFrame([(i, *(float(v) for p in t for v in p)) for i, t in enumerate(shapes)], "triangle_id int, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz"))
+    ends = [(0.25 * x + 0.03, 0.25 * y + 0.04, 0.5 * (y // 4) - 0.4) for x in range(4) for y in range(1200, 1600)]
+    rays = spark.createDataFrame([(i, 0.5, 0.5, 2.0, *p) for i, p in enumerate(ends)], "ray_id int, " + ", ".join(f"{n}{c} double" for n in "oe" for c in "xyz"))
+    listed, walk = [], S.walk_packets
+
+    def watched(live, tree, most):
+        out = walk(live, tree, most)
+        listed.append(out.filter("node >= 0").count())
+        return out
+
+    monkeypatch.setattr(S, "walk_packets", watched)
+    tree = S.shape_tree(tri, [], "triangle_id", [vec(c) for c in "abc"])
+    assert S.ray_hits(rays, tree, ["ray_id"], vec("o"), vec("e")).count() > 1000
+    assert len(listed) <= 3 and sum(listed) <= 6 * len(ends), listed
+
+
 def test_codes_are_listed_in_bounded_tasks(spark, monkeypatch):
     """The list of a code's cells on all levels is spread by count, however small the codes are in a shuffle."""
     monkeypatch.setattr(S, "CODES_PER_TASK", 100)
