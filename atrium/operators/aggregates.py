@@ -32,10 +32,17 @@ def vertex_votes(hits: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFr
     return hits.groupBy(*keys, "vertex_id", "label").agg(F.count("*").alias("votes"))
 
 
+def without_votes(votes: DataFrame, segments: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Vertices of the superpoints none of whose vertices has a vote; only these need neighbour probabilities."""
+    on, seg = [*keys, "vertex_id"], [*keys, "segment_id"]
+    voted = segments.select(*on, "segment_id").join(votes.select(*on).distinct(), on, "left_semi").select(*seg).distinct()
+    return segments.join(voted, seg, "left_anti")
+
+
 def segment_labels(votes: DataFrame, probabilities: DataFrame, segments: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
     """Winning label per superpoint: summed votes, or summed neighbour probabilities without votes.
 
-    Returns one row per vertex with its segment's label, the label's share and whether the
+    ``probabilities`` are read of superpoints without votes only (`without_votes`).  Returns one row per vertex with its segment's label, the label's share and whether the
     fallback decided.
     """
     on = [*keys, "vertex_id"]

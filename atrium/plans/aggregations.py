@@ -13,6 +13,7 @@ from atrium.operators import cameras, mesh, ranking, semantics
 from atrium.plans.projections import on_planes, planes, pointing
 from atrium.plans.registry import query, r
 from atrium.plans.spatial_joins import NEAREST_SQL, SC, nearest_vertices
+from atrium.session import end_round
 
 FRAME = ["scene_id", "frame_id"]
 
@@ -170,8 +171,9 @@ WITH {SEGMENT_SQL}
 SELECT v.scene_id, v.vertex_id, v.segment_id, w.label, {r('w.share')} AS share, w.tv = 0 AS fallback FROM fx_vertices v
   JOIN win w ON w.scene_id = v.scene_id AND w.segment_id = v.segment_id AND w.rn = 1""")
 def _(t):
-    votes = A.vertex_votes(nearest_vertices(t))
-    probabilities = semantics.knn_probabilities(t.vertices, t.rays, SC, 5)
+    votes = end_round(A.vertex_votes(nearest_vertices(t)))
+    lacking = end_round(A.without_votes(votes, t.vertices))
+    probabilities = semantics.knn_probabilities(lacking, t.rays, SC, 5)
     out = A.segment_labels(votes, probabilities, t.vertices)
     return out.select("scene_id", "vertex_id", "segment_id", "label", r6(F.col("share")).alias("share"), "fallback")
 

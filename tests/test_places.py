@@ -51,3 +51,31 @@ def test_upper_levels_of_a_large_tree_are_broadcast(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in walk._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0]
     near = S.nearest(points, tree, vec(), tid="found")
     assert near.filter("found = tid_ AND dist = 0").count() == 2000
+
+
+def test_queries_at_places_of_their_own_are_not_stored(spark, monkeypatch):
+    points = spark.range(300).selectExpr("0 AS scene_id", "id AS tid_", "CAST(id * 7 % 31 AS DOUBLE) AS x", "CAST(id * 5 % 23 AS DOUBLE) AS y", "0D AS z")
+    tree = S.point_tree(points, SC, "tid_", vec())
+    queries = spark.range(5000).selectExpr("0 AS scene_id", "id AS qid", "id * 0.006D AS x", "id * 0.004D AS y", "0D AS z")
+    stored, cut = [], S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: stored.append(df.count()) or cut(df))
+    assert S.nearest(queries, tree, vec()).count() == 5000
+    assert max(stored) < 5000
+
+
+def test_neighbours_are_sought_for_segments_without_votes_only(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from atrium.operators import semantics
+    from atrium.plans.registry import REGISTRY
+    import atrium.plans  # noqa: F401
+
+    vertices = spark.createDataFrame([(k, 10 * k + i, float(i), 0.0, 0.0, 2 * k + (i == 3)) for k in (0, 1) for i in range(4)], "scene_id bigint, vertex_id bigint, x double, y double, z double, segment_id int")
+    # no ray of scene 0 is next to its vertex 3, a segment of its own
+    rays = spark.createDataFrame([(k, i / 10, 0.0, 0.0, 1 + k + (i > 6)) for k in (0, 1) for i in range(20)] + [(1, 3.0, 0.0, 0.0, 7)], "scene_id bigint, x double, y double, z double, label int")
+    asked, knn = [], S.knn
+    monkeypatch.setattr(S, "knn", lambda queries, tree, *a, **b: (asked.append((queries.count(), tree.rows.count())) if b.get("k") == 5 else None) or knn(queries, tree, *a, **b))
+    out = REGISTRY["segment_labels"].run(SimpleNamespace(vertices=vertices, rays=rays, spark=spark))
+    got = {r.vertex_id: (r.label, r.share, r.fallback) for r in out.collect()}
+    assert asked == [(1, 20)] and semantics.S is S
+    assert got == {**{i: (2, 0.65, False) for i in range(3)}, 3: (2, 1.0, True), **{10 + i: (3, 0.65, False) for i in range(3)}, 13: (7, 1.0, False)}
