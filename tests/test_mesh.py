@@ -312,3 +312,21 @@ def test_walls_reach_the_floor_they_find(spark, below):
         make([(k, 5, 1.0) for k in scenes], "polygon_id int, max_hits_per_area double"), assignments=make(links, "vertex_id int, plane_id int")).collect()
     assert {r.scene_id: r.accepted for r in out} == {k: c[4] for k, c in enumerate(cases) if c[4] is not None}
     assert {r.scene_id: r.area for r in out} == pytest.approx({0: 2.0, 1: 2 * 1.01**0.5})
+
+
+def test_simplified_polygons_attach_vertices_to_the_edges_left(spark):
+    at = {1: (0, 0, 0), 2: (0, 2, 0), 3: (2, 0, 0), 4: (0, 1, 2), 5: (0.004, 1, 0.003), 6: (1, 1, 1), 7: (-1, 1, 1), 8: (1, 1, 0), 9: (1.5, 0.5, 0.005), 11: (2, -1, 0), 12: (1.5, 1.5, 1), 13: (1.5, -0.5, 1)}
+    on = {1: (1, 2), 2: (1, 2), 3: (1,), 4: (2,), 5: (3,), 6: (3,), 7: (3,), 8: (1,), 9: (4,), 11: (1,), 12: (4,), 13: (4,)}
+    faces = [(1, 2, 8, 1), (1, 8, 3, 1), (1, 3, 11, 1), (1, 2, 4, 2), (5, 6, 7, 3), (9, 12, 13, 4)]
+    vertices = spark.createDataFrame([(0, v, *map(float, p)) for v, p in at.items()], "scene_id int, vertex_id int, x double, y double, z double")
+    triangles = spark.createDataFrame([(0, i, *f) for i, f in enumerate(faces)], "scene_id int, triangle_id int, v0 int, v1 int, v2 int, polygon_id int")
+    links = spark.createDataFrame([(0, v, p) for v, ps in on.items() for p in ps], "scene_id int, vertex_id int, plane_id int")
+    planes = spark.createDataFrame([(0, 1, 0.0, 0.0, 1.0, 0.0), (0, 2, 1.0, 0.0, 0.0, 0.0), (0, 3, 0.0, 1.0, 0.0, -1.0), (0, 4, 1.0, 0.0, 0.0, -1.5)], "scene_id int, plane_id int, a double, b double, c double, d double")
+    moved, gained = M.simplify_polygons(vertices, triangles, links, planes)
+    got = {r.vertex_id: r for r in moved.collect()}
+    assert {v for v, r in got.items() if r.removed} == {8}
+    # 5 lies on the edge of the first two polygons, 9 on the edge that is left where 8 is gone
+    assert {r.vertex_id: r.joint for r in gained.collect()} == {5: [1, 2, 3], 9: [1, 4]}
+    want = {**at, 5: (0, 1, 0), 9: (1.5, 0.5, 0)}
+    assert all((r.x, r.y, r.z) == pytest.approx(want[v], abs=1e-7) for v, r in got.items())
+    assert {v for v, r in got.items() if r.attached} == {5, 9}
